@@ -1,0 +1 @@
+"""Nothing lives here yet: every input of this kind of analysis is a finished file, so no operator reads a stream."""
