@@ -124,9 +124,21 @@ def _events(df: DataFrame, keys: Sequence[str], start: str, end: str, layer: str
 def union_length(
     df: DataFrame, keys: Sequence[str], start: str, end: str, name: str = "covered", width: int = WIDTH
 ) -> DataFrame:
-    """Number of distinct positions covered per key."""
-    m = merge_intervals(df, keys, start, end, width=width)
-    return m.groupBy(*keys).agg(F.sum(F.col(end) - F.col(start) + 1).cast("bigint").alias(name))
+    """Number of distinct positions covered per key.
+
+    Intervals are cut at bin borders, so every (key, bin) is counted on its own and no state passes between bins. Take a
+    width above the usual interval length: an interval costs one row per bin it touches.
+    """
+    lo, hi = F.least(start, end).cast("bigint"), F.greatest(start, end).cast("bigint")
+    x = _known(df.select(*keys, lo.alias("_s"), hi.alias("_e")), *keys, "_s", "_e")
+    x = x.select(*keys, "_s", "_e", F.explode(F.sequence(_bin("_s", width), _bin("_e", width))).alias("_bin"))
+    s = F.greatest(F.col("_s"), F.col("_bin") * width)
+    e = F.least(F.col("_e"), F.col("_bin") * width + (width - 1))
+    x = x.groupBy(*keys, "_bin", s.alias("_s")).agg(F.max(e).alias("_e"))
+    prior = Window.partitionBy(*keys, "_bin").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.col("_e") - F.greatest(F.col("_s") - 1, F.coalesce(F.max("_e").over(prior), F.col("_s") - 1))
+    x = x.select(*keys, F.greatest(fresh, F.lit(0)).alias("_n"))
+    return x.groupBy(*keys).agg(F.sum("_n").cast("bigint").alias(name))
 
 
 def overlap_length(
