@@ -68,5 +68,5 @@ def global_number(df: DataFrame, order: Sequence[Column], name: str) -> DataFram
 def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     """Row number restarting at 1 for each key, again without gathering a key in one task."""
     out = global_number(df, [F.col(k).asc() for k in keys] + list(order), "_g")
-    first = out.groupBy(*keys).agg(F.min("_g").alias("_first"))
-    return out.join(first, list(keys)).withColumn(name, F.col("_g") - F.col("_first") + 1).drop("_g", "_first")
+    first = out.groupBy(*keys).agg(F.min("_g").alias("_nw_first"))
+    return out.join(first, list(keys)).withColumn(name, F.col("_g") - F.col("_nw_first") + 1).drop("_g", "_nw_first")
