@@ -219,20 +219,24 @@ def orf_call(df, ref: str, row: str, min_len: float, min_cov: float, min_frame:
         "frame_pct", zero("frame_pct")).drop("_o", "_s", "_h", "_b")
 
 
-@pandas_udf(T.StringType())
-def recheck_run(ref: pd.Series, row: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
-    """What a reported run is in the alignment: unaligned_end, mask_remainder, exact, or not_a_gap."""
-    def one(a: str, b: str, x: int, y: int):
+@pandas_udf(_structs(finding=T.StringType()))
+def recheck_spans(ref: pd.Series, row: pd.Series, spans: pd.Series) -> pd.Series:
+    """What each reported span is in the alignment: unaligned_end, mask_remainder, exact, or not_a_gap."""
+    def one(a: str, b: str, xs):
         r, q = _arr(a), _arr(b)
         gap = q[r != GAP] == GAP
         n = len(gap)
-        if not (1 <= x <= y <= n) or not gap[x - 1 : y].all():
-            return "not_a_gap"
-        solid = np.flatnonzero(~gap)
-        lo = int(solid[solid < x - 1].max()) + 2 if (solid < x - 1).any() else 1
-        hi = int(solid[solid > y - 1].min()) if (solid > y - 1).any() else n
-        if lo == 1 or hi == n:
-            return "unaligned_end"
-        return "exact" if (lo, hi) == (x, y) else "mask_remainder"
-
-    return pd.Series([one(*v) for v in zip(ref, row, start, end)])
+        lo, hi = _runs(gap)
+        out = []
+        for x in xs:
+            s, e = int(x["start"]), int(x["end"])
+            i = int(np.searchsorted(lo, s - 1, side="right")) - 1
+            if not 1 <= s <= e <= n or i < 0 or hi[i] < e - 1:
+                out.append(("not_a_gap",))
+            elif lo[i] == 0 or hi[i] == n - 1:
+                out.append(("unaligned_end",))
+            else:
+                out.append(("exact" if (lo[i], hi[i]) == (s - 1, e - 1) else "mask_remainder",))
+        return out
+
+    return pd.Series([one(*v) for v in zip(ref, row, spans)])

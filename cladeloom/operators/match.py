@@ -113,7 +113,7 @@ def cross_check(cands: DataFrame, groups: DataFrame, pairs: DataFrame) -> tuple[
     home = groups.groupBy("species", "gene").agg(F.min("group").alias("group"))
     mine = cands.join(home, ["species", "gene"])
     other = mine.join(sp.withColumnRenamed("species", "_o"), "group").filter(F.col("_o") != F.col("species"))
-    names = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ";")
+    names = lambda c: F.array_join(F.array_sort(F.collect_set(F.col(c).cast("string"))), ";")
     none = F.lit(None).cast("string")
     log1 = other.groupBy("species", "gene").agg(names("_o").alias("conflicting_species")).select(
         "species", "gene", F.lit("orthogroups").alias("check"), "conflicting_species", F.lit(0).cast("bigint").alias("n_conflicting_genes"), none.alias("first_gene"))

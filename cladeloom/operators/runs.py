@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.aligned import gap_runs, recheck_run
-from ..functions.seq import STOPS
+from ..functions.aligned import gap_runs, recheck_spans
+from ..functions.seq import STOPS, has_homopolymer, near_edge, ungap
 from ..session import cut_lineage
 from .intervals import asof_join, first_overlap_join, merge_intervals
 from .tree import Tree, lineage_bins
@@ -41,10 +41,30 @@ def drop_untrusted_runs(runs: DataFrame, mask: DataFrame, keys: list[str]) -> tu
     return kept, audit
 
 
+def per_row(events: DataFrame, aln: DataFrame, keys: list[str], what) -> DataFrame:
+    """Events with fields worked out from the aligned row they lie on.
+
+    The events of a row come to it as one array, at most one per position, so the row's text is moved once and not once
+    per event. `what` maps the array column to an array of structs in the same order.
+    """
+    cols = [c for c in events.columns if c not in keys]
+    g = events.groupBy(*keys).agg(F.collect_list(F.struct(*cols)).alias("_e"))
+    j = g.join(aln, keys).select(*keys, "_e", what(F.col("_e")).alias("_w"))
+    z = j.select(*keys, F.explode(F.arrays_zip("_e", "_w")).alias("z"))
+    return z.select(*keys, "z._e.*", "z._w.*")
+
+
 def recheck_runs(runs: DataFrame, aln: DataFrame, keys: list[str], ref: str = "ref_text", row: str = "row_text") -> DataFrame:
     """Reported deletions with what they are in the alignment as it now stands."""
-    j = runs.join(aln.select(*keys, ref, row), keys)
-    return j.withColumn("finding", recheck_run(ref, row, F.col("start"), F.col("end"))).drop(ref, row)
+    spans = lambda e: F.transform(e, lambda x: F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end")))
+    return per_row(runs, aln.select(*keys, ref, row), keys, lambda e: recheck_spans(ref, row, spans(e)))
+
+
+def event_flags(events: DataFrame, aln: DataFrame, keys: list[str], ref: str = "ref_text") -> DataFrame:
+    """Events (start in reference positions) with homopolymer and edge flags of the focal sequence."""
+    a = aln.select(*keys, ungap(ref).alias("_d"))
+    return per_row(events, a, keys, lambda e: F.transform(e, lambda x: F.struct(
+        has_homopolymer("_d", x["start"]).alias("homopolymer"), near_edge("_d", x["start"]).alias("at_edge"))))
 
 
 def block_gap_audit(rows: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -454,7 +454,7 @@ def counts_by_age(spark, sf):
 
 @query(
     "totals_by_relatedness",
-    f"""WITH {GT} SELECT 32 + species AS species, (SELECT min(k) FROM range(0, 6) r(k) WHERE ((32 + species) >> k) = (35 >> k)) AS distance, count(*) AS n FROM gt GROUP BY species""",
+    f"""WITH {GT} SELECT species, (SELECT min(k) FROM range(0, 6) r(k) WHERE (species >> k) = (35 >> k)) AS distance, n FROM (SELECT 32 + species AS species, count(*) AS n FROM gt GROUP BY 1)""",
 )
 def relatedness(spark, sf):
     from .tree_queries import nation_tree

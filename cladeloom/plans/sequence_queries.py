@@ -142,7 +142,7 @@ def in_frame(spark, sf):
 
 FOCAL = BREAKS + """, own AS (SELECT doc_id, pos, sum(CASE WHEN q IN ('-', 'N') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS b, q FROM c WHERE r <> '-'),
  sc AS (SELECT st.doc_id, 3 * k + 1 AS s FROM st JOIN nn USING (doc_id) JOIN (SELECT doc_id, left(replace(ref, '-', ''), 3) AS f FROM aln) USING (doc_id) WHERE length(codon) = 3 AND codon IN ('ATG', f)),
- fe AS (SELECT sc.doc_id, s, n, coalesce(min(p) - 1, n) AS e FROM sc JOIN nn USING (doc_id) LEFT JOIN br ON br.doc_id = sc.doc_id AND p > s GROUP BY ALL),
+ fe AS (SELECT sc.doc_id, s, coalesce(min(p) - 1, any_value(n)) AS e, any_value(n) AS n FROM sc JOIN nn USING (doc_id) LEFT JOIN br ON br.doc_id = sc.doc_id AND p > s GROUP BY sc.doc_id, s),
  fs AS (SELECT fe.doc_id, s, 100.0 * (e - s + 1) / n AS span, 100.0 * (o2.b - coalesce(o1.b, 0)) / n AS bases FROM fe JOIN own o2 ON o2.doc_id = fe.doc_id AND o2.pos = e LEFT JOIN own o1 ON o1.doc_id = fe.doc_id AND o1.pos = s - 1),
  fr AS (SELECT *, span >= 3 AND bases >= 2 AS ok, row_number() OVER (PARTITION BY doc_id ORDER BY (span >= 3 AND bases >= 2) DESC, span DESC, s) AS rn FROM fs)"""
 
@@ -212,8 +212,9 @@ def aligned_pct(spark, sf):
     SELECT doc_id, kind, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end", regexp_matches(substr(d, CAST(greatest(s - 4, 1) AS BIGINT), CAST(s + 4 - greatest(s - 4, 1) + 1 AS BIGINT)), 'A{{4}}|C{{4}}|G{{4}}|T{{4}}') AS homopolymer, s <= 9 OR s >= length(d) - 9 AS at_edge FROM f""",
 )
 def event_flags(spark, sf):
-    r = W.indel_runs(aln(spark, sf), ["doc_id"]).filter("length % 3 <> 0").join(aln(spark, sf), "doc_id").withColumn("d", S.ungap("ref_text"))
-    return r.select("doc_id", "kind", "start", "end", S.has_homopolymer("d", "start").alias("homopolymer"), S.near_edge("d", "start").alias("at_edge"))
+    x = aln(spark, sf)
+    r = W.indel_runs(x, ["doc_id"]).filter("length % 3 <> 0").select("doc_id", "kind", "start", "end")
+    return W.event_flags(r, x, ["doc_id"])
 
 
 @query(
