@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.seq import at_reference, exact_base, is_shifted, iupac_match, revcomp, translate_cds, ungap
+from ..session import cut_lineage
 from .runs import best_chain, collinear_chains, dominant_chain
 
 
@@ -112,13 +113,14 @@ def trim_to_cds(aln: DataFrame, exons: DataFrame, seqs: DataFrame) -> tuple[Data
     minus = F.col("strand") == "-"
     idx = F.zip_with("_end", F.zip_with("_blk", "_has", lambda b, h: F.struct(b.alias("b"), h.alias("h"))),
                      lambda e, v: F.when(v["h"] == 1, F.when(minus, e - v["b"] + 1).otherwise(e)))
-    j = j.withColumn("_drop", F.filter(idx, lambda v: v.isNotNull()))
+    # written out here: inlined into the lambdas below, these arrays would be rebuilt for every base
+    j = cut_lineage(j.withColumn("_drop", F.filter(idx, lambda v: v.isNotNull())))
     letters = F.split(ungap("ref"), "")
     kept = F.filter(F.transform(letters, lambda c, i: F.when(~F.array_contains("_drop", (i + 1).cast("bigint")), c)), lambda v: v.isNotNull())
-    j = j.withColumn("_trim", F.upper(F.array_join(kept, "")))
+    j = cut_lineage(j.withColumn("_trim", F.upper(F.array_join(kept, ""))))
     cuts = ends(F.col("lens"))
     blocks = lambda t: F.zip_with(cuts, "lens", lambda e, x: F.substring(F.col(t), (e - x + 1).cast("int"), x.cast("int")))
-    j = j.withColumn("_tb", blocks("_trim")).withColumn("_cb", blocks("cds"))
+    j = cut_lineage(j.withColumn("_tb", blocks("_trim")).withColumn("_cb", blocks("cds")))
     anchored = F.forall(F.zip_with("_tb", "_cb", lambda a, b: exact_base(a, b)), lambda v: v)
     loose = iupac_match("_trim", "cds") & anchored
     shifted = (F.col("_mode") == 0) & F.forall(F.zip_with("_tb", "_cb", lambda a, b: is_shifted(a, b, minus)), lambda v: v)
