@@ -230,7 +230,8 @@ def resolve_own_feature(loci: DataFrame, genes: DataFrame, aliases: DataFrame, f
     a = ov.join(aliases, "gene", "left").withColumn("_form", F.explode(forms("locus")))
     tail = F.expr("substring(alias, length(_form) + 1, 1)")
     prefix = F.col("alias").startswith(F.col("_form")) & ~tail.rlike("[a-z0-9]")
-    word = F.concat(F.lit("|"), F.lower("gene"), F.lit("|")).rlike(
+    word = F.regexp_like(
+        F.concat(F.lit("|"), F.lower("gene"), F.lit("|")),
         F.concat(F.lit(r"[^a-z0-9]\Q"), F.col("_form"), F.lit(r"\E[^a-z0-9]")))
     rank = F.when(F.col("alias") == F.lower("locus"), 1).when(prefix, 2).when(word, 3)
     best = a.withColumn("_rank", rank).groupBy("locus").agg(

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import union_length
+
 
 def distinct_sequences(df: DataFrame, id_col: str, seq: str) -> tuple[DataFrame, DataFrame]:
     """One representative per distinct sequence and the (id, rep) map: copies take no further part in a join."""
@@ -15,10 +17,9 @@ def distinct_sequences(df: DataFrame, id_col: str, seq: str) -> tuple[DataFrame,
 
 
 def _kmers(df: DataFrame, id_col: str, k: int) -> DataFrame:
-    n = F.length("seq")
-    at = F.explode(F.sequence(F.lit(1), n - k + 1))
-    x = df.filter(n >= k).select(F.col("rep").alias(id_col), "seq", at.alias("pos"))
-    return x.select(id_col, F.substring(F.col("seq"), F.col("pos"), F.lit(k)).alias("kmer")).distinct()
+    # cut inside the row, so the text is not repeated for every k-mer
+    cut = F.transform(F.sequence(F.lit(1), F.length("seq") - k + 1), lambda p: F.substring(F.col("seq"), p, F.lit(k)))
+    return df.filter(F.length("seq") >= k).select(F.col("rep").alias(id_col), F.explode(F.array_distinct(cut)).alias("kmer"))
 
 
 def kmer_join(q: DataFrame, t: DataFrame, k: int, min_share: float) -> DataFrame:
@@ -33,8 +34,6 @@ def kmer_join(q: DataFrame, t: DataFrame, k: int, min_share: float) -> DataFrame
     freq = kt.groupBy("kmer").agg(F.count("*").alias("f"))
     present = kq.join(freq, "kmer", "left").withColumn("f", F.coalesce("f", F.lit(0)))
     # a query has one row per distinct k-mer of one sequence, so this window is bounded by the sequence
-    from pyspark.sql import Window
-
     w = Window.partitionBy("query")
     n = F.count("*").over(w)
     need = F.ceil(F.lit(min_share) * n)
@@ -49,11 +48,9 @@ def kmer_join(q: DataFrame, t: DataFrame, k: int, min_share: float) -> DataFrame
 def shared_spans(pairs: DataFrame, q: DataFrame, t: DataFrame, k: int) -> DataFrame:
     """Query and target positions covered by shared k-mers, as percentages, for the given pairs."""
     def placed(df: DataFrame, name: str) -> DataFrame:
-        at = F.explode(F.sequence(F.lit(1), F.length("seq") - k + 1))
-        x = df.filter(F.length("seq") >= k).select(F.col("rep").alias(name), "seq", at.alias("pos"), F.length("seq").alias(name + "_len"))
-        return x.select(name, name + "_len", "pos", F.substring(F.col("seq"), F.col("pos"), F.lit(k)).alias("kmer"))
-
-    from .intervals import union_length
+        cut = F.transform(F.sequence(F.lit(1), F.length("seq") - k + 1), lambda p: F.substring(F.col("seq"), p, F.lit(k)))
+        x = df.filter(F.length("seq") >= k).select(F.col("rep").alias(name), F.length("seq").alias(name + "_len"), F.posexplode(cut).alias("pos", "kmer"))
+        return x.withColumn("pos", F.col("pos") + 1)
 
     p = pairs.select("query", "target")
     out = pairs
