@@ -65,7 +65,7 @@ def read_hits_tabular(spark: SparkSession, path: str, fields: list[str] | None =
     marks = x.filter("_foot <> '' or _query <> ''")
     back = Window.partitionBy("file").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, 0)
     marks = marks.withColumn("_batch", F.sum((F.col("_foot") != "").cast("int")).over(back))
-    g = marks.groupBy("file", "_batch").agg(F.count_if(F.col("_query") != "").alias("_n"), F.max(F.col("_foot").cast("int")).alias("_said"))
+    g = marks.groupBy("file", "_batch").agg(F.count_if(F.col("_query") != "").alias("_n"), F.max(F.nullif("_foot", F.lit("")).cast("int")).alias("_said"))
     q = marks.filter("_query <> ''").join(g, ["file", "_batch"]).groupBy(F.col("_query").alias("query")).agg(
         F.min(F.coalesce(F.col("_n") == F.col("_said"), F.lit(False))).alias("confirmed"))
     c = F.split("line", "\t")
