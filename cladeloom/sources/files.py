@@ -49,7 +49,7 @@ def read_gff(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("wholetext", True).text(path).select(_stem(F.col("_metadata.file_path")).alias("file"), "value")
+    raw = spark.read.text(path, wholetext=True).select(_stem(F.col("_metadata.file_path")).alias("file"), "value")
     return raw.select("file", F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "\n")).alias("pos", "line"))
 
 
