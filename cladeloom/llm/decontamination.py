@@ -111,6 +111,10 @@ def weighted_similarity(a: Counter, b: Counter) -> float:
     return both / (a.total() + b.total() - both)
 
 
+def _member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
+
+
 class Items:
     """Benchmark items of one pass, grouped by number of words; items without a word are left out."""
 
@@ -125,8 +129,9 @@ class Items:
         for n, own in sorted(by_size.items()):
             k_n = min(k, n)
             index = HammingIndex(np.array([simhash(g) for _, g in own]), radius)
-            self.sizes.append((n, k_n, [i for i, _ in own], [Counter(g.tolist()) for _, g in own], index))
-            self.grams[k_n] = np.union1d(self.grams.get(k_n, np.empty(0, np.uint64)), np.concatenate([g for _, g in own]))
+            grams = np.unique(np.concatenate([g for _, g in own]))
+            self.sizes.append((n, k_n, [i for i, _ in own], [Counter(g.tolist()) for _, g in own], index, grams))
+            self.grams[k_n] = np.union1d(self.grams.get(k_n, np.empty(0, np.uint64)), grams)
 
     def matches(self, words: np.ndarray) -> list[dict]:
         """Per item the most similar window of its size (the whole text where that is shorter; ties: the first), if similar enough."""
@@ -134,17 +139,21 @@ class Items:
         per_k = {}
         for k, grams in self.grams.items():
             own = shingles(words, k)
-            at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
-            hit = grams[at] == own
+            hit = _member(grams, own)
             if hit.any():
-                per_k[k] = own, np.concatenate(([0], np.cumsum(hit)))
-        for n, k, items, counts, index in self.sizes:
+                per_k[k] = own, np.flatnonzero(hit)
+        for n, k, items, counts, index, grams in self.sizes:
             if k not in per_k:
                 continue
-            own, hits = per_k[k]
+            own, at = per_k[k]
             m = min(n - k + 1, len(own))
-            # a window as similar as asked for holds at least this many shingles of items: the others need no fingerprint
+            # a window as similar as asked for holds at least this many shingles of items of its size: others need no fingerprint
             need = max(1, math.ceil(self.similarity * (n - k + 1) - 1e-9))
+            if len(at) < need or np.count_nonzero(inside := _member(grams, own[at])) < need:
+                continue
+            hit = np.zeros(len(own), np.int64)
+            hit[at[inside]] = 1
+            hits = np.concatenate(([0], np.cumsum(hit)))
             for start in np.flatnonzero(hits[m:] - hits[:-m] >= need).tolist():
                 window = own[start : start + m]
                 near = index.near(simhash(window))
