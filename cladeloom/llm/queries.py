@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, quality, sharding, simhash
+from . import bpe, decontamination, html_extraction, quality, sharding, simhash
 from .tables import read
 
 
@@ -31,12 +31,17 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.main_text(read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op3_bpe": op3_bpe,
     "op10_decontamination": op10_decontamination,
     "op5_quality_classifier": op5_quality_classifier,
+    "op1_html_extraction": op1_html_extraction,
 }
 
 SQL: dict[str, str] = {}
