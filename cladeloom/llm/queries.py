@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, html_extraction, quality, sharding, simhash
+from . import bpe, decontamination, html_extraction, quality, sharding, simhash, suffix_dedup
 from .tables import read
 
 
@@ -35,6 +35,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.main_text(read(spark, sf_dir, "pages"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(read(spark, sf_dir, "documents"), 400)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
     "op5_quality_classifier": op5_quality_classifier,
     "op1_html_extraction": op1_html_extraction,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
 }
 
 SQL: dict[str, str] = {}
