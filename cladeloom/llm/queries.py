@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, html_extraction, quality, sharding, simhash, suffix_dedup
+from . import bpe, decontamination, embedding_dedup, html_extraction, quality, sharding, simhash, suffix_dedup
 from .tables import read
 
 
@@ -39,6 +39,10 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(read(spark, sf_dir, "documents"), 400)
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"), 0.93)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_classifier": op5_quality_classifier,
     "op1_html_extraction": op1_html_extraction,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
 }
 
 SQL: dict[str, str] = {}
