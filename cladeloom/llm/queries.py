@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, embedding_dedup, html_extraction, quality, sharding, simhash, suffix_dedup
+from . import bpe, decontamination, embedding_dedup, html_extraction, pii, quality, sharding, simhash, suffix_dedup
 from .tables import read
 
 
@@ -43,6 +43,10 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"), 0.93)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op4_pii": op4_pii,
 }
 
 SQL: dict[str, str] = {}
