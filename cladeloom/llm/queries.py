@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, embedding_dedup, html_extraction, pii, quality, sharding, simhash, suffix_dedup
+from . import bpe, decontamination, embedding_dedup, html_extraction, licenses, pii, quality, sharding, simhash, suffix_dedup
 from .tables import read
 
 
@@ -47,6 +47,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
@@ -57,6 +61,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op4_pii": op4_pii,
+    "op6_license_scan": op6_license_scan,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_license_scan": licenses.sql(),
+}

@@ -5,21 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import likely, written
 
 MIN_BYTES = 400
 GRAM = 64  # bytes of an anchor
 PIECE = 1 << 19  # window starts handled at once in a long text
 HOT_ANCHOR = 200  # anchors in more different segments are refined by counting instead
 WINDOWS_AT_ONCE = 30_000  # suffixes sorted at once, if one anchor doesn't need more
-FILTER_BITS = 1 << 26  # of the bitmap (8 MB) that spares texts without a repeat a shuffle
-_PAGE = 32_768  # bits of one bitmap row
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
@@ -227,29 +224,6 @@ def _refined(pieces: DataFrame, size: int, spread: int) -> DataFrame:
         spread = step
 
 
-def _bitmap(keys: Column) -> dict[str, Column]:
-    bit = F.pmod(keys, F.lit(FILTER_BITS))
-    return {"page": F.floor(bit / _PAGE).cast("int"), "bit": (bit % _PAGE).cast("long")}
-
-
-def _likely(keys: DataFrame, th: Column) -> Column:
-    """True for every text hash in keys, and for few others: a test against a bitmap of FILTER_BITS bits, whatever the input."""
-    own = keys.select("th").withColumns(_bitmap(F.col("th"))).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in own.collect():  # FILTER_BITS / _PAGE rows of 4 KB at most
-        bits[r["page"] * _PAGE // 8 : (r["page"] + 1) * _PAGE // 8] = np.frombuffer(r["bits"], np.uint8)
-    shared = keys.sparkSession.sparkContext.broadcast(bits.tobytes())
-
-    @F.pandas_udf("boolean")
-    def test(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = np.frombuffer(shared.value, np.uint8)
-        for s in batches:
-            at = s.to_numpy() % FILTER_BITS
-            yield pd.Series((table[at // 8] >> (at % 8).astype(np.uint8)) & 1 > 0)
-
-    return test(th)
-
-
 def repeated_spans(docs: DataFrame, size: int = MIN_BYTES, gram: int = GRAM) -> DataFrame:
     """(doc_id, th, spans) of the texts with a repeat, th the xxhash64 of the text: byte ranges [start, stop) whose union is every byte
     that a repeated string of `size` bytes covers.
@@ -270,7 +244,7 @@ def repeated_spans(docs: DataFrame, size: int = MIN_BYTES, gram: int = GRAM) ->
     mixed = segs.join(per, "anchor").select("anchor", "p.*", (F.col("finds") == 1).alias("sole"), (F.col("kinds") > HOT_ANCHOR).alias("hot"))
     mixed = written(mixed, "mixed")
     lists = mixed.groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "start", "n", "off", "sole", "hot")).alias("own"))
-    once = long.where(_likely(mixed, F.col("th"))).alias("t")
+    once = long.where(likely(mixed, "th", F.col("th"))).alias("t")
     lists = lists.alias("l")
     joined = once.join(lists, F.col("t.th").eqNullSafe(F.col("l.th")) & F.col("t.doc_id").eqNullSafe(F.col("l.doc_id")))
     joined = joined.select("t.doc_id", "t.th", "t.text", "l.own")
@@ -320,11 +294,11 @@ def remove_repeats(docs: DataFrame, size: int = MIN_BYTES, gram: int = GRAM) ->
     spans = written(repeated_spans(docs, size, gram), "spans")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("th"), text.alias("text"))
-    likely = texts.withColumn("likely", _likely(spans, F.col("th")))
+    marked = texts.withColumn("likely", likely(spans, "th", F.col("th")))
     n = F.octet_length("text").cast("long")
     none = F.lit(0).cast("long")
-    clean = likely.where("not likely").select("doc_id", n.alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("text").cast("binary").alias("kept"))
-    a, b = likely.where("likely").alias("a"), spans.alias("b")
+    clean = marked.where("not likely").select("doc_id", n.alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("text").cast("binary").alias("kept"))
+    a, b = marked.where("likely").alias("a"), spans.alias("b")
     both = a.join(b, F.col("a.th").eqNullSafe(F.col("b.th")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "left").select("a.doc_id", "a.text", "b.spans")
     cut = both.mapInArrow(_cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return clean.union(cut)

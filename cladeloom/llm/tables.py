@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeloom.session import scratch_path
 
+FILTER_BITS = 1 << 26  # of the bitmap (8 MB) that spares rows without a partner a shuffle
+_PAGE = 32_768  # bits of one bitmap row
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -22,3 +29,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def bucket(value: Column, n: int) -> Column:
     """Bucket 0..n-1 by hash; apart from the hash that Spark's exchanges use."""
     return F.pmod(F.xxhash64(value, F.lit("bucket")), F.lit(n))
+
+
+def likely(keys: DataFrame, name: str, th: Column) -> Column:
+    """True for every hash in column `name` of keys, and for few others: a test against a bitmap of FILTER_BITS bits, whatever the input."""
+    bit = F.pmod(F.col(name), F.lit(FILTER_BITS))
+    own = keys.select(F.floor(bit / _PAGE).cast("int").alias("page"), (bit % _PAGE).cast("long").alias("bit"))
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in own.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():  # FILTER_BITS / _PAGE rows of 4 KB at most
+        bits[r["page"] * _PAGE // 8 : (r["page"] + 1) * _PAGE // 8] = np.frombuffer(r["bits"], np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    @F.pandas_udf("boolean")
+    def test(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        table = np.frombuffer(shared.value, np.uint8)
+        for s in batches:
+            at = s.to_numpy() % FILTER_BITS
+            yield pd.Series((table[at // 8] >> (at % 8).astype(np.uint8)) & 1 > 0)
+
+    return test(th)
+
+
+def hashed_sample(df: DataFrame, by: list[str], n: int) -> DataFrame:
+    """At most n rows, those whose columns `by` hash lowest. Tasks send the driver about n rows in all, not n each."""
+    total, h = df.count(), F.xxhash64(*by)
+    if total > 2 * n:
+        df = df.where(h.cast("double") < -(2.0**63) + 2.0**64 * 1.5 * n / total)
+    return df.orderBy(h, *by).limit(n)
