@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import hashed_sample
+
 SAMPLE = 300  # pages that the labeller is fitted on, at most, none over SAMPLE_BYTES
 SAMPLE_BYTES = 100_000
 MADE = 900  # pages made from their text in other layouts
@@ -363,7 +365,7 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
     Without pages the text is made up.
     """
     rows = pages.where(F.octet_length("html") <= SAMPLE_BYTES).select("page_id", F.col("html").cast("string").alias("html"))
-    own = sorted(r["html"] for r in rows.orderBy(F.xxhash64("page_id", "html"), "page_id").limit(sample).collect())
+    own = sorted(r["html"] for r in hashed_sample(rows, ["page_id", "html"], sample).collect())
     rng = random.Random(17)
     parsed = [blocks(h) for h in own]
     articles = [a for p in parsed if (a := [b.text for b in p if b.main is not False and len(b.text) > 20])]
