@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import hashed_sample, written
+
 PASSAGE_WORDS = 64
 SAMPLE = 6_000  # labelled documents that the model is fitted on, at most
 THRESHOLD = 0.7
@@ -182,7 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> GatedAttent
     """
     own = labels.where("quality is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     own = own.select("doc_id", F.col("quality").cast("int").alias("label"))
-    own = own.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
+    own = written(own.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "labelled")
+    own = hashed_sample(own, ["doc_id", "label"], sample)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     rows = texts.join(F.broadcast(own), "doc_id").select("doc_id", "label", "text")  # `sample` rows at most
     bags = rows.mapInArrow(_encoded, "doc_id long, label int, bag binary").collect()
