@@ -11,13 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import written
+from .tables import likely, written
 
 SEED = 42
 FAN_OUT = 8  # children of an index node
 HOT_GROUP = 20_000  # larger groups are divided again by the next bits
 PAIRS_AT_ONCE = 1 << 19
 CHUNK = 1 << 16  # shingles whose bits are counted at once
+CLASSES = 24  # shingle classes that a text is fingerprinted in, at most
+CLASS_SHINGLES = 4  # shingles a class has at least, on average
+MEMBERS = 500  # texts that one task compares with a leader
+ROUNDS = 3
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -218,3 +222,159 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> Da
     named = written(codes.join(lows, "root").select("fp", "component_id"), "named")
     out = rows.join(named, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def class_levels(n: int, similarity: float) -> list[int]:
+    """Powers of two of classes for a text of n shingles. Two texts whose numbers of shingles are as near as the similarity asks share one."""
+    of = lambda m: max(0, int(m / CLASS_SHINGLES).bit_length() - 1)
+    return sorted({of(n), of(n / similarity)})
+
+
+def class_fingerprints(hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """A SimHash of each of the first CLASSES classes of the distinct shingles, mixed with its level and number.
+
+    A shingle's class is given by the top bits of its hash, so that texts with common shingles have them in common classes.
+    """
+    out = []
+    for level in class_levels(len(hashes), similarity):
+        top = (hashes >> np.uint64(63 - level) >> np.uint64(1)).astype(np.int64) if level else np.zeros(len(hashes), np.int64)
+        own = top < CLASSES
+        h, top = hashes[own], top[own]
+        order = np.argsort(top, kind="stable")
+        h, top = h[order], top[order]
+        first = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1]))) if len(h) else np.empty(0, np.int64)
+        if not len(first):
+            continue
+        size = np.diff(np.append(first, len(h)))
+        bits = np.add.reduceat(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32), first, axis=0)
+        codes = np.packbits(2 * bits > size[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+        out.append((codes ^ (top[first].astype(np.uint64) << np.uint64(6) | np.uint64(level))) * np.uint64(0x9E3779B97F4A7C15) ^ size.astype(np.uint64))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def _described(k: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                fps, classes = [], []
+                for t in part.column(2):
+                    h = shingle_hashes(t.as_py(), k)
+                    fps.append(fingerprint(h))
+                    classes.append(class_fingerprints(np.unique(h), similarity).view(np.int64))
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(c) for c in classes]), pa.int32()), pa.array(np.concatenate(classes)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), lists], ["doc_id", "th", "fp", "classes"])
+
+    return run
+
+
+def _sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                own = [np.unique(shingle_hashes(t.as_py(), k).astype(np.uint32)).tobytes() for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary())], ["th", "own"])
+
+    return run
+
+
+def _verified(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by (leader, salt), the leader's own row first: it is held, the others are compared with it one by one."""
+        leader, held = None, np.empty(0, np.uint32)
+        for batch in batches:
+            out = []
+            for lead, first, th, raw in zip(*(batch.column(i) for i in (0, 2, 3, 4)), strict=True):
+                lead, own = lead.as_py(), np.frombuffer(raw.as_buffer(), np.uint32)
+                if first.as_py() == 0:
+                    leader, held = lead, own
+                elif lead == leader:
+                    both = np.intersect1d(held, own, assume_unique=True).size
+                    if both >= similarity * (len(held) + len(own) - both) - 1e-9 and both:
+                        out.append((th.as_py(), lead))
+            cols = [list(c) for c in zip(*out, strict=True)] or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["u", "v"])
+
+    return run
+
+
+def _compare(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges (th, leader) whose texts are similar enough, each leader's members dealt to tasks of about MEMBERS."""
+    many = edges.groupBy("leader").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"))
+    salted = edges.join(many, "leader").select("leader", F.pmod(F.xxhash64("th", F.lit("salt")), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("turn"), "th")
+    own = many.select("leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("turn"), F.col("leader").alias("th"))
+    rows = salted.union(own).join(sets, "th").select("leader", "salt", "turn", "th", "own")
+    return rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "turn").mapInArrow(_verified(similarity), "u long, v long")
+
+
+def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, finds) of the rows and (th, root) of the texts in a group of several: texts whose shingle sets have at least the Jaccard
+    similarity link, equal texts (one th, the xxhash64 of the text) always do.
+
+    At similarity 0.8 fingerprints of whole texts differ in up to 16 of 64 bits, beyond what an index can prune. So, besides whole
+    fingerprints within the radius, the candidates are texts that share the SimHash of one of their shingle classes: a class
+    of 4 to 8 shingles is equal with probability 0.8^6 or so at similarity 0.8, and one of 24 with over 0.99. In each such
+    bucket every text is compared with one leader, the text with the most company in its buckets; texts that are not linked
+    are compared again, with new leaders, ROUNDS times. Shingles are compared as 32-bit hashes.
+    """
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), F.coalesce(text, F.lit("")).alias("text"))
+    seen = written(texts.mapInArrow(_described(shingle, similarity), "doc_id long, th long, fp long, classes array<long>"), "described")
+    rows = written(seen.groupBy("doc_id", "th").agg(F.count("*").alias("finds"), F.first("fp").alias("fp")), "rows")
+    kinds = written(rows.groupBy("th").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("low")), "kinds")
+    members = written(seen.select("th", F.explode("classes").alias("bucket")).distinct(), "members")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = written(members.join(shared, "bucket"), "shared")
+    weight = members.groupBy("th").agg(F.sum(F.log("size")).alias("weight"))
+    members = written(members.join(weight, "th").select("bucket", "th", "weight"), "weighted")
+    # whole fingerprints within the radius: candidates of the first round
+    lows = kinds.groupBy("fp").agg(F.min("th").alias("leader"))
+    near = components(gray_links(kinds, radius))
+    close = kinds.select("fp", "th").join(near, F.col("fp") == F.col("node"), "left").select("th", F.coalesce("root", "fp").alias("fp")).join(lows, "fp")
+    first = close.where("th <> leader").select("th", "leader")
+    ends = members.select("th").union(first.select("th")).union(first.select("leader")).distinct()
+    pick = written(kinds.join(ends, "th").select("th", F.col("low").alias("doc_id")), "ends")
+    full = texts.where(likely(pick, "th", F.col("th"))).alias("t").join(pick.alias("p"), F.col("t.th").eqNullSafe(F.col("p.th")) & F.col("t.doc_id").eqNullSafe(F.col("p.doc_id")))
+    sets = written(full.select("t.th", "t.text").mapInArrow(_sets(shingle), "th long, own binary"), "sets")
+    links = None
+    for _ in range(ROUNDS):
+        lead = members.groupBy("bucket").agg(F.max_by("th", F.struct("weight", "th")).alias("leader"), F.count("*").alias("n")).where("n > 1")
+        led = members.join(lead, "bucket")
+        edges = led.where("th <> leader").select("th", "leader")
+        edges = written((edges.union(first) if links is None else edges).distinct(), "edges")
+        if edges.isEmpty():
+            break
+        good = written(_compare(edges, sets, similarity), "verified")
+        links = good if links is None else links.union(good)
+        done = good.select(F.col("u").alias("th")).union(edges.select(F.col("leader").alias("th"))).distinct()
+        members = written(members.join(done, "th", "left_anti"), "left")
+    roots = components(links) if links is not None else kinds.select(F.col("th").alias("node"), F.col("th").alias("root")).limit(0)
+    groups = kinds.select("th").join(roots, F.col("th") == F.col("node"), "left").select("th", F.coalesce("root", "th").alias("root"))
+    return rows, groups
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
+    """The documents with one of each near-duplicate group left, the one with the smallest doc_id, with their columns.
+
+    Equal texts are one group, so of all empty and null texts one stays; a null doc_id comes last; of repeated rows one stays.
+    """
+    rows, groups = near_duplicate_groups(docs, shingle, similarity, radius)
+    marked = written(rows.join(groups, "th").select("doc_id", "th", "finds", "root"), "marked")
+    best = marked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("best"), F.sum("finds").alias("total"))
+    crowd = written(marked.join(best.where("total > 1"), "root"), "crowd")
+    stays = (F.col("doc_id").eqNullSafe(F.col("best.doc_id"))) & (F.col("th") == F.col("best.th"))
+    keep = written(crowd.where(stays).select("doc_id", "th", "finds"), "keep")
+    th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    own = docs.withColumn("_crowd", likely(crowd, "th", th))
+    alone = own.where("not _crowd").select(*docs.columns)
+    # rows that the bitmap takes for members of a group without their being one have no entry in crowd and stay
+    same = lambda b: (th == F.col(f"{b}.th")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col(f"{b}.doc_id"))
+    drop = crowd.where(~stays).select("doc_id", "th").distinct().alias("x")
+    doubtful = own.where("_crowd").alias("d").join(drop, same("x"), "left_anti").select("d.*").drop("_crowd")
+    repeated = keep.where("finds > 1")
+    if repeated.isEmpty():
+        return alone.union(doubtful)
+    once = doubtful.alias("d").join(repeated.alias("r"), same("r"), "left_anti")
+    again = doubtful.alias("d").join(repeated.alias("r"), same("r"), "left_semi").withColumn("_th", th).dropDuplicates(["doc_id", "_th"]).drop("_th")
+    return alone.union(once).union(again)

@@ -72,3 +72,46 @@ def test_hot_blocks_are_divided(spark, monkeypatch):
     for i, a in enumerate(codes):
         for j, b in enumerate(codes):
             assert (roots.get(a, a) == roots.get(b, b)) == (hand[i] == hand[j] or a == b)
+
+
+def shingle_set(text, k=5):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+
+
+def test_keep_one_matches_brute_force(spark):
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for g in range(12):
+        base = list(rng.choice(words, int(rng.integers(30, 600))))
+        for c in range(6):
+            own = list(base)
+            for _ in range(c * len(base) // 120):
+                own[int(rng.integers(len(own)))] = "zz"
+            rows.append((g * 10 + c, " ".join(own)))
+    rows += [(500, ""), (501, None), (None, " "), (502, "one two"), (503, "One  two"), (None, "only null id"), (None, "only null id"), (504, "a b c d e f"), (504, "a b c d e f")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, th int")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted(str((r["doc_id"], r["text"])) for r in kept.collect())
+    n = len(rows)
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(n):
+        for b in range(a):
+            x, y = shingle_set(rows[a][1]), shingle_set(rows[b][1])
+            if (rows[a][1] or "") == (rows[b][1] or "") or (x & y and len(x & y) >= 0.8 * len(x | y)):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    want = []
+    for r in {find(i) for i in range(n)}:
+        own = [rows[i] for i in range(n) if find(i) == r]
+        want.append(min(own, key=lambda x: (x[0] is None, x[0] or 0)))
+    assert len(got) == len(want)
+    assert got == sorted(str(w) for w in want)
+    assert simhash.keep_one(docs.limit(0)).count() == 0
