@@ -18,7 +18,7 @@ THRESHOLD = 0.7
 CHUNK_BYTES = 1_000_000  # text encoded at once
 BIGRAMS, WORDS = 64, 32  # hashed letter pairs and words
 HIDDEN, GATE = 32, 16
-EPOCHS, BATCH, RATE, DECAY = 25, 64, 3e-3, 1e-4
+EPOCHS, STEPS, BATCH, RATE, DECAY = 25, 600, 64, 3e-3, 1e-4  # at least so many epochs and steps
 
 # byte classes: lower, upper, digit, each of the marks, lead and later bytes of other characters, all else
 _MARKS = b"!#$%&*|.,'\"-:;()=_/?<>@[]"
@@ -136,7 +136,8 @@ class GatedAttention:
         rng, step = np.random.default_rng(seed), 0
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
-        for epoch in range(EPOCHS):
+        epochs = max(EPOCHS, -(-STEPS * BATCH // len(y)))
+        for epoch in range(epochs):
             order = rng.permutation(len(y))
             for at in range(0, len(order), BATCH):
                 own = order[at : at + BATCH]
@@ -144,7 +145,7 @@ class GatedAttention:
                 rows = np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
                 g = self.gradients(self.forward(x[rows], n), n, y[own], importance[own])
                 step += 1
-                rate = RATE * (1 - epoch / EPOCHS) * (1 - 0.999**step) ** 0.5 / (1 - 0.9**step)
+                rate = RATE * (1 - epoch / epochs) * (1 - 0.999**step) ** 0.5 / (1 - 0.9**step)
                 for k, w in self.p.items():
                     m[k] += 0.1 * (g[k] - m[k])
                     s[k] += 0.001 * (g[k] ** 2 - s[k])
