@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from .session import cut_lineage
 
-# Spellings of a missing value in the text tables.
-MISSING = ["NA", "na", "-", ""]
-
-
 def require_columns(df: DataFrame, columns: Iterable[str], what: str = "input") -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     if missing:
@@ -20,18 +16,6 @@ def require_columns(df: DataFrame, columns: Iterable[str], what: str = "input")
     return df
 
 
-def null_missing(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Turn every spelling of a missing value into NULL."""
-    cols = columns or [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
-    return df.withColumns({c: F.when(~F.trim(F.col(c)).isin(MISSING), F.col(c)) for c in cols})
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast only after counting: beyond max_rows the planner keeps its shuffle join."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def arg_min(value: Column, *order: Column) -> Column:
     """Value of the row with the smallest order tuple; partial aggregation keeps one row per map task and group."""
     return F.min_by(value, F.struct(*order))

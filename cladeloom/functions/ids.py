@@ -28,7 +28,7 @@ def looks_like_species(x: Column | str) -> Column:
 
 
 def strip_isoform(x: Column | str) -> Column:
-    """Drop a trailing `.p` or `.p<n>`, then one trailing `.<n>`."""
+    """Drop a trailing `.p` or `.p<n>`, then one trailing `.<n>` (fixed values: the suffixes of the file formats)."""
     return F.regexp_replace(F.regexp_replace(_c(x), r"\.p\d*$", ""), r"\.\d+$", "")
 
 
@@ -37,17 +37,26 @@ def strip_coordinates(x: Column | str) -> Column:
     return F.regexp_replace(_c(x), r"_\d+_\d+_\d+$", "")
 
 
-def loose_id(x: Column | str) -> Column:
-    """Id with case, database prefixes and separators removed; only for finding mismatches, never for joining."""
-    bare = F.regexp_replace(F.lower(F.trim(_c(x))), r"^.*\|(?=[^|]+$)", "")
-    return F.regexp_replace(F.regexp_replace(bare, r"[._-]?(p|t|v)?\d{1,2}$", ""), r"[^a-z0-9]", "")
+def loose_id(x: Column | str, species: Column | str | None = None) -> Column:
+    """Id without case, `db|` prefixes, a leading species tag, and protein or version suffixes; `_` counts as `.`.
+
+    Only for finding mismatches, never for joining. A suffix needs a separator, so AT1G01010 and AT1G01011 stay apart.
+    """
+    parts = F.split(F.trim(_c(x)), r"\|")
+    bare = F.lower(F.element_at(parts, F.when(F.size(parts) > 2, -2).otherwise(-1)))
+    if species is not None:
+        sp = F.lower(_c(species))
+        for tag in (F.concat(sp, F.lit("_")), F.concat(F.substring_index(sp, "_", 1), F.lit("_"))):
+            bare = F.when(F.startswith(bare, tag), F.substr(bare, F.length(tag) + 1)).otherwise(bare)
+    return F.replace(F.regexp_replace(F.regexp_replace(bare, r"[._]p\d*$", ""), r"[._]t?\d+$", ""), F.lit("_"), F.lit("."))
 
 
 def taxon_key(x: Column | str, level: str = "species") -> Column:
     """Comparable species name: `species` = first two words, `genus` = first word, `exact` = all words."""
     words = F.filter(F.split(F.lower(F.regexp_replace(F.trim(_c(x)), r"[\s\-]+", "_")), "_"), lambda w: w != "")
-    n = {"species": 2, "genus": 1, "exact": 1000}[level]
-    return F.array_join(F.slice(words, 1, n), "_")
+    if level == "exact":
+        return F.array_join(words, "_")
+    return F.array_join(F.slice(words, 1, {"species": 2, "genus": 1}[level]), "_")
 
 
 def genus_of(x: Column | str) -> Column:
@@ -55,19 +64,18 @@ def genus_of(x: Column | str) -> Column:
     return F.when(g != "", F.lower(g))
 
 
-def taxon_of(header: Column | str) -> Column:
-    """Species of an alignment header `species.contig`."""
-    return F.substring_index(_c(header), ".", 1)
-
+def natural_key(x: Column | str) -> Column:
+    """Sort key that orders digit runs of any length by value.
 
-def contig_of(header: Column | str) -> Column:
-    return F.when(_c(header).contains("."), F.regexp_replace(_c(header), r"^[^.]*\.", ""))
+    A run loses its leading zeros and gets its length in front, and in front of that the length of that number.
+    """
 
+    def part(p: Column) -> Column:
+        bare = F.regexp_replace(p, r"^0+(?=\d)", "")
+        size = F.length(bare).cast("string")
+        return F.when(p.rlike(r"^\d"), F.concat(F.hex(F.length(size)), size, bare)).otherwise(p)
 
-def natural_key(x: Column | str, digits: int = 20) -> Column:
-    """Sort key that orders digit runs by value: every run is padded to the same width."""
-    marked = F.regexp_replace(_c(x), r"(\d+)", "0" * digits + "$1")
-    return F.regexp_replace(marked, r"0*(\d{%d})(?!\d)" % digits, "$1")
+    return F.array_join(F.transform(F.regexp_extract_all(_c(x), F.lit(r"[0-9]+|[^0-9]+"), F.lit(0)), part), "")
 
 
 def split_cell(x: Column | str, sep: str = ",") -> Column:
@@ -76,10 +84,6 @@ def split_cell(x: Column | str, sep: str = ",") -> Column:
     return F.filter(parts, lambda p: (p != "") & (p != "-"))
 
 
-def join_distinct(x: Column | str, sep: str = "|") -> Column:
-    return F.array_join(F.array_distinct(_c(x)), sep)
-
-
 def attributes(x: Column | str) -> Column:
     """`k=v;k2=v2` to a map; a repeated key keeps its last value; %2C %3B %3D are decoded."""
     pairs = F.filter(F.split(_c(x), ";"), lambda p: p.contains("="))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tree import Tree, lineage_bins, parsimony_states
+from .tree import Tree, branch_points, parsimony_states
 
 
 def nearest_event(events: DataFrame, orf: DataFrame, excluded: Sequence[int] = (), skip_younger: bool = False) -> DataFrame:
@@ -124,11 +124,12 @@ def evidence(enabler_nodes: DataFrame, carriers: DataFrame, aligned: DataFrame,
     aligned(gene, event, species) species with data at the place. With outer, a node whose side branch has no data may
     be stood in for by an older side branch with a carrier, the oldest first; two nodes never share one.
     """
-    bins = lineage_bins(tree, enabler_nodes.select("focal").distinct()).select("focal", "species", "ix")
     key = ["gene", "focal", "event"]
     fe = enabler_nodes.select(*key).distinct()
-    car = fe.join(carriers, ["gene", "event"]).join(bins, ["focal", "species"]).select(*key, "ix", "species").distinct()
-    dat = fe.join(aligned, ["gene", "event"]).join(bins, ["focal", "species"]).select(*key, "ix", "species").distinct()
+    car, dat = fe.join(carriers, ["gene", "event"]), fe.join(aligned, ["gene", "event"])
+    bins = branch_points(car.select("focal", "species").unionByName(dat.select("focal", "species")), tree).select("focal", "species", "ix")
+    car = car.join(bins, ["focal", "species"]).select(*key, "ix", "species").distinct()
+    dat = dat.join(bins, ["focal", "species"]).select(*key, "ix", "species").distinct()
     n_car = car.groupBy(*key, "ix").agg(F.count("*").alias("n_support"))
     con = dat.join(car, [*key, "ix", "species"], "left_anti").groupBy(*key, "ix").agg(F.count("*").alias("n_against"))
     n_dat = dat.groupBy(*key, "ix").agg(F.count("*").alias("_n_data"))

@@ -40,17 +40,17 @@ class HitRules:
 
 def matches_taxa(species: Column, taxa: Sequence[str], level: str = "species") -> Column:
     """True when the species is one of the names at the level; a one-word name matches its whole genus."""
-    if not taxa:
-        return F.lit(False)
-    words = {t: [w for w in t.replace("-", "_").replace(" ", "_").split("_") if w] for t in taxa}
-    full = [taxon_key(F.lit(t), level) for t, w in words.items() if len(w) > 1]
-    genera = [taxon_key(F.lit(t), "genus") for t, w in words.items() if len(w) == 1]
-    cond = F.lit(False)
-    if full:
-        cond = cond | taxon_key(species, level).isin(full)
-    if genera:
-        cond = cond | taxon_key(species, "genus").isin(genera)
-    return F.coalesce(cond & (F.trim(species) != ""), F.lit(False))
+    return matched_taxon(species, taxa, level).isNotNull()
+
+
+def matched_taxon(species: Column, taxa: Sequence[str], level: str = "species") -> Column:
+    """The first listed name that matches the species, else NULL."""
+    out = F.lit(None).cast("string")
+    for t in reversed(taxa):
+        one_word = len([w for w in t.replace("-", "_").replace(" ", "_").split("_") if w]) == 1
+        at = "genus" if one_word else level
+        out = F.when((taxon_key(species, at) == taxon_key(F.lit(t), at)) & (F.trim(species) != ""), F.lit(t)).otherwise(out)
+    return out
 
 
 def _pct(x: Column, total: Column) -> Column:
@@ -90,14 +90,17 @@ def _with_intervals(rows: DataFrame, lines: DataFrame, keys: Sequence[str], name
 def evaluate_hits(hits: DataFrame, rules: HitRules) -> DataFrame:
     """One row per (gene_id, target): best line, coverage of the lines within the E-value, and whether the hit counts.
 
+    `line` is the place of a line in its table.
+
     Coverage is the union of the aligned positions (or the longest line); the note names the first rule that failed.
     """
     require_columns(
-        hits, "gene_id target target_species evalue bitscore pident qstart qend sstart send qlen slen".split(), "hits"
+        hits, "gene_id target target_species evalue bitscore pident qstart qend sstart send qlen slen line".split(), "hits"
     )
     keys = ["gene_id", "target"]
     ok = F.col("evalue") <= rules.evalue
-    line = F.struct("evalue", (-F.col("bitscore")).alias("nb"), "pident", "qlen", "slen", "target_species")
+    # of equally good lines the first listed one counts
+    line = F.struct("evalue", (-F.col("bitscore")).alias("nb"), "line", "pident", "qlen", "slen", "target_species")
     g = hits.groupBy(*keys).agg(
         F.min(line).alias("_any"),
         F.min(F.when(ok, line)).alias("_best"),
@@ -132,9 +135,9 @@ def evaluate_hits(hits: DataFrame, rules: HitRules) -> DataFrame:
 
 def _finish(g: DataFrame, why: Column, rules: HitRules) -> DataFrame:
     """Apply the taxon rule and the genus minimum to hits whose own rules are decided."""
-    own = matches_taxa(F.col("target_species"), rules.not_counted_taxa, rules.taxon_level)
+    own = matched_taxon(F.col("target_species"), rules.not_counted_taxa, rules.taxon_level)
     unknown = F.coalesce(F.trim("target_species"), F.lit("")) == ""
-    why = why.when(own, F.concat(F.lit("in-phylogeny hit ("), F.col("target_species"), F.lit("), not counted")))
+    why = why.when(own.isNotNull(), F.concat(F.lit("own_clade:"), own))
     g = g.withColumn("_why", why)
     out = g.select(
         "gene_id",
@@ -147,8 +150,8 @@ def _finish(g: DataFrame, why: Column, rules: HitRules) -> DataFrame:
         F.round("_tc", 1).alias("tcov"),
         "pident",
         F.col("_why").isNull().alias("counts_as_hit"),
-        F.coalesce("_why", F.when(unknown, F.lit("target species unknown, counted"))).alias("note"),
-        F.coalesce(F.col("_why").startswith("in-phylogeny"), F.lit(False)).alias("in_phylogeny"),
+        F.coalesce("_why", F.when(unknown, F.lit("species_unknown"))).alias("note"),
+        F.coalesce(F.col("_why").startswith("own_clade:"), F.lit(False)).alias("in_phylogeny"),
     )
     return apply_min_genera(out, rules.min_genera)
 
@@ -177,11 +180,7 @@ def evaluate_domains(rows: DataFrame, rules: HitRules) -> DataFrame:
     why = F.when(~F.col("_pass"), F.lit(f"E-value above {rules.evalue:g}"))
     if rules.max_bias_frac is not None:
         biased = F.col("_bias") >= rules.max_bias_frac * F.col("bitscore")
-        text = F.concat(
-            F.lit("composition bias "), F.round("_bias", 1).cast("string"),
-            F.lit(f" not below {rules.max_bias_frac:g} x bit score "), F.round("bitscore", 1).cast("string"),
-        )
-        why = why.when(biased, text)
+        why = why.when(biased, F.concat(F.lit("biased:"), F.round("_bias", 1).cast("string")))
     why = why.when(F.col("_qc") < rules.min_qcov, _note("query coverage", F.col("_qc"), rules.min_qcov))
     why = why.when(F.col("_tc") < rules.min_tcov, _note("target coverage", F.col("_tc"), rules.min_tcov))
     out = _finish(g, why, rules)
@@ -210,8 +209,8 @@ def evaluate_models(hits: DataFrame, rules: HitRules) -> DataFrame:
     why = F.when(~ok, F.col("note"))
     why = why.when(F.col("tcov") < rules.min_tcov, _note("domain coverage", F.col("tcov"), rules.min_tcov))
     why = why.when(F.col("qcov") < rules.min_qcov, _note("query coverage", F.col("qcov"), rules.min_qcov))
-    why = why.when(dropped_dom, F.concat(F.lit("ignored domain "), F.col("target"), F.lit(" (ignore_domains)")))
-    why = why.when(dropped_src, F.concat(F.lit("ignored source "), src))
+    why = why.when(dropped_dom, F.concat(F.lit("ignored:"), F.col("target")))
+    why = why.when(dropped_src, F.concat(F.lit("ignored:"), src))
     return g.withColumn("_why", why).select(
         *keys, src.alias("source"), "evalue", "bitscore", "qcov", "tcov", "pident",
         F.col("_why").isNull().alias("counts_as_hit"),
@@ -279,9 +278,7 @@ def apply_min_genera(hits: DataFrame, min_genera: int) -> DataFrame:
         .agg(F.countDistinct(F.coalesce(genus_of("target_species"), F.lit("NA"))).alias("_n"))
     )
     low = F.col("counts_as_hit") & (F.coalesce("_n", F.lit(0)) < min_genera)
-    text = F.concat(
-        F.lit("counted hits from "), F.col("_n").cast("string"), F.lit(f" genus/genera, below min_genera={min_genera}")
-    )
+    text = F.concat(F.lit("few_genera:"), F.col("_n").cast("string"))
     return (
         hits.join(n, "gene_id", "left")
         .withColumn("note", F.when(low, text).otherwise(F.col("note")))
@@ -380,14 +377,15 @@ def unexplained_gaps(statuses: DataFrame, runs: Sequence[str]) -> DataFrame:
     return x.filter((F.col("x.s") == NOT_SEARCHED) & (F.col("x.i") < rank)).select("gene_id", "x.run")
 
 
-def hit_breadth(genes: DataFrame, hits: DataFrame) -> DataFrame:
-    """Distinct species and genera among the counted hits of each gene."""
+def hit_breadth(genes: DataFrame, hits: DataFrame, searched: DataFrame) -> DataFrame:
+    """Distinct species and genera among the counted hits of each gene; NULL where no run searched(gene_id) the gene."""
     n = hits.filter("counts_as_hit").groupBy("gene_id").agg(
         F.countDistinct(taxon_key("target_species", "species")).alias("n_hit_species"),
         F.countDistinct(taxon_key("target_species", "genus")).alias("n_hit_genera"),
     )
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    return genes.join(n, "gene_id", "left").select(*genes.columns, zero("n_hit_species"), zero("n_hit_genera"))
+    zero = lambda c: F.when(F.col("_run"), F.coalesce(c, F.lit(0)).cast("bigint")).alias(c)
+    run = searched.select("gene_id").distinct().withColumn("_run", F.lit(True))
+    return genes.join(n, "gene_id", "left").join(run, "gene_id", "left").select(*genes.columns, zero("n_hit_species"), zero("n_hit_genera"))
 
 
 def run_summary(matrix: DataFrame, runs: Sequence[str], drop_spurious: bool = False) -> DataFrame:
@@ -509,7 +507,7 @@ def paralog_rule(
 
 
 def two_sided_match(hits: DataFrame, min_ident: float, min_cov: float) -> DataFrame:
-    """Best target per query by the larger of query and target cover, with identity pooled over all segments.
+    """Best target per query by pooled identity times the larger of query and target cover, among those that reach both limits.
 
     hits(gene_id, target, n_ident, length, qstart, qend, sstart, send, qlen, slen).
     """
@@ -520,8 +518,8 @@ def two_sided_match(hits: DataFrame, min_ident: float, min_cov: float) -> DataFr
     ).join(_coverage(hits, keys), keys)
     cov = F.greatest(_pct(F.col("_q"), F.col("qlen")), _pct(F.col("_t"), F.col("slen")))
     g = g.withColumn("cover", cov).filter((F.col("ident") >= min_ident) & (F.col("cover") >= min_cov))
-    b = g.groupBy("gene_id").agg(F.min(F.struct((-F.col("cover")).alias("nc"), (-F.col("ident")).alias("ni"), "target")).alias("b"))
-    return b.select("gene_id", "b.target", F.round(-F.col("b.ni"), 2).alias("ident"), F.round(-F.col("b.nc"), 2).alias("cover"))
+    b = g.groupBy("gene_id").agg(F.min(F.struct((-F.col("ident") * F.col("cover")).alias("ns"), "target", "ident", "cover")).alias("b"))
+    return b.select("gene_id", "b.target", F.round("b.ident", 2).alias("ident"), F.round("b.cover", 2).alias("cover"))
 
 
 def chain_screens(genes: DataFrame, screens: Sequence[DataFrame]) -> DataFrame:

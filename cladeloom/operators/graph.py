@@ -10,17 +10,17 @@ from ..session import cut_lineage
 from .tree import Tree
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): component is the smallest id reachable over edges(src, dst).
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014): each point links its larger, then its
     smaller neighbours to the smallest neighbour. A step aggregates a minimum per vertex and joins it back, so the
-    neighbours of a hub are never gathered in one place. Each round is written to the shared folder.
+    neighbours of a hub are never gathered in one place. Each round is written to the shared folder; the last is the one that
+    changes no edge.
     """
     e = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).filter("u <> v")
     e = cut_lineage(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = None
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -28,13 +28,10 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         j = large.join(low, "u")
         small = j.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = cut_lineage(small.filter("u <> v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
+        old, e = e, cut_lineage(small.filter("u <> v").distinct())
+        both = old.select("u", "v", F.lit(1).alias("was"), F.lit(0).alias("is")).unionByName(e.select("u", "v", F.lit(0).alias("was"), F.lit(1).alias("is")))
+        if both.groupBy("u", "v").agg(F.sum("was").alias("was"), F.sum("is").alias("is")).filter(F.col("was") != F.col("is")).isEmpty():
             break
-        mark = now
-    else:
-        raise RuntimeError("connected components did not settle")
     label = e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
     return vertices.select("id").distinct().join(label, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
@@ -45,7 +42,7 @@ def build_loci(members: DataFrame, components: DataFrame, rank: DataFrame) -> Da
     members(id, node, gene_type, gene); rank(node, rank) with the oldest node first.
     """
     m = members.join(components, "id").join(rank, "node", "left")
-    r = F.coalesce("rank", F.lit(1_000_000))
+    r = F.struct(F.col("rank").isNull().alias("unknown"), "rank")
     g = m.groupBy("component").agg(
         F.min_by("node", F.struct(r, "gene")).alias("node"), F.min(r).alias("_r"),
         F.when(F.max(F.col("gene_type") == "DNG"), "DNG").otherwise("PDNG").alias("gene_type"),

@@ -199,13 +199,17 @@ def overlap_join(
         )
         w = F.lit(width) * F.pow(F.lit(factor), F.col("_level"))
         lo, hi = F.floor(s / w).cast("bigint"), F.floor(e / w).cast("bigint")
-        return df.withColumn(own + "_lo", lo).withColumn("_cell", F.explode(F.sequence(lo, hi)))
+        df = df.withColumn(own + "_lo", lo).withColumn("_cell", F.explode(F.sequence(lo, hi)))
+        return df.withColumn(own, F.col("_level") == F.col(own))
 
     fa = filed(a.filter(F.col(a_span[0]) <= F.col(a_span[1])), a_span, "_la")
     fb = filed(b.filter(F.col(b_span[0]) <= F.col(b_span[1])), b_span, "_lb")
-    j = fa.join(fb, [*keys, "_level", "_cell"]).filter(
-        (F.col("_level") == F.greatest("_la", "_lb"))
-        & (F.col("_cell") == F.greatest("_la_lo", "_lb_lo"))
+    on = [*keys, "_level", "_cell"]
+    # rows of their own level meet all of the other side; coarser copies meet only rows whose own level that is, so two short
+    # intervals never meet on a coarse level
+    j = fa.filter("_la").join(fb, on).unionByName(fa.filter("not _la").join(fb.filter("_lb"), on))
+    j = j.filter(
+        (F.col("_cell") == F.greatest("_la_lo", "_lb_lo"))
         & (F.col(a_span[0]) <= F.col(b_span[1]))
         & (F.col(b_span[0]) <= F.col(a_span[1]))
     )

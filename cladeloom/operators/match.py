@@ -105,12 +105,12 @@ def unclustered(members: DataFrame, groups: DataFrame, keys: Sequence[str]) -> D
 def cross_check(cands: DataFrame, groups: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Drop candidates whose flat group holds another species, then those with any pairwise partner.
 
-    cands(species, gene), groups(group, species, gene), pairs(species, gene, other_species, other_gene). Returns the kept
+    cands(species, gene), groups(group, species, gene, row) with the place of a row in its table, pairs(species, gene, other_species, other_gene). Returns the kept
     candidates and one log row per dropped one; its species list is bounded by the tree, its partner genes are counted.
     """
     sp = groups.select("group", "species").distinct()
-    # a gene listed in two groups counts in the first
-    home = groups.groupBy("species", "gene").agg(F.min("group").alias("group"))
+    # a gene listed in two groups counts in the one that is listed first
+    home = groups.groupBy("species", "gene").agg(F.min_by("group", "row").alias("group"))
     mine = cands.join(home, ["species", "gene"])
     other = mine.join(sp.withColumnRenamed("species", "_o"), "group").filter(F.col("_o") != F.col("species"))
     names = lambda c: F.array_join(F.array_sort(F.collect_set(F.col(c).cast("string"))), ";")
@@ -126,7 +126,7 @@ def cross_check(cands: DataFrame, groups: DataFrame, pairs: DataFrame) -> tuple[
 
 def audit_candidates(clustered: DataFrame, unclustered_: DataFrame, groups: DataFrame) -> DataFrame:
     """Independent check of candidate classes against the raw group table; three kinds of issue, must be empty."""
-    home = groups.groupBy("species", "gene").agg(F.min("group").alias("group"))
+    home = groups.groupBy("species", "gene").agg(F.min_by("group", "row").alias("group"))
     c = clustered.select("species", "gene").join(home, ["species", "gene"], "left")
     lost = c.filter("group is null").select("species", "gene", F.lit("clustered_missing_from_groups").alias("issue"))
     sp = groups.select("group", F.col("species").alias("_o")).distinct()

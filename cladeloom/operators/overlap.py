@@ -69,17 +69,21 @@ def kept_span(exons: DataFrame, pieces: DataFrame, mask: DataFrame) -> DataFrame
 
     exons(locus, e_start, e_end), pieces(locus, taxon, kept_contig, contig, r_start, r_end, t_start, t_end) in
     reference and taxon coordinates, mask(locus, taxon, m_start, m_end) in reference coordinates. A piece counts when it
-    lies on the kept contig, overlaps an exon and is not wholly masked.
+    lies on the kept contig and overlaps an exon with a part, clipped to that exon, that is not wholly masked. A taxon without one
+    keeps a row of NULLs.
     """
     p = pieces.filter("contig = kept_contig").withColumn("_id", F.struct("locus", "taxon", "r_start", "r_end", "t_start", "t_end"))
-    hit = overlap_join(p, exons, ["locus"], ("r_start", "r_end"), ("e_start", "e_end")).select("_id").distinct()
-    p = p.join(hit, "_id", "left_semi")
+    clipped = overlap_join(p, exons, ["locus"], ("r_start", "r_end"), ("e_start", "e_end"))
+    clipped = clipped.withColumns({"c_start": F.greatest("r_start", "e_start"), "c_end": F.least("r_end", "e_end")}).select(
+        "locus", "taxon", "_id", "contig", "t_start", "t_end", "c_start", "c_end").distinct()
     m = merge_intervals(mask, ["locus", "taxon"], "m_start", "m_end")
-    inside = overlap_join(p, m, ["locus", "taxon"], ("r_start", "r_end"), ("m_start", "m_end")).filter(
-        (F.col("m_start") <= F.col("r_start")) & (F.col("m_end") >= F.col("r_end"))).select("_id").distinct()
-    p = p.join(inside, "_id", "left_anti")
-    return p.groupBy("locus", "taxon").agg(
+    inside = overlap_join(clipped, m, ["locus", "taxon"], ("c_start", "c_end"), ("m_start", "m_end")).filter(
+        (F.col("m_start") <= F.col("c_start")) & (F.col("m_end") >= F.col("c_end"))).select("_id", "c_start", "c_end").distinct()
+    free = clipped.join(inside, ["_id", "c_start", "c_end"], "left_anti").select("locus", "taxon", "_id", "contig", "t_start", "t_end").distinct()
+    spans = free.groupBy("locus", "taxon").agg(
         F.min("contig").alias("contig"), F.min("t_start").alias("start"), F.max("t_end").alias("end"), F.count("*").alias("n_pieces"))
+    every = pieces.select("locus", "taxon").distinct()
+    return every.join(spans, ["locus", "taxon"], "left").withColumn("n_pieces", F.coalesce("n_pieces", F.lit(0)))
 
 
 def deletion_evidence(runs: DataFrame, raw: DataFrame, kept: DataFrame) -> DataFrame:

@@ -47,10 +47,13 @@ def qc_summary(qc: DataFrame, by: str) -> DataFrame:
     ).withColumn("reduction_pct", pct(F.col("n_input") - F.col("n_clean")))
 
 
-def tag_ids(df: DataFrame, header: str, file: str, species_map: DataFrame | None = None, species: str | None = None) -> DataFrame:
-    """First header token plus `__Species`, from a constant or a (file, species) map; an unmapped file gives its own name."""
+def tag_ids(df: DataFrame, header: str, file: str, species_map: DataFrame | None = None, species: str | None = None, remove: bool = False) -> DataFrame:
+    """First header token plus `__Species`, from a constant or a (file, species) map; an unmapped file gives its own name.
+
+    `remove` first takes what stands after the last `__` away; otherwise the token stays whole.
+    """
     token = F.element_at(F.split(F.trim(header), r"\s+"), 1)
-    bare = F.substring_index(token, "__", 1)
+    bare = F.regexp_replace(token, r"__(?!.*__).*$", "") if remove else token
     if species_map is not None:
         df = df.join(species_map.select(F.col("file").alias(file), F.col("species").alias("_sp")), file, "left")
         sp = F.coalesce("_sp", F.col(file))
@@ -85,10 +88,8 @@ def transcript_metrics(gff: DataFrame) -> DataFrame:
 
     gff(type, start, end, strand, id, parents array, flags array). The strand of a gene line wins.
     """
-    tx = gff.filter(F.col("type").isin("mRNA", "transcript")).select(
-        F.col("id").alias("transcript"), F.element_at("parents", 1).alias("gene"), F.col("strand").alias("_ts"),
-        (F.col("end") - F.col("start") + 1).alias("_span"))
-    tx = tx.groupBy("transcript").agg(F.min("gene").alias("gene"), F.min("_ts").alias("_ts"), F.max("_span").alias("_span"))
+    tx = gff.filter(F.col("type").isin("mRNA", "transcript")).groupBy(F.col("id").alias("transcript")).agg(
+        F.min(F.element_at("parents", 1)).alias("gene"), F.min("strand").alias("_ts"), (F.max("end") - F.min("start") + 1).alias("_span"))
     genes = gff.filter("type = 'gene'").groupBy(F.col("id").alias("gene")).agg(F.min("strand").alias("_gs"))
     size = F.greatest(F.col("end") - F.col("start") + 1, F.lit(0))
     kind = lambda t: F.col("type") == t
@@ -101,7 +102,8 @@ def transcript_metrics(gff: DataFrame) -> DataFrame:
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("flags")))).alias("_flags"),
         )
     )
-    j = tx.join(parts, "transcript", "left").join(genes, "gene", "left")
+    # a transcript that only its parts name is one all the same
+    j = tx.join(parts, "transcript", "full").join(genes, "gene", "left")
     mrna = F.when(F.col("_exon") > 0, F.col("_exon")).otherwise(F.coalesce("_span", F.lit(0)))
     return j.select(
         "transcript", "gene", F.coalesce("_gs", "_ts").alias("strand"), mrna.cast("bigint").alias("mrna_length"),
@@ -149,13 +151,16 @@ def build_reference_set(seqs: DataFrame, exclude: Sequence[str], level: str = "s
     tag = species_suffix("id")
     sp = F.when(looks_like_species(tag), tag).otherwise(F.col("file_species"))
     new_id = F.when(looks_like_species(tag), F.col("id")).otherwise(F.concat_ws("__", "id", "file_species"))
-    s = seqs.select(new_id.alias("id"), sp.alias("species"), F.replace("seq", F.lit("*"), F.lit("")).alias("seq"))
     keys = [taxon_key(F.lit(e), level) for e in exclude]
-    out = taxon_key("species", level).isin(keys) if keys else F.lit(False)
-    s = s.withColumn("excluded", out)
-    table = s.groupBy("species").agg(
-        F.count("*").alias("n_sequences"), F.when(F.max("excluded"), "EXCLUDED").otherwise("INCLUDED").alias("status"))
-    kept = s.filter("not excluded").drop("excluded")
+    # whole files are left out, by the species of the file and before ids are tagged
+    out = taxon_key("file_species", level).isin(keys) if keys else F.lit(False)
+    clean = F.replace("seq", F.lit("*"), F.lit(""))
+    s = seqs.select(new_id.alias("id"), sp.alias("species"), clean.alias("seq"), "file_species", out.alias("excluded"), tag.alias("_tag"))
+    fine = looks_like_species("_tag")
+    table = s.groupBy("file_species").agg(
+        F.count("*").alias("n_sequences"), F.count_if(fine).alias("n_tagged"), F.count_if(F.col("_tag").isNotNull() & ~fine).alias("n_odd"),
+        F.when(F.max("excluded"), "EXCLUDED").otherwise("INCLUDED").alias("status"))
+    kept = s.filter("not excluded").select("id", "species", "seq")
     dup = kept.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id", F.lit("duplicate_id").alias("problem"))
     empty = kept.filter(F.length("seq") == 0).select("id", F.lit("empty_sequence").alias("problem"))
     return kept, table, dup.unionByName(empty)
@@ -251,7 +256,7 @@ def id_form_mismatch(ids: DataFrame, known: DataFrame, by: str, key: str, strict
     j = ids.select(by, strict.alias("_s"), loose.alias("_l")).join(ks, [by, "_s"], "left").join(kl, [by, "_l"], "left")
     g = j.groupBy(by).agg(
         F.count("*").alias("n_ids"), F.count("_ms").alias("n_strict"), F.count_if(F.col("_ms").isNull() & F.col("_ml")).alias("n_loose_only"))
-    issue = F.when((F.col("n_strict") == 0) & (F.col("n_loose_only") > 0), "id_form_differs").when(F.col("n_strict") == 0, "no_match")
+    issue = F.when(F.col("n_loose_only") > 0, "id_form_differs").when(F.col("n_strict") == 0, "no_match")
     return g.withColumn("issue", issue)
 
 
@@ -260,10 +265,6 @@ def id_collisions(ids: DataFrame, by: str, raw: str, form: Column) -> DataFrame:
     return ids.groupBy(by, form.alias("key")).agg(F.countDistinct(raw).alias("n_ids"), F.min(raw).alias("example")).filter("n_ids > 1")
 
 
-def best_record(df: DataFrame, key: str, value: Sequence[str], *order: Column) -> DataFrame:
-    return df.groupBy(key).agg(arg_max(F.struct(*value), *order).alias("b")).select(key, "b.*")
-
-
 def candidate_stats(strata: DataFrame, totals: DataFrame, kept: DataFrame, candidates: Sequence[str]) -> DataFrame:
     """Share of genes per species that are candidates: clustered only, all, and all after the cross-check.
 

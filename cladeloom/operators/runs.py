@@ -14,7 +14,7 @@ from ..functions.aligned import gap_runs, recheck_spans
 from ..functions.seq import STOPS, has_homopolymer, near_edge, ungap
 from ..session import cut_lineage
 from .intervals import asof_join, first_overlap_join, merge_intervals
-from .tree import Tree, lineage_bins
+from .tree import Tree, branch_points
 
 
 def indel_runs(aln: DataFrame, keys: list[str], ref: str = "ref_text", row: str = "row_text", reported_only: bool = True) -> DataFrame:
@@ -68,7 +68,7 @@ def event_flags(events: DataFrame, aln: DataFrame, keys: list[str], ref: str = "
 
 
 def block_gap_audit(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Per (exon, taxon): bases missing between consecutive blocks, blocks it is absent from, contig switches.
+    """Per (exon, taxon): bases missing between consecutive blocks (also where the contig changes), blocks it is absent from, contig switches.
 
     rows(exon, taxon, block_ix, contig, start, size), blocks(exon, block_ix).
     """
@@ -77,8 +77,7 @@ def block_gap_audit(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     j = asof_join(rows, prev, key, "block_ix", "_pix", ["_pix", "_pc", "_pe"], True, False)
     miss = F.when(F.col("start") > F.col("_pe"), F.col("start") - F.col("_pe")).otherwise(0)
     g = j.groupBy(*key).agg(
-        F.sum(F.when(F.col("_pc") == F.col("contig"), miss).otherwise(0)).cast("bigint").alias("missing_bp"),
-        F.count_if((F.col("_pc") == F.col("contig")) & (miss > 0)).alias("n_missing"),
+        F.sum(miss).cast("bigint").alias("missing_bp"), F.count_if(miss > 0).alias("n_missing"),
         F.count_if(F.col("_pc") != F.col("contig")).alias("n_switches"), F.countDistinct("block_ix").alias("_n"))
     n = blocks.groupBy("exon").agg(F.countDistinct("block_ix").alias("n_blocks"))
     g = g.join(n, "exon").withColumn("n_absent", F.col("n_blocks") - F.col("_n"))
@@ -115,8 +114,8 @@ def shared_events(events: DataFrame, tree: Tree, excluded: list | None = None, r
     if living is not None:
         two = e.groupBy(*key).agg(F.count("*").alias("_n")).filter("_n >= 2")
         gaps = e.withColumn("_nx", F.lead("ix").over(w)).filter("_nx = ix + 2").select(*key, (F.col("ix") + 1).alias("ix")).join(two.select(*key), key, "left_semi")
-        side = lineage_bins(tree, events.select("focal").distinct())
-        gaps = gaps.join(side.select("focal", "ix", "node", "species"), ["focal", "ix"]).join(living, ["gene", "event", "species"], "left_semi")
+        gaps = gaps.join(living.select("gene", "event", "species"), ["gene", "event"])
+        gaps = gaps.join(branch_points(gaps, tree), ["focal", "species", "ix"])
         e = e.unionByName(gaps.select(*key, "node", "ix", F.lit(True).alias("inferred")).distinct())
     run = F.col("ix") - F.row_number().over(w) if contiguous else F.lit(0)
     g = e.withColumn("_run", run).groupBy(*key, "_run").agg(

@@ -15,11 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..common import broadcast_if_small
+from ..common import global_number
 from ..session import cut_lineage
 
-MAX_BROADCAST = 200_000
-
 
 @dataclass(frozen=True)
 class Tree:
@@ -27,6 +25,7 @@ class Tree:
     closure: DataFrame  # node, ancestor, dist (a node is its own ancestor at 0)
     depth: DataFrame  # node, depth (root 0)
     leaves: DataFrame  # node
+    paths: DataFrame  # node, path (from the root down to the node), pre (place in preorder)
 
     @property
     def clade(self) -> DataFrame:
@@ -41,15 +40,19 @@ class Tree:
         return c.select(F.col("node").alias("focal"), F.col("ancestor").alias("node"), F.col("dist").alias("ix"))
 
 
-def closure(edges: DataFrame, max_rounds: int = 20) -> DataFrame:
-    """Every (node, ancestor, dist). Paths double in each round, so a tree of depth d takes about log2(d) rounds."""
+def closure(edges: DataFrame) -> DataFrame:
+    """Every (node, ancestor, dist). Paths double in each round, so a tree of depth d takes about log2(d) rounds.
+
+    On a cycle of m nodes the jumps go on for ever; once they are longer than there are nodes, one exists.
+    """
     e = edges.filter("parent is not null").select("node", "parent")
     nodes = e.select("node").union(e.select(F.col("parent").alias("node"))).distinct()
     known = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).cast("bigint").alias("dist"))
     jump = cut_lineage(e.select("node", F.col("parent").alias("ancestor")))
-    for k in range(max_rounds):
-        if jump.isEmpty():
-            return cut_lineage(known)
+    k, n_nodes = 0, nodes.count()
+    while not jump.isEmpty():
+        if 2**k > n_nodes:
+            raise ValueError("the edge table holds a cycle")
         far = jump.select("node", F.col("ancestor").alias("mid")).join(
             known.select(F.col("node").alias("mid"), "ancestor", (F.col("dist") + 2**k).alias("dist")), "mid"
         )
@@ -58,7 +61,8 @@ def closure(edges: DataFrame, max_rounds: int = 20) -> DataFrame:
             jump.select("node", F.col("ancestor").alias("mid"))
             .join(jump.select(F.col("node").alias("mid"), "ancestor"), "mid").drop("mid")
         )
-    raise ValueError("the edge table holds a cycle")
+        k += 1
+    return cut_lineage(known)
 
 
 def tree_tables(edges: DataFrame) -> Tree:
@@ -71,14 +75,14 @@ def tree_tables(edges: DataFrame) -> Tree:
     if roots.limit(2).count() != 1:
         raise ValueError("the tree must have exactly one root")
     c = closure(e)
-    # the other tables are never larger than the closure, so one count decides for all of them
-    small = c.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    hint = F.broadcast if small else (lambda df: df)
     depth = cut_lineage(c.groupBy("node").agg(F.max("dist").alias("depth")))
     inner = c.filter("dist = 1").select(F.col("ancestor").alias("node"))
     leaves = cut_lineage(depth.select("node").join(inner, "node", "left_anti"))
     parents = c.filter("dist = 1").select("node", F.col("ancestor").alias("parent"))
-    return Tree(hint(parents), hint(c), hint(depth), hint(leaves))
+    steps = c.join(depth.select(F.col("node").alias("ancestor"), "depth"), "ancestor")
+    path = F.transform(F.array_sort(F.collect_list(F.struct("depth", "ancestor"))), lambda s: s["ancestor"])
+    paths = cut_lineage(global_number(steps.groupBy("node").agg(path.alias("path")), [F.col("path")], "pre"))
+    return Tree(parents, c, depth, leaves, paths)
 
 
 def node_types(tree: Tree) -> DataFrame:
@@ -88,23 +92,34 @@ def node_types(tree: Tree) -> DataFrame:
     return tree.depth.join(tree.edges, "node", "left").join(leaf, "node", "left").select("node", "parent", "depth", kind.alias("kind"))
 
 
-def clade_nesting_errors(clades: DataFrame) -> DataFrame:
-    """Pairs of clades (node, species) that overlap without one holding the other (must be empty)."""
-    size = clades.groupBy("node").agg(F.count("*").alias("n"))
-    a, b = clades.withColumnRenamed("node", "a"), clades.withColumnRenamed("node", "b")
-    both = a.join(b, "species").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    j = both.join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
-    j = j.join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    return j.filter(F.col("shared") < F.least("na", "nb"))
+def _shared_path(a: Column | str, b: Column | str) -> Column:
+    """Number of nodes that two paths from the root have in common."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), lambda same: same))
 
 
 def lca(sets: DataFrame, tree: Tree, key: str, node: str = "node") -> DataFrame:
-    """Deepest common ancestor of each node set."""
-    s = sets.select(key, F.col(node).alias("node")).distinct()
-    n = s.groupBy(key).agg(F.count("*").alias("_n"))
-    up = s.join(tree.closure, "node").groupBy(key, "ancestor").agg(F.count("*").alias("_c"))
-    up = up.join(n, key).filter("_c = _n").join(tree.depth.withColumnRenamed("node", "ancestor"), "ancestor")
-    return up.groupBy(key).agg(F.max_by("ancestor", "depth").alias("lca"))
+    """Deepest common ancestor of each node set.
+
+    In preorder everything below a node is one stretch, so the ancestor of a set is that of its first and last member, which
+    combine before the shuffle.
+    """
+    pre = tree.paths.select(F.col("node").alias("_n"), "pre")
+    s = sets.select(key, F.col(node).alias("_n")).join(pre, "_n")
+    ends = s.groupBy(key).agg(F.min("pre").alias("_lo"), F.max("pre").alias("_hi"))
+    pairs = ends.select("_lo", "_hi").distinct()
+    at = lambda e: tree.paths.select(F.col("pre").alias(e), F.col("path").alias("_p" + e))
+    top = pairs.join(at("_lo"), "_lo").join(at("_hi"), "_hi")
+    top = top.select("_lo", "_hi", F.element_at("_p_lo", _shared_path("_p_lo", "_p_hi")).alias("lca"))
+    return ends.join(top, ["_lo", "_hi"]).select(key, "lca")
+
+
+def branch_points(pairs: DataFrame, tree: Tree) -> DataFrame:
+    """(focal, species, node, ix) for the given pairs of leaves only: the lineage node of the focal species at which the other one
+    branches off. Pairs of a leaf with itself, or with an unknown one, drop out."""
+    at = lambda c: tree.paths.select(F.col("node").alias(c), F.col("path").alias("_" + c))
+    p = pairs.select("focal", "species").distinct().filter("focal <> species").join(at("focal"), "focal").join(at("species"), "species")
+    k = _shared_path("_focal", "_species")
+    return p.select("focal", "species", F.element_at("_focal", k).alias("node"), (F.size("_focal") - k).cast("bigint").alias("ix"))
 
 
 def lineage_bins(tree: Tree, focals: DataFrame) -> DataFrame:
@@ -127,7 +142,7 @@ def place_on_lineage(presence: DataFrame, tree: Tree, need_focal: bool = False)
     presence(gene, focal, species) lists positives. NULL focal presence matters only with need_focal. A gene positive
     in its focal species alone gets the node NULL and ix 0 (specific). Genes without a positive are not listed.
     """
-    bins = broadcast_if_small(lineage_bins(tree, presence.select("focal").distinct()))
+    bins = branch_points(presence, tree)
     j = presence.join(bins, ["focal", "species"], "left")
     g = j.groupBy("gene", "focal").agg(
         F.max_by("node", F.coalesce("ix", F.lit(0))).alias("node"),
@@ -153,7 +168,7 @@ def oldest_node(has: DataFrame, tree: Tree, contiguous: bool = False) -> DataFra
 
 def bin_counts(presence: DataFrame, tree: Tree) -> DataFrame:
     """Positive species newly added at each lineage node, per gene and node."""
-    bins = broadcast_if_small(lineage_bins(tree, presence.select("focal").distinct()))
+    bins = branch_points(presence, tree)
     j = presence.select("gene", "focal", "species").distinct().join(bins, ["focal", "species"])
     return j.groupBy("gene", "focal", "node", "ix").agg(F.count("*").alias("n_species"))
 
@@ -228,8 +243,8 @@ def farthest(present: DataFrame, lengths: DataFrame, tree: Tree) -> DataFrame:
 
     present(locus, ref, species).
     """
-    h = broadcast_if_small(root_distance(lengths, tree))
-    bins = broadcast_if_small(lineage_bins(tree, present.select(F.col("ref").alias("focal")).distinct()))
+    h = root_distance(lengths, tree)
+    bins = branch_points(present.select(F.col("ref").alias("focal"), "species"), tree)
     hs = lambda c: h.select(F.col("node").alias(c), F.col("height").alias("_h_" + c))
     b = bins.select(F.col("focal").alias("ref"), "species", F.col("node").alias("_mrca"))
     j = present.join(b, ["ref", "species"]).join(hs("ref"), "ref").join(hs("species"), "species").join(hs("_mrca"), "_mrca")

@@ -227,7 +227,7 @@ def own_feature(spark, sf):
     lo = x.filter("flag = 'R'").select(F.concat(F.lit("AT"), k, F.lit("G.1")).alias("locus"), chrom, F.col("s").alias("start"), F.col("e").alias("end")).distinct()
     own = x.filter("flag = 'R' and okey % 2 = 0").select(F.concat(F.lit("gene-at"), k, F.lit("g")).alias("gene"), chrom, *span)
     ge = own.unionByName(x.filter("flag = 'A'").select(F.concat(F.lit("x"), k).alias("gene"), chrom, *span))
-    alias = own.select("gene", F.concat(F.substring("gene", 6, 40), F.lit(".2")).alias("alias")).distinct()
+    alias = own.select("gene", F.concat(F.expr("substr(gene, 6)"), F.lit(".2")).alias("alias")).distinct()
     forms = lambda c: F.array_distinct(F.array(F.lower(c), F.regexp_replace(F.lower(c), r"\.\d+$", "")))
     return resolve_own_feature(lo, ge, alias, forms)
 
@@ -236,9 +236,10 @@ def own_feature(spark, sf):
     "kept_span",
     f"""WITH {IV}, p AS (SELECT k, supp, flag, s, e, okey FROM iv), m AS (SELECT k, s, e FROM iv WHERE flag = 'N' AND okey % 3 = 0),
     cell AS (SELECT DISTINCT k, unnest(range(s, e + 1)) AS x FROM m),
-    q AS (SELECT DISTINCT p.* FROM p WHERE flag = 'A' AND EXISTS (SELECT 1 FROM iv b WHERE b.k = p.k AND b.flag = 'R' AND b.s <= p.e AND b.e >= p.s)),
-    c AS (SELECT q.k, q.supp, q.s, q.e, count(x) AS n FROM q LEFT JOIN cell ON cell.k = q.k AND x BETWEEN q.s AND q.e GROUP BY ALL)
-    SELECT k AS locus, 't' AS taxon, 'A' AS contig, min(s * 2) AS start, max(e * 2) AS "end", count(*) AS n_pieces FROM (SELECT DISTINCT k, s, e, n FROM c) WHERE n < e - s + 1 GROUP BY k""",
+    q AS (SELECT DISTINCT p.k, p.s, p.e, greatest(p.s, b.s) AS cs, least(p.e, b.e) AS ce FROM p JOIN iv b ON b.k = p.k AND b.flag = 'R' AND b.s <= p.e AND b.e >= p.s WHERE p.flag = 'A'),
+    c AS (SELECT q.k, q.s, q.e, q.cs, q.ce, count(x) AS n FROM q LEFT JOIN cell ON cell.k = q.k AND x BETWEEN q.cs AND q.ce GROUP BY ALL),
+    f AS (SELECT k, 'A' AS contig, min(s * 2) AS start, max(e * 2) AS "end", count(*) AS n_pieces FROM (SELECT DISTINCT k, s, e FROM c WHERE n < ce - cs + 1) GROUP BY k)
+    SELECT a.k AS locus, 't' AS taxon, contig, start, "end", coalesce(n_pieces, 0) AS n_pieces FROM (SELECT DISTINCT k FROM iv) a LEFT JOIN f ON f.k = a.k""",
 )
 def kept_span(spark, sf):
     x = iv(spark, sf)

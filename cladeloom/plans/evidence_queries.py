@@ -19,7 +19,7 @@ COVER = """, ax AS (SELECT gene_id, target, 'q' AS axis, qstart AS s, qend AS e
  ac AS (SELECT gene_id, target, axis, sum(greatest(0, e - greatest(s - 1, coalesce(pe, s - 1)))) AS n FROM am GROUP BY ALL),
  cov AS (SELECT gene_id, target, sum(n) FILTER (axis = 'q') AS qn, sum(n) FILTER (axis = 't') AS tn FROM ac GROUP BY ALL)"""
 
-BEST = """, ranked AS (SELECT *, row_number() OVER (PARTITION BY gene_id, target ORDER BY (evalue > 0.05), evalue, bitscore DESC, pident, qlen, slen, target_species) AS rn FROM hits),
+BEST = """, ranked AS (SELECT *, row_number() OVER (PARTITION BY gene_id, target ORDER BY (evalue > 0.05), evalue, bitscore DESC, line) AS rn FROM hits),
  best AS (SELECT * FROM ranked WHERE rn = 1)"""
 
 EVAL = (
@@ -32,13 +32,12 @@ EVAL = (
     WHEN qc < 10 THEN 'query coverage ' || round(qc, 1) || '% below 10%'
     WHEN tc < 12 THEN 'target coverage ' || round(tc, 1) || '% below 12%'
     WHEN pident < 93 THEN 'identity ' || round(pident, 1) || '% below 93%'
-    WHEN target_species = 'AFRICA_NATION_0' OR split_part(target_species, '_', 1) = 'EUROPE'
-      THEN 'in-phylogeny hit (' || target_species || '), not counted' END AS why FROM j),
+    WHEN target_species = 'AFRICA_NATION_0' THEN 'own_clade:AFRICA_NATION_0' WHEN split_part(target_species, '_', 1) = 'EUROPE' THEN 'own_clade:EUROPE' END AS why FROM j),
  gen AS (SELECT gene_id, count(DISTINCT split_part(target_species, '_', 1)) AS n FROM w WHERE why IS NULL GROUP BY gene_id),
  ev AS (SELECT w.gene_id, target, target_species, 'ship' AS source, evalue, bitscore, round(qc, 1) AS qcov, round(tc, 1) AS tcov, pident,
    why IS NULL AND n >= 2 AS counts_as_hit,
-   CASE WHEN why IS NULL AND n < 2 THEN 'counted hits from ' || n || ' genus/genera, below min_genera=2' ELSE why END AS note,
-   coalesce(starts_with(why, 'in-phylogeny'), false) AS in_phylogeny FROM w LEFT JOIN gen ON w.gene_id = gen.gene_id)"""
+   CASE WHEN why IS NULL AND n < 2 THEN 'few_genera:' || n ELSE why END AS note,
+   coalesce(starts_with(why, 'own_clade:'), false) AS in_phylogeny FROM w LEFT JOIN gen ON w.gene_id = gen.gene_id)"""
 )
 
 # parts are the genes; those with p_size > 45 have no proof that their search finished
@@ -108,7 +107,7 @@ def domain_evaluation(spark, sf):
     r = E.HitRules(evalue=0.05, min_qcov=10, min_tcov=12, max_bias_frac=0.1)
     return E.evaluate_domains(doms(spark, sf), r).select(
         "gene_id", "target", "qcov", "tcov", "evalue", "bitscore", "counts_as_hit",
-        F.col("note").startswith("composition").alias("biased"),
+        F.col("note").startswith("biased:").alias("biased"),
     )
 
 
@@ -119,8 +118,8 @@ def domain_evaluation(spark, sf):
     + """, j AS (SELECT b.*, 100.0 * qn / qlen AS qc, 100.0 * tn / slen AS tc FROM best b LEFT JOIN cov c ON b.gene_id = c.gene_id AND b.target = c.target),
     w AS (SELECT *, coalesce(nullif(regexp_extract(target, '^([A-Za-z]+)[0-9]', 1), ''), 'NA') AS src, CASE WHEN evalue > 0.05 THEN 'E-value above 0.05'
      WHEN round(tc, 1) < 15 THEN 'domain coverage ' || round(tc, 1) || '% below 15%' WHEN round(qc, 1) < 10 THEN 'query coverage ' || round(qc, 1) || '% below 10%'
-     WHEN target = 'AFRICA00000' THEN 'ignored domain ' || target || ' (ignore_domains)'
-     WHEN starts_with(target, 'ASIA') THEN 'ignored source ASIA' END AS why FROM j)
+     WHEN target = 'AFRICA00000' THEN 'ignored:' || target
+     WHEN starts_with(target, 'ASIA') THEN 'ignored:ASIA' END AS why FROM j)
     SELECT gene_id, target, src AS source, evalue, bitscore, round(qc, 1) AS qcov, round(tc, 1) AS tcov, pident, why IS NULL AS counts_as_hit,
      why AS note, coalesce(starts_with(why, 'ignored'), false) AS excluded FROM w""",
 )
@@ -287,11 +286,12 @@ def pool_runs(spark, sf):
 
 @query(
     "hit_breadth",
-    EVAL + " SELECT 'g' || p_partkey AS gene_id, count(DISTINCT split_part(target_species, '_', 1) || '_' || split_part(target_species, '_', 2)) AS n_hit_species, "
-    "count(DISTINCT split_part(target_species, '_', 1)) AS n_hit_genera FROM part LEFT JOIN (SELECT * FROM ev WHERE counts_as_hit) e ON e.gene_id = 'g' || p_partkey GROUP BY 1",
+    EVAL + " SELECT 'g' || p_partkey AS gene_id, CASE WHEN any_value(p_size) <= 45 THEN count(DISTINCT split_part(target_species, '_', 1) || '_' || split_part(target_species, '_', 2)) END AS n_hit_species, "
+    "CASE WHEN any_value(p_size) <= 45 THEN count(DISTINCT split_part(target_species, '_', 1)) END AS n_hit_genera FROM part LEFT JOIN (SELECT * FROM ev WHERE counts_as_hit) e ON e.gene_id = 'g' || p_partkey GROUP BY 1",
 )
 def hit_breadth(spark, sf):
-    return E.hit_breadth(parts(spark, sf).select("gene_id"), hit_evaluation(spark, sf))
+    p = parts(spark, sf)
+    return E.hit_breadth(p.select("gene_id"), hit_evaluation(spark, sf), p.filter("sz <= 45"))
 
 
 # alignments between customers (candidates) and parts (members) as days of a shipment
@@ -358,7 +358,7 @@ def group_pair_counts(spark, sf):
 )
 def paralog_rule(spark, sf):
     h = hits(spark, sf).select(
-        F.col("gene_id").alias("query"), F.concat(F.lit("g"), F.substring("target", 8, 9)).alias("subject"), "pident", "evalue", "qstart", "qend", "qlen")
+        F.col("gene_id").alias("query"), F.concat(F.lit("g"), F.expr("substr(target, 8)")).alias("subject"), "pident", "evalue", "qstart", "qend", "qlen")
     return E.paralog_rule(h, parts(spark, sf).filter("sz > 25"), 0.05, 96.0, 20.0)
 
 
@@ -367,7 +367,7 @@ def paralog_rule(spark, sf):
     f"WITH {HITS}, good AS (SELECT *, qend - qstart + 1 AS len, CAST(floor((qend - qstart + 1) * pident / 100) AS BIGINT) AS ni FROM hits)" + COVER
     + """, g AS (SELECT h.gene_id, h.target, 100.0 * sum(ni) / sum(len) AS ident, greatest(100.0 * any_value(qn) / 220, 100.0 * any_value(tn) / 160) AS cover
       FROM good h JOIN cov c ON h.gene_id = c.gene_id AND h.target = c.target GROUP BY ALL),
-    r AS (SELECT *, row_number() OVER (PARTITION BY gene_id ORDER BY cover DESC, ident DESC, target) AS rn FROM g WHERE ident >= 95 AND cover >= 20)
+    r AS (SELECT *, row_number() OVER (PARTITION BY gene_id ORDER BY ident * cover DESC, target) AS rn FROM g WHERE ident >= 95 AND cover >= 20)
     SELECT gene_id, target, round(ident, 2) AS ident, round(cover, 2) AS cover FROM r WHERE rn = 1""",
 )
 def two_sided(spark, sf):

@@ -27,11 +27,11 @@ def qc(spark, sf):
 
 @query(
     "tagged_ids",
-    """SELECT s_suppkey, split_part(s_name, '__', 1) || '__' || replace(coalesce(CASE WHEN n_regionkey < 3 THEN 'Genus ' || lower(n_name) END, CAST(s_nationkey AS VARCHAR)), ' ', '_') AS tagged_id
+    """SELECT s_suppkey, 'x__' || s_name || '__' || replace(coalesce(CASE WHEN n_regionkey < 3 THEN 'Genus ' || lower(n_name) END, CAST(s_nationkey AS VARCHAR)), ' ', '_') AS tagged_id
     FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
 )
 def tagged(spark, sf):
-    s = table(spark, sf, "supplier").select("s_suppkey", F.concat(F.col("s_name"), F.lit(" some description")).alias("header"), F.col("s_nationkey").cast("string").alias("file"))
+    s = table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("x__"), F.col("s_name"), F.lit(" some description")).alias("header"), F.col("s_nationkey").cast("string").alias("file"))
     m = table(spark, sf, "nation").filter("n_regionkey < 3").select(F.col("n_nationkey").cast("string").alias("file"), F.concat(F.lit("Genus "), F.lower("n_name")).alias("species"))
     return R.tag_ids(s, "header", "file", m).select("s_suppkey", "tagged_id")
 
@@ -39,7 +39,7 @@ def tagged(spark, sf):
 @query(
     "id_forms",
     """SELECT c_custkey, c_name || '__' || c_mktsegment AS raw, c_name AS gene, c_mktsegment AS suffix, false AS odd,
-    'g' || c_custkey AS base, CAST(c_custkey AS VARCHAR) AS coord, lpad(CAST(c_custkey AS VARCHAR), 20, '0') AS nat FROM customer""",
+    'g' || c_custkey AS base, CAST(c_custkey AS VARCHAR) AS coord, '1' || length(CAST(c_custkey AS VARCHAR)) || c_custkey AS nat FROM customer""",
 )
 def id_forms(spark, sf):
     c = table(spark, sf, "customer")
@@ -88,7 +88,7 @@ def ungapped(spark, sf):
     return d.select("doc_id", F.length(ungap("text")).cast("bigint").alias("n_ungapped"), F.md5(ungap("text")).alias("digest"))
 
 
-REFSET = """r AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN doc_id || '__Genus_' || lang ELSE doc_id || '__' || source END AS id,
+REFSET = """r AS (SELECT doc_id, source AS file, source IN ('src3', 'src8') AS gone, CASE WHEN doc_id % 3 = 0 THEN doc_id || '__Genus_' || lang ELSE doc_id || '__' || source END AS id,
   CASE WHEN doc_id % 3 = 0 THEN 'Genus_' || lang ELSE source END AS species, replace(text, '*', '') AS seq FROM documents)"""
 
 
@@ -96,20 +96,20 @@ def reference_set(spark, sf):
     d = table(spark, sf, "documents")
     k = F.col("doc_id").cast("string")
     raw = F.when(F.col("doc_id") % 3 == 0, F.concat(k, F.lit("__Genus_"), F.col("lang"))).otherwise(k)
-    return R.build_reference_set(d.select(F.col("source").alias("file_species"), raw.alias("id"), F.col("text").alias("seq")), ["genus EN", "src3"])
+    return R.build_reference_set(d.select(F.col("source").alias("file_species"), raw.alias("id"), F.col("text").alias("seq")), ["SRC8", "src3"])
 
 
-@query("reference_set", f"WITH {REFSET} SELECT id, species, md5(seq) AS digest FROM r WHERE species NOT IN ('Genus_en', 'src3')")
+@query("reference_set", f"WITH {REFSET} SELECT id, species, md5(seq) AS digest FROM r WHERE NOT gone")
 def refset(spark, sf):
     return reference_set(spark, sf)[0].select("id", "species", F.md5("seq").alias("digest"))
 
 
-@query("reference_species", f"WITH {REFSET} SELECT species, count(*) AS n_sequences, CASE WHEN species IN ('Genus_en', 'src3') THEN 'EXCLUDED' ELSE 'INCLUDED' END AS status FROM r GROUP BY 1")
+@query("reference_species", f"WITH {REFSET} SELECT file AS file_species, count(*) AS n_sequences, count(*) FILTER (doc_id % 3 = 0) AS n_tagged, CAST(0 AS BIGINT) AS n_odd, CASE WHEN bool_or(gone) THEN 'EXCLUDED' ELSE 'INCLUDED' END AS status FROM r GROUP BY 1")
 def refspecies(spark, sf):
     return reference_set(spark, sf)[1]
 
 
-@query("reference_problems", f"WITH {REFSET} SELECT id, 'empty_sequence' AS problem FROM r WHERE length(seq) = 0 AND species NOT IN ('Genus_en', 'src3')")
+@query("reference_problems", f"WITH {REFSET} SELECT id, 'empty_sequence' AS problem FROM r WHERE length(seq) = 0 AND NOT gone")
 def refproblems(spark, sf):
     return reference_set(spark, sf)[2]
 
@@ -192,10 +192,10 @@ def fingerprint(spark, sf):
     return f.withColumn("from_header", M.header_fingerprint(head))
 
 
-CROSS = """g AS (SELECT DISTINCT l_orderkey AS grp, s_nationkey AS species, l_partkey AS gene FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
- ca AS (SELECT DISTINCT s_nationkey AS species, l_partkey AS gene FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_discount >= 0.1),
+CROSS = """g AS (SELECT l_orderkey AS grp, s_nationkey AS species, l_partkey AS gene, min(CAST(l_linenumber AS BIGINT) * 1000000000 + l_orderkey) AS rw FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
+ ca AS (SELECT DISTINCT s_nationkey AS species, l_partkey AS gene FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
  pa AS (SELECT s_nationkey AS species, l_partkey AS gene, c_nationkey AS os, c_custkey AS og FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_returnflag = 'R'),
- ho AS (SELECT species, gene, min(grp) AS grp FROM g GROUP BY ALL),
+ ho AS (SELECT species, gene, arg_min(grp, rw) AS grp FROM g GROUP BY ALL),
  l1 AS (SELECT ca.species, ca.gene, string_agg(DISTINCT CAST(o.species AS VARCHAR), ';' ORDER BY CAST(o.species AS VARCHAR)) AS cs FROM ca JOIN ho ON ho.species = ca.species AND ho.gene = ca.gene JOIN g o ON o.grp = ho.grp AND o.species <> ca.species GROUP BY ALL),
  le AS (SELECT * FROM ca WHERE (species, gene) NOT IN (SELECT (species, gene) FROM l1)),
  l2 AS (SELECT le.species, le.gene, string_agg(DISTINCT CAST(os AS VARCHAR), ';' ORDER BY CAST(os AS VARCHAR)) AS cs, count(DISTINCT og) AS n, min(og) AS fg FROM le JOIN pa ON pa.species = le.species AND pa.gene = le.gene GROUP BY ALL)"""
@@ -203,8 +203,10 @@ CROSS = """g AS (SELECT DISTINCT l_orderkey AS grp, s_nationkey AS species, l_pa
 
 def cross(spark, sf):
     x = lines(spark, sf)
-    g = x.select(F.col("l_orderkey").alias("group"), F.col("s_nationkey").alias("species"), F.col("l_partkey").alias("gene")).distinct()
-    c = x.filter("l_discount >= 0.1").select(F.col("s_nationkey").alias("species"), F.col("l_partkey").alias("gene")).distinct()
+    g = x.groupBy(F.col("l_orderkey").alias("group"), F.col("s_nationkey").alias("species"), F.col("l_partkey").alias("gene")).agg(
+        F.min(F.col("l_linenumber") * F.lit(1_000_000_000).cast("bigint") + F.col("l_orderkey")).alias("row"))
+    c = x.select(F.col("s_nationkey").alias("species"), F.col("l_partkey").alias("gene")).distinct()
+    # a returned line makes its part and its customer partners
     p = x.filter("l_returnflag = 'R'").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     p = p.select(F.col("s_nationkey").alias("species"), F.col("l_partkey").alias("gene"), F.col("c_nationkey").alias("other_species"), F.col("c_custkey").alias("other_gene"))
     return c, g, p
@@ -529,20 +531,21 @@ def coverage(spark, sf):
     return R.coverage_check(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id", "source", 0.4)
 
 
-FORMS = """i AS (SELECT o_orderpriority AS species, o_custkey AS k, CASE WHEN o_orderpriority = '1-URGENT' THEN 'C_' || o_custkey ELSE 'c.' || o_custkey END AS id FROM orders),
- r AS (SELECT species, count(*) AS n_ids, count(*) FILTER (species <> '1-URGENT' AND k % 2 = 0) AS n_strict, count(*) FILTER (species = '1-URGENT' AND k % 2 = 0) AS n_loose_only FROM i WHERE species <> '5-LOW' GROUP BY 1)"""
+FORMS = """i AS (SELECT o_orderpriority AS species, o_custkey AS k, CASE WHEN o_orderpriority = '1-URGENT' THEN 0 WHEN o_orderpriority = '2-HIGH' THEN o_custkey % 3 WHEN o_orderpriority = '5-LOW' THEN 9 ELSE 1 END AS f FROM orders),
+ r AS (SELECT species, count(*) AS n_ids, count(*) FILTER (f BETWEEN 1 AND 2 AND k % 2 = 0) AS n_strict, count(*) FILTER (f = 0 AND k % 2 = 0) AS n_loose_only FROM i GROUP BY 1)"""
 
 
 @query(
     "id_form_mismatch",
-    f"WITH {FORMS} SELECT *, CASE WHEN n_strict = 0 AND n_loose_only > 0 THEN 'id_form_differs' WHEN n_strict = 0 THEN 'no_match' END AS issue FROM r",
+    f"WITH {FORMS} SELECT *, CASE WHEN n_loose_only > 0 THEN 'id_form_differs' WHEN n_strict = 0 THEN 'no_match' END AS issue FROM r",
 )
 def id_form(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("species"), F.col("o_custkey").alias("k"))
-    i = o.filter("species <> '5-LOW'").withColumn("id", F.when(F.col("species") == "1-URGENT", _id("C_", "k")).otherwise(_id("c.", "k")))
-    known = o.filter("k % 2 = 0").withColumn("id", _id("c.", "k")).distinct()
-    loose = F.regexp_replace(F.lower("id"), "[^a-z0-9]", "")
-    return R.id_form_mismatch(i, known, "species", "id", F.col("id"), loose)
+    odd = (F.col("species") == "1-URGENT") | ((F.col("species") == "2-HIGH") & (F.col("k") % 3 == 0))
+    form = F.when(odd, F.concat(F.lit("sp|"), F.col("species"), _id("_G_", "k"), F.lit("x.p1|n"))).when(F.col("species") == "5-LOW", _id("none", "k"))
+    i = o.withColumn("id", form.otherwise(F.concat(_id("g.", "k"), F.lit("x"))))
+    known = o.filter("k % 2 = 0").withColumn("id", F.concat(_id("g.", "k"), F.lit("x"))).distinct()
+    return R.id_form_mismatch(i, known, "species", "id", F.col("id"), I.loose_id("id", "species"))
 
 
 @query("id_collisions", "SELECT p_brand, p_type AS key, count(DISTINCT p_partkey) AS n_ids, min(p_type || '.' || p_partkey) AS example FROM part GROUP BY ALL HAVING count(DISTINCT p_partkey) > 1")

@@ -266,7 +266,7 @@ def block_rows(spark, sf):
 @query(
     "block_gap_audit",
     f"""WITH {BLK}, n AS (SELECT exon, count(DISTINCT block_ix) AS n_blocks FROM bl GROUP BY 1)
-    SELECT lg.exon, taxon, CAST(sum(CASE WHEN pc = contig AND start > pe THEN start - pe ELSE 0 END) AS BIGINT) AS missing_bp, count(*) FILTER (pc = contig AND start > pe) AS n_missing, count(*) FILTER (pc <> contig) AS n_switches,
+    SELECT lg.exon, taxon, CAST(sum(CASE WHEN start > pe THEN start - pe ELSE 0 END) AS BIGINT) AS missing_bp, count(*) FILTER (start > pe) AS n_missing, count(*) FILTER (pc <> contig) AS n_switches,
       any_value(n_blocks) AS n_blocks, any_value(n_blocks) - count(DISTINCT block_ix) AS n_absent, any_value(n_blocks) = count(DISTINCT block_ix) AS in_all_blocks FROM lg JOIN n ON n.exon = lg.exon GROUP BY lg.exon, taxon""",
 )
 def gap_audit(spark, sf):

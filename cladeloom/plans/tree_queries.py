@@ -25,18 +25,7 @@ PRES = """pres AS (SELECT DISTINCT o_orderkey AS gene, 32 + c_nationkey AS focal
 IX = "(SELECT min(k) FROM range(0, 6) r(k) WHERE (focal >> k) = (species >> k))"
 
 
-_TREES: dict[tuple[str, str], H.Tree] = {}
-
-
 def nation_tree(spark, sf):
-    """The tree tables, built once per application: their closure is a table in the shared folder."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _TREES:
-        _TREES[key] = _build_tree(spark, sf)
-    return _TREES[key]
-
-
-def _build_tree(spark, sf):
     n = table(spark, sf, "nation").select((F.col("n_nationkey") + 32).cast("bigint").alias("leaf"))
     up = n.select("leaf", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"))
     node = F.floor(F.col("leaf") / F.pow(F.lit(2), F.col("k"))).cast("bigint")
@@ -96,7 +85,7 @@ def phylostratum(spark, sf):
 def side_branch_lines(spark, sf):
     p = presence(spark, sf).distinct()
     b = H.side_branch(nation_tree(spark, sf), p.select("focal").distinct())
-    return p.join(F.broadcast(b), ["focal", "species"]).groupBy("focal", "node", "ix").agg(F.count("*").alias("n_lines"))
+    return p.join(b, ["focal", "species"]).groupBy("focal", "node", "ix").agg(F.count("*").alias("n_lines"))
 
 
 PLACED = f"{PRES}, b AS (SELECT *, {IX} AS ix FROM pres), pl AS (SELECT gene, focal, max(ix) AS ix, bool_or(focal = species) AS own FROM b GROUP BY ALL)"

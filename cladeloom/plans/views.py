@@ -57,7 +57,7 @@ HITS = (
   SELECT 'g' || l_partkey AS gene_id, n_name AS target, species AS target_species,
          l_discount AS evalue, l_extendedprice AS bitscore, round(100 - 100 * l_tax, 1) AS pident,
          (d % 150) + 1 AS qstart, (d % 150) + q AS qend, ((d // 7) % 100) + 1 AS sstart, ((d // 7) % 100) + q AS send,
-         CAST(220 AS BIGINT) AS qlen, CAST(160 AS BIGINT) AS slen
+         CAST(220 AS BIGINT) AS qlen, CAST(160 AS BIGINT) AS slen, l_orderkey * 8 + l_linenumber AS line
   FROM (SELECT *, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS d, CAST(l_quantity AS BIGINT) AS q
         FROM lineitem) JOIN species ON l_suppkey = s_suppkey)"""
 )
@@ -79,4 +79,5 @@ def hits(spark: SparkSession, sf: str) -> DataFrame:
         (week + F.col("q")).alias("send"),
         F.lit(220).cast("bigint").alias("qlen"),
         F.lit(160).cast("bigint").alias("slen"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("line"),
     )

@@ -54,7 +54,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_hits_tabular(spark: SparkSession, path: str, fields: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(hits, queries): a query is confirmed only if the next footer counts as many queries as were seen since the last.
+    """(hits, queries): a query is confirmed if a footer counts as many queries as were seen since the last one; one such group is enough.
 
     Other queries are unconfirmed and must become NOT_RUN, never "no hit". A row with a wrong number of columns is an error.
     """
@@ -67,7 +67,7 @@ def read_hits_tabular(spark: SparkSession, path: str, fields: list[str] | None =
     marks = marks.withColumn("_batch", F.sum((F.col("_foot") != "").cast("int")).over(back))
     g = marks.groupBy("file", "_batch").agg(F.count_if(F.col("_query") != "").alias("_n"), F.max(F.nullif("_foot", F.lit("")).cast("int")).alias("_said"))
     q = marks.filter("_query <> ''").join(g, ["file", "_batch"]).groupBy(F.col("_query").alias("query")).agg(
-        F.min(F.coalesce(F.col("_n") == F.col("_said"), F.lit(False))).alias("confirmed"))
+        F.max(F.coalesce(F.col("_n") == F.col("_said"), F.lit(False))).alias("confirmed"))
     c = F.split("line", "\t")
     data = x.filter("line <> '' and not startswith(line, '#')").withColumn("_c", c)
     ok = F.when(F.size("_c") == len(fields), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("wrong column count: "), F.col("line"))).cast("boolean"))
