@@ -8,6 +8,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import written
+
 SIMILARITY = 0.65
 
 # The usual short notices of licences.
@@ -96,13 +98,13 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, similar
     path = F.col("path").cast("string")
     found = files.select(F.col("file_id"), path.alias("path"), best_template(F.col("text").cast("string"), model, similarity).alias("own"))
     folder = F.when(path.contains("/"), F.regexp_replace(path, r"/[^/]*$", "")).otherwise(F.when(path.isNotNull(), ""))
-    found = found.withColumn("folder", folder)
+    found = written(found.withColumn("folder", folder), "licences")  # texts are scanned once
     given = found.where("own is not null").where(F.substring_index("path", "/", -1).rlike(LICENCE_FILE))
     given = given.groupBy("folder").agg(F.max(F.struct("own.similarity", "own.name", "path")).alias("given"))
     parts = F.split("folder", "/")
     up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, 1, i), "/").alias("above")))
     up = F.concat(F.when(F.col("folder") != "", up).otherwise(F.slice(up, 1, 0)), F.array(F.struct(F.lit(0).alias("depth"), F.lit("").alias("above"))))
-    folders = files.select(folder.alias("folder")).where("folder is not null").distinct().select("folder", F.inline(up))
+    folders = found.select("folder").where("folder is not null").distinct().select("folder", F.inline(up))
     nearest = folders.join(given.withColumnRenamed("folder", "above"), "above").groupBy("folder").agg(F.max_by("given", "depth").alias("given"))
     out = found.join(nearest, "folder", "left")
     return out.select(
