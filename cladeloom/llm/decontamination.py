@@ -19,7 +19,7 @@ RADIUS = 19  # bits of 64; a window at similarity 0.8 differs in about 10 with a
 BLOCKS = 4
 ITEMS_AT_ONCE = 500  # benchmark items of one pass over the documents
 WORDS_AT_ONCE = 100_000  # and their words
-CHUNK_BYTES = 1_000_000  # text hashed at once
+CHUNK_BYTES = 250_000  # text hashed at once
 
 MATCH = "array<struct<item_id:bigint,start:int,words:int,distance:int,similarity:double>>"
 
@@ -124,14 +124,17 @@ class Items:
         for (item, _), w in zip(rows, np.split(words, ends[:-1]), strict=True):
             if len(w):
                 by_size[len(w)].append((item, shingles(w, min(k, len(w)))))
-        self.k, self.similarity, self.sizes = k, similarity, []
+        self.k, self.similarity, self.sizes, self.items = k, similarity, [], []
         self.grams: dict[int, np.ndarray] = {}
+        codes = []
         for n, own in sorted(by_size.items()):
             k_n = min(k, n)
-            index = HammingIndex(np.array([simhash(g) for _, g in own]), radius)
+            codes += [simhash(g) for _, g in own]
+            self.items += [(i, n, Counter(g.tolist())) for i, g in own]
             grams = np.unique(np.concatenate([g for _, g in own]))
-            self.sizes.append((n, k_n, [i for i, _ in own], [Counter(g.tolist()) for _, g in own], index, grams))
+            self.sizes.append((n, k_n, grams))
             self.grams[k_n] = np.union1d(self.grams.get(k_n, np.empty(0, np.uint64)), grams)
+        self.index = HammingIndex(np.array(codes, np.uint64), radius)
 
     def matches(self, words: np.ndarray) -> list[dict]:
         """Per item the most similar window of its size (the whole text where that is shorter; ties: the first), if similar enough."""
@@ -142,7 +145,7 @@ class Items:
             hit = _member(grams, own)
             if hit.any():
                 per_k[k] = own, np.flatnonzero(hit)
-        for n, k, items, counts, index, grams in self.sizes:
+        for n, k, grams in self.sizes:
             if k not in per_k:
                 continue
             own, at = per_k[k]
@@ -156,12 +159,12 @@ class Items:
             hits = np.concatenate(([0], np.cumsum(hit)))
             for start in np.flatnonzero(hits[m:] - hits[:-m] >= need).tolist():
                 window = own[start : start + m]
-                near = index.near(simhash(window))
+                near = [(self.items[pos], d) for pos, d in self.index.near(simhash(window)) if self.items[pos][1] == n]
                 mine = Counter(window.tolist()) if near else None
-                for pos, distance in near:
-                    s = weighted_similarity(mine, counts[pos])
-                    if s >= self.similarity and s > best.get(items[pos], (0.0,))[0]:
-                        best[items[pos]] = (s, start, min(n, len(words)), distance)
+                for (item, _, count), distance in near:
+                    s = weighted_similarity(mine, count)
+                    if s >= self.similarity and s > best.get(item, (0.0,))[0]:
+                        best[item] = (s, start, min(n, len(words)), distance)
         return [{"item_id": i, "start": b[1], "words": b[2], "distance": b[3], "similarity": b[0]} for i, b in sorted(best.items())]
 
 
