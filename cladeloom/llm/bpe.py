@@ -15,8 +15,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_CHARS = 4_000_000  # characters of text that are encoded at once
-TABLE_SYMBOLS = 4_000_000  # a worker forgets the words it has encoded beyond so many symbols
+CHUNK_CHARS = 1_000_000  # characters of text that are encoded at once
+TABLE_SYMBOLS = 1_000_000  # a worker forgets the words it has encoded beyond so many symbols
 NO_RANK = np.iinfo(np.int64).max
 
 

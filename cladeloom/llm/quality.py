@@ -15,7 +15,7 @@ from .tables import hashed_sample, written
 PASSAGE_WORDS = 64
 SAMPLE = 6_000  # labelled documents that the model is fitted on, at most
 THRESHOLD = 0.7
-CHUNK_BYTES = 1_000_000  # text encoded at once
+CHUNK_BYTES = 250_000  # text encoded at once
 BIGRAMS, WORDS = 64, 32  # hashed letter pairs and words
 HIDDEN, GATE = 32, 16
 EPOCHS, STEPS, BATCH, RATE, DECAY = 25, 600, 64, 3e-3, 1e-4  # at least so many epochs and steps
