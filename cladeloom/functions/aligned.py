@@ -80,6 +80,17 @@ def gap_runs(ref: pd.Series, row: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(ref, row)])
 
 
+@pandas_udf(_structs(start=INT, end=INT, codon=T.StringType()))
+def frame_stops(ref: pd.Series, row: pd.Series) -> pd.Series:
+    """Stops read in the reference frame, at their reference positions."""
+    def one(a: str, b: str):
+        r, q = _arr(a), _arr(b)
+        bases = q[r != GAP]
+        return [(3 * int(i) + 1, 3 * int(i) + 3, bases[3 * i : 3 * i + 3].tobytes().decode()) for i in _triples(bases, _STOP)]
+
+    return pd.Series([one(a, b) for a, b in zip(ref, row)])
+
+
 @pandas_udf(T.ArrayType(INT))
 def frame_breaks(ref: pd.Series, row: pd.Series) -> pd.Series:
     return pd.Series([_breaks(_arr(a), _arr(b), 1).astype(np.int32) for a, b in zip(ref, row)])

@@ -56,13 +56,6 @@ def at_reference(ref: Column | str, row: Column | str) -> Column:
     return F.array_join(F.transform(kept, lambda p: p["q"]), "")
 
 
-def frame_stops(ref: Column | str, row: Column | str) -> Column:
-    """Stops read in the reference frame: array<struct<start, end, codon>> in 1-based reference positions."""
-    c = codons(F.upper(at_reference(ref, row)))
-    hits = F.transform(c, lambda x, i: F.struct((i * 3 + 1).alias("start"), (i * 3 + 3).alias("end"), x.alias("codon")))
-    return F.filter(hits, lambda h: h["codon"].isin(STOPS))
-
-
 def segment_orf(sseq: Column | str, qlen: Column | str) -> dict[str, Column]:
     """ORF fields of a translated search segment; stops are `*` or X."""
     s = F.replace(ungap(sseq), F.lit("*"), F.lit("X"))

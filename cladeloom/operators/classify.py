@@ -182,7 +182,7 @@ def parsimony_filter(types: DataFrame, chosen: DataFrame, tips: DataFrame, tree:
 
     chosen(unit, gene, node) one row per chosen event with the ORF node, tips(unit, species, state).
     """
-    st = parsimony_states(tips, tree)
+    st = parsimony_states(tips, tree, chosen)
     at = chosen.join(st, ["unit", "node"], "left")
     ok = at.groupBy("gene").agg(F.min(F.coalesce(F.col("can0") & ~F.col("can1"), F.lit(True))).alias("_ok"))
     j = types.join(ok, "gene", "left")

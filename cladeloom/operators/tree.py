@@ -6,14 +6,11 @@ common ancestor of a species set, which is what these operators compute.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..common import global_number
 from ..session import cut_lineage
@@ -212,12 +209,17 @@ def assign_tiers(species: DataFrame, tree: Tree, clade: Column, ladder: DataFram
 def resolve_names(names: DataFrame, taxonomy: DataFrame, levels: Sequence[tuple[str, Column, Column]]) -> DataFrame:
     """Taxon of each name at the first level with any candidate; several candidates at that level stay unresolved.
 
-    levels: (label, key of a name, key of a taxonomy name), in order; taxonomy(taxid, tax_name), names(name).
+    levels: (label, key of a name, key of a taxonomy name), in order; taxonomy(taxid, tax_name, rank), names(name). At level
+    `genus` only taxa of that rank are candidates; at level `species` those of that rank come before others.
     """
     out = None
     for i, (label, nk, tk) in enumerate(levels):
-        keys = taxonomy.select(tk.alias("_k"), "taxid").filter("_k <> ''").groupBy("_k").agg(
-            F.countDistinct("taxid").alias("n"), F.min("taxid").alias("taxid")
+        own = F.col("rank") == label
+        rows = taxonomy.filter(own) if label == "genus" else taxonomy
+        first = F.when(own, F.col("taxid")) if label == "species" else F.lit(None).cast(taxonomy.schema["taxid"].dataType)
+        keys = rows.select(tk.alias("_k"), "taxid", first.alias("_first")).filter("_k <> ''").groupBy("_k").agg(
+            F.when(F.count("_first") > 0, F.countDistinct("_first")).otherwise(F.countDistinct("taxid")).alias("n"),
+            F.coalesce(F.min("_first"), F.min("taxid")).alias("taxid"),
         )
         m = names.select("name", nk.alias("_k")).join(keys, "_k").select(
             "name", F.struct(F.lit(i).alias("i"), F.lit(label).alias("level"), "n", "taxid").alias("m")
@@ -281,47 +283,44 @@ def dollo_losses(units: DataFrame, presence: DataFrame, tree: Tree, unknown: Dat
     return j.filter(F.coalesce("_unknown", F.lit(0)) < F.col("_leaves")).select("unit", "origin", "branch")
 
 
-def parsimony_states(tips: DataFrame, tree: Tree, max_nodes: int = 10_000) -> DataFrame:
-    """States (0, 1) of every node over all most parsimonious assignments with unit cost.
+def parsimony_states(tips: DataFrame, tree: Tree, asked: DataFrame | None = None) -> DataFrame:
+    """States (0, 1) over all most parsimonious assignments with unit cost: (unit, node, can0, can1).
 
-    tips(unit, species, state) with state 0 or 1; a leaf that is not listed may be either. Returns (unit, node, can0,
-    can1). The tree is small and checked; the tips of a unit are one row, and each Arrow batch is solved with one numpy
-    operation per branch for all its units.
+    tips(unit, species, state) with state 0 or 1; a leaf that is not listed may be either. asked(unit, node) are the nodes wanted;
+    by default those at or above a listed leaf. Costs are summed level by level from the deepest nodes to the root, then the
+    cost of all else is passed down to the nodes asked for and those above them. A node without a listed leaf below costs
+    nothing, so it has no row on the way up.
     """
-    rows = tree.depth.join(tree.edges, "node", "left").orderBy("depth", "node").limit(max_nodes + 1).collect()
-    if len(rows) > max_nodes:
-        raise ValueError(f"parsimony_states expects a species tree of at most {max_nodes} nodes")
-    names = [r["node"] for r in rows]
-    index = {n: i for i, n in enumerate(names)}
-    parent = [index[r["parent"]] if r["parent"] is not None else -1 for r in rows]
-    m = F.map_from_entries(F.collect_set(F.struct("species", "state")))
-    wide = tips.groupBy("unit").agg(m.alias("tips"))
-    unit_type = tips.schema["unit"].dataType
-    node_type = tree.depth.schema["node"].dataType
-    schema = T.StructType([
-        T.StructField("unit", unit_type), T.StructField("node", T.ArrayType(node_type)),
-        T.StructField("can0", T.ArrayType(T.BooleanType())), T.StructField("can1", T.ArrayType(T.BooleanType())),
-    ])
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            n, k = len(pdf), len(names)
-            down = np.zeros((n, k, 2))
-            for i, t in enumerate(pdf["tips"]):
-                for species, state in t.items() if isinstance(t, dict) else t:
-                    down[i, index[species], 1 - state] = np.inf
-            best = lambda c: np.minimum(c, c[:, ::-1] + 1)
-            for x in range(k - 1, 0, -1):
-                down[:, parent[x]] += best(down[:, x])
-            up = np.zeros((n, k, 2))
-            for x in range(1, k):
-                rest = up[:, parent[x]] + down[:, parent[x]] - best(down[:, x])
-                up[:, x] = best(rest)
-            total = down + up
-            least = down[:, 0].min(axis=1)[:, None]
-            ok0, ok1 = total[:, :, 0] == least, total[:, :, 1] == least
-            yield pd.DataFrame({"unit": pdf["unit"], "node": [names] * n, "can0": list(ok0), "can1": list(ok1)})
-
-    out = wide.mapInPandas(solve, schema)
-    z = F.explode(F.arrays_zip("node", "can0", "can1")).alias("z")
-    return out.select("unit", z).select("unit", "z.*")
+    far = F.lit(1 << 40).cast("bigint")
+    place = tree.depth.join(tree.edges, "node", "left").select("node", "parent", "depth")
+    height = place.agg(F.max("depth")).first()[0]
+    cost = lambda s: F.when(F.max("state") == s, F.lit(0)).otherwise(far).cast("bigint").alias(f"c{s}")
+    leaf = tips.groupBy("unit", F.col("species").alias("node")).agg(cost(0), cost(1)).join(place, "node")
+    best = lambda x, y: F.least(F.col(x), F.col(y) + 1)
+    down: list[DataFrame] = []
+    for level in range(height, -1, -1):
+        own = leaf.filter(F.col("depth") == level).select("unit", "node", "c0", "c1")
+        if down:
+            kids = down[-1].join(place.select("node", "parent"), "node").select("unit", F.col("parent").alias("node"), best("c0", "c1").alias("c0"), best("c1", "c0").alias("c1"))
+            own = own.unionByName(kids)
+        down.append(cut_lineage(own.groupBy("unit", "node").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))))
+    down.reverse()
+    if asked is None:
+        asked = tips.select("unit", F.col("species").alias("node"))
+    above = tree.closure.select("node", "ancestor")
+    want = cut_lineage(asked.select("unit", "node").distinct().join(above, "node").select("unit", F.col("ancestor").alias("node")).distinct().join(place, "node"))
+    root = down[0].select("unit", F.least("c0", "c1").alias("least"))
+    up = down[0].withColumns({"u0": F.lit(0).cast("bigint"), "u1": F.lit(0).cast("bigint")})
+    rows = [up]
+    for level in range(1, height + 1):
+        x = want.filter(F.col("depth") == level).select("unit", "node", "parent").join(down[level], ["unit", "node"], "left").na.fill(0, ["c0", "c1"])
+        p = up.select("unit", F.col("node").alias("parent"), (F.col("u0") + F.col("c0")).alias("p0"), (F.col("u1") + F.col("c1")).alias("p1"))
+        x = x.join(p, ["unit", "parent"]).withColumns({"r0": F.col("p0") - best("c0", "c1"), "r1": F.col("p1") - best("c1", "c0")})
+        up = cut_lineage(x.select("unit", "node", "c0", "c1", best("r0", "r1").alias("u0"), best("r1", "r0").alias("u1")))
+        rows.append(up)
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    wanted = want.select("unit", "node")
+    is_least = lambda i: (F.col(f"u{i}") + F.col(f"c{i}") == F.col("least")).alias(f"can{i}")
+    return out.join(wanted, ["unit", "node"], "left_semi").join(root, "unit").select("unit", "node", is_least(0), is_least(1))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import classify as C
 from ..operators import runs as W
 from .registry import query, table
-from .sequence_queries import EV, events, frame_stops
+from .sequence_queries import CELL, EV, STOP, events, frame_stops
 from .tree_queries import leaf, lines, nation_tree
 
 EVS = EV + """, es AS (SELECT gene, focal, CAST(round(event * 100) AS BIGINT) AS event, CASE WHEN CAST(round(event * 100) AS BIGINT) % 2 = 0 THEN 'indel' ELSE 'stop' END AS kind, list(ix ORDER BY ix DESC) AS ixs FROM ev GROUP BY gene, focal, event HAVING count(*) >= 2),
@@ -136,7 +136,10 @@ def indel_reasons(spark, sf):
     return C.filter_indel_events(e, d, x.filter("l_returnflag = 'R'").select("gene", "event"))
 
 
-@query("inner_stops")
+@query(
+    "inner_stops",
+    f"""WITH {CELL}{STOP} SELECT sp.doc_id, CAST(3 * k + 1 AS INTEGER) AS start, CAST(3 * k + 3 AS INTEGER) AS "end", codon, n AS ref_len FROM sp JOIN nn ON nn.doc_id = sp.doc_id WHERE 3 * k + 3 < n""",
+)
 def inner_stops(spark, sf):
     from .sequence_queries import aln
     from ..functions.seq import ungap

@@ -15,8 +15,8 @@ REF = "ACGTACGTAC-TACGTACGTACG-AC"
 ROW = "ATGTACGTAGG-A-G-ACGTA-GTAC"
 
 DNA = f"""tx AS (SELECT doc_id, lower(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS t FROM documents),
- dna AS (SELECT doc_id, translate(t, '{LETTERS}', '{PLAIN}') AS dna FROM tx WHERE length(t) >= 6),
- aln AS (SELECT doc_id, translate(t, '{LETTERS}', '{REF}') AS ref, translate(t, '{LETTERS}', '{ROW}') AS qry FROM tx WHERE length(t) >= 6)"""
+ dna AS (SELECT doc_id, translate(t, '{LETTERS}', '{PLAIN}') AS dna FROM tx),
+ aln AS (SELECT doc_id, translate(t, '{LETTERS}', '{REF}') AS ref, translate(t, '{LETTERS}', '{ROW}') AS qry FROM tx)"""
 CELL = DNA + """, c0 AS (SELECT doc_id, unnest(string_split(ref, '')) AS r, unnest(string_split(qry, '')) AS q, unnest(range(1, length(ref) + 1)) AS i FROM aln),
  c AS (SELECT *, sum(CASE WHEN r <> '-' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM c0),
  nn AS (SELECT doc_id, length(replace(ref, '-', '')) AS n FROM aln)"""
@@ -30,7 +30,7 @@ BREAKS = RUNS + STOP + """, br AS (SELECT sp.doc_id, 3 * k + 1 AS p FROM sp JOIN
 
 def docs(spark, sf):
     t = F.lower(F.regexp_replace("text", "[^A-Za-z]", ""))
-    return table(spark, sf, "documents").select("doc_id", t.alias("t")).filter(F.length("t") >= 6)
+    return table(spark, sf, "documents").select("doc_id", t.alias("t"))
 
 
 def dna(spark, sf):
@@ -66,7 +66,7 @@ def edges(spark, sf):
 
 @query("frame_stops", f"WITH {CELL}{STOP} SELECT doc_id, CAST(3 * k + 1 AS INTEGER) AS start, CAST(3 * k + 3 AS INTEGER) AS \"end\", codon FROM sp")
 def frame_stops(spark, sf):
-    return aln(spark, sf).select("doc_id", F.explode(S.frame_stops("ref_text", "row_text")).alias("s")).select("doc_id", "s.*")
+    return aln(spark, sf).select("doc_id", F.explode(A.frame_stops("ref_text", "row_text")).alias("s")).select("doc_id", "s.*")
 
 
 @query(
@@ -186,7 +186,7 @@ def call_row(spark, sf):
     return A.orf_call(aln(spark, sf), "ref_text", "row_text", 3.0, 3.0, 1.0, measure="row").select("doc_id", "has_orf", "len_pct", "row_in_frame")
 
 
-PROT = f"{DNA}, pr AS (SELECT doc_id, translate(t, '{LETTERS}', 'ACDEF*HIKLMNPQRSTVWYX-CDEF') AS p FROM tx WHERE length(t) >= 6), ng AS (SELECT doc_id, length(p) AS qlen, replace(replace(p, '-', ''), '*', 'X') AS s FROM pr)"
+PROT = f"{DNA}, pr AS (SELECT doc_id, translate(t, '{LETTERS}', 'ACDEF*HIKLMNPQRSTVWYX-CDEF') AS p FROM tx), ng AS (SELECT doc_id, length(p) AS qlen, replace(replace(p, '-', ''), '*', 'X') AS s FROM pr)"
 
 
 @query(

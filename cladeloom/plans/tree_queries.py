@@ -158,16 +158,19 @@ def tiers(spark, sf):
 
 @query(
     "resolve_names",
-    """WITH tx AS (SELECT p_brand AS taxid, p_name AS tax_name FROM part WHERE p_size > 48), nm AS (SELECT DISTINCT p_name || ' ' || p_type AS name FROM part),
+    """WITH tx AS (SELECT p_brand AS taxid, p_name AS tax_name FROM part), nm AS (SELECT DISTINCT p_name || ' ' || p_type AS name FROM part),
     two AS (SELECT tax_name AS k, count(DISTINCT taxid) AS n, min(taxid) AS taxid FROM tx GROUP BY 1),
-    one AS (SELECT split_part(tax_name, ' ', 1) AS k, count(DISTINCT taxid) AS n, min(taxid) AS taxid FROM tx GROUP BY 1)
+    one AS (SELECT DISTINCT split_part(tax_name, ' ', 1) AS k, 1 AS n, 'G-' || split_part(tax_name, ' ', 1) AS taxid FROM tx WHERE substr(tax_name, 1, 1) > 'd')
     SELECT name, CASE WHEN two.n = 1 THEN two.taxid WHEN two.n IS NULL AND one.n = 1 THEN one.taxid END AS taxid,
       CASE WHEN coalesce(two.n, one.n) IS NULL THEN 'UNMATCHED' WHEN coalesce(two.n, one.n) > 1 THEN 'AMBIGUOUS' WHEN two.n IS NOT NULL THEN 'species' ELSE 'genus' END AS level
     FROM nm LEFT JOIN two ON two.k = split_part(name, ' ', 1) || ' ' || split_part(name, ' ', 2) LEFT JOIN one ON one.k = split_part(name, ' ', 1)""",
 )
 def resolve(spark, sf):
     p = table(spark, sf, "part")
-    tx = p.filter("p_size > 48").select(F.col("p_brand").alias("taxid"), F.col("p_name").alias("tax_name"))
+    # parts are species; first words after the letter d are genera
+    tx = p.select(F.col("p_brand").alias("taxid"), F.col("p_name").alias("tax_name"), F.lit("species").alias("rank"))
+    word = F.substring_index("p_name", " ", 1)
+    tx = tx.unionByName(p.filter("substr(p_name, 1, 1) > 'd'").select(F.concat(F.lit("G-"), word).alias("taxid"), word.alias("tax_name"), F.lit("genus").alias("rank")).distinct())
     nm = p.select(F.concat_ws(" ", "p_name", "p_type").alias("name")).distinct()
     levels = [(lv, taxon_key("name", lv), taxon_key("tax_name", lv)) for lv in ("exact", "species", "genus")]
     return H.resolve_names(nm, tx, levels)
@@ -222,20 +225,36 @@ def dollo_unknown(spark, sf):
     return H.dollo_losses(p.select("unit", F.lit(1).cast("bigint").alias("origin")).distinct(), p, t, u)
 
 
-@query("parsimony_states")
+def _parsimony_sql() -> str:
+    """Leaves are at depth 5 and the parent of i is i >> 1: costs up to the root, then down again."""
+    best = lambda d, a, b: f"least({d}.c{a}, {d}.c{b} + 1)"
+    down = "".join(f""",
+ d{k} AS (SELECT unit, node >> 1 AS node, sum({best('x', 0, 1)}) AS c0, sum({best('x', 1, 0)}) AS c1 FROM d{k + 1} x GROUP BY ALL)""" for k in range(4, -1, -1))
+    up = "".join(f""",
+ r{k} AS (SELECT x.*, p.u0 + p.c0 - {best('x', 0, 1)} AS r0, p.u1 + p.c1 - {best('x', 1, 0)} AS r1 FROM d{k} x JOIN u{k - 1} p ON p.unit = x.unit AND p.node = x.node >> 1),
+ u{k} AS (SELECT unit, node, c0, c1, least(r0, r1 + 1) AS u0, least(r1, r0 + 1) AS u1 FROM r{k})""" for k in range(1, 6))
+    every = " UNION ALL ".join(f"SELECT * FROM u{k}" for k in range(6))
+    return f"""WITH t AS (SELECT l_orderkey AS unit, 32 + s_nationkey AS node, max(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS state FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
+ d5 AS (SELECT unit, node, CASE WHEN state = 0 THEN 0 ELSE 1000000 END AS c0, CASE WHEN state = 1 THEN 0 ELSE 1000000 END AS c1 FROM t){down},
+ u0 AS (SELECT *, 0 AS u0, 0 AS u1 FROM d0){up}, m AS (SELECT unit, least(c0, c1) AS b FROM d0)
+ SELECT a.unit, a.node, a.u0 + a.c0 = b AS can0, a.u1 + a.c1 = b AS can1 FROM ({every}) a JOIN m ON m.unit = a.unit"""
+
+
+@query("parsimony_states", _parsimony_sql())
 def parsimony(spark, sf):
     x = lines(spark, sf).groupBy(F.col("l_orderkey").alias("unit"), leaf("s_nationkey").alias("species"))
     tips = x.agg(F.max(F.when(F.col("l_returnflag") == "A", 1).otherwise(0)).alias("state"))
     return H.parsimony_states(tips, nation_tree(spark, sf))
 
 
-# supplier-part graph of the largest shipments with the highest discount
-EDGE = "edge AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.09)"
+# customers and their orders
+EDGE = """edge AS (SELECT 'c' || o_custkey AS a, 'o' || o_orderkey AS b FROM orders)"""
 COMP = f"""RECURSIVE {EDGE}, e2 AS (SELECT a AS u, b AS v FROM edge UNION SELECT b, a FROM edge),
  reach AS (SELECT u, u AS w FROM e2 UNION SELECT e2.u, reach.w FROM reach JOIN e2 ON e2.v = reach.u),
  comp AS (SELECT u AS id, min(w) AS component FROM reach GROUP BY 1),
- allc AS (SELECT 'p' || p_partkey AS id, coalesce(component, 'p' || p_partkey) AS component, p_brand AS brand, p_size AS sz FROM part LEFT JOIN comp ON id = 'p' || p_partkey
-          UNION ALL SELECT 's' || s_suppkey, coalesce(component, 's' || s_suppkey), 'supplier', s_nationkey FROM supplier LEFT JOIN comp ON id = 's' || s_suppkey)"""
+ allc AS (SELECT 'o' || o_orderkey AS id, coalesce(component, 'o' || o_orderkey) AS component, o_orderkey % 50 AS sz FROM orders LEFT JOIN comp ON id = 'o' || o_orderkey
+          UNION ALL SELECT 'c' || c_custkey, coalesce(component, 'c' || c_custkey), c_nationkey FROM customer LEFT JOIN comp ON id = 'c' || c_custkey)"""
+
 
 
 def _id(prefix: str, c: str):
@@ -243,14 +262,12 @@ def _id(prefix: str, c: str):
 
 
 def vertices(spark, sf):
-    p = table(spark, sf, "part").select(_id("p", "p_partkey").alias("id"), F.col("p_brand").alias("brand"), F.col("p_size").alias("sz"))
-    s = table(spark, sf, "supplier").select(_id("s", "s_suppkey").alias("id"), F.lit("supplier").alias("brand"), F.col("s_nationkey").alias("sz"))
-    return p.unionByName(s)
+    o = table(spark, sf, "orders").select(_id("o", "o_orderkey").alias("id"), (F.col("o_orderkey") % 50).alias("sz"))
+    return o.unionByName(table(spark, sf, "customer").select(_id("c", "c_custkey").alias("id"), F.col("c_nationkey").alias("sz")))
 
 
 def edges(spark, sf):
-    x = table(spark, sf, "lineitem").filter("l_quantity >= 49 and l_discount >= 0.09")
-    return x.select(_id("s", "l_suppkey").alias("src"), _id("p", "l_partkey").alias("dst"))
+    return table(spark, sf, "orders").select(_id("c", "o_custkey").alias("src"), _id("o", "o_orderkey").alias("dst"))
 
 
 @query("connected_components", f"WITH {COMP} SELECT id, component FROM allc")
@@ -272,7 +289,7 @@ def loci(spark, sf):
     return G.build_loci(m, components(spark, sf), rank)
 
 
-HIT = """RECURSIVE hit AS (SELECT DISTINCT 'p' || p_partkey AS u, 'p' || (p_partkey * 7 % 1000) AS v FROM part WHERE p_size % 4 = 0),
+HIT = """RECURSIVE hit AS (SELECT DISTINCT 'p' || p_partkey AS u, 'p' || (p_partkey * 7 // 10 + 1) AS v FROM part),
  pt AS (SELECT 'p' || p_partkey AS id, p_brand AS species, length(p_name) AS length FROM part),
  fe AS (SELECT u, v FROM hit JOIN pt a ON a.id = u JOIN pt b ON b.id = v WHERE a.species = b.species AND u <> v),
  f2 AS (SELECT u, v FROM fe UNION SELECT v, u FROM fe), reach AS (SELECT u, u AS w FROM f2 UNION SELECT f2.u, reach.w FROM reach JOIN f2 ON f2.v = reach.u),
@@ -286,7 +303,8 @@ HIT = """RECURSIVE hit AS (SELECT DISTINCT 'p' || p_partkey AS u, 'p' || (p_part
 def families(spark, sf):
     p = table(spark, sf, "part")
     s = p.select(_id("p", "p_partkey").alias("id"), F.col("p_brand").alias("species"), F.length("p_name").alias("length"))
-    h = p.filter("p_size % 4 = 0").select(_id("p", "p_partkey").alias("query"), F.concat(F.lit("p"), (F.col("p_partkey") * 7 % 1000).cast("string")).alias("subject"))
+    near = F.floor(F.col("p_partkey") * 7 / 10) + 1
+    h = p.select(_id("p", "p_partkey").alias("query"), F.concat(F.lit("p"), near.cast("string")).alias("subject"))
     return G.families(s, h)
 
 
@@ -312,7 +330,7 @@ def mode_brand(spark, sf):
 
 # orders are loci, shipped parts their genes, brands the groups
 UNITS = """lo AS (SELECT o_orderkey AS locus, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'DNG' ELSE 'PDNG' END AS gene_type, o_custkey % 63 + 1 AS node FROM orders),
- me AS (SELECT l_orderkey AS locus, 32 + s_nationkey AS species, l_partkey AS gene, l_linenumber AS seq, p_brand || '-' || p_size AS "group" FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON p_partkey = l_partkey WHERE l_quantity > 25),
+ me AS (SELECT l_orderkey AS locus, 32 + s_nationkey AS species, l_partkey AS gene, l_linenumber AS seq, p_brand || '-' || p_size AS "group" FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON p_partkey = l_partkey),
  ct AS (SELECT locus, "group", count(*) AS n, min(seq) AS o FROM me GROUP BY ALL), hg AS (SELECT locus, arg_min("group", (-n, o, "group")) AS g FROM ct GROUP BY 1),
  un AS (SELECT lo.*, coalesce(g, 'SINGLETON_' || lo.locus) AS unit FROM lo LEFT JOIN hg ON hg.locus = lo.locus),
  sp AS (SELECT DISTINCT unit, un.locus, gene_type, species FROM un JOIN me ON me.locus = un.locus), dn AS (SELECT DISTINCT unit, species FROM sp WHERE gene_type = 'DNG'),
@@ -324,7 +342,7 @@ def unit_inputs(spark, sf):
     o = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("locus"), F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "DNG").otherwise("PDNG").alias("gene_type"),
         (F.col("o_custkey") % 63 + 1).alias("node"))
-    x = lines(spark, sf).filter("l_quantity > 25").select(
+    x = lines(spark, sf).select(
         F.col("l_orderkey").alias("locus"), leaf("s_nationkey").alias("species"), F.col("l_partkey").alias("gene"), F.col("l_linenumber").alias("seq"))
     g = lines(spark, sf).join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select(
         leaf("s_nationkey").alias("species"), F.col("l_partkey").alias("gene"), F.concat_ws("-", "p_brand", F.col("p_size").cast("string")).alias("group")).distinct()
@@ -356,7 +374,7 @@ def split(spark, sf):
     f"""WITH {SPLIT}, bl AS (SELECT DISTINCT (32 + n_nationkey) >> k AS branch FROM nation, range(0, 6) r(k)), le AS (SELECT branch, CASE WHEN branch % 10 = 0 THEN NULL ELSE branch % 7 * 1.5 END AS length FROM bl),
     bi AS (SELECT DISTINCT unit, gene_type, origin, origin_no FROM sl),
     c AS (SELECT le.branch, CAST(length AS DOUBLE) AS length, count(*) FILTER (bi.gene_type = 'DNG') AS db, count(*) FILTER (bi.gene_type = 'PDNG') AS pb FROM le LEFT JOIN bi ON bi.origin = le.branch GROUP BY ALL),
-    de AS (SELECT (32 + s_nationkey) >> 1 AS branch, count(*) FILTER (l_returnflag = 'A') AS dd, count(*) FILTER (l_returnflag <> 'A') AS pd FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity = 50 GROUP BY 1),
+    de AS (SELECT (32 + s_nationkey) >> 1 AS branch, count(*) FILTER (l_returnflag = 'A') AS dd, count(*) FILTER (l_returnflag <> 'A') AS pd FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1),
     j AS (SELECT c.*, coalesce(dd, 0) AS dd, coalesce(pd, 0) AS pd FROM c LEFT JOIN de ON de.branch = c.branch)
     SELECT branch, length, db AS "DNG_births", pb AS "PDNG_births", dd AS "DNG_deaths", pd AS "PDNG_deaths", db + pb AS "TDNG_births", dd + pd AS "TDNG_deaths",
       CASE WHEN length <> 0 THEN round(db / length, 3) END AS "DNG_birth_rate", CASE WHEN length <> 0 THEN round(pb / length, 3) END AS "PDNG_birth_rate",
@@ -366,7 +384,7 @@ def split(spark, sf):
 def rates(spark, sf):
     s = split(spark, sf)
     births = s.select("unit", "gene_type", "origin", "origin_no").distinct().select(F.col("origin").alias("branch"), "gene_type")
-    d = lines(spark, sf).filter("l_quantity = 50").select(
+    d = lines(spark, sf).select(
         F.floor(leaf("s_nationkey") / 2).alias("branch"), F.when(F.col("l_returnflag") == "A", "DNG").otherwise("PDNG").alias("gene_type"))
     b = nation_tree(spark, sf).depth.select(F.col("node").alias("branch"))
     b = b.withColumn("length", F.when(F.col("branch") % 10 != 0, (F.col("branch") % 7 * 1.5).cast("double")))

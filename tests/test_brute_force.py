@@ -36,7 +36,8 @@ def test_parsimony_states(spark):
     tips = {u: {s: rng.choice([0, 1, None]) for s in LEAVES} for u in range(25)}
     rows = [(u, s, v) for u, t in tips.items() for s, v in t.items() if v is not None]
     got = {}
-    for r in H.parsimony_states(spark.createDataFrame(rows, "unit long, species string, state int"), toy_tree(spark)).collect():
+    asked = spark.createDataFrame([(u, n) for u in tips for n in LEAVES + INNER], "unit long, node string")
+    for r in H.parsimony_states(spark.createDataFrame(rows, "unit long, species string, state int"), toy_tree(spark), asked).collect():
         got[(r.unit, r.node)] = {s for s, ok in ((0, r.can0), (1, r.can1)) if ok}
     nodes = LEAVES + INNER
     for u, t in tips.items():
