@@ -171,23 +171,17 @@ def subtract_intervals(
     return sw.select(*keys, F.col("pos").alias(start), (F.col("_close") - 1).alias(end))
 
 
-def overlap_join(
+def meetings(
     a: DataFrame,
     b: DataFrame,
     keys: Sequence[str],
     a_span: tuple[str, str],
     b_span: tuple[str, str],
-    width: int = WIDTH,
-    levels: int = 4,
-    factor: int = 16,
+    width: int,
+    levels: int,
+    factor: int,
 ) -> DataFrame:
-    """All pairs of overlapping intervals with equal keys; touching inclusive ends overlap.
-
-    Intervals are filed on a ladder of bin widths. Each takes the level where it spans at most two bins (the top level
-    takes whatever is longer) and is also filed on the coarser levels; a pair meets on the coarser of its two levels, in
-    the first bin they share. A long interval therefore costs a few rows, not one per bin. All other column names of the
-    two frames must differ.
-    """
+    """Pairs of intervals that share a cell of the ladder, before their spans are compared; see `overlap_join`."""
 
     def filed(df: DataFrame, span: tuple[str, str], own: str) -> DataFrame:
         s, e = (F.col(x).cast("bigint") for x in span)
@@ -207,8 +201,27 @@ def overlap_join(
     on = [*keys, "_level", "_cell"]
     # rows of their own level meet all of the other side; coarser copies meet only rows whose own level that is, so two short
     # intervals never meet on a coarse level
-    j = fa.filter("_la").join(fb, on).unionByName(fa.filter("not _la").join(fb.filter("_lb"), on))
-    j = j.filter(
+    return fa.filter("_la").join(fb, on).unionByName(fa.filter("not _la").join(fb.filter("_lb"), on))
+
+
+def overlap_join(
+    a: DataFrame,
+    b: DataFrame,
+    keys: Sequence[str],
+    a_span: tuple[str, str],
+    b_span: tuple[str, str],
+    width: int = WIDTH,
+    levels: int = 4,
+    factor: int = 16,
+) -> DataFrame:
+    """All pairs of overlapping intervals with equal keys; touching inclusive ends overlap.
+
+    Intervals are filed on a ladder of bin widths. Each takes the level where it spans at most two bins (the top level
+    takes whatever is longer) and is also filed on the coarser levels; a pair meets on the coarser of its two levels, in
+    the first bin they share. A long interval therefore costs a few rows, not one per bin. All other column names of the
+    two frames must differ.
+    """
+    j = meetings(a, b, keys, a_span, b_span, width, levels, factor).filter(
         (F.col("_cell") == F.greatest("_la_lo", "_lb_lo"))
         & (F.col(a_span[0]) <= F.col(b_span[1]))
         & (F.col(b_span[0]) <= F.col(a_span[1]))

@@ -6,9 +6,12 @@ import random
 from pyspark.sql import functions as F
 
 from cladeloom.functions import aligned as A
+from cladeloom.functions import ids as ids_f
+from cladeloom.operators import evidence as E
 from cladeloom.operators import graph as G
 from cladeloom.operators import intervals as I
 from cladeloom.operators import overlap as O
+from cladeloom.operators import records as R
 from cladeloom.operators import runs as W
 from cladeloom.operators import tree as H
 
@@ -185,3 +188,80 @@ def test_overlap_classes(spark):
                                  "locus string, chrom string, start long, end long, strand string, status string, own_gene string")
     got = {r.locus: (r.orientation, r.other_gene) for r in O.classify_overlap(loci, g, cds, loci.select(F.col("own_gene").alias("gene"))).collect()}
     assert got == {"L1": ("same_strand_cds_overlap", "cds"), "L2": ("antisense_overlap", "anti"), "L3": ("down_same", "left"), "L4": ("intergenic", None), "L9": ("own_gene_not_found", None)}
+
+
+def rows_of(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+def test_short_intervals_never_meet_on_coarse_levels(spark):
+    """One key, short intervals far apart: the pairs that meet before spans are compared grow as the rows do."""
+
+    def met(n):
+        a = spark.range(n).selectExpr("1 AS k", "id * 5000 AS s", "id * 5000 + 9 AS e", "id AS i")
+        b = spark.range(n).selectExpr("1 AS k", "id * 5000 + 5 AS bs", "id * 5000 + 14 AS be", "id AS j")
+        span = ["k"], ("s", "e"), ("bs", "be")
+        assert I.overlap_join(a, b, *span).count() == n
+        return I.meetings(a, b, *span, I.WIDTH, 4, 16).count()
+
+    few, many = met(1000), met(2000)
+    assert many < 2.2 * few
+
+
+def test_long_and_short_intervals_meet(spark):
+    rng = random.Random(5)
+    a = [(1, s := rng.randint(0, 10**6), s + rng.choice([0, 5, 300, 50_000, 900_000]), i) for i in range(80)]
+    b = [(1, s := rng.randint(0, 10**6), s + rng.choice([0, 5, 300, 50_000, 900_000]), i) for i in range(80)]
+    got = I.overlap_join(rows_of(spark, a, "k int, s long, e long, i int"), rows_of(spark, b, "k int, bs long, be long, j int"), ["k"], ("s", "e"), ("bs", "be"))
+    want = sorted((x[3], y[3]) for x in a for y in b if x[1] <= y[2] and y[1] <= x[2])
+    assert sorted((r["i"], r["j"]) for r in got.collect()) == want
+
+
+def test_natural_key_beyond_any_width(spark):
+    ids = ["c" + "9" * 20, "c1" + "0" * 24, "c2", "c10", "c010", "d", "c", "c1b10", "c1b9"]
+    df = rows_of(spark, [(i,) for i in ids], "x string")
+    got = [r["x"] for r in df.orderBy(ids_f.natural_key("x"), "x").collect()]
+    assert got == ["c", "c1b9", "c1b10", "c2", "c010", "c10", "c" + "9" * 20, "c1" + "0" * 24, "d"]
+
+
+def test_loose_ids_keep_numbers_apart(spark):
+    rows = [("AT1G01010", "arabidopsis_thaliana"), ("AT1G01011", "arabidopsis_thaliana"), ("db|arabidopsis_AT1G01010.1|x", "arabidopsis_thaliana"), ("at1g01010.p1", None), ("g_12_3.t2", "s")]
+    got = [r[0] for r in rows_of(spark, rows, "x string, sp string").select(ids_f.loose_id("x", "sp")).collect()]
+    assert got[:3] == ["at1g01010", "at1g01011", "at1g01010"] and got[4] == "g.12.3"
+
+
+def test_first_listed_line_wins_ties(spark):
+    rows = [("g", "t", "A_b", 1e-9, 50.0, 95.0, 1, 90, 1, 90, 100, 100, 1), ("g", "t", "A_b", 1e-9, 50.0, 40.0, 1, 90, 1, 90, 100, 100, 2)]
+    cols = "gene_id string, target string, target_species string, evalue double, bitscore double, pident double, qstart int, qend int, sstart int, send int, qlen int, slen int, line int"
+    r = E.evaluate_hits(rows_of(spark, rows, cols), E.HitRules(min_pident=50.0)).first()
+    assert r["pident"] == 95.0 and r["counts_as_hit"]
+    r = E.evaluate_hits(rows_of(spark, rows, cols), E.HitRules(not_counted_taxa=("A",))).first()
+    assert r["note"] == "own_clade:A" and r["in_phylogeny"]
+
+
+def test_excluded_files_and_tags(spark):
+    rows = [("Genus_one", "a", "MK"), ("Genus_two", "b__Genus_one", "MK"), ("Genus_two", "c__7x", "M*")]
+    kept, table, bad = R.build_reference_set(rows_of(spark, rows, "file_species string, id string, seq string"), ["genus ONE"])
+    assert sorted(r["id"] for r in kept.collect()) == ["b__Genus_one", "c__7x__Genus_two"]
+    got = {r["file_species"]: (r["n_sequences"], r["n_tagged"], r["n_odd"], r["status"]) for r in table.collect()}
+    assert got == {"Genus_one": (1, 0, 0, "EXCLUDED"), "Genus_two": (2, 1, 1, "INCLUDED")} and bad.isEmpty()
+    one = rows_of(spark, [("a__b rest", "f")], "header string, file string")
+    assert R.tag_ids(one, "header", "file", species="S p").first()["tagged_id"] == "a__b__S_p"
+    assert R.tag_ids(one, "header", "file", species="S p", remove=True).first()["tagged_id"] == "a__S_p"
+
+
+def test_cycles_are_found(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        H.tree_tables(rows_of(spark, [("a", "r"), ("b", "c"), ("c", "d"), ("d", "b")], "node string, parent string"))
+
+
+def test_ancestors_by_preorder(spark):
+    tree = toy_tree(spark)
+    rng = random.Random(4)
+    sets = {k: rng.sample(LEAVES + INNER, rng.randint(1, 4)) for k in range(40)}
+    got = {r["k"]: r["lca"] for r in H.lca(rows_of(spark, [(k, n) for k, s in sets.items() for n in s], "k int, node string"), tree, "k").collect()}
+    for k, s in sets.items():
+        holds = [n for n in LEAVES + INNER if set(s) <= below(n)]
+        assert got[k] == min(holds, key=lambda n: len(below(n)))
