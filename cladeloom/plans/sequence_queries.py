@@ -282,14 +282,26 @@ def jump(spark, sf):
     return W.jump_filter(block_rows(spark, sf), 400)[0]
 
 
-@query("collinear_chains")
+CHAINS = f"""RECURSIVE {BLK}, o AS (SELECT *, start + size AS e, row_number() OVER (PARTITION BY exon, taxon, contig ORDER BY block_ix) AS rn FROM bl),
+ ch AS (SELECT exon, taxon, contig, block_ix, start, e, size, rn, block_ix AS chain, start AS cs FROM o WHERE rn = 1 UNION ALL
+   SELECT o.exon, o.taxon, o.contig, o.block_ix, o.start, o.e, o.size, o.rn, CASE WHEN o.start < ch.e OR o.e > ch.cs + 600 THEN o.block_ix ELSE ch.chain END,
+     CASE WHEN o.start < ch.e OR o.e > ch.cs + 600 THEN o.start ELSE ch.cs END
+   FROM ch JOIN o ON o.exon = ch.exon AND o.taxon = ch.taxon AND o.contig = ch.contig AND o.rn = ch.rn + 1)"""
+
+
+@query("collinear_chains", f"""WITH {CHAINS} SELECT exon AS locus, taxon, block_ix AS ix, contig, '+' AS strand, start, e AS "end", size AS bases, chain FROM ch""")
 def chains(spark, sf):
     r = block_rows(spark, sf)
     x = r.select(F.col("exon").alias("locus"), "taxon", F.col("block_ix").alias("ix"), "contig", F.lit("+").alias("strand"), "start", (F.col("start") + F.col("size")).alias("end"), F.col("size").alias("bases"))
     return W.collinear_chains(x, 600)
 
 
-@query("dominant_chain")
+@query(
+    "dominant_chain",
+    f"""WITH {CHAINS}, c AS (SELECT exon AS locus, taxon, contig, chain, CAST(sum(size) AS BIGINT) AS bases, count(*) AS n_exons, max(e) - min(start) AS span, min(start) AS lo, max(e) AS hi FROM ch GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY locus, taxon ORDER BY bases DESC, n_exons DESC, span, contig, chain) AS rn FROM c)
+    SELECT locus, taxon, contig, '+' AS strand, chain, bases, n_exons, span, lo, hi FROM r WHERE rn = 1""",
+)
 def dominant(spark, sf):
     return W.dominant_chain(chains(spark, sf))
 
