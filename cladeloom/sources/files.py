@@ -56,7 +56,8 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 def read_hits_tabular(spark: SparkSession, path: str, fields: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(hits, queries): a query is confirmed if a footer counts as many queries as were seen since the last one; one such group is enough.
 
-    Other queries are unconfirmed and must become NOT_RUN, never "no hit". A row with a wrong number of columns is an error.
+    Other queries are unconfirmed and must become NOT_RUN, never "no hit". A row with a wrong number of columns is an error, and so are
+    hits in a file that names no search program.
     """
     fields = fields or HIT_FIELDS
     x = _lines(spark, path)
@@ -69,8 +70,11 @@ def read_hits_tabular(spark: SparkSession, path: str, fields: list[str] | None =
     q = marks.filter("_query <> ''").join(g, ["file", "_batch"]).groupBy(F.col("_query").alias("query")).agg(
         F.max(F.coalesce(F.col("_n") == F.col("_said"), F.lit(False))).alias("confirmed"))
     c = F.split("line", "\t")
-    data = x.filter("line <> '' and not startswith(line, '#')").withColumn("_c", c)
-    ok = F.when(F.size("_c") == len(fields), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("wrong column count: "), F.col("line"))).cast("boolean"))
+    # fixed value: the line with which a search program starts its part of a file
+    named = x.filter(F.col("line").rlike(r"^# \S*BLAST\S* \d")).select("file").distinct().withColumn("_named", F.lit(True))
+    data = x.filter("line <> '' and not startswith(line, '#')").withColumn("_c", c).join(named, "file", "left")
+    wrong = F.when(F.col("_named").isNull(), F.concat(F.lit("no program header in "), F.col("file"))).when(F.size("_c") != len(fields), F.concat(F.lit("wrong column count: "), F.col("line")))
+    ok = F.when(wrong.isNull(), F.lit(True)).otherwise(F.raise_error(wrong).cast("boolean"))
     hits = data.filter(ok).select("file", "pos", *[F.col("_c")[i].cast(TYPES.get(f, "int")).alias(f) for i, f in enumerate(fields)])
     return hits, q
 

@@ -1,16 +1,24 @@
 """Search outputs are trusted only with proof that the search finished."""
 
+import pytest
+
 from cladeloom.sources import files as S
 
 
 def test_hits_need_a_matching_footer(spark, tmp_path):
     hit = "\t".join(["q1", "t", "99.0", "10", "0", "0", "1", "10", "1", "10", "6.1e-110", "50", "20", "30"])
-    (tmp_path / "a.tsv").write_text(f"# Query: q1\n{hit}\n# Query: q2\n# BLAST processed 2 queries\n# Query: q3\n")
+    (tmp_path / "a.tsv").write_text(f"# BLASTP 2.17.0+\n# Query: q1\n{hit}\n# Query: q2\n# BLAST processed 2 queries\n# Query: q3\n")
     (tmp_path / "b.tsv").write_text("# Query: q4\n# BLAST processed 3 queries\n")
     hits, q = S.read_hits_tabular(spark, str(tmp_path))
     assert {r["query"]: r.confirmed for r in q.collect()} == {"q1": True, "q2": True, "q3": False, "q4": False}
     r = hits.collect()
     assert len(r) == 1 and r[0].evalue == 6.1e-110 and r[0].qend == 10
+    # one good group confirms a query, whatever its others say
+    (tmp_path / "c.tsv").write_text("# BLASTP 2.17.0+\n# Query: q5\n# BLAST processed 1 queries\n# Query: q5\n# BLAST processed 9 queries\n")
+    assert {r["query"]: r.confirmed for r in S.read_hits_tabular(spark, str(tmp_path / "c.tsv"))[1].collect()} == {"q5": True}
+    (tmp_path / "d.tsv").write_text(f"# Query: q6\n{hit}\n# BLAST processed 1 queries\n")
+    with pytest.raises(Exception, match="no program header"):
+        S.read_hits_tabular(spark, str(tmp_path / "d.tsv"))[0].collect()
 
 
 def test_domain_table_needs_its_last_line(spark, tmp_path):
