@@ -21,7 +21,8 @@ CHUNK = 1 << 16  # shingles whose bits are counted at once
 CLASSES = 24  # shingle classes that a text is fingerprinted in, at most
 CLASS_SHINGLES = 4  # shingles a class has at least, on average
 MEMBERS = 500  # texts that one task compares with a leader
-ROUNDS = 3
+ROUNDS = 3  # of comparisons with leaders, before what is left of the buckets is compared in full
+PART = 256  # texts of a bucket that are held while others pass
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -308,6 +309,70 @@ def _compare(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "turn").mapInArrow(_verified(similarity), "u long, v long")
 
 
+def _crossed(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by (bucket, a, b, side): the texts of part a (side 0) are held under their shingles, those of part b pass.
+
+        Only links between texts that no links join yet go out.
+        """
+        key = None
+        for batch in batches:
+            out = []
+            for bucket, a, b, side, th, root, raw in zip(*(batch.column(i) for i in range(7)), strict=True):
+                if key != (own_key := (bucket.as_py(), a.as_py(), b.as_py())):
+                    key, held, index, up = own_key, [], None, {}
+                th, root, own = th.as_py(), root.as_py(), np.frombuffer(raw.as_py(), np.uint32)
+                if side.as_py() == 0:
+                    held.append((th, root, own))
+                    continue
+                if index is None:
+                    size = np.array([len(x[2]) for x in held], np.int64)
+                    value = np.concatenate([x[2] for x in held])
+                    order = np.argsort(value, kind="stable")
+                    index, owner = value[order], np.repeat(np.arange(len(held)), size)[order]
+                low = np.searchsorted(index, own, "left")
+                n = np.searchsorted(index, own, "right") - low
+                at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(held))
+                for i in np.flatnonzero((both > 0) & (both >= similarity * (size + len(own) - both) - 1e-9)):
+                    x, y = held[i][1], root
+                    while x in up:
+                        x = up[x]
+                    while y in up:
+                        y = up[y]
+                    if x != y:
+                        up[max(x, y)] = min(x, y)
+                        out.append((th, held[i][0]))
+            cols = [list(c) for c in zip(*out, strict=True)] or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["u", "v"])
+
+    return run
+
+
+def _rest(members: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between texts that share a bucket but no component: all such pairs are compared, so none is missed.
+
+    Buckets of one component, of two texts (compared with each other in the first round) or of the same texts as another drop
+    out. The others are cut in parts of about PART texts and each pair of parts is a task's work. A component of more texts has parts
+    of its own, which are not compared with each other.
+    """
+    own = members.join(roots, F.col("th") == F.col("node"), "left").select("bucket", "th", F.coalesce("root", "th").alias("root"))
+    per = own.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.min("th").alias("first"), F.max("th").alias("last"), F.bit_xor(F.xxhash64("th")).alias("all"))
+    mixed = per.where("low <> high and n > 2").groupBy("n", "first", "last", "all").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
+    own = written(own.join(mixed, "bucket"), "mixed")
+    sizes = own.groupBy("bucket", "root").agg(F.count("*").alias("own"))
+    salt = lambda c, n: F.pmod(F.xxhash64(c, F.lit("part")), F.ceil(F.col(n) / PART))
+    large = F.col("own") > PART
+    part = F.when(large, F.xxhash64("root", salt("th", "own"))).otherwise(salt("root", "n"))
+    own = written(own.join(sizes, ["bucket", "root"]).select("bucket", "th", "root", part.alias("part"), F.when(large, F.col("root")).alias("pure")), "parts")
+    parts = own.select("bucket", "part", "pure").distinct()
+    a, b = (parts.select("bucket", F.col("part").alias(c), F.col("pure").alias(f"pure_{c}")) for c in "ab")
+    pairs = a.join(b, "bucket").where("a <= b and not coalesce(pure_a = pure_b, false)").select("bucket", "a", "b").distinct()
+    sides = pairs.select("bucket", "a", "b", F.lit(0).alias("side"), F.col("a").alias("part")).union(pairs.select("bucket", "a", "b", F.lit(1).alias("side"), F.col("b").alias("part")))
+    rows = own.select("bucket", "th", "root", "part").join(sides, ["bucket", "part"]).join(sets, "th").select("bucket", "a", "b", "side", "th", "root", "own")
+    return rows.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "side").mapInArrow(_crossed(similarity), "u long, v long")
+
+
 def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 2) -> tuple[DataFrame, DataFrame]:
     """(doc_id, th, finds) of the rows and (th, root) of the texts in a group of several: texts whose shingle sets have at least the Jaccard
     similarity link, equal texts (one th, the xxhash64 of the text) always do.
@@ -316,40 +381,44 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
     fingerprints within the radius, the candidates are texts that share the SimHash of one of their shingle classes: a class
     of 4 to 8 shingles is equal with probability 0.8^6 or so at similarity 0.8, and one of 24 with over 0.99. In each such
     bucket every text is compared with one leader, the text with the most company in its buckets; texts that are not linked
-    are compared again, with new leaders, ROUNDS times. Shingles are compared as 32-bit hashes.
+    are compared again, with new leaders, ROUNDS times. Then all pairs of texts of one bucket that are not of one component
+    yet are compared: no two candidates stay untested unless other links join them. Texts with near fingerprints are a bucket as well.
+    Shingles are compared as 32-bit hashes.
     """
     text = F.col("text").cast("string")
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), F.coalesce(text, F.lit("")).alias("text"))
     seen = written(texts.mapInArrow(_described(shingle, similarity), "doc_id long, th long, fp long, classes array<long>"), "described")
     rows = written(seen.groupBy("doc_id", "th").agg(F.count("*").alias("finds"), F.first("fp").alias("fp")), "rows")
     kinds = written(rows.groupBy("th").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("low")), "kinds")
-    members = written(seen.select("th", F.explode("classes").alias("bucket")).distinct(), "members")
+    # whole fingerprints within the radius share a bucket
+    near = components(gray_links(kinds, radius))
+    close = kinds.select("fp", "th").join(near, F.col("fp") == F.col("node"), "left").select("th", F.xxhash64(F.coalesce("root", "fp"), F.lit("near")).alias("bucket"))
+    members = written(seen.select("th", F.explode("classes").alias("bucket")).union(close).distinct(), "members")
     shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = written(members.join(shared, "bucket"), "shared")
     weight = members.groupBy("th").agg(F.sum(F.log("size")).alias("weight"))
-    members = written(members.join(weight, "th").select("bucket", "th", "weight"), "weighted")
-    # whole fingerprints within the radius: candidates of the first round
-    lows = kinds.groupBy("fp").agg(F.min("th").alias("leader"))
-    near = components(gray_links(kinds, radius))
-    close = kinds.select("fp", "th").join(near, F.col("fp") == F.col("node"), "left").select("th", F.coalesce("root", "fp").alias("fp")).join(lows, "fp")
-    first = close.where("th <> leader").select("th", "leader")
-    ends = members.select("th").union(first.select("th")).union(first.select("leader")).distinct()
-    pick = written(kinds.join(ends, "th").select("th", F.col("low").alias("doc_id")), "ends")
+    members = every = written(members.join(weight, "th").select("bucket", "th", "weight"), "weighted")
+    pick = written(kinds.join(members.select("th").distinct(), "th").select("th", F.col("low").alias("doc_id")), "ends")
     full = texts.where(likely(pick, "th", F.col("th"))).alias("t").join(pick.alias("p"), F.col("t.th").eqNullSafe(F.col("p.th")) & F.col("t.doc_id").eqNullSafe(F.col("p.doc_id")))
     sets = written(full.select("t.th", "t.text").mapInArrow(_sets(shingle), "th long, own binary"), "sets")
     links = None
     for _ in range(ROUNDS):
         lead = members.groupBy("bucket").agg(F.max_by("th", F.struct("weight", "th")).alias("leader"), F.count("*").alias("n")).where("n > 1")
-        led = members.join(lead, "bucket")
-        edges = led.where("th <> leader").select("th", "leader")
-        edges = written((edges.union(first) if links is None else edges).distinct(), "edges")
+        edges = members.join(lead, "bucket").where("th <> leader").select("th", "leader")
+        edges = written(edges.distinct(), "edges")
         if edges.isEmpty():
             break
         good = written(_compare(edges, sets, similarity), "verified")
         links = good if links is None else links.union(good)
         done = good.select(F.col("u").alias("th")).union(edges.select(F.col("leader").alias("th"))).distinct()
         members = written(members.join(done, "th", "left_anti"), "left")
-    roots = components(links) if links is not None else kinds.select(F.col("th").alias("node"), F.col("th").alias("root")).limit(0)
+    if links is None:
+        roots = kinds.select(F.col("th").alias("node"), F.col("th").alias("root")).limit(0)
+    else:
+        roots = components(links)
+        rest = written(_rest(every, roots, sets, similarity), "rest")
+        if not rest.isEmpty():
+            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(rest))
     groups = kinds.select("th").join(roots, F.col("th") == F.col("node"), "left").select("th", F.coalesce("root", "th").alias("root"))
     return rows, groups
 

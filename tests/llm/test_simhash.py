@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from cladeloom.llm import simhash
@@ -115,3 +116,46 @@ def test_keep_one_matches_brute_force(spark):
     assert len(got) == len(want)
     assert got == sorted(str(w) for w in want)
     assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def groups_by_hand(rows, similarity=0.8):
+    sets, root = [shingle_set(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(rows)):
+        for b in range(a):
+            n = len(sets[a] & sets[b])
+            if n and n >= similarity * (len(sets[a]) + len(sets[b]) - n):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(i) for i in range(len(rows))]
+
+
+def test_one_bucket_is_searched_whole(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PART", 8, raising=False)
+    plain = simhash._described
+
+    def one_bucket(*args):
+        run = plain(*args)
+
+        def all_in_one(batches):
+            for b in run(batches):
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([[1]] * b.num_rows, pa.list_(pa.int64()))], ["doc_id", "th", "fp", "classes"])
+
+        return all_in_one
+
+    monkeypatch.setattr(simhash, "_described", one_bucket)
+    rng = np.random.default_rng(21)
+    words, rows = [f"w{i}" for i in range(4000)], []
+    for _ in range(3):  # groups that drift: most of their texts are near to a few others only
+        own = list(rng.choice(words, 120))
+        for _ in range(25):
+            for _ in range(2):
+                own[int(rng.integers(len(own)))] = str(rng.choice(words))
+            rows.append((len(rows), " ".join(own)))
+    hand = groups_by_hand(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted(set(hand))
