@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,9 @@ CHUNK = 1 << 16  # shingles whose bits are counted at once
 CLASSES = 24  # shingle classes that a text is fingerprinted in, at most
 CLASS_SHINGLES = 4  # shingles a class has at least, on average
 MEMBERS = 500  # texts that one task compares with a leader
+PREFIX_BELOW = 200  # shingles: a pair with a smaller text is looked for by single shingles
+SAMPLE = 20_000  # texts whose shingles are counted, about
+COMMON = 10  # times that a shingle is in the sample, from which it is put behind rarer ones
 ROUNDS = 3  # of comparisons with leaders, before what is left of the buckets is compared in full
 PART = 256  # texts of a bucket that are held while others pass
 
@@ -253,7 +257,51 @@ def class_fingerprints(hashes: np.ndarray, similarity: float) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def _described(k: int, similarity: float):
+def prefix_codes(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first n - ceil(similarity n) + 1 of n distinct shingles in one order of all shingles: two texts at the similarity share one of them.
+
+    The order is by the count in `common` (hashes in ascending order, counts), then by hash.
+    """
+    n = len(hashes)
+    keys, counts = common
+    if n and len(keys):
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        hashes = hashes[np.lexsort((hashes, np.where(keys[at] == hashes, counts[at], 0)))]
+    return hashes[: n - math.ceil(similarity * n - 1e-9) + 1]
+
+
+def bucket_codes(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The buckets of a text by its distinct shingles in ascending order: of classes from PREFIX_BELOW shingles, and single ones where the
+    smaller text of a pair may have fewer."""
+    n = len(hashes)
+    few = prefix_codes(hashes, similarity, common) if n * similarity < PREFIX_BELOW else np.empty(0, np.uint64)
+    return np.concatenate((few, class_fingerprints(hashes, similarity))) if n >= PREFIX_BELOW else few
+
+
+def _short_shingles(k: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.unique(shingle_hashes(t.as_py(), k)) for t in batch.column(0)]
+            own = [h for h in own if len(h) * similarity < PREFIX_BELOW]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *own]).view(np.int64))], ["h"])
+
+    return run
+
+
+def common_shingles(texts: DataFrame, k: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are in COMMON or more of a sample of about SAMPLE short texts, with their counts: a bounded number.
+
+    They only order the shingles, so what the sample lacks costs comparisons, not links.
+    """
+    every = max(1, texts.count() // SAMPLE)
+    some = texts.where(F.pmod(F.xxhash64("th", F.lit("sample")), F.lit(every)) == 0).select("th", "text").dropDuplicates(["th"]).select("text")
+    counts = some.mapInArrow(_short_shingles(k, similarity), "h long").groupBy("h").count().where(F.col("count") >= COMMON).collect()
+    hashes, n = np.array([r["h"] for r in counts], np.int64).view(np.uint64), np.array([r["count"] for r in counts], np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def _described(k: int, similarity: float, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
@@ -262,7 +310,7 @@ def _described(k: int, similarity: float):
                 for t in part.column(2):
                     h = shingle_hashes(t.as_py(), k)
                     fps.append(fingerprint(h))
-                    classes.append(class_fingerprints(np.unique(h), similarity).view(np.int64))
+                    classes.append(bucket_codes(np.unique(h), similarity, common.value).view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(c) for c in classes]), pa.int32()), pa.array(np.concatenate(classes)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), lists], ["doc_id", "th", "fp", "classes"])
 
@@ -379,7 +427,9 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
 
     At similarity 0.8 fingerprints of whole texts differ in up to 16 of 64 bits, beyond what an index can prune. So, besides whole
     fingerprints within the radius, the candidates are texts that share the SimHash of one of their shingle classes: a class
-    of 4 to 8 shingles is equal with probability 0.8^6 or so at similarity 0.8, and one of 24 with over 0.99. In each such
+    of 4 to 8 shingles is equal with probability 0.8^6 or so at similarity 0.8, and one of 24 with over 0.99. Shorter texts have
+    too few classes for that; they, and texts up to 1 / similarity times longer, are candidates if they share one of
+    the rarest shingles of an exact prefix filter. In each such
     bucket every text is compared with one leader, the text with the most company in its buckets; texts that are not linked
     are compared again, with new leaders, ROUNDS times. Then all pairs of texts of one bucket that are not of one component
     yet are compared: no two candidates stay untested unless other links join them. Texts with near fingerprints are a bucket as well.
@@ -387,7 +437,8 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
     """
     text = F.col("text").cast("string")
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), F.coalesce(text, F.lit("")).alias("text"))
-    seen = written(texts.mapInArrow(_described(shingle, similarity), "doc_id long, th long, fp long, classes array<long>"), "described")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, shingle, similarity))
+    seen = written(texts.mapInArrow(_described(shingle, similarity, common), "doc_id long, th long, fp long, classes array<long>"), "described")
     rows = written(seen.groupBy("doc_id", "th").agg(F.count("*").alias("finds"), F.first("fp").alias("fp")), "rows")
     kinds = written(rows.groupBy("th").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("low")), "kinds")
     # whole fingerprints within the radius share a bucket

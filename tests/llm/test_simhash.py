@@ -159,3 +159,19 @@ def test_one_bucket_is_searched_whole(spark, monkeypatch):
     hand = groups_by_hand(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted(set(hand))
+
+
+def test_short_texts_match_brute_force(spark):
+    rng = np.random.default_rng(4)
+    words, rows = [f"w{i}" for i in range(3000)], []
+    for n in [*range(5, 31), 60, 120, 195, 203, 204, 210, 240] * 2:
+        own = list(rng.choice(words, n))
+        more = max(1, (n - 4) // 4)
+        rows += [own, [*own, *rng.choice(words, int(rng.integers(1, more + 1)))], [*rng.choice(words, more), *own]]
+        if n > 15:
+            rows.append([*own[: n // 2], "zz", *own[n // 2 :]])
+    rows += [[*"all of these begin with the same common words".split(), *rng.choice(words, 3)] for _ in range(40)]
+    rows = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    hand = groups_by_hand(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted(set(hand))
