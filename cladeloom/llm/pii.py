@@ -28,13 +28,14 @@ SURNAME = {
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLED = r"(?:" + "|".join(TITLES_F + TITLES_M + TITLES_X) + r")\.?[  ]{1,2}\p{Lu}[\p{Ll}'’]+(?:[- ]\p{Lu}[\p{Ll}'’]+){0,2}"
 _NAMED = r"(?:" + "|".join(n for g in GIVEN.values() for n in g) + r") \p{Lu}[\p{Ll}'’]+(?:-\p{Lu}[\p{Ll}'’]+)?"
-# What is looked for, first match first. Every pattern starts where no letter or digit stands before it.
+# What is looked for, first match first. Every pattern starts where no letter or digit stands before it. Open quantifiers are
+# possessive, and a mail name is tried at its start only, so a long run of characters is read once. A host name has at most 127 labels.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+'-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"(?i:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|bearer)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[^\s\"',;]{6,200}",
+    "email": r"(?<![\p{L}\p{N}._%+'-])[\p{L}\p{N}._%+'-]++@(?:[A-Za-z0-9-]++\.){1,127}[A-Za-z]{2,}+",
+    "secret": r"(?i:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|bearer)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[^\s\"',;]{6,}+",
     "aws": r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])",
-    "vendor": r"(?:sk-|ghp_|gho_|xox[abp]-)[0-9A-Za-z_-]{16,200}",
-    "hex": r"(?=[a-f]{0,40}\d)[0-9a-f]{32,128}(?![0-9A-Za-z])",
+    "vendor": r"(?:sk-|ghp_|gho_|xox[abp]-)[0-9A-Za-z_-]{16,}+",
+    "hex": r"(?=[a-f]*+\d)[0-9a-f]{32,}+(?![0-9A-Za-z])",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "card": r"(?:\d{4}[ -]?){3}\d{4}(?!\d)|3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?!\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}(?!\d)",
@@ -61,6 +62,7 @@ def _digits(x: Column) -> Column:
 
 def _stream(seed: Column, n: Column) -> Column:
     """Keyed hex digits, two for each of n characters."""
+    seed = F.when(F.length(seed) > 300, F.sha2(seed, 256)).otherwise(seed)  # a long one is not hashed whole again for every 32 characters
     return F.array_join(F.transform(F.sequence(F.lit(0), F.ceil(n / 32).cast("int")), lambda i: F.sha2(F.concat_ws("|", seed, i.cast("string")), 256)), "")
 
 
@@ -82,13 +84,15 @@ def shaped(value: Column, stream: Column) -> Column:
     ]
     rules[3] = (r"[\p{Lu}&&\p{IsCyrillic}]", rules[3][1])
 
-    def letter(c: Column, i: Column) -> Column:
+    def letter(c: Column, two: Column) -> Column:
         out = None
         for p, letters in rules:
-            out = F.when(c.rlike(p), _pick(letters, _byte(stream, i))) if out is None else out.when(c.rlike(p), _pick(letters, _byte(stream, i)))
-        return out.otherwise(c)
+            v = F.conv(two, 16, 10).cast("int")
+            out = F.when(c.rlike(p), _pick(letters, v)) if out is None else out.when(c.rlike(p), _pick(letters, v))
+        return F.when(c.isNotNull(), out.otherwise(c))
 
-    return F.array_join(F.transform(F.split(value, ""), letter), "")
+    # each character meets its two digits once: cutting them out of the stream by position would take the square of the length
+    return F.array_join(F.zip_with(F.split(value, ""), F.regexp_extract_all(stream, F.lit(".."), F.lit(0)), letter), "")
 
 
 def _luhn(body: Column) -> Column:

@@ -77,3 +77,22 @@ def test_long_text(spark):
     text = "word " * 100_000 + "a.b@c.de " + "x" * 50_000
     out = pii.replace_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert out["n_replaced"] == 1 and "a.b@c.de" not in out["text"] and len(out["text"]) == len(text)
+
+
+def test_long_entities_are_replaced_whole(spark):
+    rng = random.Random(5)
+    some = lambda n, of="abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789": "".join(rng.choices(of, k=n))
+    host = ".".join("abcdefghijkl") + ".example.org"
+    values = ["token=" + some(1000), "bearer: " + some(1000) + "." + some(1000), "sk-" + some(1000), some(1000, "0123456789abcdef"), f"{some(70)}.{some(900)}@mail.example.com", f"bob.{some(9)}@{host}", "token=" + some(10_000)]
+    docs = spark.createDataFrame([(i, f"Anfang § {v} Ende.") for i, v in enumerate(values)], "doc_id long, text string")
+    for r in pii.replace_pii(docs).collect():
+        old = values[r["doc_id"]]
+        new = re.fullmatch(r"Anfang § (.*) Ende\.", r["text"])[1]
+        assert len(new) == len(old) and r["n_replaced"] == 1
+        secret = old.split("@")[0] if "@" in old else re.sub(r"^(?:token=|bearer: |sk-)", "", old)
+        same = sum(a == b for a, b in zip(secret, new[len(old.split(secret)[0]) :], strict=False))
+        assert same < 0.3 * len(secret), (old, new)
+    runs = spark.createDataFrame([(1, "a." * 20_000), (2, "a-" * 20_000), (3, "x@" + "a." * 20_000), (4, "é.bob@a.de ёbob@a.de bob@a.de.")], "doc_id long, text string")
+    out = {r["doc_id"]: (r["text"], r["n_replaced"]) for r in pii.replace_pii(runs).collect()}
+    assert out[1] == ("a." * 20_000, 0) and out[2] == ("a-" * 20_000, 0)
+    assert out[4][1] == 3 and "bob" not in out[4][0]
