@@ -50,6 +50,19 @@ def _triples(bases: np.ndarray, wanted: set[bytes]) -> np.ndarray:
     return np.flatnonzero(hit)
 
 
+def _first_codon(bases: np.ndarray) -> set[bytes]:
+    """The first codon as a one-member set; nothing if there are under three bases."""
+    return {bases[:3].tobytes()} if len(bases) >= 3 else set()
+
+
+def _pair(a: str, b: str) -> tuple[np.ndarray, np.ndarray]:
+    """Reference and row as arrays of one length: an unequal pair is no alignment."""
+    r, q = _arr(a), _arr(b)
+    if len(r) != len(q):
+        raise ValueError(f"reference and row of an alignment differ in length: {len(r)} and {len(q)}")
+    return r, q
+
+
 def _breaks(r: np.ndarray, q: np.ndarray, first: int) -> np.ndarray:
     """Positions where the reference frame breaks: stops before the last codon, gap runs that shift the frame."""
     base = r != GAP
@@ -68,7 +81,7 @@ def _breaks(r: np.ndarray, q: np.ndarray, first: int) -> np.ndarray:
 def gap_runs(ref: pd.Series, row: pd.Series) -> pd.Series:
     """Maximal deletion and insertion runs of the row, with the inserted bases."""
     def one(a: str, b: str):
-        r, q = _arr(a), _arr(b)
+        r, q = _pair(a, b)
         pos = np.cumsum(r != GAP)
         out = []
         for kind, mask in (("deletion", (r != GAP) & (q == GAP)), ("insertion", (r == GAP) & (q != GAP))):
@@ -84,7 +97,7 @@ def gap_runs(ref: pd.Series, row: pd.Series) -> pd.Series:
 def frame_stops(ref: pd.Series, row: pd.Series) -> pd.Series:
     """Stops read in the reference frame, at their reference positions."""
     def one(a: str, b: str):
-        r, q = _arr(a), _arr(b)
+        r, q = _pair(a, b)
         bases = q[r != GAP]
         return [(3 * int(i) + 1, 3 * int(i) + 3, bases[3 * i : 3 * i + 3].tobytes().decode()) for i in _triples(bases, _STOP)]
 
@@ -100,7 +113,7 @@ def frame_breaks(ref: pd.Series, row: pd.Series) -> pd.Series:
 def in_frame_pct(ref: pd.Series, row: pd.Series) -> pd.Series:
     """Longest stretch without a frame break, as a percentage of the reference bases."""
     def one(a: str, b: str):
-        r, q = _arr(a), _arr(b)
+        r, q = _pair(a, b)
         n = int((r != GAP).sum())
         c = np.concatenate(([0], _breaks(r, q, 0)))
         inner = np.diff(c) - 1
@@ -114,7 +127,7 @@ def in_frame_pct(ref: pd.Series, row: pd.Series) -> pd.Series:
 def start_codons(ref: pd.Series, row: pd.Series) -> pd.Series:
     """ATG codons of the gap-free row in its own frame 0, at the reference positions of their first and last base."""
     def one(a: str, b: str):
-        r, q = _arr(a), _arr(b)
+        r, q = _pair(a, b)
         pos, cols = np.cumsum(r != GAP), np.flatnonzero(q != GAP)
         return [(int(pos[cols[3 * i]]), int(pos[cols[3 * i + 2]])) for i in _triples(q[cols], {b"ATG"})]
 
@@ -132,13 +145,13 @@ def orfs(starts: tuple[str, ...] = ("ATG",), count_stop: bool = False, focal_sta
     @pandas_udf(_structs(frame=INT, length=INT, first_col=INT, last_col=INT, in_frame=INT))
     def scan(ref: pd.Series, row: pd.Series) -> pd.Series:
         def one(a: str, b: str):
-            r, q = _arr(a), _arr(b)
+            r, q = _pair(a, b)
             cols = np.flatnonzero(q != GAP)
             s, base = q[cols], r != GAP
             codon_start = base & ((np.cumsum(base) - 1) % 3 == 0)
             want = {x.encode() for x in starts}
             if focal_start:
-                want.add(r[base][:3].tobytes())
+                want |= _first_codon(r[base])
             out = []
             for f in range(3):
                 n = (len(s) - f) // 3
@@ -170,13 +183,13 @@ def focal_frame_orf(min_span: float, min_bases: float, starts: tuple[str, ...] =
     @pandas_udf(_struct(has=T.BooleanType(), span=T.DoubleType(), bases=T.DoubleType()))
     def scan(ref: pd.Series, row: pd.Series) -> pd.DataFrame:
         def one(a: str, b: str):
-            r, q = _arr(a), _arr(b)
+            r, q = _pair(a, b)
             base = r != GAP
             at = q[base]
             n = len(at)
             want = {x.encode() for x in starts}
             if focal_start:
-                want.add(r[base][:3].tobytes())
+                want |= _first_codon(r[base])
             k = _triples(at, want) * 3
             if not len(k):
                 return False, 0.0, 0.0
@@ -234,7 +247,7 @@ def orf_call(df, ref: str, row: str, min_len: float, min_cov: float, min_frame:
 def recheck_spans(ref: pd.Series, row: pd.Series, spans: pd.Series) -> pd.Series:
     """What each reported span is in the alignment: unaligned_end, mask_remainder, exact, or not_a_gap."""
     def one(a: str, b: str, xs):
-        r, q = _arr(a), _arr(b)
+        r, q = _pair(a, b)
         gap = q[r != GAP] == GAP
         n = len(gap)
         lo, hi = _runs(gap)
