@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, embedding_dedup, html_extraction, licenses, pii, quality, sharding, simhash, suffix_dedup
+from . import bpe, collocations, decontamination, embedding_dedup, html_extraction, licenses, pii, quality, sharding, simhash, suffix_dedup
 from .tables import read
 
 
@@ -51,6 +51,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(read(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"), 30, 2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
@@ -62,8 +66,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op4_pii": op4_pii,
     "op6_license_scan": op6_license_scan,
+    "op11_collocations": op11_collocations,
 }
 
 SQL: dict[str, str] = {
     "op6_license_scan": licenses.sql(),
+    "op11_collocations": collocations.sql(),
 }

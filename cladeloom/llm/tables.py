@@ -31,21 +31,31 @@ def bucket(value: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(value, F.lit("bucket")), F.lit(n))
 
 
-def likely(keys: DataFrame, name: str, th: Column) -> Column:
-    """True for every hash in column `name` of keys, and for few others: a test against a bitmap of FILTER_BITS bits, whatever the input."""
+def bitmap(keys: DataFrame, name: str) -> np.ndarray:
+    """FILTER_BITS bits, set at the hash in column `name` of each row: the same size, whatever the input."""
     bit = F.pmod(F.col(name), F.lit(FILTER_BITS))
     own = keys.select(F.floor(bit / _PAGE).cast("int").alias("page"), (bit % _PAGE).cast("long").alias("bit"))
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in own.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():  # FILTER_BITS / _PAGE rows of 4 KB at most
         bits[r["page"] * _PAGE // 8 : (r["page"] + 1) * _PAGE // 8] = np.frombuffer(r["bits"], np.uint8)
-    shared = keys.sparkSession.sparkContext.broadcast(bits.tobytes())
+    return bits
+
+
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bits of these (signed) hashes are set."""
+    at = hashes % FILTER_BITS
+    return (bits[at // 8] >> (at % 8).astype(np.uint8)) & 1 > 0
+
+
+def likely(keys: DataFrame, name: str, th: Column) -> Column:
+    """True for every hash in column `name` of keys, and for few others: a test against a bitmap of FILTER_BITS bits, whatever the input."""
+    shared = keys.sparkSession.sparkContext.broadcast(bitmap(keys, name).tobytes())
 
     @F.pandas_udf("boolean")
     def test(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table = np.frombuffer(shared.value, np.uint8)
         for s in batches:
-            at = s.to_numpy() % FILTER_BITS
-            yield pd.Series((table[at // 8] >> (at % 8).astype(np.uint8)) & 1 > 0)
+            yield pd.Series(in_bitmap(table, s.to_numpy()))
 
     return test(th)
 
