@@ -16,9 +16,9 @@ from .suffix_dedup import Powers, _mix
 from .tables import bitmap, in_bitmap, written
 
 DEPTH = 4  # words of the longest phrase
-CHUNK = 6_000_000  # bytes of text whose suffixes are counted together before anything is sent
+CHUNK = 4_000_000  # bytes of text whose suffixes are counted together before anything is sent
 BUDGET = 2_000_000  # suffix entries of one group of prefixes, about 50 MB
-SHARE = 8  # a prefix with more than BUDGET / SHARE entries is extended by a word
+SHARE = 32  # a prefix with more than BUDGET / SHARE entries is extended by a word
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -99,7 +99,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _order(m: np.ndarray, top: int) -> np.ndarray:
     """Order of the suffixes (rows of word numbers, -1 for none)."""
-    wide = np.int64(top + 2)
+    m, wide = m.astype(np.int64), np.int64(top + 2)
     if int(wide) ** DEPTH < 2**63:
         return np.argsort(((((m[:, 0] + 1) * wide + m[:, 1] + 1) * wide) + m[:, 2] + 1) * wide + m[:, 3] + 1, kind="stable")
     return np.lexsort(((m[:, 2] + 1) * wide + m[:, 3] + 1, (m[:, 0] + 1) * wide + m[:, 1] + 1))
@@ -112,44 +112,24 @@ def _fresh(m: np.ndarray) -> np.ndarray:
     return np.logical_or.accumulate(differs, axis=1)
 
 
-_BLOCK = "lang string, words array<string>, suffixes array<int>, counts array<int>"
-
-
-def _blocks(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8)
-        for lang, raw in _chunks(batches):
-            words, piece = tokens(raw)
-            if not len(words):
-                continue
-            coded = words.dictionary_encode()
-            code, vocab = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-            common = in_bitmap(bits, word_hashes(vocab, lang))
-            number = np.where(common, np.cumsum(common) - 1, -1)
-            own = np.append(number[code], -1)
-            goes_on = piece[1:] == piece[:-1]
-            m = np.full((len(code), DEPTH), -1, np.int64)
-            m[:, 0] = own[:-1]
-            for d in range(1, DEPTH):
-                # a piece or a rare word ends the suffix: no phrase that holds the word is frequent enough
-                m[:-1, d] = np.where(goes_on & (m[:-1, 0] >= 0), m[1:, d - 1], -1)
-            m = m[m[:, 0] >= 0]
-            if not len(m):
-                continue
-            m = m[_order(m, int(number.max()))]
-            first = np.flatnonzero(_fresh(m)[:, -1])
-            counts = np.diff(np.append(first, len(m))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([lang]),
-                    pa.array([vocab.filter(pa.array(common)).cast(pa.string())], pa.list_(pa.string())),
-                    pa.ListArray.from_arrays(pa.array([0, 4 * len(first)], pa.int32()), pa.array(m[first].ravel().astype(np.int32))),
-                    pa.ListArray.from_arrays(pa.array([0, len(first)], pa.int32()), pa.array(counts)),
-                ],
-                ["lang", "words", "suffixes", "counts"],
-            )
-
-    return run
+def _suffixes(bits: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
+    """Language, frequent words, and the suffixes of a chunk: rows of word numbers, cut at DEPTH words, at the end of a piece and before a
+    rare word, as no phrase that holds one is frequent enough."""
+    for lang, raw in _chunks(batches):
+        words, piece = tokens(raw)
+        if not len(words):
+            continue
+        coded = words.dictionary_encode()
+        common = in_bitmap(bits, word_hashes(coded.dictionary, lang))
+        number = np.where(common, np.cumsum(common) - 1, -1).astype(np.int32)
+        m = np.full((len(words), DEPTH), -1, np.int32)
+        m[:, 0] = number[coded.indices.to_numpy()]
+        goes_on = (piece[1:] == piece[:-1]) & (m[:-1, 0] >= 0)
+        for d in range(1, DEPTH):
+            m[:-1, d] = np.where(goes_on, m[1:, d - 1], -1)
+        m = m[m[:, 0] >= 0]
+        if len(m):
+            yield lang, coded.dictionary.filter(pa.array(common)).cast(pa.string()), m
 
 
 def _prefix_hashes(words: pa.Array, lang: str, m: np.ndarray) -> np.ndarray:
@@ -162,12 +142,6 @@ def _prefix_hashes(words: pa.Array, lang: str, m: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array, np.ndarray, np.ndarray]]:
-    for k in range(batch.num_rows):
-        m = batch.column(2)[k].values.to_numpy().reshape(-1, DEPTH)
-        yield batch.column(0)[k].as_py(), batch.column(1)[k].values, m, batch.column(3)[k].values.to_numpy()
-
-
 def _depths(h: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
     """How many words the partitioning prefix of each suffix has: the first prefix that is not over-full; DEPTH + 1 if all are."""
     depth = np.ones(len(h), np.int64)
@@ -179,40 +153,15 @@ def _depths(h: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
     return depth
 
 
-def _prefix_sizes(shared, level: int):
-    """(h, n): entries below each prefix of `level` words, of suffixes all of whose shorter prefixes are over-full."""
+def _prefix_sizes(common, full, level: int):
+    """(h, n): occurrences of each prefix of `level` words whose shorter prefixes are all over-full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8) if shared else None
-        for batch in batches:
-            for lang, words, m, _ in _rows(batch):
-                h = _prefix_hashes(words, lang, m)
-                key, n = np.unique(h[_depths(h, bits) >= level, level - 1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["h", "n"])
-
-    return run
-
-
-def _dealt(h: np.ndarray, bits: np.ndarray | None, groups: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """Group and prefix length of each suffix. A whole suffix that is over-full by itself is dealt by block: its counts add up later."""
-    depth = _depths(h, bits)
-    key = h[np.arange(len(h)), np.minimum(depth, DEPTH) - 1].view(np.uint64)
-    key = np.where(depth > DEPTH, _mix(key + np.uint64(salt)), key)
-    return (_mix(key + np.uint64(7)) % np.uint64(groups)).astype(np.int64), depth
-
-
-def _salt(words: pa.Array, m: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(m.tobytes(), len(words))
-
-
-def _group_sizes(shared, groups: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8) if shared else None
-        for batch in batches:
-            for lang, words, m, _ in _rows(batch):
-                group, _ = _dealt(_prefix_hashes(words, lang, m), bits, groups, _salt(words, m))
-                key, n = np.unique(group, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key)), pa.array(key), pa.array(n.astype(np.int64))], ["lang", "grp", "n"])
+        bits = np.frombuffer(full.value, np.uint8)
+        for lang, words, m in _suffixes(np.frombuffer(common.value, np.uint8), batches):
+            h = _prefix_hashes(words, lang, m)
+            key, n = np.unique(h[_depths(h, bits) >= level, level - 1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["h", "n"])
 
     return run
 
@@ -220,28 +169,42 @@ def _group_sizes(shared, groups: int):
 _PART = "lang string, grp long, words array<string>, suffixes array<int>, counts array<int>, depths array<int>"
 
 
-def _parts(shared, groups: int):
-    """Blocks cut by group: the suffixes of one block that go to one group, with the words they use."""
+def _parts(common, full, groups: int):
+    """The suffixes of a chunk that go to one group, equal ones counted, with the words they use and the length of their prefix.
+
+    A whole suffix that is over-full by itself is dealt by chunk: its counts add up in the end.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8) if shared else None
-        for batch in batches:
-            for lang, words, m, counts in _rows(batch):
-                group, depth = _dealt(_prefix_hashes(words, lang, m), bits, groups, _salt(words, m))
-                order = np.argsort(group, kind="stable")
-                first = np.flatnonzero(np.concatenate(([True], np.diff(group[order]) > 0)))
-                for at in np.split(order, first[1:]):
-                    used, number = np.unique(m[at], return_inverse=True)
-                    ends = int(used[0] == -1)  # -1 stays -1
-                    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x.astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([lang]), pa.array([int(group[at[0]])]),
-                            pa.array([words.take(pa.array(used[ends:]))], pa.list_(pa.string())),
-                            one(number.ravel() - ends), one(counts[at]), one(depth[at]),
-                        ],
-                        ["lang", "grp", "words", "suffixes", "counts", "depths"],
-                    )
+        bits = np.frombuffer(full.value, np.uint8) if full else None
+        for lang, words, m in _suffixes(np.frombuffer(common.value, np.uint8), batches):
+            m = m[_order(m, len(words))]
+            first = np.flatnonzero(_fresh(m)[:, -1])
+            counts = np.diff(np.append(first, len(m)))
+            m = m[first]
+            h = _prefix_hashes(words, lang, m)
+            depth = _depths(h, bits)
+            key = h[np.arange(len(h)), np.minimum(depth, DEPTH) - 1].view(np.uint64)
+            salt = np.uint64(xxhash.xxh64_intdigest(m.tobytes()))
+            key = np.where(depth > DEPTH, _mix(key + salt), key)
+            group = (_mix(key + np.uint64(7)) % np.uint64(groups)).astype(np.int64)
+            order = np.argsort(group, kind="stable")
+            edge = np.append(np.flatnonzero(np.diff(group[order], prepend=-1)), len(order))
+            lists: list[list] = [[], [], [], []]
+            for at in np.split(order, edge[1:-1]):
+                used, number = np.unique(m[at], return_inverse=True)
+                ends = int(used[0] == -1)  # -1 stays -1
+                for c, x in zip(lists, (used[ends:], number.ravel() - ends, counts[at], depth[at]), strict=True):
+                    c.append(x.astype(np.int32))
+            made = []
+            for c in lists:
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in c]))).astype(np.int32)
+                values = pa.array(np.concatenate(c))
+                made.append(pa.ListArray.from_arrays(pa.array(offsets), words.take(values) if c is lists[0] else values))
+            lang_column = pa.array([lang]).take(pa.array(np.zeros(len(edge) - 1, np.int32)))
+            yield pa.RecordBatch.from_arrays(
+                [lang_column, pa.array(group[order[edge[:-1]]]), *made], ["lang", "grp", "words", "suffixes", "counts", "depths"]
+            )
 
     return run
 
@@ -285,48 +248,51 @@ def _subtrees(least: int):
 def phrase_counts(docs: DataFrame, least: int, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, f) of every phrase of 1 to DEPTH words that occurs at least `least` times, and (lang, n), all word occurrences.
 
-    Vertical partitioning: a word prefix that holds more suffix entries than a share of the budget is extended by a word, and
-    again; prefixes then go to groups within the budget (measured, groups are doubled until all fit), and each group's subtrees,
-    cut at DEPTH words, are built in a task of their own. Over-full prefixes are known by a bitmap of fixed size; one that is
-    taken for over-full by chance is only dealt more finely, its counts still add up. Suffixes end before a word that occurs less
-    than `least` times (a bitmap again), and equal ones are counted before they are sent, 6 MB of text at a time.
+    Vertical partitioning: a word prefix that holds more suffixes than a share of the budget is extended by a word, and again;
+    prefixes are then dealt to groups of half the budget on average, each prefix being small against it, and each group's subtrees, cut
+    at DEPTH words, are built in a task of their own. Over-full prefixes are known by a bitmap of fixed size; one that is taken for
+    over-full by chance is only dealt more finely, its counts still add up. Suffixes end before a word that occurs less than
+    `least` times (a bitmap again), and equal ones are counted before they are sent, CHUNK bytes of text at a time.
     """
     spark = docs.sparkSession
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
     texts = docs.select(lang, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("text <> ''")
     words = written(texts.mapInArrow(_word_counts, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f")), "words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for one in pc.unique(batch.column(0)).to_pylist():
-                own = batch.column(1).filter(pc.equal(batch.column(0), one))
-                yield pa.RecordBatch.from_arrays([pa.array(word_hashes(own, one))], ["h"])
-
-    common = words.where(F.col("f") >= least).select("lang", "word").mapInArrow(hashed, "h long")
-    shared = spark.sparkContext.broadcast(bitmap(common, "h").tobytes())
-    blocks = written(texts.mapInArrow(_blocks(shared), _BLOCK), "blocks")
-    total = blocks.agg(F.sum(F.size("counts").cast("long"))).first()[0] or 0
-    bits, full = np.zeros(0, np.uint8), None
-    for level in range(1, DEPTH + 1):
-        sizes = blocks.mapInArrow(_prefix_sizes(full, level), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-        own = bitmap(sizes.where(F.col("n") > budget // SHARE), "h")
+    frequent = words.where(F.col("f") >= least)
+    common = spark.sparkContext.broadcast(bitmap(frequent.mapInArrow(_hashes(False), "h long"), "h").tobytes())
+    total = frequent.agg(F.sum("f")).first()[0] or 0
+    limit = budget // SHARE
+    own = bitmap(frequent.where(F.col("f") > limit).mapInArrow(_hashes(True), "h long"), "h")
+    bits, full = own, None
+    for level in range(2, DEPTH + 2):
         if not own.any():
             break
-        bits = own if full is None else bits | own
+        bits = bits | own
         full = spark.sparkContext.broadcast(bits.tobytes())
+        if level <= DEPTH:
+            sizes = texts.mapInArrow(_prefix_sizes(common, full, level), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+            own = bitmap(sizes.where(F.col("n") > limit), "h")
     groups = max(1, -(-2 * total // budget))
-    while groups > 1:
-        sizes = blocks.mapInArrow(_group_sizes(full, groups), "lang string, grp long, n long").groupBy("lang", "grp").agg(F.sum("n").alias("n"))
-        if sizes.agg(F.max("n")).first()[0] <= budget:
-            break
-        groups *= 2
-    parts = blocks.mapInArrow(_parts(full, groups), _PART)
-    nodes = parts.groupBy("lang", "grp").applyInArrow(_subtrees(least), _NODE)
+    nodes = texts.mapInArrow(_parts(common, full, groups), _PART).groupBy("lang", "grp").applyInArrow(_subtrees(least), _NODE)
     phrases = nodes.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     return written(phrases, "phrases"), totals
 
 
+def _hashes(as_prefix: bool):
+    """The hash of each (lang, word), or that of the prefix which is this word alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one in pc.unique(batch.column(0)).to_pylist():
+                words = batch.column(1).filter(pc.equal(batch.column(0), one))
+                m = np.full((len(words), DEPTH), -1, np.int32)
+                m[:, 0] = np.arange(len(words))
+                yield pa.RecordBatch.from_arrays([pa.array(_prefix_hashes(words, one, m)[:, 0] if as_prefix else word_hashes(words, one))], ["h"])
+
+    return run
+
+
 def _wide(c: Column) -> Column:
     return c.cast("decimal(28,0)")
 
