@@ -16,8 +16,8 @@ from .suffix_dedup import Powers, _mix
 from .tables import bitmap, in_bitmap, written
 
 DEPTH = 4  # words of the longest phrase
-CHUNK = 4_000_000  # bytes of text whose suffixes are counted together before anything is sent
-BUDGET = 2_000_000  # suffix entries of one group of prefixes, about 50 MB
+CHUNK = 2_000_000  # bytes of text whose suffixes are counted together before anything is sent
+BUDGET = 1_000_000  # suffix entries of one group of prefixes, about 25 MB
 SHARE = 32  # a prefix with more than BUDGET / SHARE entries is extended by a word
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, collocations, decontamination, embedding_dedup, html_extraction, licenses, pii, quality, sharding, simhash, suffix_dedup
+from . import bpe, collocations, decontamination, embedding_dedup, hard_negatives, html_extraction, language_id, licenses, pii, quality, sharding, simhash, suffix_dedup
 from .tables import read
 
 
@@ -55,6 +55,14 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents"), 30, 2000)
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
@@ -67,9 +75,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op6_license_scan": op6_license_scan,
     "op11_collocations": op11_collocations,
+    "op12_language_id": op12_language_id,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 SQL: dict[str, str] = {
     "op6_license_scan": licenses.sql(),
     "op11_collocations": collocations.sql(),
+    "op13_hard_negatives": hard_negatives.sql(),
 }
