@@ -35,10 +35,9 @@ def _letters() -> np.ndarray:
 
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Letters of the lower-cased texts as code points, everything else one zero, and the text each stands in. A zero begins and ends every text."""
-    low = [t.lower() for t in texts]
-    raw = np.frombuffer(("\0" + "\0".join(low) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
-    own = np.repeat(np.arange(len(low)), [len(t) + 1 for t in low])
-    own = np.concatenate((own[:1] if len(own) else np.zeros(1, np.int64), own))
+    low = [f"\0{t.lower()}\0" for t in texts]
+    raw = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    own = np.repeat(np.arange(len(low)), [len(t) for t in low])
     value = np.where(_letters()[raw], raw, 0)
     keep = np.concatenate(([True], (value[1:] != 0) | (value[:-1] != 0) | (own[1:] != own[:-1])))
     return value[keep], own[keep]
