@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,7 +19,7 @@ from .tables import bitmap, in_bitmap, written
 
 DEPTH = 4  # words of the longest phrase
 CHUNK = 2_000_000  # bytes of text whose suffixes are counted together before anything is sent
-BUDGET = 1_000_000  # suffix entries of one group of prefixes, about 25 MB
+BUDGET = 2_000_000  # suffix entries of one group of prefixes, about 50 MB
 SHARE = 32  # a prefix with more than BUDGET / SHARE entries is extended by a word
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
@@ -166,7 +168,28 @@ def _prefix_sizes(common, full, level: int):
     return run
 
 
-_PART = "lang string, grp long, words array<string>, suffixes array<int>, counts array<int>, depths array<int>"
+_PART = "lang string, grp long, part binary"
+
+
+def _packed(words: pa.Array, *arrays: np.ndarray) -> bytes:
+    """Words and arrays of small whole numbers as one compressed value, each array in the narrowest type that holds it."""
+    narrow = [x.astype(np.min_scalar_type(int(x.max(initial=0)))) for x in arrays]
+    own = "\n".join(words.to_pylist()).encode()
+    head = struct.pack("<q", len(own)) + b"".join(struct.pack("<cq", x.dtype.char.encode(), x.nbytes) for x in narrow)
+    return zstandard.compress(head + own + b"".join(x.tobytes() for x in narrow), 1)
+
+
+def _unpacked(value: bytes, n: int) -> tuple[list[bytes], list[np.ndarray]]:
+    raw = zstandard.decompress(value)
+    (size,) = struct.unpack_from("<q", raw)
+    at = 8 + 9 * n
+    words, out = raw[at : at + size].split(b"\n"), []
+    at += size
+    for i in range(n):
+        kind, size = struct.unpack_from("<cq", raw, 8 + 9 * i)
+        out.append(np.frombuffer(raw[at : at + size], kind.decode()))
+        at += size
+    return words, out
 
 
 def _parts(common, full, groups: int):
@@ -190,21 +213,14 @@ def _parts(common, full, groups: int):
             group = (_mix(key + np.uint64(7)) % np.uint64(groups)).astype(np.int64)
             order = np.argsort(group, kind="stable")
             edge = np.append(np.flatnonzero(np.diff(group[order], prepend=-1)), len(order))
-            lists: list[list] = [[], [], [], []]
+            made = []
             for at in np.split(order, edge[1:-1]):
                 used, number = np.unique(m[at], return_inverse=True)
-                ends = int(used[0] == -1)  # -1 stays -1
-                for c, x in zip(lists, (used[ends:], number.ravel() - ends, counts[at], depth[at]), strict=True):
-                    c.append(x.astype(np.int32))
-            made = []
-            for c in lists:
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in c]))).astype(np.int32)
-                values = pa.array(np.concatenate(c))
-                made.append(pa.ListArray.from_arrays(pa.array(offsets), words.take(values) if c is lists[0] else values))
-            lang_column = pa.array([lang]).take(pa.array(np.zeros(len(edge) - 1, np.int32)))
-            yield pa.RecordBatch.from_arrays(
-                [lang_column, pa.array(group[order[edge[:-1]]]), *made], ["lang", "grp", "words", "suffixes", "counts", "depths"]
-            )
+                used = used[int(used[0] == -1) :]
+                number = number.reshape(-1, DEPTH).T + int(len(used) == number.max(initial=0) + 1)  # 0 is the end, then the words used
+                made.append(_packed(words.take(pa.array(used)), number.ravel(), counts[at], depth[at]))
+            lang_column = pa.array([lang]).take(pa.array(np.zeros(len(made), np.int32)))
+            yield pa.RecordBatch.from_arrays([lang_column, pa.array(group[order[edge[:-1]]]), pa.array(made, pa.binary())], ["lang", "grp", "part"])
 
     return run
 
@@ -216,17 +232,20 @@ def _subtrees(least: int):
     """The suffix subtrees of one group as sorted suffixes and the depths at which they part; a node's count is the total of its leaves."""
 
     def solve(rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks()
-        lists = [rows.column(c).combine_chunks() for c in ("words", "suffixes", "counts", "depths")]
-        words, number, counts, depth = (x.flatten() for x in lists)
-        n_words, n_numbers = (x.value_lengths().to_numpy() for x in lists[:2])
-        coded = words.dictionary_encode()
-        number = number.to_numpy().astype(np.int64)
-        start = np.repeat(np.cumsum(n_words) - n_words, n_numbers)
-        same = np.append(coded.indices.to_numpy().astype(np.int64), -1)
-        m = same[np.where(number < 0, len(same) - 1, number + start)].reshape(-1, DEPTH)
+        words: list[bytes] = []
+        found, counts, depth = [], [], []
+        for value in rows.column("part"):
+            own, (number, n, d) = _unpacked(value.as_py(), 3)
+            # the end of a suffix becomes 0 again; words of different parts are made one below
+            found.append(np.where(number == 0, 0, number.astype(np.int64) + len(words)).reshape(DEPTH, -1).T)
+            words += own
+            counts.append(n.astype(np.int64))
+            depth.append(d.astype(np.int64))
+        coded = pa.array(words, pa.binary()).cast(pa.string()).dictionary_encode()
+        same = np.concatenate(([-1], coded.indices.to_numpy()))
+        m, counts, depth = same[np.concatenate(found)].astype(np.int32), np.concatenate(counts), np.concatenate(depth)
         order = _order(m, len(coded.dictionary))
-        m, counts, depth = m[order], counts.to_numpy().astype(np.int64)[order], depth.to_numpy()[order]
+        m, counts, depth = m[order], counts[order], depth[order]
         fresh = _fresh(m)
         out = []
         for d in range(1, DEPTH + 1):

@@ -57,7 +57,7 @@ def grams(value: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
         # all but the first and the last are letters
         inner = inner[:m] & letter[n - 2 : n - 2 + m] if n > 2 else inner[:m]
         if n in SIZES:
-            use = inner & (letter[:m] | letter[n - 1 :]) if n > 1 else letter
+            use = letter if n == 1 else letter[:m] | letter[1:] if n == 2 else inner
             use = use & (own[:m] == own[n - 1 :]) if n > 1 else use
             at = np.flatnonzero(use)
             yield _mix(h[at] + np.uint64(n)), own[at]
