@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -168,62 +170,140 @@ def dominant_chain(chains: DataFrame) -> DataFrame:
     return d.select("locus", "taxon", "d.contig", "d.strand", "d.chain", (-F.col("d.b")).alias("bases"), (-F.col("d.m")).alias("n_exons"), "d.span", "d.lo", "d.hi")
 
 
-def best_chain(blocks: DataFrame, jump: int) -> DataFrame:
+class _Highest:
+    """Highest key left of a place, over places 0..n-1: a tournament tree."""
+
+    def __init__(self, n: int):
+        self.n = n
+        self.tree = [-1] * (2 * n)
+
+    def put(self, at: int, key: int) -> None:
+        tree, at = self.tree, at + self.n
+        tree[at] = key
+        while at > 1:
+            at >>= 1
+            top = max(tree[2 * at], tree[2 * at + 1])
+            if tree[at] == top:
+                break
+            tree[at] = top
+
+    def before(self, end: int) -> int:
+        tree, lo, hi, best = self.tree, self.n, end + self.n, -1
+        while lo < hi:
+            if lo & 1:
+                best = max(best, tree[lo])
+                lo += 1
+            if hi & 1:
+                hi -= 1
+                best = max(best, tree[hi])
+            lo >>= 1
+            hi >>= 1
+        return best
+
+
+SWEEP = 100_000  # rows of one part scored together; what a later row can still reach is carried over
+
+
+def _sweep(carried: list[tuple], rows: list[tuple], jump: int) -> tuple[list[tuple], list[tuple]]:
+    """Scores along the axis. carried: (start, end, ix, score) of earlier rows in reach; rows: (start, end, ix, bases) sorted by start and ix.
+
+    Returns (score, previous ix or None) of each row and what to carry on. The score of a row is its bases plus the highest score among the
+    rows before it in block order that end at most `jump` before it starts, the first of equals in block order.
+    """
+    known = carried + rows
+    order = sorted(range(len(known)), key=lambda k: (known[k][2], known[k][0], known[k][1]))
+    place = [0] * len(known)
+    for at, k in enumerate(order):
+        place[k] = at
+    n = len(known)
+    tree = _Highest(n)
+    waiting = [(known[k][1], k) for k in range(len(carried))]
+    heapq.heapify(waiting)
+    inside: deque = deque()  # rows in the tree, by end
+    score = [r[3] for r in known]
+    out = []
+    for k in range(len(carried), n):
+        start, end, _, bases = known[k]
+        while waiting and waiting[0][0] <= start:
+            stop, j = heapq.heappop(waiting)
+            tree.put(place[j], score[j] * n + n - 1 - place[j])
+            inside.append((stop, j))
+        while inside and inside[0][0] < start - jump:
+            tree.put(place[inside.popleft()[1]], -1)
+        best = tree.before(place[k])
+        previous = None
+        if best >= n:  # a score of zero adds nothing
+            j = order[n - 1 - best % n]
+            score[k], previous = bases + best // n, known[j][2]
+        out.append((score[k], previous))
+        heapq.heappush(waiting, (end, k))
+    last = rows[-1][0]
+    near = {j for _, j in waiting} | {j for _, j in inside}
+    return out, [(*known[j][:3], score[j]) for j in sorted(near) if known[j][1] >= last - jump]
+
+
+def best_chain(blocks: DataFrame, jump: int, cut_from: int = 10 * SWEEP) -> DataFrame:
     """Blocks of the best collinear chain per (exon, taxon): `0 <= start - previous end <= jump`, most bases.
 
     blocks(exon, taxon, block_ix, contig, strand, start, end, bases). No chain can cross a stretch of more than `jump`
-    uncovered positions, so a group is first cut there into independent parts; each part is solved exactly, part after
-    part along a sorted partition, and the best part of the best (contig, strand) is kept.
+    uncovered positions, so a group of over `cut_from` rows is first cut there into parts for tasks of their own. Each part is swept along the axis in pieces of
+    SWEEP rows: only scores that a later row can still reach are carried from piece to piece, and a range-maximum tree makes a
+    piece n log n. A second sweep, from the other end, follows the links of the winning part, so neither holds a part.
     """
     g = ["exon", "taxon", "contig", "strand"]
-    parts = merge_intervals(blocks, g, "start", "end", gap=jump).select(*g, F.col("start").alias("_part"))
-    x = asof_join(blocks, parts.withColumn("_ps", F.col("_part")), g, "start", "_ps", ["_part"], True, True)
-    x = x.repartition(*g, "_part").sortWithinPartitions(*g, "_part", "block_ix")
-    schema = T.StructType(x.schema.fields + [T.StructField("score", T.LongType()), T.StructField("last", T.LongType()), T.StructField("pick", T.BooleanType())])
-    part_key = [*g, "_part"]
-
-    def one(s: np.ndarray, e: np.ndarray, w: np.ndarray) -> tuple[int, int, list[int]]:
-        score, prev = w.copy(), np.full(len(w), -1)
-        for i in range(1, len(w)):
-            d = s[i] - e[:i]
-            cand = np.where((d >= 0) & (d <= jump), score[:i], -1)
-            j = int(cand.argmax())
-            if cand[j] > 0:
-                score[i], prev[i] = cand[j] + w[i], j
-        last = i = int(score.argmax())
-        chain = []
-        while i >= 0:
-            chain.append(i)
-            i = int(prev[i])
-        return int(score[last]), last, chain
-
-    def flush(pdf: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
-        s, e, w, ix = (pdf[c].to_numpy(np.int64) for c in ("start", "end", "bases", "block_ix"))
-        score, last, pick = w.copy(), ix.copy(), np.ones(len(pdf), bool)
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            if b - a > 1:
-                top, end, chain = one(s[a:b], e[a:b], w[a:b])
-                score[a:b], last[a:b], pick[a:b] = top, ix[a + end], False
-                pick[[a + i for i in chain]] = True
-        return pdf.assign(score=score, last=last, pick=pick)
+    columns, key = blocks.columns, [*g, "_part"]
+    sizes = cut_lineage(blocks.groupBy(*g).agg(F.count("*").alias("_n"), F.min("start").alias("_part")))
+    large = sizes.filter(F.col("_n") > cut_from).select(*g)
+    x = blocks.join(sizes.filter(F.col("_n") <= cut_from).drop("_n"), g)
+    if not large.isEmpty():
+        own = blocks.join(large, g, "left_semi")
+        parts = merge_intervals(own, g, "start", "end", gap=jump).select(*g, F.col("start").alias("_part"))
+        x = x.unionByName(asof_join(own, parts.withColumn("_ps", F.col("_part")), g, "start", "_ps", ["_part"], True, True))
+    x = x.select(*columns, "_part")
+    x = x.repartition(*key).sortWithinPartitions(*key, "start", "block_ix", "end")
+    schema = T.StructType(x.schema.fields + [T.StructField("score", T.LongType()), T.StructField("prev", x.schema["block_ix"].dataType)])
+
+    def pieces(pdf: pd.DataFrame) -> np.ndarray:
+        k = pdf[key]
+        return np.append(np.flatnonzero((k != k.shift()).any(axis=1).to_numpy()), len(pdf))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # parts arrive one after the other; the last part of a batch waits for its remaining rows
-        rest = None
+        last, carried = None, []
+        for pdf in batches:
+            edge = pieces(pdf)
+            cols = [pdf[c].tolist() for c in ("start", "end", "block_ix", "bases")]
+            score, prev = [0] * len(pdf), [None] * len(pdf)
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                own = tuple(pdf[c].iat[a] for c in key)
+                if own != last:
+                    last, carried = own, []
+                for at in range(a, b, SWEEP):
+                    to = min(b, at + SWEEP)
+                    if to - at == 1 and not carried:
+                        score[at] = cols[3][at]
+                        carried = [(cols[0][at], cols[1][at], cols[2][at], cols[3][at])]
+                        continue
+                    got, carried = _sweep(carried, list(zip(*(c[at:to] for c in cols), strict=True)), jump)
+                    score[at:to], prev[at:to] = [s for s, _ in got], [p for _, p in got]
+            yield pdf.assign(score=score, prev=pd.array(prev, "Int64"))
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, want = None, None
         for pdf in batches:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            k = pdf[part_key]
-            begins = np.flatnonzero((k != k.shift()).any(axis=1).to_numpy())
-            cut = begins[-1]
-            rest = pdf.iloc[cut:].reset_index(drop=True)
-            if cut:
-                yield flush(pdf.iloc[:cut].reset_index(drop=True), begins)
-        if rest is not None:
-            yield flush(rest, np.array([0, len(rest)]))
-
-    solved = x.mapInPandas(solve, schema)
-    first = blocks.groupBy(*g).agg(F.min("block_ix").alias("_first"))
-    cand = solved.select(*g, "_part", "score", "last").distinct().join(first, g)
-    best = cand.groupBy("exon", "taxon").agg(F.min(F.struct((-F.col("score")).alias("s"), "_first", "contig", "strand", "last", "_part")).alias("b"))
-    best = best.select("exon", "taxon", "b.contig", "b.strand", "b._part")
-    return solved.filter("pick").join(best, [*g, "_part"], "left_semi").select(*blocks.columns)
+            keys = list(zip(*(pdf[c].tolist() for c in key), strict=True))
+            last, ix, prev = pdf["last"].tolist(), pdf["block_ix"].tolist(), pdf["prev"].tolist()
+            pick = np.zeros(len(pdf), bool)
+            for k in range(len(pdf)):
+                if keys[k] != part:
+                    part, want = keys[k], last[k]
+                if want is not None and ix[k] == want:
+                    pick[k] = True
+                    want = None if prev[k] is pd.NA or prev[k] != prev[k] else int(prev[k])
+            yield pdf.loc[pick, columns]
+
+    solved = cut_lineage(x.mapInPandas(solve, schema))
+    top = solved.groupBy(*g).agg(F.min("block_ix").alias("_first"), F.min(F.struct((-F.col("score")).alias("s"), F.col("block_ix").alias("last"), "_part")).alias("b"))
+    best = top.groupBy("exon", "taxon").agg(F.min(F.struct("b.s", "_first", "contig", "strand", "b.last", "b._part")).alias("b"))
+    best = best.select("exon", "taxon", "b.contig", "b.strand", "b._part", "b.last")
+    own = solved.join(best, key).repartition(*key).sortWithinPartitions(*key, F.desc("start"), F.desc("block_ix"), F.desc("end"))
+    return own.mapInPandas(follow, blocks.schema)

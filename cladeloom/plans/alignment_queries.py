@@ -10,7 +10,7 @@ from ..operators import overlap as O
 from ..operators import similarity as K
 from ..operators.match import resolve_own_feature
 from .registry import query, table
-from .sequence_queries import DNA, LETTERS, PLAIN, ROW, block_rows, dna
+from .sequence_queries import BEST, DNA, LETTERS, PLAIN, ROW, block_rows, dna
 from .tree_queries import _id
 from .views import IV, iv
 
@@ -61,7 +61,11 @@ def stitch(spark, sf):
     return B.stitch_exons(rows, ex)
 
 
-@query("dominant_blocks")
+@query(
+    "dominant_blocks",
+    f"""WITH {BEST}, k AS (SELECT exon, taxon, block_ix, contig, strand, start, size FROM best WHERE taxon <> 'ASIA' UNION ALL SELECT exon, taxon, block_ix, contig, '+', start, size FROM bl WHERE taxon = 'ASIA')
+    SELECT * FROM k SEMI JOIN (SELECT DISTINCT exon, block_ix FROM bl WHERE taxon = 'ASIA') r ON r.exon = k.exon AND r.block_ix = k.block_ix""",
+)
 def dominant_blocks(spark, sf):
     r = block_rows(spark, sf).withColumn("strand", F.lit("+")).withColumn("text", F.repeat(F.lit("A"), F.col("size").cast("int")))
     return B.dominant_blocks(r, "ASIA", 700)[0].drop("text")

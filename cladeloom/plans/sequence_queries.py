@@ -306,7 +306,21 @@ def dominant(spark, sf):
     return W.dominant_chain(chains(spark, sf))
 
 
-@query("best_chain")
+# scores in block order, one block a step; then the links back from the block with the highest score
+BEST = f"""RECURSIVE {BLK}, o AS (SELECT *, start + size AS e, row_number() OVER (PARTITION BY exon, taxon, contig ORDER BY block_ix) AS rn FROM bl),
+ dp AS (SELECT exon, taxon, contig, 1 AS n, [e] AS ends, [CAST(size AS BIGINT)] AS scores, [CAST(0 AS BIGINT)] AS prevs FROM o WHERE rn = 1 UNION ALL
+   SELECT exon, taxon, contig, n + 1, list_append(ends, e), list_append(scores, size + greatest(m, 0)), list_append(prevs, CASE WHEN m > 0 THEN list_position(c, m) ELSE 0 END)
+   FROM (SELECT *, list_max(c) AS m FROM (SELECT dp.*, o.e, o.size, list_transform(range(1, n + 1), lambda k: CASE WHEN o.start - ends[k] BETWEEN 0 AND 700 THEN scores[k] ELSE 0 END) AS c
+     FROM dp JOIN o ON o.exon = dp.exon AND o.taxon = dp.taxon AND o.contig = dp.contig AND o.rn = dp.n + 1))),
+ whole AS (SELECT exon, taxon, contig, scores, prevs FROM dp QUALIFY row_number() OVER (PARTITION BY exon, taxon, contig ORDER BY n DESC) = 1),
+ fi AS (SELECT exon, taxon, contig, min(block_ix) AS first_ix FROM bl GROUP BY ALL),
+ win AS (SELECT w.exon, w.taxon, w.contig, prevs, list_position(scores, list_max(scores)) AS pos FROM whole w JOIN fi ON fi.exon = w.exon AND fi.taxon = w.taxon AND fi.contig = w.contig
+   QUALIFY row_number() OVER (PARTITION BY w.exon, w.taxon ORDER BY list_max(scores) DESC, first_ix, w.contig) = 1),
+ back AS (SELECT exon, taxon, contig, prevs, pos FROM win UNION ALL SELECT exon, taxon, contig, prevs, CAST(prevs[pos] AS INTEGER) FROM back WHERE prevs[pos] > 0),
+ best AS (SELECT o.exon, o.taxon, o.block_ix, o.contig, '+' AS strand, o.start, o.size, o.e FROM back b JOIN o ON o.exon = b.exon AND o.taxon = b.taxon AND o.contig = b.contig AND o.rn = b.pos)"""
+
+
+@query("best_chain", f"""WITH {BEST} SELECT exon, taxon, block_ix, contig, strand, start, e AS "end", size AS bases FROM best""")
 def best(spark, sf):
     r = block_rows(spark, sf).withColumn("end", F.col("start") + F.col("size")).withColumn("strand", F.lit("+")).withColumnRenamed("size", "bases")
     return W.best_chain(r, 700)

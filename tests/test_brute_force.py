@@ -113,26 +113,67 @@ def test_collinear_chains(spark):
     assert got == want
 
 
-def test_best_chain(spark):
+def chain_rows(rows, jump):
+    """The rule, block after block: highest total, the first of equals, links back from the first highest block."""
+    out = set()
+    for key in {r[:2] for r in rows}:
+        best = None
+        for group in {(r[3], r[4]) for r in rows if r[:2] == key}:
+            b = sorted(r for r in rows if r[:2] == key and (r[3], r[4]) == group)
+            total, back = [], []
+            for r in b:
+                options = [(total[j], -j) for j, q in enumerate(b[: len(total)]) if 0 <= r[5] - q[6] <= jump and total[j] > 0]
+                top = max(options, default=(0, None))
+                total.append(r[7] + top[0])
+                back.append(None if top[1] is None else -top[1])
+            at = total.index(max(total))
+            rank, chain = (-total[at], b[0][2], group), []
+            while at is not None:
+                chain.append(b[at])
+                at = back[at]
+            best = min(best, (rank, chain)) if best else (rank, chain)
+        out |= set(best[1])
+    return out
+
+
+def test_best_chain(spark, monkeypatch):
     rng = random.Random(4)
     rows = []
     for exon in range(40):
         for ix in range(rng.randint(1, 9)):
             s = rng.randint(0, 120)
-            rows.append((exon, "t", ix, rng.choice("xy"), "+", s, s + rng.randint(1, 20), rng.randint(1, 30)))
+            rows.append((exon, "t", ix, rng.choice("xy"), rng.choice("+-"), s, s + rng.randint(1, 20), rng.randint(0, 9)))
+    for ix in range(400):  # a dense group, in order, and one in any order
+        rows.append((99, "t", ix, "x", "+", 3 * ix + rng.randint(0, 9), 3 * ix + rng.randint(10, 90), rng.randint(1, 4)))
+        s = rng.randint(0, 4000)
+        rows.append((99, "u", ix, "x", "+", s, s + rng.choice([1, 5, 700]), rng.randint(1, 4)))
     df = spark.createDataFrame(rows, "exon long, taxon string, block_ix long, contig string, strand string, start long, end long, bases long")
-    got = {}
-    for r in W.best_chain(df, 25).collect():
-        got[r.exon] = got.get(r.exon, 0) + r.bases
-    for exon in range(40):
-        best = 0
-        for contig in "xy":
-            b = sorted([r for r in rows if r[0] == exon and r[3] == contig], key=lambda r: r[2])
-            for n in range(1, len(b) + 1):
-                for pick in itertools.combinations(b, n):
-                    if all(0 <= q[5] - p[6] <= 25 for p, q in zip(pick, pick[1:])):
-                        best = max(best, sum(p[7] for p in pick))
-        assert got[exon] == best, exon
+    want = chain_rows(rows, 25)
+    assert {tuple(r) for r in W.best_chain(df, 25).collect()} == want
+    assert {tuple(r) for r in W.best_chain(df, 25, cut_from=50).collect()} == want
+
+
+def test_best_chain_sweep_in_pieces():
+    rng = random.Random(8)
+    for jump in (0, 25, 200):
+        rows = sorted((s, s + rng.randint(1, 60), ix, rng.randint(0, 5)) for ix, s in enumerate(rng.randint(0, 2000) for _ in range(300)))
+        whole, _ = W._sweep([], rows, jump)
+        carried, cut = [], []
+        for at in range(0, 300, 37):
+            got, carried = W._sweep(carried, rows[at : at + 37], jump)
+            cut += got
+        assert cut == whole and len(carried) < 300
+
+
+def test_best_chain_of_a_third_of_all_rows(spark):
+    n = 150_000
+    base = spark.range(3 * n)
+    key = F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id"))
+    start = F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(F.lit(0).cast("long"))
+    df = base.select(key.cast("long").alias("exon"), F.lit("t").alias("taxon"), F.col("id").alias("block_ix"), F.lit("x").alias("contig"), F.lit("+").alias("strand"),
+                     start.alias("start"), (start + 3).alias("end"), F.lit(1).cast("long").alias("bases"))
+    assert W.best_chain(df, 10).groupBy((F.col("exon") == 0).alias("hot")).count().collect()[0][1] > 0
+    assert W.best_chain(df, 10).filter("exon = 0").count() == n
 
 
 def test_intervals_on_a_hot_key(spark):
