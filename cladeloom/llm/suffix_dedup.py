@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -305,4 +306,11 @@ def remove_repeats(docs: DataFrame, size: int = MIN_BYTES, gram: int = GRAM) ->
 
 
 def digests(docs: DataFrame, size: int = MIN_BYTES) -> DataFrame:
-    return remove_repeats(docs, size).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """remove_repeats with a digest of the remaining bytes, and those bytes as text: a character that was cut apart becomes U+FFFD."""
+    kept = remove_repeats(docs, size)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), _as_text("kept").alias("text"))
+
+
+@F.pandas_udf("string")
+def _as_text(kept: pd.Series) -> pd.Series:
+    return kept.map(lambda b: b.decode("utf-8", "replace"))

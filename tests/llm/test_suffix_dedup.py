@@ -67,3 +67,17 @@ def test_factors_by_hand():
     at = [w.tobytes() for w in windows]
     assert earlier.tolist() == [w in at[:i] for i, w in enumerate(at)]
     assert later.tolist() == [w in at[i + 1 :] for i, w in enumerate(at)]
+
+
+def test_remaining_text(spark):
+    rng = random.Random(5)
+    shared = "".join(rng.choices("abc é", k=500))
+    rows = [(1, "first é " + shared + " ends"), (2, shared + "x"), (3, None), (4, "clean text é")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sd.digests(docs)
+    assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert got == {1: "first é  ends", 2: "x", 3: "", 4: "clean text é"}
+    half = "é" + shared  # the repeat begins with the second byte of a character
+    cut = spark.createDataFrame([(1, half), (2, "\u0169" + shared)], "doc_id long, text string")
+    assert {r["text"] for r in sd.digests(cut).collect()} == {"\ufffd"}
