@@ -263,28 +263,24 @@ def best_chain(blocks: DataFrame, jump: int, cut_from: int = 10 * SWEEP) -> Data
     x = x.repartition(*key).sortWithinPartitions(*key, "start", "block_ix", "end")
     schema = T.StructType(x.schema.fields + [T.StructField("score", T.LongType()), T.StructField("prev", x.schema["block_ix"].dataType)])
 
-    def pieces(pdf: pd.DataFrame) -> np.ndarray:
-        k = pdf[key]
-        return np.append(np.flatnonzero((k != k.shift()).any(axis=1).to_numpy()), len(pdf))
-
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, carried = None, []
         for pdf in batches:
-            edge = pieces(pdf)
-            cols = [pdf[c].tolist() for c in ("start", "end", "block_ix", "bases")]
-            score, prev = [0] * len(pdf), [None] * len(pdf)
-            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                own = tuple(pdf[c].iat[a] for c in key)
-                if own != last:
-                    last, carried = own, []
-                for at in range(a, b, SWEEP):
-                    to = min(b, at + SWEEP)
-                    if to - at == 1 and not carried:
-                        score[at] = cols[3][at]
-                        carried = [(cols[0][at], cols[1][at], cols[2][at], cols[3][at])]
-                        continue
-                    got, carried = _sweep(carried, list(zip(*(c[at:to] for c in cols), strict=True)), jump)
-                    score[at:to], prev[at:to] = [s for s, _ in got], [p for _, p in got]
+            keys = list(zip(*(pdf[c].tolist() for c in key), strict=True))
+            rows = list(zip(*(pdf[c].tolist() for c in ("start", "end", "block_ix", "bases")), strict=True))
+            score, prev = [r[3] for r in rows], [None] * len(rows)
+            at = 0
+            while at < len(rows):
+                if keys[at] != last:
+                    last, carried = keys[at], []
+                to = at + 1
+                while to < len(rows) and to < at + SWEEP and keys[to] == last:
+                    to += 1
+                alone = to == at + 1 < len(rows) and not carried and keys[to] != last
+                if not alone:
+                    got, carried = _sweep(carried, rows[at:to], jump)
+                    score[at:to], prev[at:to] = zip(*got, strict=True)
+                at = to
             yield pdf.assign(score=score, prev=pd.array(prev, "Int64"))
 
     def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
