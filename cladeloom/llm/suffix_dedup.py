@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .tables import likely, written
 
@@ -311,6 +312,6 @@ def digests(docs: DataFrame, size: int = MIN_BYTES) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), _as_text("kept").alias("text"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _as_text(kept: pd.Series) -> pd.Series:
     return kept.map(lambda b: b.decode("utf-8", "replace"))
