@@ -31,7 +31,8 @@ BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul search legend optgroup option".split()
 )
-UNSEEN = set("script style title textarea noscript template iframe svg math head object canvas audio video noframes xmp noembed".split())
+UNSEEN = set("script style title textarea noscript template iframe svg head object canvas audio video noframes xmp noembed".split())
+RAW = set("script style title textarea iframe noframes xmp noembed".split())  # hold no elements: without an end tag they run to the end of the page
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HEADING = set("h1 h2 h3 h4 h5 h6".split())
 # An opening tag closes an open element of these names, up to the nearest element in which it is nested.
@@ -75,6 +76,7 @@ def blocks(html: str | None) -> list[Block]:
     text: list[str] = []
     linked = links = 0
     inside_main = bool(re.search(r"<(?:article|main)\b", html, re.I))
+    unclosed: set[str] = set()
 
     def settle() -> None:
         nonlocal linked
@@ -118,8 +120,13 @@ def blocks(html: str | None) -> list[Block]:
                     break
             continue
         if tag in UNSEEN and tag != "head":
-            end = _end_of(tag).search(html, at) if not m[3].endswith("/") else None
-            at = end.end() if end else (at if m[3].endswith("/") else len(html))
+            end = _end_of(tag).search(html, at) if not m[3].endswith("/") and tag not in unclosed else None
+            if end:
+                at = end.end()
+            elif not m[3].endswith("/"):
+                if tag in RAW:
+                    at = len(html)
+                unclosed.add(tag)  # no end tag follows: what comes after belongs to the page
             text.append(" ")
             continue
         if tag == "br":
@@ -139,7 +146,7 @@ def blocks(html: str | None) -> list[Block]:
                     break
         names = tuple(p for x in _NAMES.findall(m[3]) for p in _PIECES.findall("".join(x).lower())) if m[3] else ()
         aside = (tag in _ASIDE and not (tag == "header" and any(t in ("article", "main") for t, _, _ in stack))) or not _ASIDE_NAMES.isdisjoint(names)
-        stack.append((tag, _hashes(tag, names[:8]), aside))
+        stack.append((tag, _hashes(tag, names), aside))
         links += tag == "a"
     settle()
     return out

@@ -5,12 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .tables import likely, written
 
@@ -279,15 +277,16 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 spans = merged(np.array([(s["start"], s["stop"]) for s in row["spans"]])) if row["spans"] else np.empty((0, 2), np.int64)
                 edge = [0, *spans.ravel().tolist(), len(raw)]
                 kept = b"".join(raw[s:e] for s, e in zip(edge[::2], edge[1::2], strict=True))
-                out.append((row["doc_id"], len(raw), len(raw) - len(kept), len(spans), kept))
+                out.append((row["doc_id"], len(raw), len(raw) - len(kept), len(spans), kept, kept.decode("utf-8", "replace")))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], schema=_KEPT_SCHEMA)
 
 
-_KEPT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+_KEPT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("text", pa.string())])
 
 
 def remove_repeats(docs: DataFrame, size: int = MIN_BYTES, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept) of every document row, `kept` being the remaining bytes.
+    """(doc_id, n_bytes, n_removed, n_spans, kept, text) of every document row, `kept` being the remaining bytes and `text` the same as a
+    string, in which a character that was cut apart is U+FFFD.
 
     Every byte that a string of `size` bytes covers goes, if the string also starts anywhere else: in another row, or elsewhere in
     its own; all copies lose it. A null text is an empty one; null doc_ids and repeated rows stay rows, and repeated rows are
@@ -299,19 +298,13 @@ def remove_repeats(docs: DataFrame, size: int = MIN_BYTES, gram: int = GRAM) ->
     marked = texts.withColumn("likely", likely(spans, "th", F.col("th")))
     n = F.octet_length("text").cast("long")
     none = F.lit(0).cast("long")
-    clean = marked.where("not likely").select("doc_id", n.alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("text").cast("binary").alias("kept"))
+    clean = marked.where("not likely").select("doc_id", n.alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("text").cast("binary").alias("kept"), "text")
     a, b = marked.where("likely").alias("a"), spans.alias("b")
     both = a.join(b, F.col("a.th").eqNullSafe(F.col("b.th")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "left").select("a.doc_id", "a.text", "b.spans")
-    cut = both.mapInArrow(_cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    cut = both.mapInArrow(_cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, text string")
     return clean.union(cut)
 
 
 def digests(docs: DataFrame, size: int = MIN_BYTES) -> DataFrame:
-    """remove_repeats with a digest of the remaining bytes, and those bytes as text: a character that was cut apart becomes U+FFFD."""
-    kept = remove_repeats(docs, size)
-    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), _as_text("kept").alias("text"))
-
-
-@F.pandas_udf(StringType())
-def _as_text(kept: pd.Series) -> pd.Series:
-    return kept.map(lambda b: b.decode("utf-8", "replace"))
+    """remove_repeats with a digest of the remaining bytes instead of the bytes."""
+    return remove_repeats(docs, size).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "text")

@@ -23,6 +23,21 @@ def test_blocks_of_odd_markup():
     assert texts("<p>" + "long " * 100_000 + "</p>") == [("long " * 100_000).strip()]
 
 
+def test_elements_without_an_end_tag():
+    for tag in "svg object audio video canvas template noscript".split():
+        assert texts(f"<article><p>One.</p><{tag}><p>Two, the body.</p><{tag} x=1><p>Three.</p></article>") == ["One.", "Two, the body.", "Three."], tag
+        assert texts(f"<p>One.</p><{tag}><p>no</p></{tag}><p>Two.</p>") == ["One.", "Two."], tag
+    assert texts("<p>One.</p><script>var x = '<p>no</p>';") == ["One."]
+    assert texts("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p>") == ["Let x=2 be."]
+    assert len(texts("<svg><p>a</p>" * 20_000)) == 20_000
+
+
+def test_every_class_name_counts():
+    many = " ".join(f"c{i}" for i in range(40))
+    a, b = (h.vectors(h.blocks(f'<div class="{many} {last}">text</div>')) for last in ("banner", "other"))
+    assert (a != b).any()
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(1)
     m = h.Labeller()
