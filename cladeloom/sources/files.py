@@ -1,11 +1,13 @@
 """Readers and writers of the text formats. A folder is read in one scan; long files are split, not loaded whole.
 
-Two readers need the order of lines inside a file (the completeness proofs of search outputs) and read each file as one
-value; search outputs come in one file per chunk of queries.
+Two readers need the order of lines inside a file (the completeness proofs of search outputs). They order lines by file,
+block start and row within the block; what crosses a block border is settled on one summary row a block.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,41 +50,71 @@ def read_gff(spark: SparkSession, path: str) -> DataFrame:
     return g.select("seqid", "type", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "strand", attributes("attributes").alias("attrs"))
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.text(path, wholetext=True).select(_stem(F.col("_metadata.file_path")).alias("file"), "value")
-    return raw.select("file", F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "\n")).alias("pos", "line"))
+def folder_name(path: Column) -> Column:
+    """The folder of a file, without `column=`: names files that were written by partition."""
+    return F.regexp_extract(path, r"/(?:[^/=]*=)?([^/]+)/[^/]+$", 1)
+
+
+def _lines(spark: SparkSession, path: str, name: Callable[[Column], Column]) -> DataFrame:
+    """(path, file, block, row, line): within a file, lines follow each other by block and row."""
+    raw = spark.read.option("recursiveFileLookup", True).text(path)
+    where = F.col("_metadata.file_path")
+    return raw.select(where.alias("path"), name(where).alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                      F.monotonically_increasing_id().alias("row"), F.regexp_replace("value", "\r$", "").alias("line"))
 
 
-def read_hits_tabular(spark: SparkSession, path: str, fields: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def _confirmed(marks: DataFrame) -> DataFrame:
+    """(query, confirmed) from the query lines and footers of files: marks(path, block, row, query, said).
+
+    A footer vouches for the queries since the footer before it if it counts as many. Within a block that is a window over the block;
+    between blocks, one row a block tells how many queries are open at its end and whether its first footer fits what was open before.
+    """
+    in_block = Window.partitionBy("path", "block").orderBy("row")
+    footers_before = F.count("said").over(in_block.rowsBetween(Window.unboundedPreceding, -1))
+    m = marks.withColumn("seg", footers_before)
+    segs = m.groupBy("path", "block", "seg").agg(F.count("query").alias("n"), F.max("said").alias("said"))
+    blocks = segs.groupBy("path", "block").agg(F.count("said").alias("footers"), F.max(F.when(F.col("seg") == 0, F.col("n"))).alias("n_first"),
+                                               F.max(F.when(F.col("seg") == 0, F.col("said"))).alias("said_first"), F.sum(F.when(F.col("said").isNull(), F.col("n")).otherwise(0)).alias("open"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("path").orderBy("block").rowsBetween(1, Window.unboundedFollowing)
+    total = F.sum("open").over(Window.partitionBy("path").orderBy("block"))
+    b = blocks.withColumn("total", total).withColumn("base", F.when(F.col("footers") > 0, F.col("total") - F.col("open")))
+    zero = F.lit(0).cast("bigint")
+    carried = F.coalesce(F.last("total").over(before), zero) - F.coalesce(F.last("base", ignorenulls=True).over(before), zero)
+    b = b.withColumn("first_ok", F.when(F.col("footers") > 0, carried + F.col("n_first") == F.col("said_first")))
+    b = b.withColumn("next_ok", F.first("first_ok", ignorenulls=True).over(after)).select("path", "block", "first_ok", "next_ok")
+    ok = F.when(F.col("said").isNull(), F.col("next_ok")).when(F.col("seg") == 0, F.col("first_ok")).otherwise(F.col("n") == F.col("said"))
+    known = segs.join(b, ["path", "block"]).select("path", "block", "seg", ok.alias("ok"))
+    own = m.filter("query is not null").join(known, ["path", "block", "seg"])
+    return own.groupBy("query").agg(F.max(F.coalesce("ok", F.lit(False))).alias("confirmed"))
+
+
+def read_hits_tabular(spark: SparkSession, path: str, fields: list[str] | None = None, name: Callable[[Column], Column] = _stem) -> tuple[DataFrame, DataFrame]:
     """(hits, queries): a query is confirmed if a footer counts as many queries as were seen since the last one; one such group is enough.
 
     Other queries are unconfirmed and must become NOT_RUN, never "no hit". A row with a wrong number of columns is an error, and so are
-    hits in a file that names no search program.
+    hits in a file that names no search program. `pos` orders the hits of a file.
     """
     fields = fields or HIT_FIELDS
-    x = _lines(spark, path)
-    footer = F.regexp_extract("line", r"^# BLAST processed (\d+) quer", 1)
-    x = x.withColumn("_foot", footer).withColumn("_query", F.regexp_extract("line", r"^# Query: (\S+)", 1))
-    marks = x.filter("_foot <> '' or _query <> ''")
-    back = Window.partitionBy("file").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    marks = marks.withColumn("_batch", F.sum((F.col("_foot") != "").cast("int")).over(back))
-    g = marks.groupBy("file", "_batch").agg(F.count_if(F.col("_query") != "").alias("_n"), F.max(F.nullif("_foot", F.lit("")).cast("int")).alias("_said"))
-    q = marks.filter("_query <> ''").join(g, ["file", "_batch"]).groupBy(F.col("_query").alias("query")).agg(
-        F.max(F.coalesce(F.col("_n") == F.col("_said"), F.lit(False))).alias("confirmed"))
+    x = _lines(spark, path, name)
+    foot, asked = F.regexp_extract("line", r"^# BLAST processed (\d+) quer", 1), F.regexp_extract("line", r"^# Query:\s*(\S+)", 1)
+    marks = x.filter("startswith(line, '#')").select("path", "block", "row", F.nullif(asked, F.lit("")).alias("query"), F.nullif(foot, F.lit("")).cast("bigint").alias("said"))
+    q = _confirmed(marks.filter("query is not null or said is not null"))
     c = F.split("line", "\t")
     # fixed value: the line with which a search program starts its part of a file
-    named = x.filter(F.col("line").rlike(r"^# \S*BLAST\S* \d")).select("file").distinct().withColumn("_named", F.lit(True))
-    data = x.filter("line <> '' and not startswith(line, '#')").withColumn("_c", c).join(named, "file", "left")
+    named = x.filter(F.col("line").rlike(r"^# \S*BLAST\S* \d")).select("path").distinct().withColumn("_named", F.lit(True))
+    data = x.filter("trim(line) <> '' and not startswith(line, '#')").withColumn("_c", c).join(named, "path", "left")
     wrong = F.when(F.col("_named").isNull(), F.concat(F.lit("no program header in "), F.col("file"))).when(F.size("_c") != len(fields), F.concat(F.lit("wrong column count: "), F.col("line")))
     ok = F.when(wrong.isNull(), F.lit(True)).otherwise(F.raise_error(wrong).cast("boolean"))
-    hits = data.filter(ok).select("file", "pos", *[F.col("_c")[i].cast(TYPES.get(f, "int")).alias(f) for i, f in enumerate(fields)])
+    hits = data.filter(ok).select("file", F.struct("block", "row").alias("pos"), *[F.col("_c")[i].cast(TYPES.get(f, "int")).alias(f) for i, f in enumerate(fields)])
     return hits, q
 
 
-def read_domtbl(spark: SparkSession, path: str, searched: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def read_domtbl(spark: SparkSession, path: str, searched: DataFrame | None = None, name: Callable[[Column], Column] = _stem) -> tuple[DataFrame, DataFrame]:
     """(domains, queries). A file is complete only if its last line is `# [ok]`; searched(file, query) lists its queries."""
-    x = _lines(spark, path).filter(F.trim("line") != "")
-    done = x.groupBy("file").agg((F.trim(F.max_by("line", "pos")) == "# [ok]").alias("complete"))
+    x = _lines(spark, path, name).filter(F.trim("line") != "")
+    last = F.max_by("line", F.struct("block", "row"))  # each task sends one line a file
+    done = x.groupBy("path", "file").agg((F.trim(last) == "# [ok]").alias("complete")).groupBy("file").agg(F.min("complete").alias("complete"))
     c = F.split(F.trim("line"), r"\s+", 23)
     at = {"target": (0, "string"), "tlen": (2, "int"), "query": (3, "string"), "qlen": (5, "int"), "evalue": (6, "double"), "bitscore": (7, "double"),
           "bias": (8, "double"), "ievalue": (12, "double"), "qstart": (15, "int"), "qend": (16, "int"), "sstart": (17, "int"), "send": (18, "int")}
@@ -92,10 +124,11 @@ def read_domtbl(spark: SparkSession, path: str, searched: DataFrame | None = Non
     return d, q
 
 
-def read_domain_matches(spark: SparkSession, path: str, evidence: str) -> DataFrame:
+def read_domain_matches(spark: SparkSession, path: str, evidence: str, name: Callable[[Column], Column] = _stem) -> DataFrame:
     """Domain matches with `finished`: the log or status file of the same name says the run ended."""
-    m = spark.read.schema(MATCH_SCHEMA).option("sep", "\t").option("quote", "").csv(path).withColumn("file", _stem(F.col("_metadata.file_path")))
-    e = spark.read.text(evidence).select(_stem(F.col("_metadata.file_path")).alias("file"), "value")
+    nested = spark.read.option("recursiveFileLookup", True)
+    m = nested.schema(MATCH_SCHEMA).option("sep", "\t").option("quote", "").csv(path).withColumn("file", name(F.col("_metadata.file_path")))
+    e = spark.read.option("recursiveFileLookup", True).text(evidence).select(name(F.col("_metadata.file_path")).alias("file"), "value")
     done = e.groupBy("file").agg(F.max(F.col("value").rlike("100% done|hep_status=complete")).alias("finished"))
     return m.join(done, "file", "left").withColumn("finished", F.coalesce("finished", F.lit(False)))
 
@@ -108,10 +141,10 @@ def read_groups(spark: SparkSession, path: str, n_meta: int = 3) -> DataFrame:
     return long.select("group", "species", F.explode(split_cell("cell")).alias("member"))
 
 
-def read_pairs(spark: SparkSession, path: str) -> DataFrame:
+def read_pairs(spark: SparkSession, path: str, name_of: Callable[[Column], Column] = _stem) -> DataFrame:
     """Pairwise ortholog files `<A>__v__<B>.tsv` to (species, gene, other_species, other_gene)."""
-    p = spark.read.schema("grp string, a string, b string").option("header", True).option("enforceSchema", True).option("sep", "\t").csv(path)
-    name = _stem(F.col("_metadata.file_path"))
+    p = spark.read.option("recursiveFileLookup", True).schema("grp string, a string, b string").option("header", True).option("enforceSchema", True).option("sep", "\t").csv(path)
+    name = name_of(F.col("_metadata.file_path"))
     p = p.select(F.substring_index(name, "__v__", 1).alias("species"), F.substring_index(name, "__v__", -1).alias("other_species"), "a", "b")
     return p.select("species", F.explode(split_cell("a")).alias("gene"), "other_species", "b").select("species", "gene", "other_species", F.explode(split_cell("b")).alias("other_gene"))
 

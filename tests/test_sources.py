@@ -1,5 +1,7 @@
 """Search outputs are trusted only with proof that the search finished."""
 
+import random
+
 import pytest
 
 from cladeloom.sources import files as S
@@ -43,3 +45,39 @@ def test_pairs_and_matches(spark, tmp_path):
     (e / "one.log").write_text("50% done\n100% done\n")
     got = S.read_domain_matches(spark, str(m), str(e))
     assert {r.file: r.finished for r in got.collect()} == {"one": True, "two": False}
+
+
+@pytest.mark.parametrize("block", [64, 300, 10_000_000])
+def test_footers_across_blocks(spark, tmp_path, block):
+    """Files of several runs, read in blocks of a few lines: the same answer as one pass over the lines."""
+    rng = random.Random(block)
+    want, n = {}, 0
+    for f in range(6):
+        lines, pending = ["# BLASTP 2.17.0+"], []
+        for _ in range(rng.randint(1, 40)):
+            for _ in range(rng.choice([0, 1, 2, 9])):
+                q = f"q{rng.randint(0, 60)}" if rng.random() < 0.2 else f"n{n}"
+                n += 1
+                pending.append(q)
+                lines += [f"# Query: {q}"] + ["\t".join([q, "t", "99.0", "10", "0", "0", "1", "10", "1", "10", "1e-9", "50", "20", "30"])] * rng.choice([0, 0, 3])
+            if rng.random() < 0.7:
+                said = len(pending) + (rng.random() < 0.3)
+                lines += [f"# BLAST processed {said} queries", ""]
+                for q in pending:
+                    want[q] = want.get(q, False) or said == len(pending)
+                pending = []
+        for q in pending:
+            want.setdefault(q, False)
+        (tmp_path / f"{f}.tsv").write_bytes("\r\n".join(lines).encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    try:
+        hits, q = S.read_hits_tabular(spark, str(tmp_path))
+        assert {r["query"]: r.confirmed for r in q.collect()} == want
+        assert block > 1000 or hits.rdd.getNumPartitions() > 20
+        (tmp_path / "d").mkdir()
+        (tmp_path / "d" / "x.domtbl").write_text("# head\n" + "t1 - 100 q1 - 50 1e-5 40 0.1 1 1 1e-6 1e-6 39 0.1 3 20 5 25 1 2 0.9 a title\n" * 30 + "# [ok]\n\n\n")
+        (tmp_path / "d" / "y.domtbl").write_text("# [ok]\n" + "t1 - 100 q2 - 50 1e-5 40 0.1 1 1 1e-6 1e-6 39 0.1 3 20 5 25 1 2 0.9 a title\n" * 30)
+        assert {r["query"]: r.confirmed for r in S.read_domtbl(spark, str(tmp_path / "d"))[1].collect()} == {"q1": True, "q2": False}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
