@@ -227,10 +227,6 @@ def relatedness_order(tree, reference: Column) -> DataFrame:
     return c.groupBy(F.col("node").alias("species")).agg(F.min("_d").alias("distance"))
 
 
-def stable_sort(df: DataFrame, columns: Sequence[str], natural: bool = False) -> DataFrame:
-    return df.orderBy(*[natural_key(c) if natural else F.col(c) for c in columns])
-
-
 def top1(df: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: Sequence[str]) -> DataFrame:
     """First row of each key in a multi-part order."""
     return df.groupBy(*keys).agg(arg_min(F.struct(*columns), *order).alias("b")).select(*keys, "b.*")

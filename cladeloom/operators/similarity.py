@@ -61,8 +61,3 @@ def shared_spans(pairs: DataFrame, q: DataFrame, t: DataFrame, k: int) -> DataFr
         c = union_length(x, ["query", "target"], "s", "e", "_c").join(size, ["query", "target"])
         out = out.join(c.select("query", "target", F.round(F.lit(100.0) * F.col("_c") / F.col("_len"), 2).alias(mine + "_pct")), ["query", "target"])
     return out
-
-
-def min_share_for(k: int, identity: float) -> float:
-    """Share of k-mers that survive independent changes at the given identity."""
-    return math.pow(identity, k)

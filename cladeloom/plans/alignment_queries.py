@@ -218,7 +218,7 @@ def overlap_classes(spark, sf):
 @query(
     "own_feature",
     f"""WITH {IV}, lo AS (SELECT DISTINCT 'AT' || okey || 'G.1' AS locus, CAST(supp AS VARCHAR) AS chrom, s AS start, e AS "end" FROM iv WHERE flag = 'R'),
-    ge AS (SELECT 'gene-at' || okey || 'g' AS gene, CAST(supp AS VARCHAR) AS chrom, s, e FROM iv WHERE flag = 'R' AND okey % 2 = 0 UNION ALL SELECT 'x' || okey, CAST(supp AS VARCHAR), s, e FROM iv WHERE flag = 'A'),
+    ge AS (SELECT 'gene-at' || okey || 'g' AS gene, CAST(supp AS VARCHAR) AS chrom, s, e FROM iv WHERE flag = 'R' AND okey % 2 = 0 UNION ALL SELECT 'x' || okey, CAST(supp AS VARCHAR), s, e FROM iv WHERE flag <> 'R'),
     hit AS (SELECT DISTINCT lo.locus, lo.chrom, lo.start, lo."end", ge.gene FROM lo JOIN ge ON ge.chrom = lo.chrom AND ge.s <= lo."end" AND ge.e >= lo.start),
     b AS (SELECT locus, min(gene) FILTER (gene = 'gene-' || replace(lower(locus), '.1', '')) AS own FROM hit GROUP BY 1)
     SELECT lo.*, own AS own_gene, CASE WHEN b.locus IS NULL THEN 'no_gene' WHEN own IS NULL THEN 'unmatched' ELSE 'named' END AS own_status FROM lo LEFT JOIN b ON b.locus = lo.locus""",
@@ -230,7 +230,7 @@ def own_feature(spark, sf):
     k = F.col("okey").cast("string")
     lo = x.filter("flag = 'R'").select(F.concat(F.lit("AT"), k, F.lit("G.1")).alias("locus"), chrom, F.col("s").alias("start"), F.col("e").alias("end")).distinct()
     own = x.filter("flag = 'R' and okey % 2 = 0").select(F.concat(F.lit("gene-at"), k, F.lit("g")).alias("gene"), chrom, *span)
-    ge = own.unionByName(x.filter("flag = 'A'").select(F.concat(F.lit("x"), k).alias("gene"), chrom, *span))
+    ge = own.unionByName(x.filter("flag <> 'R'").select(F.concat(F.lit("x"), k).alias("gene"), chrom, *span))
     alias = own.select("gene", F.concat(F.expr("substr(gene, 6)"), F.lit(".2")).alias("alias")).distinct()
     forms = lambda c: F.array_distinct(F.array(F.lower(c), F.regexp_replace(F.lower(c), r"\.\d+$", "")))
     return resolve_own_feature(lo, ge, alias, forms)

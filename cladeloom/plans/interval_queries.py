@@ -40,22 +40,22 @@ CELLS = ", c AS (SELECT DISTINCT k, flag, unnest(range(s, e + 1)) AS p FROM iv)"
 @query(
     "overlap_length",
     f"WITH {IV}{CELLS} SELECT k, count(*) FILTER (a AND b) AS overlap FROM (SELECT k, p, bool_or(flag = 'A') AS a, "
-    "bool_or(flag = 'N') AS b FROM c WHERE flag IN ('A', 'N') GROUP BY k, p) GROUP BY k",
+    "bool_or(flag <> 'A') AS b FROM c GROUP BY k, p) GROUP BY k",
 )
 def shared(spark, sf):
     x = iv(spark, sf)
-    return I.overlap_length(x.filter("flag = 'A'"), x.filter("flag = 'N'"), ["k"], "s", "e", width=W)
+    return I.overlap_length(x.filter("flag = 'A'"), x.filter("flag <> 'A'"), ["k"], "s", "e", width=W)
 
 
 @query(
     "subtract_intervals",
-    f"""WITH {IV}{CELLS}, left_over AS (SELECT k, p FROM c GROUP BY k, p HAVING bool_or(flag = 'A') AND NOT bool_or(flag = 'N')),
+    f"""WITH {IV}{CELLS}, left_over AS (SELECT k, p FROM c GROUP BY k, p HAVING bool_or(flag = 'A') AND NOT bool_or(flag <> 'A')),
     g AS (SELECT k, p, p - row_number() OVER (PARTITION BY k ORDER BY p) AS isl FROM left_over)
     SELECT k, min(p) AS s, max(p) AS e FROM g GROUP BY k, isl""",
 )
 def minus(spark, sf):
     x = iv(spark, sf)
-    return I.subtract_intervals(x.filter("flag = 'A'"), x.filter("flag = 'N'"), ["k"], "s", "e", width=W)
+    return I.subtract_intervals(x.filter("flag = 'A'"), x.filter("flag <> 'A'"), ["k"], "s", "e", width=W)
 
 
 @query(
@@ -74,12 +74,12 @@ def interval_text(spark, sf):
 @query(
     "overlap_join",
     f"""WITH {IV} SELECT a.k, a.okey AS a_order, a.s AS a_s, a.e AS a_e, b.okey AS b_order, b.s AS b_s, b.e AS b_e
-    FROM iv a JOIN iv b ON a.k = b.k AND a.s <= b.e AND b.s <= a.e WHERE a.flag = 'A' AND b.flag = 'R'""",
+    FROM iv a JOIN iv b ON a.k = b.k AND a.s <= b.e AND b.s <= a.e WHERE a.flag = 'A' AND b.flag <> 'A'""",
 )
 def overlaps(spark, sf):
     x = iv(spark, sf)
     a = x.filter("flag = 'A'").select("k", F.col("okey").alias("a_order"), F.col("s").alias("a_s"), F.col("e").alias("a_e"))
-    b = x.filter("flag = 'R'").select("k", F.col("okey").alias("b_order"), F.col("s").alias("b_s"), F.col("e").alias("b_e"))
+    b = x.filter("flag <> 'A'").select("k", F.col("okey").alias("b_order"), F.col("s").alias("b_s"), F.col("e").alias("b_e"))
     return I.overlap_join(a, b, ["k"], ("a_s", "a_e"), ("b_s", "b_e"), width=32)
 
 
@@ -88,20 +88,20 @@ def overlaps(spark, sf):
     f"""WITH {IV}, p AS (SELECT a.k, a.okey AS a_order, a.s AS a_s, a.e AS a_e, b.s AS b_s, b.e AS b_e, b.okey AS b_order,
       row_number() OVER (PARTITION BY a.k, a.okey, a.s, a.e ORDER BY b.s, b.e, b.okey) AS rn
       FROM (SELECT DISTINCT k, okey, s, e FROM iv WHERE flag = 'A') a
-      LEFT JOIN (SELECT * FROM iv WHERE flag = 'R') b ON a.k = b.k AND a.s <= b.e AND b.s <= a.e)
+      LEFT JOIN (SELECT * FROM iv WHERE flag <> 'A') b ON a.k = b.k AND a.s <= b.e AND b.s <= a.e)
     SELECT k, a_order, a_s, a_e, b_s, b_e, b_order FROM p WHERE rn = 1""",
 )
 def first_overlap(spark, sf):
     x = iv(spark, sf)
     a = x.filter("flag = 'A'").select("k", F.col("okey").alias("a_order"), F.col("s").alias("a_s"), F.col("e").alias("a_e"))
-    b = x.filter("flag = 'R'").select("k", F.col("okey").alias("b_order"), F.col("s").alias("b_s"), F.col("e").alias("b_e"))
+    b = x.filter("flag <> 'A'").select("k", F.col("okey").alias("b_order"), F.col("s").alias("b_s"), F.col("e").alias("b_e"))
     return I.first_overlap_join(a.distinct(), b, ["k"], ("a_s", "a_e"), ("b_s", "b_e"), "b_order", width=W)
 
 
 @query(
     "nearest_join",
     f"""WITH {IV}, a AS (SELECT DISTINCT k, okey AS a_order, s AS a_s, e AS a_e FROM iv WHERE flag = 'A'),
-    b AS (SELECT k, okey AS b_order, s AS b_s, e AS b_e FROM iv WHERE flag = 'R'),
+    b AS (SELECT k, okey AS b_order, s AS b_s, e AS b_e FROM iv WHERE flag <> 'A'),
     l AS (SELECT a.k, a_order, a_s, a_e, 'left' AS side, 0 AS pri, a_s - b_e AS gap, b_s, b_e, b_order FROM a JOIN b ON a.k = b.k AND b_e < a_s),
     r AS (SELECT a.k, a_order, a_s, a_e, 'right' AS side, 1 AS pri, b_s - a_e AS gap, b_s, b_e, b_order FROM a JOIN b ON a.k = b.k AND b_s > a_e),
     u AS (SELECT *, row_number() OVER (PARTITION BY k, a_order, a_s, a_e ORDER BY gap, pri, b_s, b_e, b_order) AS rn
@@ -112,7 +112,7 @@ def first_overlap(spark, sf):
 def nearest(spark, sf):
     x = iv(spark, sf)
     a = x.filter("flag = 'A'").select("k", F.col("okey").alias("a_order"), F.col("s").alias("a_s"), F.col("e").alias("a_e"))
-    b = x.filter("flag = 'R'").select("k", F.col("okey").alias("b_order"), F.col("s").alias("b_s"), F.col("e").alias("b_e"))
+    b = x.filter("flag <> 'A'").select("k", F.col("okey").alias("b_order"), F.col("s").alias("b_s"), F.col("e").alias("b_e"))
     return I.nearest_join(a.distinct(), b, ["k"], ("a_s", "a_e"), ("b_s", "b_e"), ["b_order"], max_gap=60, width=W)
 
 
@@ -147,20 +147,20 @@ def exons(spark, sf):
 
 @query(
     "lift_to_cds",
-    f"""WITH {IV}{EXONS}, r AS (SELECT DISTINCT k, s * 10 + 2 AS r_s, e * 10 + 3 AS r_e FROM iv WHERE flag = 'A'),
+    f"""WITH {IV}{EXONS}, r AS (SELECT DISTINCT k, s * 10 + 2 AS r_s, e * 10 + 3 AS r_e FROM iv),
     j AS (SELECT r.k, r_s, r_e, x_s, x_e, strand, cds_start, greatest(r_s, x_s) AS lo, least(r_e, x_e) AS hi
           FROM r JOIN off ON r.k = off.k AND r_s <= x_e AND x_s <= r_e),
     c AS (SELECT *, cds_start + CASE WHEN strand = '-' THEN x_e - hi ELSE lo - x_s END AS cds_lo FROM j)
     SELECT k, r_s, r_e, x_s, x_e, strand, cds_start, cds_lo, cds_lo + hi - lo AS cds_hi FROM c""",
 )
 def lift(spark, sf):
-    r = iv(spark, sf).filter("flag = 'A'").select("k", (F.col("s") * 10 + 2).alias("r_s"), (F.col("e") * 10 + 3).alias("r_e"))
+    r = iv(spark, sf).select("k", (F.col("s") * 10 + 2).alias("r_s"), (F.col("e") * 10 + 3).alias("r_e"))
     return I.lift_to_cds(r.distinct(), exons(spark, sf), "k", ("r_s", "r_e"), ("x_s", "x_e"), "strand")
 
 
 @query(
     "lift_to_genome",
-    f"""WITH {IV}{EXONS}, r AS (SELECT DISTINCT k, s % 40 AS c_s, s % 40 + 7 AS c_e FROM iv WHERE flag = 'A'),
+    f"""WITH {IV}{EXONS}, r AS (SELECT DISTINCT k, s % 40 AS c_s, s % 40 + 7 AS c_e FROM iv),
     j AS (SELECT r.k, c_s, c_e, x_s, x_e, strand, cds_start, greatest(c_s, cds_start) - cds_start AS lo,
                  least(c_e, cds_start + 4) - cds_start AS hi
           FROM r JOIN off ON r.k = off.k AND c_s <= cds_start + 4 AND cds_start <= c_e)
@@ -168,7 +168,7 @@ def lift(spark, sf):
            CASE WHEN strand = '-' THEN x_e - lo ELSE x_s + hi END AS genome_hi FROM j""",
 )
 def unlift(spark, sf):
-    r = iv(spark, sf).filter("flag = 'A'").select("k", (F.col("s") % 40).alias("c_s"), (F.col("s") % 40 + 7).alias("c_e"))
+    r = iv(spark, sf).select("k", (F.col("s") % 40).alias("c_s"), (F.col("s") % 40 + 7).alias("c_e"))
     return I.lift_to_genome(r.distinct(), exons(spark, sf), "k", ("c_s", "c_e"), ("x_s", "x_e"), "strand")
 
 

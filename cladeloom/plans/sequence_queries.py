@@ -90,7 +90,7 @@ def indel_runs(spark, sf):
 
 # masked stretches: every 50th to 60th position of documents that have labels
 MASK = "mk AS (SELECT DISTINCT doc_id, 50 * (1 + quality) AS m_start, 50 * (1 + quality) + 10 AS m_end FROM labels)"
-TRUST = f"{RUNS}, {MASK}, de AS (SELECT run.*, n FROM run JOIN nn USING (doc_id) WHERE len % 3 <> 0 AND kind = 'deletion'), au AS (SELECT de.*, CASE WHEN s = 1 OR e = n THEN 'unaligned_end' WHEN EXISTS (SELECT 1 FROM mk WHERE mk.doc_id = de.doc_id AND m_start <= e AND s <= m_end) THEN 'masked_out' END AS reason FROM de)"
+TRUST = f"{RUNS}, {MASK}, de AS (SELECT run.*, n FROM run JOIN nn USING (doc_id) WHERE len % 3 <> 0 AND kind = 'deletion'), au AS (SELECT de.doc_id, de.kind, s, e, n, CASE WHEN s = 1 OR e = n THEN 'unaligned_end' WHEN max(CASE WHEN m_start <= e AND s <= m_end THEN 1 ELSE 0 END) = 1 THEN 'masked_out' END AS reason FROM de LEFT JOIN mk ON mk.doc_id = de.doc_id GROUP BY de.doc_id, de.kind, s, e, n)"
 
 
 def trusted(spark, sf):

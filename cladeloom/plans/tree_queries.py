@@ -195,8 +195,8 @@ def farthest(spark, sf):
 
 
 CARRY = f"""{LCA}, car AS (SELECT DISTINCT up."group" AS unit, lca AS origin, ancestor AS node FROM up JOIN lca ON up."group" = lca."group" WHERE ancestor >= lca),
- lost AS (SELECT unit, origin, b.node AS branch FROM car JOIN node_t b ON b.node >> 1 = car.node AND b.node > 1
-   WHERE NOT EXISTS (SELECT 1 FROM car x WHERE x.unit = car.unit AND x.node = b.node))"""
+ lost AS (SELECT unit, origin, b.node AS branch FROM (SELECT unit, origin, unnest([2 * node, 2 * node + 1]) AS node FROM car) b SEMI JOIN (SELECT node FROM node_t WHERE node > 1) t ON t.node = b.node
+   LEFT JOIN (SELECT unit AS u, node AS v FROM car) x ON x.u = b.unit AND x.v = b.node WHERE x.v IS NULL)"""
 
 
 @query("dollo_losses", f"WITH {CARRY} SELECT unit, origin, branch FROM lost")
