@@ -264,3 +264,22 @@ def recheck_spans(ref: pd.Series, row: pd.Series, spans: pd.Series) -> pd.Series
         return out
 
     return pd.Series([one(*v) for v in zip(ref, row, spans)])
+
+
+def n_within(reach: int = 5):
+    """For each reference position, whether an N of the row stands within `reach` columns of it: the difference of two ranks."""
+
+    @pandas_udf(T.ArrayType(T.BooleanType()))
+    def scan(ref: pd.Series, row: pd.Series, positions: pd.Series) -> pd.Series:
+        def one(a: str, b: str, at):
+            r, q = _pair(a, b)
+            cols = np.flatnonzero(r != GAP)
+            if not len(cols):
+                return [False] * len(at)
+            col = cols[np.clip(np.asarray(at, np.int64) - 1, 0, len(cols) - 1)]
+            rank = np.concatenate(([0], np.cumsum(q == N)))
+            return (rank[np.minimum(col + reach + 1, len(q))] > rank[np.maximum(col - reach, 0)]).tolist()
+
+        return pd.Series([one(*v) for v in zip(ref, row, positions)])
+
+    return scan

@@ -78,6 +78,22 @@ def natural_key(x: Column | str) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(_c(x), F.lit(r"[0-9]+|[^0-9]+"), F.lit(0)), part), "")
 
 
+def taxon_of(header: Column | str) -> Column:
+    """The part of `taxon.contig` before the first dot."""
+    return F.substring_index(_c(header), ".", 1)
+
+
+def contig_of(header: Column | str) -> Column:
+    """The part after the first dot; the whole header without one."""
+    return F.regexp_replace(_c(header), r"^[^.]*\.", "")
+
+
+def join_distinct(x: Column | str, sep: str = "|") -> Column:
+    """Values of an array as one text, each once, in order of first mention; `NA` if there are none."""
+    values = F.array_distinct(F.filter(_c(x), lambda v: v.isNotNull() & (v != "") & (v != "NA")))
+    return F.when(F.size(values) > 0, F.array_join(values, sep)).otherwise("NA")
+
+
 def split_cell(x: Column | str, sep: str = ",") -> Column:
     """Members of a delimited cell, trimmed, without empty and `-` entries."""
     parts = F.transform(F.split(_c(x), sep), lambda p: F.trim(p))

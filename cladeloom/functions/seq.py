@@ -81,13 +81,6 @@ def near_edge(seq: Column | str, pos: Column | str, margin: int = 9) -> Column:
     return (_c(pos) <= margin) | (_c(pos) >= F.length(seq) - margin)
 
 
-def n_nearby(row: Column | str, column: Column | str, reach: int = 5) -> Column:
-    """An N within reach of a 1-based alignment column."""
-    c = _c(column)
-    lo = F.greatest(c - reach, F.lit(1))
-    return F.substring(_c(row), lo, c + reach - lo + 1).contains("N")
-
-
 def iupac_match(a: Column | str, b: Column | str) -> Column:
     """True where two equally long sequences could be the same: equal letters, or codes that share a base."""
     mask = F.create_map(*[F.lit(v) for kv in IUPAC.items() for v in kv])

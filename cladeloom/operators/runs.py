@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.aligned import gap_runs, recheck_spans
+from ..functions.aligned import gap_runs, n_within, recheck_spans
 from ..functions.seq import STOPS, has_homopolymer, near_edge, ungap
 from ..session import cut_lineage
 from .intervals import asof_join, first_overlap_join, merge_intervals
@@ -62,11 +62,16 @@ def recheck_runs(runs: DataFrame, aln: DataFrame, keys: list[str], ref: str = "r
     return per_row(runs, aln.select(*keys, ref, row), keys, lambda e: recheck_spans(ref, row, spans(e)))
 
 
-def event_flags(events: DataFrame, aln: DataFrame, keys: list[str], ref: str = "ref_text") -> DataFrame:
-    """Events (start in reference positions) with homopolymer and edge flags of the focal sequence."""
-    a = aln.select(*keys, ungap(ref).alias("_d"))
-    return per_row(events, a, keys, lambda e: F.transform(e, lambda x: F.struct(
-        has_homopolymer("_d", x["start"]).alias("homopolymer"), near_edge("_d", x["start"]).alias("at_edge"))))
+def event_flags(events: DataFrame, aln: DataFrame, keys: list[str], ref: str = "ref_text", row: str = "row_text") -> DataFrame:
+    """Events (start in reference positions, length) with their flags: a homopolymer or an edge of the focal sequence, an N of the row within
+    five columns, another length at the same position."""
+    spot = [*keys, "start"]
+    lengths = events.groupBy(*spot).agg((F.min("length") < F.max("length")).alias("multi_length"))
+    a = aln.select(*keys, ref, row, ungap(ref).alias("_d"))
+    near = n_within()(ref, row, F.transform("_e", lambda x: x["start"].cast("long")))
+    out = per_row(events, a, keys, lambda e: F.zip_with(e, near, lambda x, n: F.struct(
+        has_homopolymer("_d", x["start"]).alias("homopolymer"), near_edge("_d", x["start"]).alias("at_edge"), n.alias("n_nearby"))))
+    return out.join(lengths, spot)
 
 
 def block_gap_audit(rows: DataFrame, blocks: DataFrame) -> DataFrame:

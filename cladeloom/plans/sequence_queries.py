@@ -208,13 +208,18 @@ def aligned_pct(spark, sf):
 
 @query(
     "event_flags",
-    f"""WITH {RUNS}, f AS (SELECT run.doc_id, kind, s, e, replace(ref, '-', '') AS d FROM run JOIN aln USING (doc_id) WHERE len % 3 <> 0)
-    SELECT doc_id, kind, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end", regexp_matches(substr(d, CAST(greatest(s - 4, 1) AS BIGINT), CAST(s + 4 - greatest(s - 4, 1) + 1 AS BIGINT)), 'A{{4}}|C{{4}}|G{{4}}|T{{4}}') AS homopolymer, s <= 9 OR s >= length(d) - 9 AS at_edge FROM f""",
+    # every seventh column with a base of the row is an N here
+    f"""WITH {RUNS}, f AS (SELECT run.doc_id, kind, s, e, len, replace(ref, '-', '') AS d FROM run JOIN aln USING (doc_id) WHERE len % 3 <> 0),
+    ml AS (SELECT doc_id, s, min(len) < max(len) AS multi_length FROM f GROUP BY ALL), nc AS (SELECT doc_id, i + o AS i FROM c, range(-5, 6) t(o) WHERE q <> '-' AND i % 7 = 0),
+    co AS (SELECT DISTINCT c.doc_id, pos FROM c SEMI JOIN nc ON nc.doc_id = c.doc_id AND nc.i = c.i WHERE r <> '-')
+    SELECT f.doc_id, kind, CAST(f.s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end", len AS length, regexp_matches(substr(d, CAST(greatest(f.s - 4, 1) AS BIGINT), CAST(f.s + 4 - greatest(f.s - 4, 1) + 1 AS BIGINT)), 'A{{4}}|C{{4}}|G{{4}}|T{{4}}') AS homopolymer,
+      f.s <= 9 OR f.s >= length(d) - 9 AS at_edge, co.pos IS NOT NULL AS n_nearby, multi_length FROM f JOIN ml ON ml.doc_id = f.doc_id AND ml.s = f.s LEFT JOIN co ON co.doc_id = f.doc_id AND co.pos = greatest(f.s, 1)""",
 )
 def event_flags(spark, sf):
     x = aln(spark, sf)
-    r = W.indel_runs(x, ["doc_id"]).filter("length % 3 <> 0").select("doc_id", "kind", "start", "end")
-    return W.event_flags(r, x, ["doc_id"])
+    r = W.indel_runs(x, ["doc_id"]).filter("length % 3 <> 0").select("doc_id", "kind", "start", "end", F.col("length").cast("bigint").alias("length"))
+    with_n = F.array_join(F.transform(F.split("row_text", ""), lambda q, i: F.when((q != "-") & ((i + 1) % 7 == 0), "N").otherwise(q)), "")
+    return W.event_flags(r, x.withColumn("row_text", with_n), ["doc_id"])
 
 
 @query(

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.ids import attributes, split_cell
+from ..functions.ids import attributes, contig_of, split_cell, taxon_of
 
 # Column names of the text formats, in file order.
 HIT_FIELDS = "qseqid sseqid pident length mismatch gapopen qstart qend sstart send evalue bitscore qlen slen".split()
@@ -164,7 +164,7 @@ def read_maf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     x = x.select("exon", F.col("_ref")[2].cast("bigint").alias("ref_start"), F.col("_ref")[3].cast("bigint").alias("ref_len"), "s")
     r = x.select("exon", "ref_start", "ref_len", F.posexplode("s").alias("row_ix", "l")).withColumn("_c", F.split("l", r"\s+"))
     src = F.col("_c")[1]
-    r = r.select("exon", "ref_start", "ref_len", "row_ix", F.substring_index(src, ".", 1).alias("taxon"), F.regexp_replace(src, r"^[^.]*\.", "").alias("contig"),
+    r = r.select("exon", "ref_start", "ref_len", "row_ix", taxon_of(src).alias("taxon"), contig_of(src).alias("contig"),
                  F.col("_c")[2].cast("bigint").alias("start"), F.col("_c")[3].cast("bigint").alias("size"), F.col("_c")[4].alias("strand"),
                  F.col("_c")[5].cast("bigint").alias("src_size"), F.col("_c")[6].alias("text"))
     plus = F.when(F.col("strand") == "-", F.col("src_size") - F.col("start") - F.col("size")).otherwise(F.col("start"))
