@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.pandas.functions import arrow_udf, pandas_udf
 
 from .seq import STOPS
 
@@ -77,20 +78,26 @@ def _breaks(r: np.ndarray, q: np.ndarray, first: int) -> np.ndarray:
     return np.unique(np.concatenate(cuts))
 
 
-@pandas_udf(_structs(kind=T.StringType(), start=INT, end=INT, length=INT, seq=T.StringType()))
-def gap_runs(ref: pd.Series, row: pd.Series) -> pd.Series:
-    """Maximal deletion and insertion runs of the row, with the inserted bases."""
-    def one(a: str, b: str):
+@arrow_udf(_structs(kind=T.StringType(), start=INT, end=INT, length=INT, seq=T.StringType()))
+def gap_runs(ref: pa.Array, row: pa.Array) -> pa.Array:
+    """Maximal deletion and insertion runs of the row, with the inserted bases; built as columns, as a row may hold very many."""
+    kinds, starts, ends, lengths, seqs, sizes = [], [], [], [], [], [0]
+    for a, b in zip(ref.to_pylist(), row.to_pylist(), strict=True):
         r, q = _pair(a, b)
         pos = np.cumsum(r != GAP)
-        out = []
-        for kind, mask in (("deletion", (r != GAP) & (q == GAP)), ("insertion", (r == GAP) & (q != GAP))):
-            for s, e in zip(*_runs(mask)):
-                seq = b[s : e + 1].upper() if kind == "insertion" else ""
-                out.append((kind, int(pos[s]), int(pos[e]), int(e - s + 1), seq))
-        return out
-
-    return pd.Series([one(a, b) for a, b in zip(ref, row)])
+        for kind, mask in ((0, (r != GAP) & (q == GAP)), (1, (r == GAP) & (q != GAP))):
+            s, e = _runs(mask)
+            kinds.append(np.full(len(s), kind, np.int32))
+            starts.append(pos[s])
+            ends.append(pos[e])
+            lengths.append(e - s + 1)
+            upper = b.upper() if kind else ""
+            seqs += [upper[i:j] for i, j in zip(s.tolist(), (e + 1).tolist(), strict=True)]
+        sizes.append(len(seqs))
+    whole = lambda x: pa.array(np.concatenate(x).astype(np.int32) if x else np.empty(0, np.int32))
+    kind = pa.array(["deletion", "insertion"]).take(whole(kinds))
+    fields = pa.StructArray.from_arrays([kind, whole(starts), whole(ends), whole(lengths), pa.array(seqs, pa.string())], ["kind", "start", "end", "length", "seq"])
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), fields)
 
 
 @pandas_udf(_structs(start=INT, end=INT, codon=T.StringType()))

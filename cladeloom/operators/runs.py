@@ -21,7 +21,9 @@ from .tree import Tree, branch_points
 
 def indel_runs(aln: DataFrame, keys: list[str], ref: str = "ref_text", row: str = "row_text", reported_only: bool = True) -> DataFrame:
     """Deletion and insertion runs per aligned row; reported are those that shift the frame or insert a stop codon."""
-    x = aln.select(*keys, F.length(F.replace(F.col(ref), F.lit("-"), F.lit(""))).alias("ref_len"), F.explode(gap_runs(ref, row)).alias("r")).select(*keys, "ref_len", "r.*")
+    # the length first: beside explode it would be worked out again for every run
+    x = aln.select(*keys, F.length(F.replace(F.col(ref), F.lit("-"), F.lit(""))).alias("ref_len"), gap_runs(ref, row).alias("_g"))
+    x = x.select(*keys, "ref_len", F.explode("_g").alias("r")).select(*keys, "ref_len", "r.*")
     if not reported_only:
         return x
     stop = (F.col("kind") == "insertion") & (F.col("length") == 3) & F.col("seq").isin(STOPS)
