@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import arrow_udf, pandas_udf
 
-from .seq import STOPS
+from .seq import IUPAC, STOPS
 
 GAP, N = 45, 78
 INT = T.IntegerType()
@@ -290,3 +290,67 @@ def n_within(reach: int = 5):
         return pd.Series([one(*v) for v in zip(ref, row, positions)])
 
     return scan
+
+
+_BITS = np.zeros(256, np.uint8)
+_BITS[[ord(c) for c in IUPAC]] = list(IUPAC.values())
+_PLAIN = np.isin(np.arange(256), [ord(c) for c in "ACGT"])
+
+
+@pandas_udf(_struct(mode=T.StringType(), extra=T.ArrayType(INT), status=T.StringType(), accepted=T.StringType()))
+def trim_reference(ref: pd.Series, cds: pd.Series, lens: pd.Series, rightmost: pd.Series, strand: pd.Series) -> pd.DataFrame:
+    """How a reference row was extracted, its extra columns (1-based) and whether it is the coding sequence without them.
+
+    lens are the exon lengths in transcript order, rightmost the 0-based index of the exon that ends furthest along the
+    genome. Rows with a null argument give nulls.
+    """
+    def one(a, b, sizes, right, minus):
+        if a is None or b is None or sizes is None:
+            return None, None, None, None
+        r, want, n = _arr(a), _arr(b), np.asarray(sizes, np.int64)
+        cols = np.flatnonzero(r != GAP)
+        over = len(cols) - len(want)
+        has = np.zeros(len(n), bool)
+        if over == len(n):
+            mode, has[:] = "one_extra_per_exon", True
+        elif len(n) > 1 and over == len(n) - 1:
+            mode, has = "one_extra_per_exon_except_rightmost", np.arange(len(n)) != right
+        elif over == 0:
+            mode = "cds_length"
+        else:
+            return None, None, "UNEXPECTED_REFERENCE_LENGTH", None
+        after = np.cumsum(n + has)
+        extra = cols[(after - n - 1 if minus else after - 1)[has]]
+        got = np.delete(r, extra)
+        got = got[got != GAP]
+        same = got == want
+        if same.all():
+            return mode, extra + 1, "OK", ""
+        # every exon must be held in its place by a plain base that agrees
+        anchors = np.concatenate(([0], np.cumsum(same & _PLAIN[want])))
+        ends = np.cumsum(n)
+        if (same | ((_BITS[got] & _BITS[want]) > 0)).all() and (anchors[ends] > anchors[ends - n]).all():
+            at = np.flatnonzero(~same)
+            return mode, extra + 1, "OK", ",".join(f"{i + 1}:{chr(got[i])}/{chr(want[i])}" for i in at.tolist())
+        off = got[1:] != want[:-1] if minus else got[:-1] != want[1:]
+        off[ends[(ends > 0) & (ends < len(want))] - 1] = False  # the base at an exon's end has no partner
+        shifted = not len(extra) and not off.any()
+        return mode, None, "EXTRACTION_SHIFTED" if shifted else "REFERENCE_MISMATCH_AFTER_TRIM", None
+
+    rows = [one(a, b, n, k, d == "-") for a, b, n, k, d in zip(ref, cds, lens, rightmost, strand)]
+    return pd.DataFrame(rows, columns=["mode", "extra", "status", "accepted"])
+
+
+@pandas_udf(_struct(text=T.StringType(), in_gaps=INT, in_extra=INT))
+def project_row(ref: pd.Series, row: pd.Series, extra: pd.Series) -> pd.DataFrame:
+    """The row at the reference bases without the extra columns, and its bases in the columns removed as gaps and as extra."""
+    def one(a, b, cols):
+        r, q = (np.frombuffer(x.encode("latin-1", "replace"), np.uint8) for x in (a, b))
+        base = r != GAP
+        drop = np.asarray(cols, np.int64) - 1
+        keep = base.copy()
+        keep[drop] = False
+        full = q != GAP
+        return q[keep].tobytes().decode("latin-1"), int((full & ~base).sum()), int(full[drop].sum())
+
+    return pd.DataFrame([one(*v) for v in zip(ref, row, extra)], columns=["text", "in_gaps", "in_extra"])

@@ -49,13 +49,6 @@ def edge_codons(x: Column | str) -> dict[str, Column]:
     return {"first3": first, "last3": last, "starts_atg": first == "ATG", "ends_stop": last.isin(STOPS)}
 
 
-def at_reference(ref: Column | str, row: Column | str) -> Column:
-    """Row characters at the reference bases only, as one string in reference coordinates."""
-    pair = F.arrays_zip(F.split(_c(ref), "").alias("r"), F.split(_c(row), "").alias("q"))
-    kept = F.filter(pair, lambda p: p["r"] != "-")
-    return F.array_join(F.transform(kept, lambda p: p["q"]), "")
-
-
 def segment_orf(sseq: Column | str, qlen: Column | str) -> dict[str, Column]:
     """ORF fields of a translated search segment; stops are `*` or X."""
     s = F.replace(ungap(sseq), F.lit("*"), F.lit("X"))

@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.seq import at_reference, exact_base, is_shifted, iupac_match, revcomp, translate_cds, ungap
-from ..session import cut_lineage
+from ..functions.aligned import project_row, trim_reference
+from ..functions.seq import revcomp, translate_cds, ungap
 from .runs import best_chain, collinear_chains, dominant_chain
 
 
@@ -90,63 +90,52 @@ def collinear_rows(pieces: DataFrame, max_span: int) -> tuple[DataFrame, DataFra
     return rows, mask
 
 
-def trim_to_cds(aln: DataFrame, exons: DataFrame, seqs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def trim_to_cds(aln: DataFrame, exons: DataFrame, seqs: DataFrame, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Remove the extra base each exon was extracted with, and the reference-gap columns, if the result is the CDS.
 
     aln(locus, taxon, text, is_ref), exons(locus, n, starts_right, lens array, strand) where lens holds exon lengths in
-    transcript order and starts_right is the index of the exon that ends furthest along the genome, seqs(locus, cds).
-    Returns the trimmed rows and a report with one status per locus.
+    transcript order and starts_right is the index of the exon that ends furthest along the genome, seqs(locus, cds),
+    files(locus, preamble): one row for every alignment file, so that empty files, files of one name and text before the
+    first record are reported. Read and write errors are failures of Spark's own tasks and have no row.
+    Returns the trimmed rows and a report with one status per locus. Each row is scanned once, beside its reference row;
+    the reference is checked once per locus. Null texts are left out; repeated rows stay.
     """
+    aln = aln.filter("text is not null")
     ref = aln.filter("is_ref").groupBy("locus").agg(F.count("*").alias("_refs"), F.min("text").alias("ref"))
     w = aln.groupBy("locus").agg(F.min(F.length("text")).alias("_w0"), F.max(F.length("text")).alias("_w1"), F.count("*").alias("n_taxa"))
-    s = seqs.groupBy("locus").agg(F.countDistinct("cds").alias("_seqs"), F.min(F.upper("cds")).alias("cds"))
+    if files is not None:
+        w = w.join(files.groupBy("locus").agg(F.count("*").alias("_files"), F.bool_or("preamble").alias("_pre")), "locus", "full")
+    else:
+        w = w.withColumn("_files", F.lit(1)).withColumn("_pre", F.lit(False))
+    s = seqs.groupBy("locus").agg(F.countDistinct(F.upper("cds")).alias("_seqs"), F.min(F.upper("cds")).alias("cds"))
     j = w.join(ref, "locus", "left").join(exons, "locus", "left").join(s, "locus", "left")
     total = F.aggregate("lens", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    bases, n = F.length(ungap("ref")), F.size("lens")
-    extra = F.when(bases == total + n, 1).when((n > 1) & (bases == total + n - 1), 2).when(bases == total, 0)
-    j = j.withColumn("_mode", extra)
-    has = F.transform("lens", lambda x, i: F.when(F.col("_mode") == 1, 1).when((F.col("_mode") == 2) & (i != F.col("starts_right")), 1).otherwise(0))
-    ends = lambda v: F.transform(v, lambda x, i: F.aggregate(F.slice(v, 1, i + 1), F.lit(0).cast("bigint"), lambda a, y: a + y))
-    j = j.withColumn("_has", has)
-    j = j.withColumn("_blk", F.zip_with("lens", "_has", lambda a, b: a + b)).withColumn("_end", ends(F.col("_blk")))
-    # index of each extra base among the reference bases: first of the exon on minus, last on plus
-    minus = F.col("strand") == "-"
-    idx = F.zip_with("_end", F.zip_with("_blk", "_has", lambda b, h: F.struct(b.alias("b"), h.alias("h"))),
-                     lambda e, v: F.when(v["h"] == 1, F.when(minus, e - v["b"] + 1).otherwise(e)))
-    # written out here: inlined into the lambdas below, these arrays would be rebuilt for every base
-    j = cut_lineage(j.withColumn("_drop", F.filter(idx, lambda v: v.isNotNull())))
-    letters = F.split(ungap("ref"), "")
-    kept = F.filter(F.transform(letters, lambda c, i: F.when(~F.array_contains("_drop", (i + 1).cast("bigint")), c)), lambda v: v.isNotNull())
-    j = cut_lineage(j.withColumn("_trim", F.upper(F.array_join(kept, ""))))
-    cuts = ends(F.col("lens"))
-    blocks = lambda t: F.zip_with(cuts, "lens", lambda e, x: F.substring(F.col(t), (e - x + 1).cast("int"), x.cast("int")))
-    j = cut_lineage(j.withColumn("_tb", blocks("_trim")).withColumn("_cb", blocks("cds")))
-    anchored = F.forall(F.zip_with("_tb", "_cb", lambda a, b: exact_base(a, b)), lambda v: v)
-    loose = iupac_match("_trim", "cds") & anchored
-    shifted = (F.col("_mode") == 0) & F.forall(F.zip_with("_tb", "_cb", lambda a, b: is_shifted(a, b, minus)), lambda v: v)
-    status = (
-        F.when(F.col("_w0") != F.col("_w1"), "ROW_LENGTHS_DIFFER")
+    early = (
+        F.when(F.col("_files") > 1, "DUPLICATE_FILENAME")
+        .when(F.col("n_taxa").isNull(), "NO_RECORDS")
+        .when(F.col("_pre"), "TEXT_BEFORE_FIRST_HEADER")
+        .when(F.col("_w0") != F.col("_w1"), "ROW_LENGTHS_DIFFER")
         .when(F.col("lens").isNull(), "NO_TRANSCRIPT_MATCH")
         .when(F.col("cds").isNull(), "NOT_IN_FNA")
         .when(F.col("_seqs") > 1, "DUPLICATE_FNA_ID")
         .when(total != F.length("cds"), "BED_FNA_LENGTH_MISMATCH")
         .when(F.col("_refs").isNull(), "NO_REFERENCE_ROW")
         .when(F.col("_refs") > 1, "MULTIPLE_REFERENCE_ROWS")
-        .when(F.col("_mode").isNull(), "UNEXPECTED_REFERENCE_LENGTH")
-        .when(F.col("_trim") == F.col("cds"), "OK")
-        .when(loose, "OK_AMBIGUOUS")
-        .when(shifted, "EXTRACTION_SHIFTED")
-        .otherwise("REFERENCE_MISMATCH_AFTER_TRIM")
     )
-    mode = F.when(F.col("_mode") == 1, "one_extra_per_exon").when(F.col("_mode") == 2, "one_extra_per_exon_except_rightmost").when(F.col("_mode") == 0, "cds_length")
-    rep = j.select("locus", "n_taxa", status.alias("status"), mode.alias("reference_extraction"), F.size("_drop").alias("n_extra"),
-                   (F.length("ref") - bases).alias("n_gap_columns"), "ref", "_drop")
-    # every row at the reference bases, without the extra ones
-    ok = rep.filter(F.col("status").startswith("OK")).select("locus", "ref", "_drop")
-    x = aln.join(ok, "locus")
-    chars = F.transform(F.split(at_reference("ref", "text"), ""), lambda c, i: F.when(~F.array_contains("_drop", (i + 1).cast("bigint")), c))
-    picked = F.filter(chars, lambda v: v.isNotNull())
-    return x.select("locus", "taxon", F.array_join(picked, "").alias("text")), rep.drop("ref", "_drop")
+    j = j.withColumn("_early", early)
+    # only a locus without an earlier status hands its reference to the scan
+    j = j.withColumn("_t", trim_reference(F.when(F.col("_early").isNull(), F.col("ref")), "cds", "lens", "starts_right", "strand"))
+    ok = j.filter("_t.status = 'OK'").select("locus", "ref", F.col("_t.extra").alias("_extra"))
+    rows = aln.join(ok, "locus").select("locus", "taxon", "is_ref", project_row("ref", "text", "_extra").alias("p")).select("locus", "taxon", "is_ref", "p.*")
+    lost = rows.filter("not is_ref").groupBy("locus").agg(F.sum("in_gaps").alias("bases_in_gap_columns"), F.sum("in_extra").alias("bases_in_extra_columns"))
+    fine = lambda c: F.when(F.col("_t.status") == "OK", c)
+    rep = j.select(
+        "locus", F.coalesce("n_taxa", F.lit(0)).alias("n_taxa"), F.coalesce("_early", "_t.status").alias("status"), F.col("_t.mode").alias("reference_extraction"),
+        fine(F.length("ref")).alias("n_columns"), fine(F.size("_t.extra")).alias("n_extra"), fine(F.array_join(F.col("_t.extra").cast("array<string>"), ",")).alias("extra_columns"),
+        fine(F.length("ref") - F.length(ungap("ref"))).alias("n_gap_columns"), F.col("_t.accepted").alias("accepted"))
+    rep = rep.join(lost, "locus", "left")
+    count = lambda c: F.when(F.col("status") == "OK", F.coalesce(c, F.lit(0))).alias(c)
+    return rows.select("locus", "taxon", "text"), rep.select(*[c for c in rep.columns if not c.startswith("bases_")], count("bases_in_gap_columns"), count("bases_in_extra_columns"))
 
 
 def base_count_audit(a: DataFrame, b: DataFrame, c: DataFrame, key: str = "locus", text: str = "text") -> DataFrame:

@@ -89,38 +89,63 @@ def collinear_mask(spark, sf):
     return B.collinear_rows(pieces(spark, sf), 600)[1]
 
 
-TRIM = DNA + """, tr AS (SELECT doc_id, dna, length(dna) AS n, doc_id % 4 AS m, CASE doc_id % 4 WHEN 0 THEN '-' || left(dna, length(dna) // 2) || 'A' || substr(dna, length(dna) // 2 + 1) || 'C' WHEN 1 THEN left(dna, 3) || '-' || substr(dna, 4)
-   WHEN 2 THEN left(dna, length(dna) // 2) || 'A-' || substr(dna, length(dna) // 2 + 1) ELSE dna || 'AAAAA' END AS ref FROM dna)"""
+# two exons, the halves of a text; sixteen kinds of reference rows, exons, sequences and files by id, short texts of kind 3
+TRIM = DNA + """, t0 AS (SELECT doc_id, coalesce(dna, '') AS dna FROM dna), t1 AS (SELECT *, length(dna) AS n, length(dna) // 2 AS h, CASE WHEN length(dna) < 20 THEN 3 ELSE doc_id % 16 END AS m, (doc_id // 16) % 2 = 1 AS minus FROM t0),
+  t2 AS (SELECT *, left(dna, h) AS a, substr(dna, h + 1) AS b FROM t1),
+  t3 AS (SELECT *, CASE WHEN m = 0 AND minus THEN '-A' || a || 'C' || b WHEN m = 0 THEN '-' || a || 'A' || b || 'C' WHEN m = 1 THEN left(dna, 3) || '-' || substr(dna, 4)
+   WHEN m = 2 AND minus THEN a || '-A' || b WHEN m = 2 THEN a || 'A-' || b WHEN m = 3 THEN dna || 'AAAAA' WHEN m = 11 THEN 'N' || substr(dna, 2)
+   WHEN m = 12 AND minus THEN 'T' || left(a, h - 1) || 'T' || left(b, n - h - 1) WHEN m = 12 THEN substr(a, 2) || 'T' || substr(b, 2) || 'T' WHEN m = 13 THEN translate(left(dna, 1), 'ACGT', 'CATG') || substr(dna, 2) ELSE dna END AS ref FROM t2),
+  t4 AS (SELECT *, left(ref, h) AS ra, substr(ref, h + 1) AS rb FROM t3),
+  tr AS (SELECT *, CASE m WHEN 3 THEN 'UNEXPECTED_REFERENCE_LENGTH' WHEN 4 THEN 'ROW_LENGTHS_DIFFER' WHEN 5 THEN 'NO_TRANSCRIPT_MATCH' WHEN 6 THEN 'NOT_IN_FNA' WHEN 7 THEN 'DUPLICATE_FNA_ID' WHEN 8 THEN 'BED_FNA_LENGTH_MISMATCH'
+    WHEN 9 THEN CASE WHEN doc_id % 32 = 9 THEN 'NO_REFERENCE_ROW' ELSE 'NO_RECORDS' END WHEN 10 THEN 'MULTIPLE_REFERENCE_ROWS' WHEN 14 THEN 'TEXT_BEFORE_FIRST_HEADER' WHEN 15 THEN 'DUPLICATE_FILENAME'
+    ELSE CASE WHEN m IN (0, 1, 2, 11) OR ref = dna THEN 'OK' WHEN CASE WHEN minus THEN substr(ra, 2) = left(a, h - 1) AND substr(rb, 2) = left(b, n - h - 1) ELSE left(ra, h - 1) = substr(a, 2) AND left(rb, n - h - 1) = substr(b, 2) END
+      THEN 'EXTRACTION_SHIFTED' ELSE 'REFERENCE_MISMATCH_AFTER_TRIM' END END AS status, CASE WHEN m = 11 THEN ref ELSE dna END AS kept FROM t4)"""
 
 
 def trimmed(spark, sf):
-    d = dna(spark, sf)
+    d = dna(spark, sf).select("doc_id", F.coalesce("dna", F.lit("")).alias("dna"))
     n = F.length("dna")
-    half = F.floor(n / 2).cast("int")
-    a, b, m = F.substring(F.col("dna"), F.lit(1), half), F.expr("substr(dna, cast(floor(length(dna) / 2) as int) + 1)"), F.col("doc_id") % 4
-    ref = F.when(m == 0, F.concat(F.lit("-"), a, F.lit("A"), b, F.lit("C"))).when(m == 1, F.concat(F.expr("substr(dna, 1, 3)"), F.lit("-"), F.expr("substr(dna, 4)"))).when(
-        m == 2, F.concat(a, F.lit("A-"), b)).otherwise(F.concat("dna", F.lit("AAAAA")))
+    d = d.withColumn("h", F.floor(n / 2).cast("int")).withColumn("m", F.when(n < 20, 3).otherwise(F.col("doc_id") % 16)).withColumn("minus", F.floor(F.col("doc_id") / 16) % 2 == 1)
+    d = d.withColumn("a", F.expr("left(dna, h)")).withColumn("b", F.expr("substr(dna, h + 1)"))
+    text = lambda p, q: F.when(F.col("minus"), F.expr(q)).otherwise(F.expr(p))
+    kinds = {
+        0: text("'-' || a || 'A' || b || 'C'", "'-A' || a || 'C' || b"), 1: F.expr("left(dna, 3) || '-' || substr(dna, 4)"), 2: text("a || 'A-' || b", "a || '-A' || b"),
+        3: F.expr("dna || 'AAAAA'"), 11: F.expr("'N' || substr(dna, 2)"),
+        12: text("substr(a, 2) || 'T' || substr(b, 2) || 'T'", "'T' || left(a, length(a) - 1) || 'T' || left(b, length(b) - 1)"), 13: F.expr("translate(left(dna, 1), 'ACGT', 'CATG') || substr(dna, 2)")}
+    ref = F.col("dna")
+    for k, v in kinds.items():
+        ref = F.when(F.col("m") == k, v).otherwise(ref)
     x = d.withColumn("ref", ref)
-    rows = x.select(F.col("doc_id").alias("locus"), F.explode(F.array(
-        F.struct(F.lit("ref").alias("taxon"), F.col("ref").alias("text"), F.lit(True).alias("is_ref")),
-        F.struct(F.lit("A").alias("taxon"), F.translate("ref", "AC", "-A").alias("text"), F.lit(False).alias("is_ref")))).alias("r")).select("locus", "r.*")
-    ex = x.select(F.col("doc_id").alias("locus"), F.lit(1).alias("starts_right"), F.array(half.cast("bigint"), (n - half).cast("bigint")).alias("lens"), F.lit("+").alias("strand"))
-    return B.trim_to_cds(rows, ex, d.select(F.col("doc_id").alias("locus"), F.col("dna").alias("cds")))
+    row = lambda taxon, t, is_ref: F.struct(F.lit(taxon).alias("taxon"), t.alias("text"), F.lit(is_ref).alias("is_ref"))
+    other = F.translate("ref", "AC-", "-AT")
+    m = F.col("m")
+    made = F.array_compact(F.array(
+        F.when(~m.isin(9), row("ref", F.col("ref"), True)), F.when(m == 10, row("ref", F.col("ref"), True)),
+        F.when((m != 9) | (F.col("doc_id") % 32 == 9), row("A", F.when(m == 4, F.concat(other, F.lit("-"))).otherwise(other), False))))
+    locus = F.col("doc_id").alias("locus")
+    rows = x.select(locus, F.explode(made).alias("r")).select("locus", "r.*")
+    z = lambda c: c.cast("bigint")
+    ex = x.filter("m <> 5").select(locus, F.when(F.col("minus"), 0).otherwise(1).alias("starts_right"), F.array(z(F.col("h")), z(F.length("dna") - F.col("h") + F.when(m == 8, 1).otherwise(0))).alias("lens"),
+                                   F.when(F.col("minus"), "-").otherwise("+").alias("strand"))
+    cds = x.filter("m <> 6").select(locus, F.explode(F.when(m == 7, F.array("dna", F.concat("dna", F.lit("A")))).otherwise(F.array(F.lower("dna")))).alias("cds"))
+    files = x.select(locus, F.explode(F.array_repeat(m == 14, F.when(m == 15, 2).otherwise(1))).alias("preamble"))
+    return B.trim_to_cds(rows, ex, cds, files)
 
 
-@query(
-    "trimmed_rows",
-    f"""WITH {TRIM} SELECT doc_id AS locus, 'ref' AS taxon, dna AS text FROM tr WHERE m < 3 UNION ALL SELECT doc_id, 'A', translate(dna, 'AC', '-A') FROM tr WHERE m < 3""",
-)
+@query("trimmed_rows", f"WITH {TRIM} SELECT doc_id AS locus, 'ref' AS taxon, kept AS text FROM tr WHERE status = 'OK' UNION ALL SELECT doc_id, 'A', translate(kept, 'AC', '-A') FROM tr WHERE status = 'OK'")
 def trim_rows(spark, sf):
     return trimmed(spark, sf)[0]
 
 
 @query(
     "trim_report",
-    f"""WITH {TRIM} SELECT doc_id AS locus, CAST(2 AS BIGINT) AS n_taxa, CASE WHEN m < 3 THEN 'OK' ELSE 'UNEXPECTED_REFERENCE_LENGTH' END AS status,
-    CASE m WHEN 0 THEN 'one_extra_per_exon' WHEN 1 THEN 'cds_length' WHEN 2 THEN 'one_extra_per_exon_except_rightmost' END AS reference_extraction, CAST(CASE m WHEN 0 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS INTEGER) AS n_extra,
-    CAST(CASE WHEN m < 3 THEN 1 ELSE 0 END AS INTEGER) AS n_gap_columns FROM tr""",
+    f"""WITH {TRIM}, r AS (SELECT *, status = 'OK' AS ok FROM tr)
+    SELECT doc_id AS locus, CAST(CASE WHEN status = 'NO_RECORDS' THEN 0 WHEN m = 9 THEN 1 WHEN m = 10 THEN 3 ELSE 2 END AS BIGINT) AS n_taxa, status,
+    CASE m WHEN 0 THEN 'one_extra_per_exon' WHEN 2 THEN 'one_extra_per_exon_except_rightmost' ELSE CASE WHEN m IN (1, 11, 12, 13) THEN 'cds_length' END END AS reference_extraction,
+    CASE WHEN ok THEN length(ref) END AS n_columns, CASE WHEN ok THEN CASE m WHEN 0 THEN 2 WHEN 2 THEN 1 ELSE 0 END END AS n_extra,
+    CASE WHEN ok THEN CASE WHEN m = 0 AND minus THEN '2,' || (h + 3) WHEN m = 0 THEN (h + 2) || ',' || (n + 3) WHEN m = 2 AND minus THEN '' || (h + 2) WHEN m = 2 THEN '' || (h + 1) ELSE '' END END AS extra_columns,
+    CASE WHEN ok THEN CASE WHEN m < 3 THEN 1 ELSE 0 END END AS n_gap_columns, CASE WHEN ok THEN CASE WHEN m = 11 THEN '1:N/' || left(dna, 1) ELSE '' END END AS accepted,
+    CASE WHEN ok THEN CASE WHEN m < 3 THEN 1 ELSE 0 END END AS bases_in_gap_columns, CASE WHEN ok THEN CASE m WHEN 0 THEN 1 ELSE 0 END END AS bases_in_extra_columns FROM r""",
 )
 def trim_report(spark, sf):
     return trimmed(spark, sf)[1]
@@ -128,15 +153,14 @@ def trim_report(spark, sf):
 
 @query(
     "base_count_audit",
-    f"""WITH {TRIM}, a AS (SELECT doc_id, CAST(length(replace(ref, '-', '')) AS BIGINT) AS raw, CASE WHEN m < 3 THEN CAST(n AS BIGINT) END AS filtered, CAST(n AS BIGINT) AS written FROM tr)
+    f"""WITH {TRIM}, a AS (SELECT doc_id, CAST(length(replace(ref, '-', '')) AS BIGINT) AS raw, CASE WHEN status = 'OK' THEN CAST(n AS BIGINT) END AS filtered, CAST(n AS BIGINT) AS written FROM tr)
     SELECT doc_id AS locus, raw, filtered, written, CASE WHEN raw = filtered AND filtered = written THEN 'PASS' ELSE 'DIFFERS' END AS status FROM a""",
 )
 def base_counts(spark, sf):
-    d = dna(spark, sf).select(F.col("doc_id").alias("locus"), F.col("dna").alias("text"))
+    d = dna(spark, sf).select(F.col("doc_id").alias("locus"), F.coalesce("dna", F.lit("")).alias("text"))
     rows, _ = trimmed(spark, sf)
-    m = F.col("locus") % 4
-    n = F.length("text")
-    extra = F.when(m == 0, 2).when(m == 1, 0).when(m == 2, 1).otherwise(5)
+    m = F.when(F.length("text") < 20, 3).otherwise(F.col("locus") % 16)
+    extra = F.when(m == 0, 2).when(m == 2, 1).when(m == 3, 5).otherwise(0)
     raw = d.withColumn("text", F.concat("text", F.repeat(F.lit("A"), extra)))
     return B.base_count_audit(raw, rows.filter("taxon = 'ref'"), d)
 
