@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..common import number_within
+from ..session import cut_lineage
 from .intervals import union_length
 
 
@@ -16,10 +16,27 @@ def distinct_sequences(df: DataFrame, id_col: str, seq: str) -> tuple[DataFrame,
     return reps, df.select(F.col(id_col).alias("id"), F.col(seq).alias("seq")).join(reps, "seq").select("id", "rep")
 
 
-def _kmers(df: DataFrame, id_col: str, k: int) -> DataFrame:
-    # cut inside the row, so the text is not repeated for every k-mer
+# letters of a piece, which travels by itself, and of the chunks it is read in: positions in a string are found by
+# counting from its start, so both stay short
+PIECE, CHUNK = 1 << 16, 1 << 8
+SALTS = 16
+
+
+def _cut(df: DataFrame, text: str, size: int, k: int, at: str) -> DataFrame:
+    """Rows of at most size + k - 1 letters that overlap by k - 1, with the 0-based place of each."""
+    starts = F.sequence(F.lit(0), F.length(text) - k, F.lit(size))
+    keep = [c for c in df.columns if c != text]
+    x = df.filter(F.length(text) >= k).select(*keep, text, F.explode(starts).alias(at))
+    return x.withColumn(text, F.substring(F.col(text), F.col(at) + 1, F.lit(size + k - 1)))
+
+
+def _placed_kmers(df: DataFrame, id_col: str, k: int) -> DataFrame:
+    """Every k-mer of (rep, seq) with its 1-based place. A long sequence is spread over tasks by pieces."""
+    x = _cut(df.select(F.col("rep").alias(id_col), "seq"), "seq", PIECE, k, "_piece").repartition(id_col, "_piece")
+    x = _cut(x, "seq", CHUNK, k, "_chunk")
     cut = F.transform(F.sequence(F.lit(1), F.length("seq") - k + 1), lambda p: F.substring(F.col("seq"), p, F.lit(k)))
-    return df.filter(F.length("seq") >= k).select(F.col("rep").alias(id_col), F.explode(F.array_distinct(cut)).alias("kmer"))
+    x = x.select(id_col, (F.col("_piece") + F.col("_chunk")).alias("_at"), F.posexplode(cut).alias("_pos", "kmer"))
+    return x.select(id_col, "kmer", (F.col("_at") + F.col("_pos") + 1).alias("pos"))
 
 
 def kmer_join(q: DataFrame, t: DataFrame, k: int, min_share: float) -> DataFrame:
@@ -28,36 +45,34 @@ def kmer_join(q: DataFrame, t: DataFrame, k: int, min_share: float) -> DataFrame
     q and t are (rep, seq) tables of distinct sequences. Exact prefix filter: with the k-mers of a query ordered from
     rare to common, a target that shares min_share of n of them must hold one of the first n - ceil(min_share n) + 1. Only
     those rare ones look for candidates, so a k-mer that occurs everywhere never multiplies out; candidates are then
-    counted in full. Returns (query, target, n_shared, n_query, share).
+    counted in full. A k-mer in many targets is met in SALTS parts by target. Null and shorter sequences have no k-mers
+    and are in no pair. Returns (query, target, n_shared, n_query, share).
     """
-    kq, kt = _kmers(q, "query", k), _kmers(t, "target", k)
+    kq = cut_lineage(_placed_kmers(q, "query", k).select("query", "kmer").distinct())
+    # k-mers of targets that no query holds go before anything is shuffled or written
+    kt = _placed_kmers(t, "target", k).select("target", "kmer").join(kq.select("kmer").distinct(), "kmer", "left_semi")
+    kt = cut_lineage(kt.select("target", "kmer").distinct())
     freq = kt.groupBy("kmer").agg(F.count("*").alias("f"))
-    present = kq.join(freq, "kmer", "left").withColumn("f", F.coalesce("f", F.lit(0)))
-    # a query has one row per distinct k-mer of one sequence, so this window is bounded by the sequence
-    w = Window.partitionBy("query")
-    n = F.count("*").over(w)
-    need = F.ceil(F.lit(min_share) * n)
-    probe = present.withColumn("n_query", n).withColumn("_r", F.row_number().over(w.orderBy("f", "kmer"))).withColumn("_need", need)
-    probe = probe.filter((F.col("_r") <= F.col("n_query") - F.col("_need") + 1) & (F.col("f") > 0)).select("query", "kmer", "n_query")
-    cand = probe.join(kt, "kmer").select("query", "target", "n_query").distinct()
-    shared = cand.join(kq, "query").join(kt, ["target", "kmer"]).groupBy("query", "target", "n_query").agg(F.count("*").alias("n_shared"))
-    out = shared.withColumn("share", F.col("n_shared") / F.col("n_query"))
-    return out.filter(F.col("n_shared") >= F.ceil(F.lit(min_share) * F.col("n_query"))).select("query", "target", "n_shared", "n_query", "share")
+    size = kq.groupBy("query").agg(F.count("*").alias("n_query"))
+    present = kq.join(freq, "kmer", "left").select("query", "kmer", F.coalesce("f", F.lit(0)).alias("f"))
+    ranked = number_within(present, ["query"], [F.col("f"), F.col("kmer")], "_r").join(size, "query")
+    need = F.ceil(F.lit(min_share) * F.col("n_query"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    probe = ranked.filter((F.col("_r") <= F.col("n_query") - need + 1) & (F.col("f") > 0)).select("query", "kmer", salts)
+    salted = kt.withColumn("_salt", F.pmod(F.hash("target"), F.lit(SALTS)))
+    cand = probe.join(salted, ["kmer", "_salt"]).select("query", "target").distinct()
+    shared = cand.join(kq, "query").join(kt, ["target", "kmer"]).groupBy("query", "target").agg(F.count("*").alias("n_shared")).join(size, "query")
+    return shared.filter(F.col("n_shared") >= need).select("query", "target", "n_shared", "n_query", (F.col("n_shared") / F.col("n_query")).alias("share"))
 
 
 def shared_spans(pairs: DataFrame, q: DataFrame, t: DataFrame, k: int) -> DataFrame:
     """Query and target positions covered by shared k-mers, as percentages, for the given pairs."""
-    def placed(df: DataFrame, name: str) -> DataFrame:
-        cut = F.transform(F.sequence(F.lit(1), F.length("seq") - k + 1), lambda p: F.substring(F.col("seq"), p, F.lit(k)))
-        x = df.filter(F.length("seq") >= k).select(F.col("rep").alias(name), F.length("seq").alias(name + "_len"), F.posexplode(cut).alias("pos", "kmer"))
-        return x.withColumn("pos", F.col("pos") + 1)
-
-    p = pairs.select("query", "target")
+    p = cut_lineage(pairs.select("query", "target").distinct())
+    of = lambda df, name: _placed_kmers(df.join(p.select(F.col(name).alias("rep")).distinct(), "rep", "left_semi"), name, k)
     out = pairs
     for mine, other, a, b in (("query", "target", q, t), ("target", "query", t, q)):
-        x = p.join(placed(a, mine), mine).join(_kmers(b, other, k), [other, "kmer"], "left_semi")
-        x = x.select("query", "target", F.col("pos").alias("s"), (F.col("pos") + k - 1).alias("e"), mine + "_len")
-        size = x.groupBy("query", "target").agg(F.max(mine + "_len").alias("_len"))
-        c = union_length(x, ["query", "target"], "s", "e", "_c").join(size, ["query", "target"])
+        x = p.join(of(a, mine), mine).join(of(b, other).select(other, "kmer"), [other, "kmer"], "left_semi")
+        x = x.select("query", "target", F.col("pos").alias("s"), (F.col("pos") + k - 1).alias("e"))
+        c = union_length(x, ["query", "target"], "s", "e", "_c").join(a.select(F.col("rep").alias(mine), F.length("seq").alias("_len")), mine)
         out = out.join(c.select("query", "target", F.round(F.lit(100.0) * F.col("_c") / F.col("_len"), 2).alias(mine + "_pct")), ["query", "target"])
     return out

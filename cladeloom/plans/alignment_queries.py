@@ -327,7 +327,18 @@ def kmer_pairs(spark, sf):
     return K.kmer_join(*grams(spark, sf), 8, 0.6)
 
 
-@query("kmer_spans")
+# shared places of a pair, then the letters they cover: a place covers up to the next one or k letters
+SPANS = """kp AS (SELECT rep, substr(seq, p, 8) AS g, p FROM (SELECT rep, seq, unnest(range(1, length(seq) - 6)) AS p FROM q)), tp AS (SELECT rep, substr(seq, p, 8) AS g, p FROM (SELECT rep, seq, unnest(range(1, length(seq) - 6)) AS p FROM t SEMI JOIN pr ON t.rep = pr.target)),
+ qs AS (SELECT query, target, p, lead(p) OVER (PARTITION BY query, target ORDER BY p) AS nx FROM pr JOIN kp ON kp.rep = query JOIN kt ON kt.rep = target AND kt.g = kp.g),
+ ts AS (SELECT query, target, p, lead(p) OVER (PARTITION BY query, target ORDER BY p) AS nx FROM pr JOIN tp ON tp.rep = target JOIN kq ON kq.rep = query AND kq.g = tp.g),
+ qc AS (SELECT query, target, sum(least(8, coalesce(nx - p, 8))) AS c FROM qs GROUP BY ALL), tc AS (SELECT query, target, sum(least(8, coalesce(nx - p, 8))) AS c FROM ts GROUP BY ALL)"""
+
+
+@query(
+    "kmer_spans",
+    f"""WITH {GRAM}, {SPANS} SELECT pr.query, pr.target, n_shared, n_query, n_shared / n_query AS share, round(100.0 * CAST(qc.c AS DOUBLE) / length(q.seq), 2) AS query_pct, round(100.0 * CAST(tc.c AS DOUBLE) / length(t.seq), 2) AS target_pct
+    FROM pr JOIN qc ON qc.query = pr.query AND qc.target = pr.target JOIN tc ON tc.query = pr.query AND tc.target = pr.target JOIN q ON q.rep = pr.query JOIN t ON t.rep = pr.target""",
+)
 def kmer_spans(spark, sf):
     q, t = grams(spark, sf)
     return K.shared_spans(K.kmer_join(q, t, 8, 0.6), q, t, 8)
