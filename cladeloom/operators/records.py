@@ -74,6 +74,11 @@ def longest_per_group(df: DataFrame, group: str, length: str, order: str, column
     return g.filter(F.col("b")[length] > 0).select(group, "b.*", "n_isoforms")
 
 
+def coding_surplus(cds_length: Column, protein_length: Column) -> Column:
+    """Bases of the coding sequence beyond three per amino acid (3 = a stop codon); null without a protein."""
+    return F.when(protein_length > 0, cds_length - 3 * protein_length)
+
+
 def other_members(df: DataFrame, best: DataFrame, group: str, record: str) -> DataFrame:
     """Every record that is not the chosen one of its group, one row each beside the chosen id.
 
@@ -214,6 +219,14 @@ def species_totals(df: DataFrame, species: str, gene_type: str, specific: Column
         "pct_specific_DNGs", pct(F.col("specific_DNGs"), F.col("DNGs")))
 
 
+def long_list(df: DataFrame, gene: str, gene_type: str, node: str, excluded: Sequence = ()) -> DataFrame:
+    """The rows that the final tables count: a named gene of type DNG or PDNG (any case, spaces around it) whose node isn't excluded."""
+    kind = F.upper(F.trim(gene_type))
+    d = df.filter((F.trim(F.col(gene).cast("string")) != "") & kind.isin("DNG", "PDNG"))
+    left_out = F.coalesce(F.col(node).isin(list(excluded)), F.lit(False)) if excluded else F.lit(False)
+    return d.filter(~left_out).withColumn(gene_type, kind)
+
+
 def by_age(df: DataFrame, species: str, node: str, gene_type: str, excluded: Sequence = ()) -> DataFrame:
     """Gene counts per species, node and type, without the excluded nodes."""
     d = df.filter(~F.col(node).isin(list(excluded))) if excluded else df

@@ -119,18 +119,28 @@ def branch_points(pairs: DataFrame, tree: Tree) -> DataFrame:
     return p.select("focal", "species", F.element_at("_focal", k).alias("node"), (F.size("_focal") - k).cast("bigint").alias("ix"))
 
 
-def lineage_bins(tree: Tree, focals: DataFrame) -> DataFrame:
-    """(focal, species, node, ix): the lineage node of the focal species at which another species branches off."""
-    f = tree.lineage.join(focals.select("focal").distinct(), "focal", "left_semi")
-    c = tree.clade.join(f.select("node").distinct(), "node", "left_semi")
-    return f.join(c, "node").filter("focal <> species").groupBy("focal", "species").agg(
-        F.min_by("node", "ix").alias("node"), F.min("ix").alias("ix")
-    )
+def side_branches(tree: Tree) -> DataFrame:
+    """The side branch at every branch of the tree: the leaves below node that are not below its child.
+
+    With the leaves numbered in preorder a clade is one range, so a side branch is a range less an inner one:
+    (node, child, lo, hi, skip_lo, skip_hi, n_species), one row a branch. A focal species below child has this side branch at
+    node on its lineage, whichever species it is, so nothing is listed per pair of leaves.
+    """
+    rank = global_number(tree.leaves.join(tree.paths.select("node", "pre"), "node"), [F.col("pre")], "rank").select("node", "rank")
+    span = cut_lineage(tree.closure.join(rank, "node").groupBy("ancestor").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi")))
+    whole = span.withColumnRenamed("ancestor", "parent")
+    inner = span.select(F.col("ancestor").alias("node"), F.col("lo").alias("skip_lo"), F.col("hi").alias("skip_hi"))
+    n = (F.col("hi") - F.col("lo")) - (F.col("skip_hi") - F.col("skip_lo"))
+    return tree.edges.join(whole, "parent").join(inner, "node").select(F.col("parent").alias("node"), F.col("node").alias("child"), "lo", "hi", "skip_lo", "skip_hi", n.alias("n_species"))
 
 
-def side_branch(tree: Tree, focals: DataFrame) -> DataFrame:
-    """Species on the side branch of each lineage node: below it, not below the next younger lineage node."""
-    return lineage_bins(tree, focals)
+def side_branch_counts(lines: DataFrame, tree: Tree) -> DataFrame:
+    """Lines of the species on every side branch: those of the clade less those of the child. lines(species), one row a line."""
+    per = lines.groupBy(F.col("species").alias("node")).agg(F.count("*").alias("n"))
+    clade = cut_lineage(tree.closure.join(per, "node").groupBy("ancestor").agg(F.sum("n").alias("n")))
+    at = lambda c, n: clade.select(F.col("ancestor").alias(c), F.col("n").alias(n))
+    x = side_branches(tree).select("node", "child", "n_species").join(at("node", "_all"), "node", "left").join(at("child", "_in"), "child", "left")
+    return x.select("node", "child", "n_species", (F.coalesce("_all", F.lit(0)) - F.coalesce("_in", F.lit(0))).alias("n_lines"))
 
 
 def place_on_lineage(presence: DataFrame, tree: Tree, need_focal: bool = False) -> DataFrame:
@@ -191,6 +201,31 @@ def phylostratum(groups: DataFrame, tree: Tree) -> DataFrame:
     return gs.join(n, "group").join(node, "group").select("group", "species", "n_species", shared.alias("node"))
 
 
+def gene_strata(members: DataFrame, proteins: DataFrame, tree: Tree) -> DataFrame:
+    """Stratum of every gene, one row per (species, gene, group).
+
+    members(group, species, gene), proteins(species, gene). The stratum is the oldest node at which the group is shared,
+    `species_specific_clustered` for a group of one species, and `species_specific_unclustered` (no group) for a protein that no
+    such group holds. Species outside the tree are left out; a group shared only with those has no stratum in the tree.
+    """
+    m = members.select("group", "species", "gene").distinct()
+    at = phylostratum(m, tree).filter("node is null or node <> species")
+    known = m.join(at.select("group", "species", "node"), ["group", "species"])
+    # a group of one species outside the tree also has no node
+    known = known.join(tree.leaves.select(F.col("node").alias("species")), "species", "left_semi")
+    placed = known.select("species", "gene", F.coalesce(F.col("node").cast("string"), F.lit("species_specific_clustered")).alias("stratum"), "group")
+    rest = proteins.select("species", "gene").distinct().join(tree.leaves.select(F.col("node").alias("species")), "species", "left_semi")
+    rest = rest.join(placed.select("species", "gene"), ["species", "gene"], "left_anti")
+    none = rest.select("species", "gene", F.lit("species_specific_unclustered").alias("stratum"), F.lit(None).cast(m.schema["group"].dataType).alias("group"))
+    return placed.unionByName(none)
+
+
+def stratum_counts(strata: DataFrame) -> DataFrame:
+    """Groups and genes per species and stratum; unclustered genes have no number of groups."""
+    g = strata.groupBy("species", "stratum").agg(F.countDistinct("group").alias("n"), F.countDistinct("gene").alias("n_genes"))
+    return g.select("species", "stratum", F.when(F.col("stratum") != "species_specific_unclustered", F.col("n")).alias("n_groups"), "n_genes")
+
+
 def assign_tiers(species: DataFrame, tree: Tree, clade: Column, ladder: DataFrame) -> DataFrame:
     """INSIDE_CLADE, or the nearest ladder ancestor holding the species, or outside.
 

@@ -330,6 +330,19 @@ def longest(spark, sf):
     return R.longest_per_group(d, "grp", "n_chars", "doc_id", []).select("grp", "doc_id", "n_chars", "n_isoforms")
 
 
+@query(
+    "coding_surplus",
+    """WITH p AS (SELECT source AS gene, doc_id AS protein, n_chars % 500 AS aa, 3 * (n_chars % 500) + doc_id % 4 AS cds FROM documents WHERE source IS NOT NULL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY aa DESC, protein) AS rn, count(*) OVER (PARTITION BY gene) AS n FROM p)
+    SELECT gene, protein, aa, cds, n AS n_isoforms, cds - 3 * aa AS delta_nt FROM r WHERE rn = 1 AND aa > 0""",
+)
+def surplus(spark, sf):
+    aa = F.col("n_chars") % 500
+    p = table(spark, sf, "documents").filter("source is not null").select(F.col("source").alias("gene"), F.col("doc_id").alias("protein"), aa.alias("aa"), (3 * aa + F.col("doc_id") % 4).alias("cds"))
+    best = R.longest_per_group(p, "gene", "aa", "protein", ["cds"])
+    return best.select("gene", "protein", "aa", "cds", "n_isoforms", R.coding_surplus(F.col("cds"), F.col("aa")).alias("delta_nt"))
+
+
 @query(
     "other_isoforms",
     """WITH r AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS rn, first(doc_id) OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS chosen FROM documents)
@@ -449,6 +462,32 @@ def species_totals(spark, sf):
     return R.species_totals(typed(spark, sf), "species", "gene_type", F.col("node") == 0)
 
 
+LISTED = """ll AS (SELECT c_nationkey AS species, CASE WHEN o_orderkey % 10 = 0 THEN ' ' ELSE CAST(o_orderkey AS VARCHAR) END AS gene, CASE WHEN o_orderstatus = 'F' THEN 'DNG' ELSE 'PDNG' END AS gene_type, o_custkey % 7 AS node
+ FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus IN ('F', 'O') AND o_orderkey % 10 <> 0 AND o_custkey % 7 NOT IN (5, 6))"""
+
+
+def listed(spark, sf):
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    kind = F.when(F.col("o_orderstatus") == "F", " dng").when(F.col("o_orderstatus") == "O", "PDNG ").otherwise("NA")
+    gene = F.when(F.col("o_orderkey") % 10 == 0, " ").otherwise(F.col("o_orderkey").cast("string"))
+    x = o.select(F.col("c_nationkey").alias("species"), gene.alias("gene"), kind.alias("gene_type"), (F.col("o_custkey") % 7).alias("node"))
+    return R.long_list(x, "gene", "gene_type", "node", [5, 6])
+
+
+@query("long_list", f"WITH {LISTED} SELECT * FROM ll")
+def long_list(spark, sf):
+    return listed(spark, sf)
+
+
+@query(
+    "long_list_totals",
+    f"""WITH {LISTED}, g AS (SELECT species, count(*) AS total_genes, count(*) FILTER (gene_type = 'DNG') AS "DNGs", count(*) FILTER (gene_type = 'PDNG') AS "PDNGs", count(*) FILTER (gene_type = 'DNG' AND node = 0) AS "specific_DNGs" FROM ll GROUP BY 1)
+    SELECT *, round(100.0 * "DNGs" / total_genes, 2) AS "pct_DNGs", CASE WHEN "DNGs" > 0 THEN round(100.0 * "specific_DNGs" / "DNGs", 2) ELSE 0.0 END AS "pct_specific_DNGs" FROM g""",
+)
+def long_list_totals(spark, sf):
+    return R.species_totals(listed(spark, sf), "species", "gene_type", F.col("node") == 0)
+
+
 @query("counts_by_age", f"""WITH {GT} SELECT species, node, count(*) FILTER (gt = 'DNG') AS "DNG", count(*) FILTER (gt = 'PDNG') AS "PDNG" FROM gt WHERE node NOT IN (5, 6) GROUP BY ALL""")
 def counts_by_age(spark, sf):
     return R.by_age(typed(spark, sf), "species", "node", "gene_type", [5, 6])

@@ -84,8 +84,48 @@ def phylostratum(spark, sf):
 )
 def side_branch_lines(spark, sf):
     p = presence(spark, sf).distinct()
-    b = H.side_branch(nation_tree(spark, sf), p.select("focal").distinct())
-    return p.join(b, ["focal", "species"]).groupBy("focal", "node", "ix").agg(F.count("*").alias("n_lines"))
+    # the branching point of the pairs that occur, never of all pairs of leaves
+    return p.join(H.branch_points(p, nation_tree(spark, sf)), ["focal", "species"]).groupBy("focal", "node", "ix").agg(F.count("*").alias("n_lines"))
+
+
+@query(
+    "side_branch_counts",
+    f"""WITH {TREE}, br AS (SELECT node >> 1 AS node, node AS child FROM node_t WHERE node > 1),
+    sb AS (SELECT br.node, br.child, c.node AS species FROM br JOIN clo c ON c.ancestor = br.node SEMI JOIN leaf ON leaf.node = c.node WHERE NOT EXISTS (SELECT 1 FROM clo x WHERE x.node = c.node AND x.ancestor = br.child)),
+    n AS (SELECT 32 + s_nationkey AS species, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1)
+    SELECT br.node, br.child, count(sb.species) AS n_species, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_lines FROM br LEFT JOIN sb ON sb.node = br.node AND sb.child = br.child LEFT JOIN n ON n.species = sb.species GROUP BY ALL""",
+)
+def side_branch_counts(spark, sf):
+    return H.side_branch_counts(groups(spark, sf), nation_tree(spark, sf))
+
+
+# clustered genes: parts in returned or accepted lines; the proteins of a species are all its parts; nation 7 is not in the tree
+STRATA = f"""{TREE}, lv AS (SELECT node FROM leaf WHERE node <> 39), mb AS (SELECT DISTINCT l_orderkey AS "group", 32 + s_nationkey AS species, l_partkey AS gene FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag <> 'N'),
+ pt AS (SELECT DISTINCT 32 + s_nationkey AS species, l_partkey AS gene FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> 7), ms AS (SELECT DISTINCT "group", species FROM mb),
+ na AS (SELECT "group", count(*) AS n FROM ms GROUP BY 1), mt AS (SELECT * FROM ms SEMI JOIN lv ON lv.node = species), nt AS (SELECT "group", count(*) AS nt FROM mt GROUP BY 1),
+ ml AS (SELECT u."group", max(u.ancestor) AS lca FROM (SELECT "group", ancestor, count(*) AS c FROM mt JOIN clo ON species = node GROUP BY ALL) u JOIN nt ON nt."group" = u."group" AND c = nt.nt GROUP BY 1),
+ pl AS (SELECT mb.species, mb.gene, CASE WHEN n = 1 THEN 'species_specific_clustered' ELSE CAST(lca AS VARCHAR) END AS stratum, mb."group" FROM mb SEMI JOIN lv ON lv.node = mb.species JOIN na ON na."group" = mb."group" JOIN ml ON ml."group" = mb."group" WHERE n = 1 OR lca <> mb.species),
+ sr AS (SELECT * FROM pl UNION ALL SELECT pt.species, pt.gene, 'species_specific_unclustered', NULL FROM pt ANTI JOIN pl ON pl.species = pt.species AND pl.gene = pt.gene)"""
+
+
+def strata(spark, sf):
+    t = nation_tree(spark, sf)
+    without = H.tree_tables(t.edges.filter("node <> 39"))
+    x = lines(spark, sf).select(F.col("l_orderkey").alias("group"), leaf("s_nationkey").alias("species"), F.col("l_partkey").alias("gene"), "l_returnflag")
+    return H.gene_strata(x.filter("l_returnflag <> 'N'"), x, without)
+
+
+@query("gene_strata", f"WITH {STRATA} SELECT * FROM sr")
+def gene_strata(spark, sf):
+    return strata(spark, sf)
+
+
+@query(
+    "stratum_counts",
+    f"""WITH {STRATA} SELECT species, stratum, CASE WHEN stratum <> 'species_specific_unclustered' THEN count(DISTINCT "group") END AS n_groups, count(DISTINCT gene) AS n_genes FROM sr GROUP BY species, stratum""",
+)
+def stratum_counts(spark, sf):
+    return H.stratum_counts(strata(spark, sf))
 
 
 PLACED = f"{PRES}, b AS (SELECT *, {IX} AS ix FROM pres), pl AS (SELECT gene, focal, max(ix) AS ix, bool_or(focal = species) AS own FROM b GROUP BY ALL)"
