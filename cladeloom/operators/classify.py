@@ -69,6 +69,35 @@ def orf_clade_consistency(events: DataFrame, orf: DataFrame, inside: DataFrame)
     return orf.join(best, "gene").withColumn("moved", F.col("new_orf_ix") != F.col("orf_ix"))
 
 
+def inferred_nodes(chosen: DataFrame, at_node: DataFrame, side: DataFrame, orf_bearing: DataFrame) -> DataFrame:
+    """Nodes between a moved ORF node and the nearest node of its chosen event at which the event is inferred.
+
+    chosen(gene, kind, event, orf_ix, ixs), of genes whose ORF node moved; at_node(gene, kind, event, ix, length): carriers on
+    the lineage; side(gene, kind, event, ix, length): living carriers by the lineage node at which they branch off. The lengths
+    that count are those of the nearest older lineage carrier; a node between is added if its side branch carries one of
+    them, and rejected if it bears the ORF, orf_bearing(gene, ix). All genes are settled at once.
+    """
+    key = ["gene", "kind", "event"]
+    older = F.filter("ixs", lambda i: i > F.col("orf_ix"))
+    c = chosen.select(*key, "orf_ix", older.alias("_older")).withColumn("_near", F.array_min("_older"))
+    own = c.select(*key, F.explode("_older").alias("ix")).join(at_node, [*key, "ix"])
+    first = own.groupBy(*key).agg(F.min("ix").alias("ix"))
+    lengths = own.join(first, [*key, "ix"], "left_semi").select(*key, "length").distinct()
+    between = side.join(c.select(*key, "orf_ix", "_near"), key).filter("ix > orf_ix and ix < _near")
+    found = between.join(lengths, [*key, "length"], "left_semi").select(*key, "ix").distinct()
+    bears = orf_bearing.select("gene", "ix").distinct().withColumn("_b", F.lit(True))
+    return found.join(bears, ["gene", "ix"], "left").select(*key, "ix", F.when(F.col("_b"), "rejected").otherwise("added").alias("status"))
+
+
+def with_inferred(chosen: DataFrame, inferred: DataFrame) -> DataFrame:
+    """Chosen events with the added nodes in their node lists."""
+    key = ["gene", "kind", "event"]
+    # at most one entry a lineage node, so the list is bounded by the depth of the tree
+    more = inferred.filter("status = 'added'").groupBy(*key).agg(F.sort_array(F.collect_set("ix")).alias("_more"))
+    none = F.array().cast("array<bigint>")
+    return chosen.join(more, key, "left").withColumn("ixs", F.concat("ixs", F.coalesce("_more", none))).drop("_more")
+
+
 def start_gain_events(rows: DataFrame) -> DataFrame:
     """Rows whose first reference codon is a full codon other than ATG, unless an ATG ORF already covers the frame.
 

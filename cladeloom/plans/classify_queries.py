@@ -86,6 +86,46 @@ def consistency(spark, sf):
     return C.orf_clade_consistency(gene_events(spark, sf), orf_nodes(spark, sf), inside)
 
 
+# carriers at lineage nodes by the events, on side branches by lines of over 20 pieces; ORF bearers by lines of over 45
+INFER = f"""{EVS}, cd AS (SELECT orf.gene, orf.orf_ix AS o0, x AS oi FROM orf, range(0, 4) r(x) WHERE x <= orf.orf_ix),
+ n2 AS (SELECT es.gene, kind, oi, event, ixs, list_min(list_filter(ixs, lambda i: i > oi)) AS near FROM es JOIN cd ON cd.gene = es.gene WHERE NOT list_contains(ixs, oi)),
+ c2 AS (SELECT *, row_number() OVER (PARTITION BY gene, kind, oi ORDER BY near, len(ixs) DESC, event) AS rn FROM n2 WHERE near IS NOT NULL),
+ li AS (SELECT l_orderkey AS gene, CAST(round(l_discount * 100) AS BIGINT) AS event, CAST(l_linenumber % 4 AS BIGINT) AS ix, l_partkey % 2 AS length, l_quantity AS q FROM lineitem),
+ bad AS (SELECT DISTINCT c2.gene, oi FROM c2 JOIN li ON li.gene = c2.gene AND li.event = c2.event AND li.ix = oi AND q > 30 WHERE rn = 1 AND oi > 0),
+ mv AS (SELECT cd.gene, max(oi) AS oi FROM cd WHERE (gene, oi) NOT IN (SELECT (gene, oi) FROM bad) GROUP BY 1 HAVING max(oi) <> max(o0)),
+ c3 AS (SELECT c2.gene, kind, event, c2.oi, ixs, near, list_min(list_filter(ixs, lambda i: i > c2.oi AND (c2.gene + i) % 5 <> 0)) AS own FROM c2 JOIN mv ON mv.gene = c2.gene AND mv.oi = c2.oi WHERE rn = 1),
+ fd AS (SELECT DISTINCT c3.gene, kind, c3.event, li.ix FROM c3 JOIN li ON li.gene = c3.gene AND li.event = c3.event WHERE q > 20 AND li.ix > oi AND li.ix < near AND li.length = (c3.event + own) % 2),
+ inf AS (SELECT fd.*, CASE WHEN b.gene IS NULL THEN 'added' ELSE 'rejected' END AS status FROM fd LEFT JOIN (SELECT DISTINCT gene, ix FROM li WHERE q > 45) b ON b.gene = fd.gene AND b.ix = fd.ix)"""
+
+
+def moved_events(spark, sf):
+    ev = gene_events(spark, sf)
+    x = table(spark, sf, "lineitem")
+    n = F.round(F.col("l_discount") * 100).cast("bigint")
+    kind = F.when(n % 2 == 0, "indel").otherwise("stop").alias("kind")
+    side = x.select(F.col("l_orderkey").alias("gene"), kind, n.alias("event"), (F.col("l_linenumber") % 4).cast("bigint").alias("ix"), (F.col("l_partkey") % 2).alias("length"), "l_quantity")
+    moved = C.orf_clade_consistency(ev, orf_nodes(spark, sf), side.filter("l_quantity > 30").select("gene", "kind", "event", "ix").distinct()).filter("moved")
+    chosen = C.nearest_event(ev, moved.select("gene", F.col("new_orf_ix").alias("orf_ix")))
+    ix = F.explode("ixs").alias("ix")
+    at_node = ev.select("gene", "kind", "event", ix).filter("(gene + ix) % 5 <> 0").withColumn("length", (F.col("event") + F.col("ix")) % 2)
+    return chosen, C.inferred_nodes(chosen, at_node, side.filter("l_quantity > 20"), side.filter("l_quantity > 45"))
+
+
+@query("inferred_nodes", f"WITH {INFER} SELECT * FROM inf")
+def inferred(spark, sf):
+    return moved_events(spark, sf)[1]
+
+
+@query(
+    "events_with_inferred",
+    f"""WITH {INFER}, m AS (SELECT gene, kind, event, list(ix ORDER BY ix) AS more FROM inf WHERE status = 'added' GROUP BY ALL)
+    SELECT c3.gene, c3.kind, c3.event, oi AS orf_ix, near, array_to_string(list_concat(ixs, coalesce(more, [])), '|') AS ixs FROM c3 LEFT JOIN m ON m.gene = c3.gene AND m.kind = c3.kind AND m.event = c3.event""",
+)
+def with_inferred(spark, sf):
+    d = C.with_inferred(*moved_events(spark, sf))
+    return d.select("gene", "kind", "event", "orf_ix", "near", F.array_join(F.col("ixs").cast("array<string>"), "|").alias("ixs"))
+
+
 @query(
     "drop_orf_bearing",
     f"""WITH {EVS}, h AS (SELECT l_orderkey AS gene, list(DISTINCT CAST(l_linenumber % 5 AS BIGINT)) AS h FROM lineitem WHERE l_quantity > 30 GROUP BY 1),
