@@ -130,6 +130,18 @@ def in_frame_pct(ref: pd.Series, row: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(ref, row)])
 
 
+@pandas_udf(_struct(ref_first=T.StringType(), first_codon=T.StringType(), aligned=INT, n=INT))
+def reference_view(ref: pd.Series, row: pd.Series) -> pd.DataFrame:
+    """The first three reference bases, what the row holds at them, and the row's known bases among all n reference bases."""
+    def one(a: str, b: str):
+        r, q = _pair(a, b)
+        base = r != GAP
+        at = q[base]
+        return r[base][:3].tobytes().decode("latin-1"), at[:3].tobytes().decode("latin-1"), int(((at != GAP) & (at != N)).sum()), len(at)
+
+    return pd.DataFrame([one(*v) for v in zip(ref, row)], columns=["ref_first", "first_codon", "aligned", "n"])
+
+
 @pandas_udf(_structs(start=INT, end=INT))
 def start_codons(ref: pd.Series, row: pd.Series) -> pd.Series:
     """ATG codons of the gap-free row in its own frame 0, at the reference positions of their first and last base."""

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.aligned import focal_frame_orf, orf_call, reference_view
 from .tree import Tree, branch_points, parsimony_states
 
 
@@ -108,6 +109,20 @@ def start_gain_events(rows: DataFrame) -> DataFrame:
         "gene", "taxon", F.lit(1).alias("start"), F.lit(3).alias("end"), F.concat(F.lit("noATG_"), F.col("first_codon")).alias("codon"))
 
 
+def start_gains_from_rows(aln: DataFrame, known: DataFrame, min_span: float, min_bases: float) -> DataFrame:
+    """start_gain_events read from aligned rows(gene, taxon, ref_text, row_text), the focal row left out.
+
+    known(gene, taxon) lists events at the first codon that the table holds already. A row is covered when an ATG in the
+    focal frame opens an unbroken stretch that passes both cuts. Null texts give no event; repeated rows give one each.
+    """
+    x = aln.filter("ref_text is not null and row_text is not null").join(known.select("gene", "taxon").distinct(), ["gene", "taxon"], "left_anti")
+    x = x.select("gene", "taxon", "ref_text", "row_text", reference_view("ref_text", "row_text").alias("v"))
+    # the longer scan is only for rows that could be events
+    x = x.filter("v.ref_first = 'ATG' and length(v.first_codon) = 3 and v.first_codon <> 'ATG'").filter(~F.col("v.first_codon").rlike("[-N]"))
+    x = x.withColumn("covered", focal_frame_orf(min_span, min_bases, focal_start=False)("ref_text", "row_text")["has"])
+    return start_gain_events(x.select("gene", "taxon", "v.first_codon", "v.ref_first", "covered"))
+
+
 def filter_indel_events(events: DataFrame, details: DataFrame, support: DataFrame) -> DataFrame:
     """Events with the reason they are no events: a terminal gap, or a homopolymer without a living carrier beside it.
 
@@ -225,6 +240,20 @@ def orf_presence(calls: DataFrame, min_aligned: float = 50.0) -> DataFrame:
     return calls.withColumn("presence", call)
 
 
+def orf_presence_from_rows(cells: DataFrame, aln: DataFrame, min_len: float, min_cov: float, min_frame: float = 0.0, min_aligned: float = 50.0,
+                           count_stop: bool = False, measure: str = "contiguous") -> DataFrame:
+    """Presence of every cell(gene, taxon, is_focal) read from the aligned rows(gene, taxon, ref_text, row_text).
+
+    The focal cell is 1; without a row, or with too little aligned, a cell is unknown. Several rows of a cell: the ORF if any row has it.
+    """
+    x = aln.filter("ref_text is not null and row_text is not null").join(cells.filter("not is_focal").select("gene", "taxon").distinct(), ["gene", "taxon"], "left_semi")
+    x = orf_call(x, "ref_text", "row_text", min_len, min_cov, min_frame, count_stop, measure).withColumn("v", reference_view("ref_text", "row_text"))
+    pct = F.when(F.col("v.n") > 0, F.lit(100.0) * F.col("v.aligned") / F.col("v.n")).otherwise(0.0)
+    calls = x.groupBy("gene", "taxon").agg(F.bool_or("has_orf").alias("has_orf"), F.max(pct).alias("aligned_pct"))
+    j = cells.join(calls, ["gene", "taxon"], "left")
+    return orf_presence(j.withColumn("has_orf", F.col("is_focal") | F.coalesce("has_orf", F.lit(False))), min_aligned).select("gene", "taxon", "presence")
+
+
 def presence_comparison(calls: DataFrame, other: DataFrame) -> DataFrame:
     """Cells per pair of old and new call. other(gene, taxon, old)."""
     return calls.join(other, ["gene", "taxon"]).groupBy("old", "presence").agg(F.count("*").alias("cells"))

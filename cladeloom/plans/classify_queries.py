@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import classify as C
 from ..operators import runs as W
 from .registry import query, table
-from .sequence_queries import CELL, EV, STOP, events, frame_stops
+from .sequence_queries import CELL, EV, FOCAL, REF, ROW, STOP, LETTERS, aln, events, frame_stops
 from .tree_queries import leaf, lines, nation_tree
 
 EVS = EV + """, es AS (SELECT gene, focal, CAST(round(event * 100) AS BIGINT) AS event, CASE WHEN CAST(round(event * 100) AS BIGINT) % 2 = 0 THEN 'indel' ELSE 'stop' END AS kind, list(ix ORDER BY ix DESC) AS ixs FROM ev GROUP BY gene, focal, event HAVING count(*) >= 2),
@@ -163,6 +163,38 @@ def start_gains(spark, sf):
     return C.start_gain_events(o.select(F.col("o_orderkey").alias("gene"), F.col("o_orderpriority").alias("taxon"), c.alias("first_codon"), F.when(F.col("o_orderstatus") == "P", "GTG").otherwise("ATG").alias("ref_first"), (F.col("o_totalprice") > 200000).alias("covered")))
 
 
+# a first codon of several kinds before the aligned rows
+FIRST_REF, FIRST_ROW = "CASE WHEN doc_id % 5 = 0 THEN 'GTG' ELSE 'ATG' END", "CASE doc_id % 6 WHEN 0 THEN 'ATG' WHEN 1 THEN 'A-G' WHEN 2 THEN 'ANG' WHEN 3 THEN 'ACG' ELSE 'CTG' END"
+BEFORE = FOCAL.replace(f"translate(t, '{LETTERS}', '{REF}') AS ref", f"{FIRST_REF} || translate(t, '{LETTERS}', '{REF}') AS ref").replace(
+    f"translate(t, '{LETTERS}', '{ROW}') AS qry", f"{FIRST_ROW} || translate(t, '{LETTERS}', '{ROW}') AS qry")
+
+
+def rows_with_start(spark, sf):
+    return aln(spark, sf).select(F.col("doc_id").alias("gene"), F.lit("x").alias("taxon"), F.concat(F.expr(FIRST_REF), "ref_text").alias("ref_text"), F.concat(F.expr(FIRST_ROW), "row_text").alias("row_text"))
+
+
+@query(
+    "start_gains_aligned",
+    f"""WITH {BEFORE} SELECT aln.doc_id AS gene, 'x' AS taxon, CAST(1 AS INTEGER) AS start, CAST(3 AS INTEGER) AS "end", 'noATG_' || left(qry, 3) AS codon FROM aln LEFT JOIN fr ON fr.doc_id = aln.doc_id AND rn = 1
+    WHERE left(ref, 3) = 'ATG' AND aln.doc_id % 6 > 2 AND aln.doc_id % 7 <> 0 AND NOT coalesce(ok, false)""",
+)
+def start_gains_aligned(spark, sf):
+    x = rows_with_start(spark, sf)
+    return C.start_gains_from_rows(x, x.filter("gene % 7 = 0"), 3.0, 2.0)
+
+
+@query(
+    "orf_presence_aligned",
+    f"""WITH {FOCAL}, kb AS (SELECT doc_id, max(b) AS b FROM own GROUP BY 1), k AS (SELECT aln.doc_id, CASE WHEN ok THEN '1' WHEN coalesce(100.0 * b / n, 0) < 86 THEN 'unknown' ELSE '0' END AS p FROM aln LEFT JOIN fr ON fr.doc_id = aln.doc_id AND rn = 1
+      LEFT JOIN kb ON kb.doc_id = aln.doc_id LEFT JOIN nn ON nn.doc_id = aln.doc_id)
+    SELECT doc_id AS gene, 'x' AS taxon, p AS presence FROM k UNION ALL SELECT doc_id, 'focal', '1' FROM k UNION ALL SELECT doc_id, 'y', 'unknown' FROM k""",
+)
+def orf_presence_aligned(spark, sf):
+    x = aln(spark, sf).select(F.col("doc_id").alias("gene"), F.lit("x").alias("taxon"), "ref_text", "row_text")
+    cells = x.select("gene", F.explode(F.array([F.struct(F.lit(t).alias("taxon"), F.lit(t == "focal").alias("is_focal")) for t in ("x", "y", "focal")])).alias("c")).select("gene", "c.*")
+    return C.orf_presence_from_rows(cells, x, 2.0, 0.0, 3.0, 86.0)
+
+
 @query(
     "indel_event_reasons",
     """WITH e AS (SELECT l_orderkey AS gene, CAST(round(l_discount * 100) AS BIGINT) AS event, bool_or(l_quantity > 40) AS homopolymer, bool_or(l_linenumber = 1 OR l_linenumber = 7) AS t FROM lineitem GROUP BY ALL),
