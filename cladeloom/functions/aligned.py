@@ -304,6 +304,18 @@ def n_within(reach: int = 5):
     return scan
 
 
+@pandas_udf(T.ArrayType(INT))
+def columns_from(ref: pd.Series, first: pd.Series, positions: pd.Series) -> pd.Series:
+    """For each coordinate the number of columns before it. An insertion counts to the letter before it, at the front of
+    the row to the first letter, whose coordinate is `first`."""
+    def one(a: str, s: int, at):
+        cols = np.append(np.flatnonzero(_arr(a) != GAP), len(a))
+        k = np.asarray(at, np.int64) - s
+        return np.where(k <= 0, 0, cols[np.clip(k, 0, len(cols) - 1)]).tolist()
+
+    return pd.Series([one(*v) for v in zip(ref, first, positions)], dtype=object)
+
+
 _BITS = np.zeros(256, np.uint8)
 _BITS[[ord(c) for c in IUPAC]] = list(IUPAC.values())
 _PLAIN = np.isin(np.arange(256), [ord(c) for c in "ACGT"])

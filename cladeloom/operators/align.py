@@ -5,11 +5,13 @@ The text of one aligned row is one cell of the result, so building it gathers th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.aligned import project_row, trim_reference
+from ..common import number_within
+from ..functions.aligned import columns_from, project_row, trim_reference
 from ..functions.seq import revcomp, translate_cds, ungap
+from ..session import cut_lineage
 from .runs import best_chain, collinear_chains, dominant_chain
 
 
@@ -81,15 +83,112 @@ def collinear_rows(pieces: DataFrame, max_span: int) -> tuple[DataFrame, DataFra
     keep = (F.col("contig") == F.col("_dc")) & (F.col("strand") == F.col("_ds")) & (F.col("chain") == F.col("_dn"))
     text = F.when(keep, F.col("text")).otherwise(F.regexp_replace("text", "[^-]", "-"))
     rows = p.groupBy(*key).agg(_joined(text, F.col("col")).alias("text"), F.min("_dc").alias("contig"), F.min("_ds").alias("strand"))
-    span = F.greatest("end", "hi") - F.least("start", "lo")
-    why = (
-        F.when(F.col("contig") != F.col("_dc"), "other contig").when(F.col("strand") != F.col("_ds"), "opposite strand")
-        .when(span > max_span, f"beyond {max_span} bp").otherwise("not collinear")
-    )
-    mask = p.filter(~keep).select(*key, "exon", "r_start", "r_end", why.alias("reason"))
+    mask = p.filter(~keep).select(*key, "exon", "r_start", "r_end", _gap_reason(max_span).alias("reason"))
     return rows, mask
 
 
+def source_pieces(block_rows: DataFrame, ref: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a taxon's bases in an exon come from: pieces, their reference ranges, and the borders between two pieces.
+
+    block_rows(exon, block_ix, row_ix, taxon, contig, strand, plus_start, size, ref_start, ref_len). A piece is a contig
+    and strand, numbered by its first block. Where both strands take part, a reference position belongs to the first
+    piece with a block there, else to the piece with the nearest block, on a tie to the first one. Counts of open blocks at the
+    block ends give that as borders(exon, taxon, borders<pos, owner>): an owner holds from its position to the next border,
+    the first one from the start of the exon.
+    """
+    k = ["exon", "taxon"]
+    b = block_rows.filter((F.col("taxon") != ref) & (F.col("ref_len") > 0))
+    b = b.withColumns({"r_start": F.col("ref_start"), "r_end": F.col("ref_start") + F.col("ref_len")})
+    p = b.groupBy(*k, "contig", "strand").agg(
+        F.min("plus_start").alias("start"), F.max(F.col("plus_start") + F.col("size")).alias("end"), F.min(F.struct("block_ix", "row_ix")).alias("_at"))
+    w = Window.partitionBy(*k)
+    p = p.withColumns({
+        "piece": F.row_number().over(w.orderBy("_at")) - 1, "n_pieces": F.count("*").over(w),
+        "n_contigs": F.when(F.min("contig").over(w) == F.max("contig").over(w), 1).otherwise(2)}).drop("_at")
+    two = b.join(p.filter("n_pieces = 2").select(*k, "contig", "strand", "piece"), [*k, "contig", "strand"])
+    ends = F.array(F.struct(F.col("r_start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("r_end").alias("pos"), F.lit(-1).alias("d")))
+    d = two.select(*k, "piece", F.explode(ends).alias("e")).groupBy(*k, "e.pos").agg(*[F.sum(F.when(F.col("piece") == i, F.col("e.d")).otherwise(0)).alias(f"d{i}") for i in (0, 1)])
+    o = w.orderBy("pos")
+    s = d.select(*k, "pos", F.when(F.sum("d0").over(o) > 0, 0).when(F.sum("d1").over(o) > 0, 1).alias("owner"))
+    s = s.withColumns({"_left": F.lag("owner").over(o), "_right": F.lead("owner").over(o), "_to": F.lead("pos").over(o)}).filter("owner is not null or _left <> _right")
+    both = F.col("pos") + F.col("_to")
+    middle = F.floor(F.when(F.col("_left") == 0, (both + 1) / 2).otherwise(both / 2))
+    s = s.select(*k, F.when(F.col("owner").isNull(), middle).otherwise(F.col("pos")).alias("pos"), F.coalesce("owner", "_right").alias("owner"))
+    s = s.withColumn("_left", F.lag("owner").over(o)).filter("_left is null or _left <> owner")
+    borders = s.groupBy(*k).agg(F.sort_array(F.collect_list(F.struct("pos", "owner"))).alias("borders"))
+    return p, b.select(*k, "contig", "strand", "r_start", "r_end").distinct(), borders
+
+
+def collinear_from_blocks(exon_rows: DataFrame, exons: DataFrame, block_rows: DataFrame, ref: str, max_span: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, log, mask): one collinear row per (locus, taxon), from the aligned exons and the blocks they were built from.
+
+    exon_rows(locus, exon, taxon, contig, text) with the reference among them, minus loci turned round;
+    exons(locus, exon, start, end, strand); block_rows as for source_pieces. The columns of an exon go to the pieces that supply
+    them, as runs between borders. Pieces off the dominant chain become gaps. rows(locus, taxon, contig, text) hold the
+    reference with no contig; a taxon without any base has no row. log(locus, taxon, contig, strand, n_rows, n_kept, n_pieces,
+    kept_bases, gapped_bases). mask(locus, taxon, exon, r_start, r_end, reason): reference ranges without bases of the
+    taxon, the whole exon if nothing else supplies it. Exons without a reference row are left out. A taxon with bases but no block,
+    on two contigs in one exon, or with bases in two rows of it is an error.
+    """
+    key, cell = ["locus", "taxon"], ["locus", "taxon", "exon"]
+    ex = exons.select("locus", "exon", F.col("start").alias("r_start"), F.col("end").alias("r_end"), (F.col("strand") == "-").alias("_minus"))
+    ex = number_within(ex, ["locus"], [F.col("r_start").asc(), F.col("exon").asc()], "ix").withColumn("_order", F.when(F.col("_minus"), -F.col("ix")).otherwise(F.col("ix")))
+    turned = lambda c: F.when(F.col("_minus"), F.reverse(c)).otherwise(F.col(c))
+    # from here to the last step texts run along the genome
+    own = exon_rows.filter(F.col("taxon") == ref).join(ex, ["locus", "exon"]).withColumn("ref_text", turned("text"))
+    end_col = columns_from("ref_text", "r_start", F.array("r_end"))[0]
+    ex = cut_lineage(own.select("locus", "exon", "r_start", "r_end", "_minus", "ix", "_order", "ref_text", end_col.alias("_end")))
+    other = exon_rows.filter(F.col("taxon") != ref)
+    x = other.filter(F.length(ungap("text")) > 0).groupBy(*cell).agg(F.max("text").alias("text"), F.count("*").alias("_n"))
+    grid = ex.drop("ref_text").join(other.select(*key).distinct(), "locus").join(x, cell, "left").withColumn("text", turned("text"))
+    inside = F.length(ungap(F.substr(F.col("text"), F.lit(1), F.col("_end")))) > 0
+    absent = grid.withColumn("reason", F.when(F.col("text").isNull(), "absent").when(~inside, "absent (padding only)")).filter("reason is not null")
+
+    pieces, ranges, borders = source_pieces(block_rows, ref)
+    p = grid.filter("text is not null").join(pieces, ["exon", "taxon"], "left")
+    wrong = F.when(F.col("_n") > 1, "bases in two rows").when(F.col("contig").isNull(), "no block").when((F.col("n_contigs") > 1) | (F.col("n_pieces") > 2), "two contigs")
+    p = p.filter(F.when(wrong.isNull(), True).otherwise(F.raise_error(F.concat_ws(" ", F.lit("exon"), F.col("exon").cast("string"), "taxon", wrong)).cast("boolean")))
+    m = p.filter("n_pieces = 2").join(borders, ["exon", "taxon"]).join(ex.select("locus", "exon", "ref_text"), ["locus", "exon"])
+    m = m.withColumn("_c", columns_from("ref_text", "r_start", F.transform("borders", lambda b: b["pos"])))
+
+    def run(b: Column, i: Column) -> Column:
+        lo = F.when(i == 0, 0).otherwise(F.get("_c", i))
+        n = F.coalesce(F.get("_c", i + 1), F.length("text")) - lo
+        return F.when(b["owner"] == F.col("piece"), F.substr(F.col("text"), lo + 1, n)).otherwise(F.repeat(F.lit("-"), n))
+
+    m = m.withColumn("text", F.array_join(F.transform("borders", run), ""))
+    # coalesce: a plain test of n_pieces would let the optimizer drop the rows without a block before they are found wrong
+    p = p.filter("coalesce(n_pieces, 1) <> 2").unionByName(m.drop("borders", "ref_text", "_c")).withColumn("bases", F.length(ungap("text")).cast("bigint"))
+    p = cut_lineage(p.filter("bases > 0").select(*cell, "ix", "contig", "strand", "start", "end", "bases", "n_pieces", "r_start", "r_end", "text"))
+
+    ch = collinear_chains(p.select(*key, "ix", "contig", "strand", "start", "end", "bases"), max_span)
+    dom = dominant_chain(ch).select(*key, F.col("contig").alias("_dc"), F.col("strand").alias("_ds"), F.col("chain").alias("_dn"), "lo", "hi")
+    at = [*key, "ix", "contig", "strand"]
+    c = cut_lineage(p.drop("text").join(ch.select(*at, "chain"), at).join(dom, key).withColumn("kept", (F.col("contig") == F.col("_dc")) & (F.col("strand") == F.col("_ds")) & (F.col("chain") == F.col("_dn"))))
+    n_rows = other.groupBy(*key).agg(F.countDistinct("contig").alias("n_rows"))
+    log = c.groupBy(*key).agg(
+        F.min("_dc").alias("contig"), F.min("_ds").alias("strand"), F.count_if("kept").alias("n_kept"), F.count("*").alias("n_pieces"),
+        F.sum(F.when(F.col("kept"), F.col("bases")).otherwise(0)).alias("kept_bases"), F.sum(F.when(F.col("kept"), 0).otherwise(F.col("bases"))).alias("gapped_bases")).join(n_rows, key)
+    off = c.filter("not kept").withColumn("reason", _gap_reason(max_span))
+    wide, part = off.filter("n_pieces = 1"), off.filter("n_pieces = 2").drop("r_start", "r_end").join(ranges, ["exon", "taxon", "contig", "strand"])
+    out = [*cell, "r_start", "r_end", "reason"]
+    mask = absent.select(*out).unionByName(wide.select(*out)).unionByName(part.select(*out))
+
+    kept = p.join(c.filter("kept").select(*at), at, "left_semi").select(*cell, "text")
+    full = ex.select("locus", "exon", "_minus", "_order", F.length("ref_text").alias("_w")).join(log.select(*key, "contig"), "locus").join(kept, cell, "left")
+    full = full.withColumn("text", F.coalesce("text", F.repeat(F.lit("-"), F.col("_w")))).drop("_w")
+    refs = ex.select("locus", F.lit(ref).alias("taxon"), "exon", "_minus", "_order", F.lit(None).cast("string").alias("contig"), F.col("ref_text").alias("text"))
+    rows = full.unionByName(refs).withColumn("text", turned("text")).groupBy(*key).agg(F.min("contig").alias("contig"), _joined(F.col("text"), F.col("_order")).alias("text"))
+    return rows, log, mask
+
+
+def _gap_reason(max_span: int) -> Column:
+    """Why a piece is off the dominant chain (contig _dc, strand _ds, lo to hi). Fixed values."""
+    span = F.greatest("end", "hi") - F.least("start", "lo")
+    return (F.when(F.col("contig") != F.col("_dc"), "other contig").when(F.col("strand") != F.col("_ds"), "opposite strand")
+            .when(span > max_span, f"beyond {max_span} bp").otherwise("not collinear"))
+
+
 def trim_to_cds(aln: DataFrame, exons: DataFrame, seqs: DataFrame, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Remove the extra base each exon was extracted with, and the reference-gap columns, if the result is the CDS.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
@@ -9,8 +10,10 @@ from ..operators import align as B
 from ..operators import overlap as O
 from ..operators import similarity as K
 from ..operators.match import resolve_own_feature
+from ..session import scratch_path
+from ..sources.files import folder_name, read_maf
 from .registry import query, table
-from .sequence_queries import BEST, DNA, LETTERS, PLAIN, ROW, block_rows, dna
+from .sequence_queries import BEST, DNA, LETTERS, PLAIN, REF, ROW, block_rows, dna
 from .tree_queries import _id
 from .views import IV, iv
 
@@ -89,6 +92,96 @@ def collinear_mask(spark, sf):
     return B.collinear_rows(pieces(spark, sf), 600)[1]
 
 
+# block files: a supplier is an exon of the locus of its nation, a line is a block; A changes strand, B leaves out some exons
+MAF = f"""RECURSIVE l0 AS (SELECT l_suppkey AS s, l_orderkey AS o, CAST(l_linenumber AS BIGINT) AS ln, min(l_partkey) AS p, max(l_quantity) AS q, min(l_returnflag) AS f FROM lineitem GROUP BY ALL),
+ l1 AS (SELECT l0.*, s_nationkey AS locus, replace(p_name, ' ', '') AS t, ln % 3 = 0 AS more FROM l0 JOIN part ON p_partkey = p JOIN supplier ON s_suppkey = s),
+ l2 AS (SELECT *, CASE WHEN more THEN '-A' ELSE 'A' END || translate(t, '{LETTERS}', '{REF}') AS r, CASE WHEN more THEN 'GC' ELSE 'C' END || translate(t, '{LETTERS}', '{ROW}') AS a,
+   CASE WHEN more THEN 'TG' ELSE 'G' END || translate(t, '{LETTERS}', '{PLAIN}') AS b, row_number() OVER (PARTITION BY s ORDER BY o, ln) AS ix FROM l1),
+ l3 AS (SELECT *, length(replace(r, '-', '')) AS rl, length(r) AS w, s * 100000 + coalesce(sum(length(replace(r, '-', ''))) OVER (PARTITION BY s ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rs FROM l2),
+ tr AS (SELECT locus, s, ix, rs, rl, w, 'A' AS taxon, CASE WHEN f = 'R' THEN '-' ELSE '+' END AS strand, a AS text, rs + 10000000 - CASE WHEN s % 7 = 0 THEN 5000000 ELSE 0 END AS ps FROM l3 WHERE q > 20
+   UNION ALL SELECT locus, s, ix, rs, rl, w, 'B', '+', b, rs FROM l3 WHERE s % 4 <> 0 AND (f = 'R' OR ln % 2 = 1)),
+ rc AS (SELECT s, ix, rs, unnest(range(1, w + 1)) AS i, unnest(string_split(r, '')) AS c FROM l3),
+ rp AS (SELECT s, ix, i, greatest(rs + sum(CASE WHEN c <> '-' THEN 1 ELSE 0 END) OVER (PARTITION BY s, ix ORDER BY i) - 1, s * 100000) AS pos FROM rc),
+ ce AS (SELECT tr.locus, tr.s, tr.taxon, tr.ix, rp.i, pos, substr(text, rp.i, 1) AS c FROM tr JOIN rp ON rp.s = tr.s AND rp.ix = tr.ix WHERE substr(text, rp.i, 1) <> '-'),
+ pc AS (SELECT locus, s, taxon, strand, min(ps) AS a, max(ps + length(replace(text, '-', ''))) AS e, min(ix) AS fst, count(*) OVER (PARTITION BY s, taxon) AS n FROM tr GROUP BY locus, s, taxon, strand),
+ hit AS (SELECT ce.*, tr.strand FROM ce ASOF JOIN l3 ON l3.s = ce.s AND ce.pos >= l3.rs LEFT JOIN tr ON tr.s = ce.s AND tr.ix = l3.ix AND tr.taxon = ce.taxon),
+ far AS (SELECT h.s, h.taxon, h.ix, h.i, tr.strand, min(least(abs(h.pos - rs), abs(h.pos - rs - rl + 1))) AS d FROM hit h JOIN tr ON tr.s = h.s AND tr.taxon = h.taxon WHERE h.strand IS NULL GROUP BY ALL),
+ near AS (SELECT far.s, far.taxon, ix, i, arg_min(far.strand, (d, fst)) AS strand FROM far JOIN pc ON pc.s = far.s AND pc.taxon = far.taxon AND pc.strand = far.strand GROUP BY ALL),
+ ow AS (SELECT h.locus, h.s, h.taxon, h.ix, h.i, h.c, coalesce(h.strand, near.strand) AS strand FROM hit h LEFT JOIN near ON near.s = h.s AND near.taxon = h.taxon AND near.ix = h.ix AND near.i = h.i),
+ en AS (SELECT pc.*, bases, CASE WHEN pc.strand = '-' THEN -e ELSE a END AS u, CASE WHEN pc.strand = '-' THEN -a ELSE e END AS v, row_number() OVER (PARTITION BY locus, pc.taxon, pc.strand ORDER BY pc.s) AS rn
+   FROM pc JOIN (SELECT s, taxon, strand, count(*) AS bases FROM ow GROUP BY ALL) x ON x.s = pc.s AND x.taxon = pc.taxon AND x.strand = pc.strand),
+ ch AS (SELECT locus, taxon, strand, s, a, e, bases, n, rn, v, s AS chain, u AS cu FROM en WHERE rn = 1 UNION ALL
+   SELECT en.locus, en.taxon, en.strand, en.s, en.a, en.e, en.bases, en.n, en.rn, en.v, CASE WHEN en.u < ch.v OR en.v > ch.cu + 700000 THEN en.s ELSE ch.chain END, CASE WHEN en.u < ch.v OR en.v > ch.cu + 700000 THEN en.u ELSE ch.cu END
+   FROM ch JOIN en ON en.locus = ch.locus AND en.taxon = ch.taxon AND en.strand = ch.strand AND en.rn = ch.rn + 1),
+ dm AS (SELECT locus, taxon, strand, chain, min(a) AS lo, max(e) AS hi FROM ch GROUP BY locus, taxon, strand, chain QUALIFY row_number() OVER (PARTITION BY locus, taxon ORDER BY sum(bases) DESC, count(*) DESC, max(e) - min(a), strand) = 1),
+ kp AS (SELECT ch.*, ch.strand = dm.strand AND ch.chain = dm.chain AS kept, dm.strand AS ds, lo, hi FROM ch JOIN dm ON dm.locus = ch.locus AND dm.taxon = ch.taxon)"""
+TURN = "CASE WHEN locus % 2 = 1 THEN translate(reverse(x), 'ATCG', 'TAGC') ELSE x END"
+
+
+def from_blocks(spark, sf):
+    li = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("s"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").cast("bigint").alias("ln")).agg(
+        F.min("l_partkey").alias("p"), F.max("l_quantity").alias("q"), F.min("l_returnflag").alias("f"))
+    x = li.join(table(spark, sf, "part").select(F.col("p_partkey").alias("p"), F.replace("p_name", F.lit(" "), F.lit("")).alias("t")), "p")
+    text = lambda more, first, to: F.concat(F.when(F.col("ln") % 3 == 0, more).otherwise(""), F.lit(first), F.translate("t", LETTERS, to))
+    x = x.withColumns({"r": text("-", "A", REF), "a": text("G", "C", ROW), "b": text("T", "G", PLAIN)}).withColumn("rl", F.length(S.ungap("r")))
+    before = Window.partitionBy("s").orderBy("o", "ln").rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("rs", F.col("s") * 100000 + F.coalesce(F.sum("rl").over(before), F.lit(0)))
+
+    def line(name, at, strand, col):
+        n = F.length(S.ungap(col))
+        start = F.when(strand == "-", 10**12 - at - n).otherwise(at)
+        return F.concat_ws(" ", F.lit("\ns"), F.lit(name), start.cast("string"), n.cast("string"), strand, F.lit(str(10**12)), F.col(col))
+
+    a = line("A.c", F.col("rs") + 10000000 - F.when(F.col("s") % 7 == 0, 5000000).otherwise(0), F.when(F.col("f") == "R", "-").otherwise("+"), "a")
+    b = line("B.d", F.col("rs"), F.lit("+"), "b")
+    block = F.concat(F.lit("a score=1"), line("ref.chr", F.col("rs"), F.lit("+"), "r"), F.when(F.col("q") > 20, a).otherwise(""),
+                     F.when((F.col("s") % 4 != 0) & ((F.col("f") == "R") | (F.col("ln") % 2 == 1)), b).otherwise(""), F.lit("\n"))
+    path = scratch_path(spark, "blocks")
+    x.select("s", "o", "ln", block.alias("value")).repartition("s").sortWithinPartitions("s", "o", "ln").select("s", "value").write.partitionBy("s").text(path)
+    blocks, rows = read_maf(spark, path, index=True, name=folder_name)
+    to_id = lambda df: df.withColumn("exon", F.col("exon").cast("bigint"))
+    blocks, rows = to_id(blocks), to_id(rows)
+    sup = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("exon"), F.col("s_nationkey").alias("locus"), F.when(F.col("s_nationkey") % 2 == 1, "-").otherwise("+").alias("strand"))
+    exons = blocks.groupBy("exon").agg(F.min("ref_start").alias("start"), (F.max(F.col("ref_start") + F.col("ref_len")) - 1).alias("end")).join(sup, "exon")
+    width = rows.groupBy("exon", "block_ix").agg(F.max(F.length("text")).alias("n_cols"))
+    aligned = B.concat_blocks(rows, width, sup.select("exon", "strand")).join(sup.select("exon", "locus"), "exon")
+    return B.collinear_from_blocks(aligned.select("locus", "exon", "taxon", "contig", "text"), exons, rows, "ref", 700000)
+
+
+@query(
+    "block_rows_collinear",
+    f"""WITH {MAF}, al AS (SELECT l3.locus, dm.taxon, l3.s, l3.ix, rc.i, CASE WHEN kept THEN ow.c ELSE '-' END AS c FROM l3 JOIN rc ON rc.s = l3.s AND rc.ix = l3.ix JOIN dm ON dm.locus = l3.locus
+      LEFT JOIN ow ON ow.s = l3.s AND ow.taxon = dm.taxon AND ow.ix = l3.ix AND ow.i = rc.i LEFT JOIN kp ON kp.s = ow.s AND kp.taxon = ow.taxon AND kp.strand = ow.strand),
+    te AS (SELECT locus, taxon, string_agg(c, '' ORDER BY s, ix, i) AS x FROM al GROUP BY ALL UNION ALL SELECT locus, 'ref', string_agg(r, '' ORDER BY s, ix) FROM l3 GROUP BY locus)
+    SELECT locus, taxon, CASE taxon WHEN 'A' THEN 'c' WHEN 'B' THEN 'd' END AS contig, {TURN} AS text FROM te""",
+)
+def block_rows_collinear(spark, sf):
+    return from_blocks(spark, sf)[0]
+
+
+@query(
+    "block_rows_log",
+    f"""WITH {MAF} SELECT locus, taxon, CASE taxon WHEN 'A' THEN 'c' ELSE 'd' END AS contig, ds AS strand, CAST(1 AS BIGINT) AS n_rows, count(*) FILTER (kept) AS n_kept, count(*) AS n_pieces,
+      CAST(coalesce(sum(bases) FILTER (kept), 0) AS BIGINT) AS kept_bases, CAST(coalesce(sum(bases) FILTER (NOT kept), 0) AS BIGINT) AS gapped_bases FROM kp GROUP BY locus, taxon, ds""",
+)
+def block_rows_log(spark, sf):
+    return from_blocks(spark, sf)[1]
+
+
+@query(
+    "block_rows_mask",
+    f"""WITH {MAF}, ex AS (SELECT s, locus, min(rs) AS a, max(rs + rl) - 1 AS e FROM l3 GROUP BY ALL),
+    wh AS (SELECT *, CASE WHEN strand <> ds THEN 'opposite strand' WHEN greatest(e, hi) - least(a, lo) > 700000 THEN 'beyond 700000 bp' ELSE 'not collinear' END AS reason FROM kp WHERE NOT kept),
+    inn AS (SELECT DISTINCT ce.s, ce.taxon FROM ce JOIN ex ON ex.s = ce.s WHERE pos < ex.e)
+    SELECT ex.locus, dm.taxon, ex.s AS exon, CAST(ex.a AS BIGINT) AS r_start, CAST(ex.e AS BIGINT) AS r_end, CASE WHEN pc.s IS NULL THEN 'absent' ELSE 'absent (padding only)' END AS reason
+      FROM ex JOIN dm ON dm.locus = ex.locus LEFT JOIN (SELECT DISTINCT s, taxon FROM ce) pc ON pc.s = ex.s AND pc.taxon = dm.taxon LEFT JOIN inn ON inn.s = ex.s AND inn.taxon = dm.taxon WHERE inn.s IS NULL
+    UNION ALL SELECT wh.locus, wh.taxon, wh.s, CAST(ex.a AS BIGINT), CAST(ex.e AS BIGINT), reason FROM wh JOIN ex ON ex.s = wh.s WHERE n = 1
+    UNION ALL SELECT wh.locus, wh.taxon, wh.s, CAST(rs AS BIGINT), CAST(rs + rl AS BIGINT), reason FROM wh JOIN tr ON tr.s = wh.s AND tr.taxon = wh.taxon AND tr.strand = wh.strand WHERE n = 2""",
+)
+def block_rows_mask(spark, sf):
+    return from_blocks(spark, sf)[2]
+
+
 # two exons, the halves of a text; sixteen kinds of reference rows, exons, sequences and files by id, short texts of kind 3
 TRIM = DNA + """, t0 AS (SELECT doc_id, coalesce(dna, '') AS dna FROM dna), t1 AS (SELECT *, length(dna) AS n, length(dna) // 2 AS h, CASE WHEN length(dna) < 20 THEN 3 ELSE doc_id % 16 END AS m, (doc_id // 16) % 2 = 1 AS minus FROM t0),
   t2 AS (SELECT *, left(dna, h) AS a, substr(dna, h + 1) AS b FROM t1),

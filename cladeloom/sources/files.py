@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..common import number_within
 from ..functions.ids import attributes, contig_of, split_cell, taxon_of
+from ..session import cut_lineage
 
 # Column names of the text formats, in file order.
 HIT_FIELDS = "qseqid sseqid pident length mismatch gapopen qstart qend sstart send evalue bitscore qlen slen".split()
@@ -156,19 +158,27 @@ def transpose_metrics(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return long.groupBy("species").agg(*[F.max(F.when(F.col(name) == m, F.col("value"))).alias(n) for m, n in mapping.items()])
 
 
-def read_maf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(blocks, block_rows). One block per record of the scan; plus_start turns minus-strand starts round."""
-    raw = spark.read.option("lineSep", "\na").text(path).select(_stem(F.col("_metadata.file_path")).alias("exon"), "value")
+def read_maf(spark: SparkSession, path: str, index: bool = False, name: Callable[[Column], Column] = _stem) -> tuple[DataFrame, DataFrame]:
+    """(blocks, block_rows). One block per record of the scan; plus_start turns minus-strand starts round.
+
+    index: blocks are numbered from 1 in the order of their file (block_ix), which takes a sort of all blocks.
+    """
+    at = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")]
+    raw = spark.read.option("lineSep", "\na").option("recursiveFileLookup", True).text(path).select(name(F.col("_metadata.file_path")).alias("exon"), "value", *(at if index else []))
     s = F.filter(F.split(F.regexp_replace("value", "\r", ""), "\n"), lambda l: l.rlike(r"^s\s"))
-    x = raw.select("exon", s.alias("s")).filter(F.size("s") > 0).withColumn("_ref", F.split(F.col("s")[0], r"\s+"))
-    x = x.select("exon", F.col("_ref")[2].cast("bigint").alias("ref_start"), F.col("_ref")[3].cast("bigint").alias("ref_len"), "s")
-    r = x.select("exon", "ref_start", "ref_len", F.posexplode("s").alias("row_ix", "l")).withColumn("_c", F.split("l", r"\s+"))
+    x = raw.withColumn("s", s).filter(F.size("s") > 0).drop("value")
+    n = ["block_ix"] if index else []
+    if index:
+        x = cut_lineage(number_within(x, ["exon"], [F.col("path"), F.col("block"), F.col("row")], "block_ix").drop("path", "block", "row"))
+    x = x.withColumn("_ref", F.split(F.col("s")[0], r"\s+"))
+    x = x.select("exon", *n, F.col("_ref")[2].cast("bigint").alias("ref_start"), F.col("_ref")[3].cast("bigint").alias("ref_len"), "s")
+    r = x.select("exon", *n, "ref_start", "ref_len", F.posexplode("s").alias("row_ix", "l")).withColumn("_c", F.split("l", r"\s+"))
     src = F.col("_c")[1]
-    r = r.select("exon", "ref_start", "ref_len", "row_ix", taxon_of(src).alias("taxon"), contig_of(src).alias("contig"),
+    r = r.select("exon", *n, "ref_start", "ref_len", "row_ix", taxon_of(src).alias("taxon"), contig_of(src).alias("contig"),
                  F.col("_c")[2].cast("bigint").alias("start"), F.col("_c")[3].cast("bigint").alias("size"), F.col("_c")[4].alias("strand"),
                  F.col("_c")[5].cast("bigint").alias("src_size"), F.col("_c")[6].alias("text"))
     plus = F.when(F.col("strand") == "-", F.col("src_size") - F.col("start") - F.col("size")).otherwise(F.col("start"))
-    return x.select("exon", "ref_start", "ref_len"), r.withColumn("plus_start", plus)
+    return x.select("exon", *n, "ref_start", "ref_len"), r.withColumn("plus_start", plus)
 
 
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
