@@ -10,23 +10,37 @@ from ..session import cut_lineage
 from .tree import Tree
 
 
+# fixed bound: in how many tasks the edges of one vertex may meet its minimum
+SLOTS = 256
+
+
+def with_minimum(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The smallest neighbour m of every u of edges(u, v), and the edges with it.
+
+    The edges of a vertex are dealt to slots by their other end; minima are taken per slot, then over the slots of a vertex, and go
+    back to the edges by slot. So no task meets all edges of a hub, whether or not the joins adapt to skew.
+    """
+    e = edges.withColumn("_s", F.pmod(F.hash("v"), F.lit(SLOTS)))
+    part = e.groupBy("u", "_s").agg(F.min("v").alias("m"))
+    low = part.groupBy("u").agg(F.min("m").alias("m"))
+    return low, e.join(part.select("u", "_s").join(low, "u"), ["u", "_s"]).drop("_s")
+
+
 def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): component is the smallest id reachable over edges(src, dst).
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014): each point links its larger, then its
-    smaller neighbours to the smallest neighbour. A step aggregates a minimum per vertex and joins it back, so the
-    neighbours of a hub are never gathered in one place. Each round is written to the shared folder; the last is the one that
+    smaller neighbours to the smallest neighbour. Minima are taken and joined back in two steps (with_minimum), so the
+    edges of a hub are never gathered in one task. Each round is written to the shared folder; the last is the one that
     changes no edge.
     """
     e = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).filter("u <> v")
     e = cut_lineage(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = with_minimum(both)[1].filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         large = large.filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        j = large.join(low, "u")
+        low, j = with_minimum(large)
         small = j.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         old, e = e, cut_lineage(small.filter("u <> v").distinct())
         both = old.select("u", "v", F.lit(1).alias("was"), F.lit(0).alias("is")).unionByName(e.select("u", "v", F.lit(0).alias("was"), F.lit(1).alias("is")))

@@ -13,7 +13,7 @@ from ..operators.match import resolve_own_feature
 from ..session import scratch_path
 from ..sources.files import folder_name, read_maf
 from .registry import query, table
-from .sequence_queries import BEST, DNA, LETTERS, PLAIN, REF, ROW, block_rows, dna
+from .sequence_queries import BEST, CHAINS, DNA, LETTERS, PLAIN, REF, ROW, block_rows, dna
 from .tree_queries import _id
 from .views import IV, iv
 
@@ -82,12 +82,22 @@ def pieces(spark, sf):
         F.rpad(F.repeat(F.lit("A"), F.col("size").cast("int")), 50, "-").alias("text"))
 
 
-@query("collinear_rows")
+# a piece is a block of 50 columns at its index, the dominant chain is the one with most bases
+DOM = f"""WITH {CHAINS}, dm AS (SELECT exon, taxon, contig AS dc, chain AS dn, min(start) AS lo, max(e) AS hi FROM ch GROUP BY exon, taxon, contig, chain
+   QUALIFY row_number() OVER (PARTITION BY exon, taxon ORDER BY sum(size) DESC, count(*) DESC, max(e) - min(start), contig, chain) = 1),
+ kp AS (SELECT ch.*, dc, lo, hi, contig = dc AND chain = dn AS kept FROM ch JOIN dm ON dm.exon = ch.exon AND dm.taxon = ch.taxon)"""
+
+
+@query("collinear_rows", f"""{DOM} SELECT exon AS locus, taxon, string_agg(rpad(CASE WHEN kept THEN repeat('A', size) ELSE '' END, 50, '-'), '' ORDER BY block_ix) AS text, any_value(dc) AS contig, '+' AS strand FROM kp GROUP BY exon, taxon""")
 def collinear_rows(spark, sf):
     return B.collinear_rows(pieces(spark, sf), 600)[0]
 
 
-@query("collinear_mask")
+@query(
+    "collinear_mask",
+    f"""{DOM} SELECT exon AS locus, taxon, block_ix AS exon, block_ix * 60 AS r_start, block_ix * 60 + size - 1 AS r_end,
+      CASE WHEN contig <> dc THEN 'other contig' WHEN greatest(e, hi) - least(start, lo) > 600 THEN 'beyond 600 bp' ELSE 'not collinear' END AS reason FROM kp WHERE NOT kept""",
+)
 def collinear_mask(spark, sf):
     return B.collinear_rows(pieces(spark, sf), 600)[1]
 
