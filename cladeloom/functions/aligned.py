@@ -304,6 +304,20 @@ def n_within(reach: int = 5):
     return scan
 
 
+@pandas_udf(T.ArrayType(T.BooleanType()))
+def sites_known(ref: pd.Series, row: pd.Series, sites: pd.Series) -> pd.Series:
+    """Whether the row has a base other than N at every reference base of each site(pos, span); a site beyond the end is unknown."""
+    def one(a: str, b: str, xs):
+        r, q = _pair(a, b)
+        letters = q[r != GAP]
+        bad = np.concatenate(([0], np.cumsum((letters == GAP) | (letters == N))))
+        lo = np.array([x["pos"] - 1 for x in xs], np.int64)
+        hi = np.minimum(lo + [x["span"] for x in xs], len(letters))
+        return [bool(0 <= i < j and bad[i] == bad[j]) for i, j in zip(lo, hi)]
+
+    return pd.Series([one(*v) for v in zip(ref, row, sites)], dtype=object)
+
+
 @pandas_udf(T.ArrayType(INT))
 def columns_from(ref: pd.Series, first: pd.Series, positions: pd.Series) -> pd.Series:
     """For each coordinate the number of columns before it. An insertion counts to the letter before it, at the front of

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.aligned import focal_frame_orf, orf_call, reference_view
+from ..functions.aligned import focal_frame_orf, orf_call, reference_view, sites_known
 from .tree import Tree, branch_points, parsimony_states
 
 
@@ -234,6 +234,30 @@ def parsimony_filter(types: DataFrame, chosen: DataFrame, tips: DataFrame, tree:
     return j.withColumn("gene_type", F.when(keep, "DNG").otherwise("PDNG")).drop("_ok")
 
 
+def tip_states_from_rows(chosen: DataFrame, carriers: DataFrame, aln: DataFrame, species: DataFrame, tree: Tree) -> DataFrame:
+    """tips(unit, species, state) of chosen events, for parsimony_filter.
+
+    chosen(unit, gene, focal, kind, pos, orf_ix); carriers(gene, kind, pos, taxon, length), living species and ancestors, stops with length 3;
+    aln(gene, taxon, ref_text, row_text) against the focal row; species(species) the living ones. The event has the lengths that its
+    youngest carrier on the lineage above the ORF node has; without one it is an error. Species: the focal one is 0, a
+    carrier of such a length 1, one with known bases at the whole site 0; others are not listed, so they may be either.
+    """
+    c = chosen.join(carriers, ["gene", "kind", "pos"]).select("unit", "focal", "orf_ix", "taxon", "length")
+    above = c.join(tree.lineage.withColumnRenamed("node", "taxon"), ["focal", "taxon"]).filter("ix > orf_ix")
+    above = above.groupBy("unit", "ix").agg(F.collect_set("length").alias("lengths")).groupBy("unit").agg(F.min_by("lengths", "ix").alias("lengths"))
+    none = F.raise_error(F.concat(F.lit("no carrier older than the ORF node for event "), F.col("unit").cast("string"))).cast("array<bigint>")
+    u = chosen.join(above, "unit", "left").withColumn("lengths", F.coalesce(F.col("lengths").cast("array<bigint>"), none))
+    has = c.join(u.select("unit", "lengths"), "unit").filter(F.array_contains("lengths", F.col("length").cast("bigint"))).select("unit", F.col("taxon").alias("species"))
+    span = F.when(F.col("kind") == "stop", F.lit(3).cast("bigint")).otherwise(F.array_max("lengths"))
+    sites = u.groupBy("gene").agg(F.collect_list(F.struct("unit", F.col("pos").cast("bigint").alias("pos"), span.alias("span"))).alias("sites"))
+    x = aln.filter("ref_text is not null and row_text is not null").withColumnRenamed("taxon", "species").join(sites, "gene")
+    x = x.withColumn("known", sites_known("ref_text", "row_text", "sites")).select("species", F.explode(F.arrays_zip("sites", "known")).alias("s"))
+    known = x.filter("s.known").select(F.col("s.sites.unit").alias("unit"), "species")
+    state = lambda df, value, rank: df.join(species, "species", "left_semi").select("unit", "species", F.lit(value).alias("state"), F.lit(rank).alias("_r"))
+    own = state(u.select("unit", F.col("focal").alias("species")), 0, 0)
+    return own.unionByName(state(has, 1, 1)).unionByName(state(known, 0, 2)).groupBy("unit", "species").agg(F.min_by("state", "_r").alias("state"))
+
+
 def orf_presence(calls: DataFrame, min_aligned: float = 50.0) -> DataFrame:
     """Presence by the ORF rule: 1, 0, or unknown where too little is aligned. calls(gene, taxon, has_orf, aligned_pct)."""
     call = F.when(F.col("has_orf"), "1").when(F.coalesce("aligned_pct", F.lit(0.0)) < min_aligned, "unknown").otherwise("0")

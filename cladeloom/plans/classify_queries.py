@@ -8,7 +8,7 @@ from ..operators import classify as C
 from ..operators import runs as W
 from .registry import query, table
 from .sequence_queries import CELL, EV, FOCAL, REF, ROW, STOP, LETTERS, aln, events, frame_stops
-from .tree_queries import leaf, lines, nation_tree
+from .tree_queries import leaf, lines, nation_tree, parsimony_sql
 
 EVS = EV + """, es AS (SELECT gene, focal, CAST(round(event * 100) AS BIGINT) AS event, CASE WHEN CAST(round(event * 100) AS BIGINT) % 2 = 0 THEN 'indel' ELSE 'stop' END AS kind, list(ix ORDER BY ix DESC) AS ixs FROM ev GROUP BY gene, focal, event HAVING count(*) >= 2),
  orf AS (SELECT o_orderkey AS gene, o_custkey % 4 AS orf_ix FROM orders),
@@ -254,7 +254,15 @@ def require_extant(spark, sf):
     return C.require_extant(types(spark, sf), living_support(spark, sf)).select("gene", "gene_type")
 
 
-@query("parsimony_filter")
+ALL_TIPS = """SELECT x.unit, 32 + n_nationkey AS node, t.state FROM (SELECT DISTINCT unit FROM tip) x CROSS JOIN nation LEFT JOIN tip t ON t.unit = x.unit AND t.node = 32 + n_nationkey"""
+
+
+@query(
+    "parsimony_filter",
+    f"""WITH {CHOSEN}, tip AS (SELECT l_orderkey AS unit, 32 + s_nationkey AS node, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS state FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL), ps AS ({parsimony_sql(ALL_TIPS)})
+    SELECT gt.gene, gt.orf_ix, CASE WHEN gene_type = 'DNG' AND coalesce(can0 AND NOT can1, true) THEN 'DNG' ELSE 'PDNG' END AS gene_type FROM gt JOIN orders ON o_orderkey = gt.gene JOIN customer ON c_custkey = o_custkey
+      LEFT JOIN ps ON ps.unit = gt.gene AND ps.node = (32 + c_nationkey) >> gt.orf_ix AND gt.orf_ix > 0""",
+)
 def parsimony_filter(spark, sf):
     t = nation_tree(spark, sf)
     x = lines(spark, sf).groupBy(F.col("l_orderkey").alias("unit"), leaf("s_nationkey").alias("species")).agg(F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("state"))
@@ -265,6 +273,49 @@ def parsimony_filter(spark, sf):
     return C.parsimony_filter(ty, ch, x, t)
 
 
+# a text is a gene with an indel and a stop; ancestors carry them above the ORF node, some species carry them, some are aligned
+KNOWN = CELL + """, d AS (SELECT doc_id, 32 + doc_id % 25 AS focal, doc_id % 3 AS orf_ix FROM aln),
+ eu AS (SELECT d.*, 2 * doc_id + k AS unit, CASE WHEN k = 0 THEN 1 + doc_id % 30 ELSE 1 + doc_id % 17 END AS p, CASE WHEN k = 0 THEN 3 + 3 * (doc_id % 2) ELSE 3 END AS len FROM d, range(0, 2) r(k)),
+ si AS (SELECT unit, count(*) > 0 AS r, bool_and(q NOT IN ('-', 'N')) AS q FROM eu JOIN c ON c.doc_id = eu.doc_id AND c.r <> '-' AND pos BETWEEN p AND p + len - 1 GROUP BY 1),
+ tip AS (SELECT unit, node, arg_min(state, k) AS state FROM (SELECT unit, focal AS node, 0 AS state, 0 AS k FROM eu
+   UNION ALL SELECT unit, 32 + (doc_id + j) % 25, 1, 1 FROM eu JOIN (VALUES (1, 3), (2, 6), (5, 3), (7, 6)) v(j, l) ON l = len
+   UNION ALL SELECT eu.unit, 32 + (doc_id + j) % 25, 0, 2 FROM eu JOIN si ON si.unit = eu.unit CROSS JOIN (VALUES (1), (2), (3), (4), (9)) v(j) WHERE CASE WHEN j % 2 = 0 THEN si.r ELSE si.q END) GROUP BY unit, node)"""
+
+
+def tips_from_rows(spark, sf):
+    a = aln(spark, sf)
+    kinds = F.explode(F.array(F.struct(F.lit("indel").alias("kind"), F.lit(0).alias("k")), F.struct(F.lit("stop").alias("kind"), F.lit(1).alias("k")))).alias("e")
+    g = F.col("doc_id")
+    u = a.select("doc_id", kinds).select(
+        (g * 2 + F.col("e.k")).alias("unit"), g.alias("gene"), (F.lit(32) + g % 25).cast("bigint").alias("focal"), "e.kind",
+        F.when(F.col("e.k") == 0, 1 + g % 30).otherwise(1 + g % 17).alias("pos"), (g % 3).alias("orf_ix"))
+    length = F.when(F.col("kind") == "indel", 3 + 3 * (F.col("gene") % 2)).otherwise(3)
+    above = lambda k: F.floor(F.col("focal") / F.pow(F.lit(2), F.col("orf_ix") + k)).cast("bigint")
+    sp = lambda j: (32 + (F.col("gene") + j) % 25).cast("bigint")
+    has = [(above(1), length), (above(2), F.lit(9)), (sp(1), F.lit(3)), (sp(2), F.lit(6)), (sp(5), F.lit(3)), (sp(7), F.lit(6))]
+    car = u.select("gene", "kind", "pos", F.explode(F.array(*[F.struct(t.alias("taxon"), n.cast("bigint").alias("length")) for t, n in has])).alias("c")).select("gene", "kind", "pos", "c.*")
+    rows = a.select(g.alias("gene"), "ref_text", F.explode(F.array(*[F.struct(((32 + (g + j) % 25).cast("bigint")).alias("taxon"), F.col("row_text" if j % 2 else "ref_text").alias("row_text")) for j in (1, 2, 3, 4, 9)])).alias("r"))
+    living = table(spark, sf, "nation").select(leaf("n_nationkey").alias("species"))
+    return u, C.tip_states_from_rows(u, car, rows.select("gene", "ref_text", "r.*"), living, nation_tree(spark, sf))
+
+
+@query("tip_states_aligned", f"WITH {KNOWN} SELECT unit, node AS species, state FROM tip")
+def tip_states_aligned(spark, sf):
+    return tips_from_rows(spark, sf)[1]
+
+
+@query(
+    "parsimony_filter_aligned",
+    f"""WITH {KNOWN}, ps AS ({parsimony_sql(ALL_TIPS)}), ok AS (SELECT doc_id, bool_and(can0 AND NOT can1) AS ok FROM eu JOIN ps ON ps.unit = eu.unit AND ps.node = focal >> orf_ix GROUP BY 1)
+    SELECT d.doc_id AS gene, CASE WHEN d.doc_id % 4 <> 3 AND ok THEN 'DNG' ELSE 'PDNG' END AS gene_type FROM d JOIN ok ON ok.doc_id = d.doc_id""",
+)
+def parsimony_filter_aligned(spark, sf):
+    u, tips = tips_from_rows(spark, sf)
+    ty = u.select("gene", F.when(F.col("gene") % 4 == 3, "PDNG").otherwise("DNG").alias("gene_type")).distinct()
+    node = F.floor(F.col("focal") / F.pow(F.lit(2), F.col("orf_ix"))).cast("bigint")
+    return C.parsimony_filter(ty, u.select("unit", "gene", node.alias("node")), tips, nation_tree(spark, sf))
+
+
 PRES = "pc AS (SELECT l_orderkey AS gene, l_linenumber AS taxon, l_partkey, l_suppkey, l_extendedprice, CASE WHEN l_returnflag = 'R' THEN '1' WHEN l_quantity * 2 < 50 THEN 'unknown' ELSE '0' END AS presence, l_linestatus AS old FROM lineitem)"
 
 

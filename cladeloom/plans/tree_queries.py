@@ -265,8 +265,11 @@ def dollo_unknown(spark, sf):
     return H.dollo_losses(p.select("unit", F.lit(1).cast("bigint").alias("origin")).distinct(), p, t, u)
 
 
-def _parsimony_sql() -> str:
-    """Leaves are at depth 5 and the parent of i is i >> 1: costs up to the root, then down again."""
+LINE_TIPS = "SELECT l_orderkey AS unit, 32 + s_nationkey AS node, max(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS state FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL"
+
+
+def parsimony_sql(tips: str = LINE_TIPS) -> str:
+    """Leaves are at depth 5 and the parent of i is i >> 1: costs up to the root, then down again. A tip of state NULL may be either."""
     best = lambda d, a, b: f"least({d}.c{a}, {d}.c{b} + 1)"
     down = "".join(f""",
  d{k} AS (SELECT unit, node >> 1 AS node, sum({best('x', 0, 1)}) AS c0, sum({best('x', 1, 0)}) AS c1 FROM d{k + 1} x GROUP BY ALL)""" for k in range(4, -1, -1))
@@ -274,13 +277,13 @@ def _parsimony_sql() -> str:
  r{k} AS (SELECT x.*, p.u0 + p.c0 - {best('x', 0, 1)} AS r0, p.u1 + p.c1 - {best('x', 1, 0)} AS r1 FROM d{k} x JOIN u{k - 1} p ON p.unit = x.unit AND p.node = x.node >> 1),
  u{k} AS (SELECT unit, node, c0, c1, least(r0, r1 + 1) AS u0, least(r1, r0 + 1) AS u1 FROM r{k})""" for k in range(1, 6))
     every = " UNION ALL ".join(f"SELECT * FROM u{k}" for k in range(6))
-    return f"""WITH t AS (SELECT l_orderkey AS unit, 32 + s_nationkey AS node, max(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS state FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
- d5 AS (SELECT unit, node, CASE WHEN state = 0 THEN 0 ELSE 1000000 END AS c0, CASE WHEN state = 1 THEN 0 ELSE 1000000 END AS c1 FROM t){down},
+    return f"""WITH t AS ({tips}),
+ d5 AS (SELECT unit, node, CASE WHEN state = 1 THEN 1000000 ELSE 0 END AS c0, CASE WHEN state = 0 THEN 1000000 ELSE 0 END AS c1 FROM t){down},
  u0 AS (SELECT *, 0 AS u0, 0 AS u1 FROM d0){up}, m AS (SELECT unit, least(c0, c1) AS b FROM d0)
  SELECT a.unit, a.node, a.u0 + a.c0 = b AS can0, a.u1 + a.c1 = b AS can1 FROM ({every}) a JOIN m ON m.unit = a.unit"""
 
 
-@query("parsimony_states", _parsimony_sql())
+@query("parsimony_states", parsimony_sql())
 def parsimony(spark, sf):
     x = lines(spark, sf).groupBy(F.col("l_orderkey").alias("unit"), leaf("s_nationkey").alias("species"))
     tips = x.agg(F.max(F.when(F.col("l_returnflag") == "A", 1).otherwise(0)).alias("state"))
