@@ -241,7 +241,15 @@ def living_support(spark, sf):
     return C.evidence(*support_inputs(spark, sf))
 
 
-@query("living_support_outer")
+@query(
+    "living_support_outer",
+    f"""WITH {EVS}{SUP}, cho AS (SELECT el.gene, el.focal, el.ix, sn.ix AS via FROM el JOIN evd ON evd.gene = el.gene AND evd.focal = el.focal AND evd.ix = el.ix
+        JOIN sn ON sn.gene = el.gene AND sn.focal = el.focal AND sn.event = el.event AND sn.ix > el.ix WHERE n_support = 0 AND n_against = 0 AND sn.a > 0 UNION SELECT gene, focal, ix, ix FROM evd WHERE n_support > 0),
+      pr AS (SELECT x.gene, x.focal, x.ix AS ai, x.via AS av, y.ix AS bi, y.via AS bv FROM cho x JOIN cho y ON y.gene = x.gene AND y.focal = x.focal AND x.ix < y.ix AND x.via <> y.via
+        QUALIFY row_number() OVER (PARTITION BY x.gene, x.focal ORDER BY y.via DESC, x.via DESC, y.ix, x.ix) = 1),
+      vi AS (SELECT gene, focal, ai AS ix, av AS via FROM pr UNION ALL SELECT gene, focal, bi, bv FROM pr)
+    SELECT evd.*, vi.via FROM evd LEFT JOIN vi ON vi.gene = evd.gene AND vi.focal = evd.focal AND vi.ix = evd.ix""",
+)
 def living_support_outer(spark, sf):
     return C.evidence(*support_inputs(spark, sf), outer=True)
 
