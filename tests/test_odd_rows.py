@@ -28,3 +28,7 @@ TEXTS = ("doc_id long, text string", [(1, "atg tax"), (2, ""), (3, "c"), (4, "ab
 
 def test_texts_without_a_codon_have_no_protein(spark, tmp_path):
     assert {r[0] for r in same_as_sql(spark, tmp_path, "translation", documents=TEXTS)} == {1, 9}
+
+
+def test_segments_of_one_residue_none_and_unknown(spark, tmp_path):
+    assert len(same_as_sql(spark, tmp_path, "segment_orf", documents=TEXTS)) == 10
