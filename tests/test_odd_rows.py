@@ -37,3 +37,14 @@ def test_segments_of_one_residue_none_and_unknown(spark, tmp_path):
 def test_transcripts_with_empty_and_unknown_exons(spark, tmp_path):
     rows = same_as_sql(spark, tmp_path, "build_cds", documents=TEXTS)
     assert len(rows) == 10 and {r[2] for r in rows} == {2}
+
+
+LINES = ("l_partkey long, l_suppkey long", [(1, 1002), (2, 2), (3, 7), (9, 5), (None, 2), (4, None), (4, 3)])
+PARTS = ("p_partkey long, p_name string, p_brand string, p_size int", [(1, "a", "B1", 50), (2, "b", "B2", 1), (3, "c", "B3", 1), (4, "c", "B4", 1), (5, "d", None, 50)])
+SUPPLIERS = ("s_suppkey long, s_name string, s_acctbal double", [(1002, "S1", 9000.0), (2, "S2", 9000.0), (3, "S3", 1.0), (5, "S5", 9000.0), (6, None, 9000.0)])
+
+
+def test_rows_with_the_same_id_keep_their_own_targets(spark, tmp_path):
+    # 1 * 1000 + 1002 and 2 * 1000 + 2 are the same id; part 9 is unknown
+    rows = same_as_sql(spark, tmp_path, "priority_match", lineitem=LINES, part=PARTS, supplier=SUPPLIERS)
+    assert (2002, "B1", "part") in rows and (2002, "S2", "supplier") in rows and (9005, "S5", "supplier") in rows
