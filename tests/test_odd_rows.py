@@ -48,3 +48,8 @@ def test_rows_with_the_same_id_keep_their_own_targets(spark, tmp_path):
     # 1 * 1000 + 1002 and 2 * 1000 + 2 are the same id; part 9 is unknown
     rows = same_as_sql(spark, tmp_path, "priority_match", lineitem=LINES, part=PARTS, supplier=SUPPLIERS)
     assert (2002, "B1", "part") in rows and (2002, "S2", "supplier") in rows and (9005, "S5", "supplier") in rows
+
+
+def test_report_counts_rows_with_the_same_id_apart(spark, tmp_path):
+    rows = same_as_sql(spark, tmp_path, "match_report", lineitem=LINES, part=PARTS, supplier=SUPPLIERS)
+    assert ("S2", 2, "supplier") in rows and ("S5", 1, "supplier") in rows
