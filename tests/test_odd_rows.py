@@ -53,3 +53,10 @@ def test_rows_with_the_same_id_keep_their_own_targets(spark, tmp_path):
 def test_report_counts_rows_with_the_same_id_apart(spark, tmp_path):
     rows = same_as_sql(spark, tmp_path, "match_report", lineitem=LINES, part=PARTS, supplier=SUPPLIERS)
     assert ("S2", 2, "supplier") in rows and ("S5", 1, "supplier") in rows
+
+
+def test_every_row_of_a_repeated_customer_is_not_found(spark, tmp_path):
+    orders = ("o_orderkey long, o_custkey long", [(1, 4), (2, 5)])
+    lines = ("l_orderkey long, l_partkey long, l_suppkey long, l_returnflag string, l_linenumber int, l_quantity double", [(1, 7, 3, "R", 1, 5.0), (2, 7, 10, "R", 1, 5.0)])
+    rows = same_as_sql(spark, tmp_path, "features_not_found", orders=orders, lineitem=lines, customer=("c_custkey long", [(4,), (5,), (5,), (None,)]))
+    assert len(rows) == 4
