@@ -49,3 +49,11 @@ def test_answers_of_an_asof_join_are_not_broadcast(spark):
     j = I.asof_join(a, b, ["k"], "p", "q", ["q"], backward=False)
     assert "BroadcastHashJoin LeftOuter" not in plan(j).replace(", ", " ") and "SortMergeJoin" in plan(j)
     assert {(r["p"], r["q"]) for r in j.collect()} == {(p, 10 if p <= 10 else 30 if p <= 30 else None) for p in range(1, 51)}
+
+
+def test_forward_lookups_read_each_row_once(spark):
+    a = spark.range(40).select(F.lit(1).alias("k"), F.col("id").alias("p"))
+    b = spark.createDataFrame([(1, 3), (1, 17), (1, 33)], "k int, q int")
+    j = I.asof_join(a, b, ["k"], "p", "q", ["q"], backward=False, width=8)
+    assert "unboundedfollowing" not in plan(j).lower()
+    assert {(r["p"], r["q"]) for r in j.collect()} == {(p, next((q for q in (3, 17, 33) if q >= p), None)) for p in range(40)}
