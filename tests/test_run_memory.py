@@ -36,6 +36,7 @@ def test_events_meet_their_rows_without_a_broadcast(spark):
     e = W.indel_runs(x, ["g"]).withColumn("length", F.col("length").cast("bigint"))
     flags = W.event_flags(e, x, ["g"])
     again = W.recheck_runs(e.filter("kind = 'deletion'"), x, ["g"])
+    assert plan(flags).count("Exchange hash") == 2  # events and rows are each dealt once
     assert "Broadcast" not in plan(flags) and "Broadcast" not in plan(again)
     assert {(r["g"], r["start"], r["finding"]) for r in again.collect()} == {(1, 2, "exact"), (1, 5, "exact"), (4, 2, "exact")}
     assert not any(r["multi_length"] for r in flags.collect())
