@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import kept_table
 from .intervals import asof_join, first_overlap_join, merge_intervals, nearest_join, overlap_join, union_length
 
 
@@ -16,33 +17,28 @@ def classify_overlap(loci: DataFrame, genes: DataFrame, cds: DataFrame, locus_ge
     stand for and never count as the other gene. By priority: coding overlap on the same strand, any overlap on the same
     strand, antisense overlap, else the side and strand of the nearest gene within max_gap, else intergenic.
     """
-    named = loci.filter("status = 'named'").withColumn("_c", F.lower("chrom"))
-    other = genes.join(locus_genes.select("gene"), "gene", "left_anti").withColumn("_c", F.lower("chrom"))
-    gene_cds = genes.select("gene", F.lower("chrom").alias("_c"), "g_strand").join(cds, "gene")
-
-    own = named.join(cds.withColumnRenamed("gene", "own_gene"), "own_gene")
-    clip = own.filter((F.col("c_start") <= F.col("end")) & (F.col("c_end") >= F.col("start"))).select(
-        "locus", "_c", "strand", F.greatest("c_start", "start").alias("q_start"), F.least("c_end", "end").alias("q_end"))
+    # loci and genes are read by every step below, so what it takes to get them is done once
+    named = kept_table(loci.filter("status = 'named'").withColumn("_c", F.lower("chrom")), "loci")
+    own_genes = kept_table(locus_genes.select("gene").distinct(), "locus-genes")
+    other = kept_table(genes.select("gene", F.lower("chrom").alias("_c"), "g_start", "g_end", "g_strand").join(own_genes, "gene", "left_anti"), "genes")
+
+    own = named.select("locus", "_c", "strand", "start", "end", "own_gene").join(cds.withColumnRenamed("gene", "own_gene"), "own_gene")
+    clip = kept_table(own.filter((F.col("c_start") <= F.col("end")) & (F.col("c_end") >= F.col("start"))).select(
+        "locus", "_c", "strand", F.greatest("c_start", "start").alias("q_start"), F.least("c_end", "end").alias("q_end")), "clipped")
     bare = named.join(clip.select("locus").distinct(), "locus", "left_anti").select(
         "locus", "_c", "strand", F.col("start").alias("q_start"), F.col("end").alias("q_end"))
-    oc = gene_cds.join(locus_genes.select("gene"), "gene", "left_anti").select(
-        "gene", "_c", F.col("g_strand").alias("strand"), "c_start", "c_end")
-    coding = overlap_join(clip.unionByName(bare), oc, ["_c", "strand"], ("q_start", "q_end"), ("c_start", "c_end"))
-    starts = genes.select("gene", "g_start")
-    coding = coding.join(starts, "gene").groupBy("locus").agg(F.min_by("gene", F.struct("g_start", "gene")).alias("_g1"))
+    oc = kept_table(other.join(cds, "gene").select("gene", "g_start", "_c", F.col("g_strand").alias("strand"), "c_start", "c_end"), "coding")
+    coding = overlap_join(kept_table(clip.unionByName(bare), "asked"), oc, ["_c", "strand"], ("q_start", "q_end"), ("c_start", "c_end"), levels=2)
+    coding = coding.groupBy("locus").agg(F.min_by("gene", F.struct("g_start", "gene")).alias("_g1"))
 
+    span, g_span = ("start", "end"), ("g_start", "g_end")
     q = named.select("locus", "_c", "start", "end", "strand")
-    same = first_overlap_join(
-        q, other.select("_c", F.col("g_strand").alias("strand"), "g_start", "g_end", "gene"), ["_c", "strand"],
-        ("start", "end"), ("g_start", "g_end"), "gene").select("locus", F.col("gene").alias("_g2"))
-    anyov = first_overlap_join(
-        q, other.select("_c", "g_start", "g_end", "gene"), ["_c"], ("start", "end"), ("g_start", "g_end"), "gene"
-    ).select("locus", F.col("gene").alias("_g3"))
-    near = nearest_join(
-        q, other.select("_c", "g_start", "g_end", "g_strand", "gene"), ["_c"], ("start", "end"), ("g_start", "g_end"),
-        ["g_strand", "gene"], max_gap).select("locus", "side", "g_strand", F.col("gene").alias("_g4"))
-
-    j = named.join(coding, "locus", "left").join(same, "locus").join(anyov, "locus").join(near, "locus")
+    q = first_overlap_join(q, other.select("_c", F.col("g_strand").alias("strand"), "g_start", "g_end", "gene"), ["_c", "strand"], span, g_span, "gene")
+    q = q.drop(*g_span).withColumnRenamed("gene", "_g2")
+    q = first_overlap_join(q, other.select("_c", "g_start", "g_end", "gene"), ["_c"], span, g_span, "gene")
+    q = q.drop(*g_span).withColumnRenamed("gene", "_g3")
+    j = nearest_join(q, other, ["_c"], span, g_span, ["g_strand", "gene"], max_gap).withColumnRenamed("gene", "_g4")
+    j = j.join(coding, "locus", "left")
     has = [F.col(f"_g{i}").isNotNull() for i in (1, 2, 3)]
     cls = (
         F.when(has[0], "same_strand_cds_overlap").when(has[1], "same_strand_overlap").when(has[2], "antisense_overlap")
