@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..common import dealt
 from ..operators import classify as C
 from ..operators import runs as W
+from ..session import kept_table
 from .registry import query, table
 from .sequence_queries import CELL, EV, FOCAL, REF, ROW, STOP, LETTERS, aln, events, frame_stops
 from .tree_queries import leaf, lines, nation_tree, parsimony_sql
@@ -99,13 +101,14 @@ INFER = f"""{EVS}, cd AS (SELECT orf.gene, orf.orf_ix AS o0, x AS oi FROM orf, r
 
 
 def moved_events(spark, sf):
-    ev = gene_events(spark, sf)
+    # events, moved genes and their chosen events are each read by several steps
     x = table(spark, sf, "lineitem")
+    ev = dealt(kept_table(gene_events(spark, sf).drop("focal"), "events"), "gene", by=x)
     n = F.round(F.col("l_discount") * 100).cast("bigint")
     kind = F.when(n % 2 == 0, "indel").otherwise("stop").alias("kind")
     side = x.select(F.col("l_orderkey").alias("gene"), kind, n.alias("event"), (F.col("l_linenumber") % 4).cast("bigint").alias("ix"), (F.col("l_partkey") % 2).alias("length"), "l_quantity")
     moved = C.orf_clade_consistency(ev, orf_nodes(spark, sf), side.filter("l_quantity > 30").select("gene", "kind", "event", "ix").distinct()).filter("moved")
-    chosen = C.nearest_event(ev, moved.select("gene", F.col("new_orf_ix").alias("orf_ix")))
+    chosen = kept_table(C.nearest_event(ev, moved.select("gene", F.col("new_orf_ix").alias("orf_ix"))), "chosen")
     ix = F.explode("ixs").alias("ix")
     at_node = ev.select("gene", "kind", "event", ix).filter("(gene + ix) % 5 <> 0").withColumn("length", (F.col("event") + F.col("ix")) % 2)
     return chosen, C.inferred_nodes(chosen, at_node, side.filter("l_quantity > 20"), side.filter("l_quantity > 45"))

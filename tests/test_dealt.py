@@ -1,5 +1,6 @@
 """Large inputs are dealt to more tasks the larger they are, small ones are left alone."""
 
+import __spark_entry__ as entry
 import cladeloom.common as common
 from cladeloom.common import dealt
 from cladeloom.plans import sequence_queries as Q
@@ -16,3 +17,9 @@ def test_events_of_a_large_table_are_dealt_by_gene(spark, monkeypatch):
     monkeypatch.setattr(common, "PER_TASK", 500)
     x, _ = Q.events(spark, "/root/testdata/sf0.001")
     assert "REPARTITION_BY_NUM" in x._jdf.queryExecution().executedPlan().toString()
+
+
+def test_inferred_nodes_work_the_events_out_once(spark):
+    plan = entry.queries()["inferred_nodes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # what is left of the customers, who only serve to find the events
+    assert "customer.parquet" not in plan
