@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..common import dealt
 from ..functions.aligned import focal_frame_orf, orf_call, reference_view, sites_known
 from .tree import Tree, branch_points, parsimony_states
 
@@ -161,28 +162,28 @@ def remove_conserved(genes: DataFrame, has_orf: DataFrame, nodes: Sequence) -> t
     return genes.join(log, "gene", "left_anti"), log
 
 
-def evidence(enabler_nodes: DataFrame, carriers: DataFrame, aligned: DataFrame, tree: Tree, outer: bool = False) -> DataFrame:
+def evidence(enabler_nodes: DataFrame, carriers: DataFrame, aligned: DataFrame, tree: Tree, outer: bool = False, by: DataFrame | None = None) -> DataFrame:
     """Living support for every enabler node: carriers and contradicting species on its side branch.
 
     enabler_nodes(gene, focal, ix, event), carriers(gene, event, species) living carriers of the same change,
     aligned(gene, event, species) species with data at the place. With outer, a node whose side branch has no data may
-    be stood in for by an older side branch with a carrier, the oldest first; two nodes never share one.
+    be stood in for by an older side branch with a carrier, the oldest first; two nodes never share one. `by` is the table the inputs
+    come from: rows are dealt to a number of tasks that grows with it.
     """
     key = ["gene", "focal", "event"]
-    fe = enabler_nodes.select(*key).distinct()
-    car, dat = fe.join(carriers, ["gene", "event"]), fe.join(aligned, ["gene", "event"])
-    bins = branch_points(car.select("focal", "species").unionByName(dat.select("focal", "species")), tree).select("focal", "species", "ix")
-    car = car.join(bins, ["focal", "species"]).select(*key, "ix", "species").distinct()
-    dat = dat.join(bins, ["focal", "species"]).select(*key, "ix", "species").distinct()
-    n_car = car.groupBy(*key, "ix").agg(F.count("*").alias("n_support"))
-    con = dat.join(car, [*key, "ix", "species"], "left_anti").groupBy(*key, "ix").agg(F.count("*").alias("n_against"))
-    n_dat = dat.groupBy(*key, "ix").agg(F.count("*").alias("_n_data"))
-    j = enabler_nodes
-    for x in (n_car, con, n_dat):
-        j = j.join(x, [*key, "ix"], "left")
-    j = j.na.fill(0, ["n_support", "n_against", "_n_data"])
-    out = j.groupBy("gene", "focal", "ix").agg(
-        F.sum("n_support").alias("n_support"), F.sum("n_against").alias("n_against"), F.sum("_n_data").alias("_n_data"))
+    deal = lambda df, *keys: df if by is None else dealt(df, *keys, by=by)
+    fe = deal(enabler_nodes.select(*key).distinct(), "gene", "event")
+    species = lambda df, c, d: df.select("gene", "event", "species", F.lit(c).alias("_c"), F.lit(d).alias("_d"))
+    marks = deal(species(carriers, 1, 0).unionByName(species(aligned, 0, 1)), "gene", "event")
+    j = fe.join(marks.groupBy("gene", "event", "species").agg(F.max("_c").alias("_c"), F.max("_d").alias("_d")), ["gene", "event"])
+    j = j.join(branch_points(j.select("focal", "species"), tree).select("focal", "species", "ix"), ["focal", "species"])
+    # nodes and the species on their side branches meet by aggregation: dealt by gene once, all steps stay there
+    n = ["n_support", "n_against", "_n_data"]
+    found = j.select(*key, "ix", F.lit(0).alias("_node"), F.col("_c").alias(n[0]), F.when(F.col("_c") == 0, F.col("_d")).otherwise(0).alias(n[1]), F.col("_d").alias(n[2]))
+    nodes = enabler_nodes.select(*key, "ix", F.lit(1).alias("_node"), *[F.lit(0).alias(c) for c in n])
+    per = deal(found.unionByName(nodes), "gene").groupBy(*key, "ix").agg(F.sum("_node").alias("_node"), *[F.sum(c).alias(c) for c in n])
+    n_car = per.filter("n_support > 0").select(*key, "ix", "n_support")
+    out = per.filter("_node > 0").groupBy("gene", "focal", "ix").agg(*[F.sum(F.col("_node") * F.col(c)).alias(c) for c in n])
     if not outer:
         return out.drop("_n_data")
     # side branches that may stand in, per node; each gene has two nodes, so the choice is a pair of distinct branches

@@ -241,7 +241,7 @@ def support_inputs(spark, sf):
 
 @query("living_support", f"WITH {EVS}{SUP} SELECT * FROM evd")
 def living_support(spark, sf):
-    return C.evidence(*support_inputs(spark, sf))
+    return C.evidence(*support_inputs(spark, sf), by=table(spark, sf, "lineitem"))
 
 
 @query(
@@ -254,7 +254,7 @@ def living_support(spark, sf):
     SELECT evd.*, vi.via FROM evd LEFT JOIN vi ON vi.gene = evd.gene AND vi.focal = evd.focal AND vi.ix = evd.ix""",
 )
 def living_support_outer(spark, sf):
-    return C.evidence(*support_inputs(spark, sf), outer=True)
+    return C.evidence(*support_inputs(spark, sf), outer=True, by=table(spark, sf, "lineitem"))
 
 
 @query(
