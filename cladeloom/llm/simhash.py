@@ -450,7 +450,8 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
     weight = members.groupBy("th").agg(F.sum(F.log("size")).alias("weight"))
     members = every = written(members.join(weight, "th").select("bucket", "th", "weight"), "weighted")
     pick = written(kinds.join(members.select("th").distinct(), "th").select("th", F.col("low").alias("doc_id")), "ends")
-    full = texts.where(likely(pick, "th", F.col("th"))).alias("t").join(pick.alias("p"), F.col("t.th").eqNullSafe(F.col("p.th")) & F.col("t.doc_id").eqNullSafe(F.col("p.doc_id")))
+    # a shuffle between the two Python steps, also where pick is small: in one stage each task would hold two Python workers
+    full = texts.where(likely(pick, "th", F.col("th"))).alias("t").join(pick.alias("p").hint("merge"), F.col("t.th").eqNullSafe(F.col("p.th")) & F.col("t.doc_id").eqNullSafe(F.col("p.doc_id")))
     sets = written(full.select("t.th", "t.text").mapInArrow(_sets(shingle), "th long, own binary"), "sets")
     links = None
     for _ in range(ROUNDS):
