@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import global_number
+from ..common import dealt, global_number
 from ..session import cut_lineage
 
 
@@ -119,6 +119,18 @@ def branch_points(pairs: DataFrame, tree: Tree) -> DataFrame:
     return p.select("focal", "species", F.element_at("_focal", k).alias("node"), (F.size("_focal") - k).cast("bigint").alias("ix"))
 
 
+def branching(rows: DataFrame, tree: Tree) -> DataFrame:
+    """rows(focal, species, ..) of two different leaves with the lineage node and its ix (node, _ix) at which the species branches off.
+
+    Worked out on each row from the two paths, one of every node of the tree, so rows stay where they are: dealt by pairs of leaves,
+    of which there are few, they would not spread.
+    """
+    at = lambda c: F.broadcast(tree.paths.select(F.col("node").alias(c), F.col("path").alias("_" + c)))
+    p = rows.filter("focal <> species").join(at("focal"), "focal").join(at("species"), "species")
+    k = _shared_path("_focal", "_species")
+    return p.select(*rows.columns, F.element_at("_focal", k).alias("node"), (F.size("_focal") - k).cast("bigint").alias("_ix"))
+
+
 def side_branches(tree: Tree) -> DataFrame:
     """The side branch at every branch of the tree: the leaves below node that are not below its child.
 
@@ -318,39 +330,41 @@ def dollo_losses(units: DataFrame, presence: DataFrame, tree: Tree, unknown: Dat
     return j.filter(F.coalesce("_unknown", F.lit(0)) < F.col("_leaves")).select("unit", "origin", "branch")
 
 
-def parsimony_states(tips: DataFrame, tree: Tree, asked: DataFrame | None = None) -> DataFrame:
+def parsimony_states(tips: DataFrame, tree: Tree, asked: DataFrame | None = None, by: DataFrame | None = None) -> DataFrame:
     """States (0, 1) over all most parsimonious assignments with unit cost: (unit, node, can0, can1).
 
     tips(unit, species, state) with state 0 or 1; a leaf that is not listed may be either. asked(unit, node) are the nodes wanted;
     by default those at or above a listed leaf. Costs are summed level by level from the deepest nodes to the root, then the
     cost of all else is passed down to the nodes asked for and those above them. A node without a listed leaf below costs
-    nothing, so it has no row on the way up.
+    nothing, so it has no row on the way up. `by` is the table the inputs come from: every step is dealt by unit to a number of tasks
+    that grows with it, once for each table that meets there. The tree's own tables are as large as the tree, whatever the number of units.
     """
+    deal = lambda df: df if by is None else dealt(df, "unit", by=by)
     far = F.lit(1 << 40).cast("bigint")
-    place = tree.depth.join(tree.edges, "node", "left").select("node", "parent", "depth")
+    place = F.broadcast(tree.depth.join(tree.edges, "node", "left").select("node", "parent", "depth"))
     height = place.agg(F.max("depth")).first()[0]
     cost = lambda s: F.when(F.max("state") == s, F.lit(0)).otherwise(far).cast("bigint").alias(f"c{s}")
-    leaf = tips.groupBy("unit", F.col("species").alias("node")).agg(cost(0), cost(1)).join(place, "node")
+    leaf = deal(tips).groupBy("unit", F.col("species").alias("node")).agg(cost(0), cost(1)).join(place, "node")
     best = lambda x, y: F.least(F.col(x), F.col(y) + 1)
     down: list[DataFrame] = []
     for level in range(height, -1, -1):
         own = leaf.filter(F.col("depth") == level).select("unit", "node", "c0", "c1")
         if down:
-            kids = down[-1].join(place.select("node", "parent"), "node").select("unit", F.col("parent").alias("node"), best("c0", "c1").alias("c0"), best("c1", "c0").alias("c1"))
+            kids = down[-1].join(F.broadcast(place.select("node", "parent")), "node").select("unit", F.col("parent").alias("node"), best("c0", "c1").alias("c0"), best("c1", "c0").alias("c1"))
             own = own.unionByName(kids)
-        down.append(cut_lineage(own.groupBy("unit", "node").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))))
+        down.append(cut_lineage(deal(own).groupBy("unit", "node").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))))
     down.reverse()
     if asked is None:
         asked = tips.select("unit", F.col("species").alias("node"))
-    above = tree.closure.select("node", "ancestor")
-    want = cut_lineage(asked.select("unit", "node").distinct().join(above, "node").select("unit", F.col("ancestor").alias("node")).distinct().join(place, "node"))
+    above = F.broadcast(tree.closure.select("node", "ancestor"))
+    want = cut_lineage(deal(asked.select("unit", "node")).distinct().join(above, "node").select("unit", F.col("ancestor").alias("node")).distinct().join(place, "node"))
     root = down[0].select("unit", F.least("c0", "c1").alias("least"))
     up = down[0].withColumns({"u0": F.lit(0).cast("bigint"), "u1": F.lit(0).cast("bigint")})
     rows = [up]
     for level in range(1, height + 1):
-        x = want.filter(F.col("depth") == level).select("unit", "node", "parent").join(down[level], ["unit", "node"], "left").na.fill(0, ["c0", "c1"])
+        x = deal(want.filter(F.col("depth") == level).select("unit", "node", "parent")).join(deal(down[level]), ["unit", "node"], "left").na.fill(0, ["c0", "c1"])
         p = up.select("unit", F.col("node").alias("parent"), (F.col("u0") + F.col("c0")).alias("p0"), (F.col("u1") + F.col("c1")).alias("p1"))
-        x = x.join(p, ["unit", "parent"]).withColumns({"r0": F.col("p0") - best("c0", "c1"), "r1": F.col("p1") - best("c1", "c0")})
+        x = x.join(deal(p), ["unit", "parent"]).withColumns({"r0": F.col("p0") - best("c0", "c1"), "r1": F.col("p1") - best("c1", "c0")})
         up = cut_lineage(x.select("unit", "node", "c0", "c1", best("r0", "r1").alias("u0"), best("r1", "r0").alias("u1")))
         rows.append(up)
     out = rows[0]
@@ -358,4 +372,4 @@ def parsimony_states(tips: DataFrame, tree: Tree, asked: DataFrame | None = None
         out = out.unionByName(r)
     wanted = want.select("unit", "node")
     is_least = lambda i: (F.col(f"u{i}") + F.col(f"c{i}") == F.col("least")).alias(f"can{i}")
-    return out.join(wanted, ["unit", "node"], "left_semi").join(root, "unit").select("unit", "node", is_least(0), is_least(1))
+    return deal(out).join(deal(wanted), ["unit", "node"], "left_semi").join(deal(root), "unit").select("unit", "node", is_least(0), is_least(1))
