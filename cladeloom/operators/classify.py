@@ -222,15 +222,17 @@ def older_orf(types: DataFrame, has_orf: DataFrame) -> DataFrame:
     return j.withColumn("gene_type", F.when((F.col("gene_type") == "DNG") & ~old, "DNG").otherwise("PDNG")).drop("_o")
 
 
-def parsimony_filter(types: DataFrame, chosen: DataFrame, tips: DataFrame, tree: Tree) -> DataFrame:
+def parsimony_filter(types: DataFrame, chosen: DataFrame, tips: DataFrame, tree: Tree, by: DataFrame | None = None) -> DataFrame:
     """A DNG is kept only if every chosen event is surely absent (state 0) at its ORF node.
 
-    chosen(unit, gene, node) one row per chosen event with the ORF node, tips(unit, species, state).
+    chosen(unit, gene, node) one row per chosen event with the ORF node, tips(unit, species, state). `by` is the table the inputs come
+    from: rows are dealt to a number of tasks that grows with it.
     """
-    st = parsimony_states(tips, tree, chosen)
-    at = chosen.join(st, ["unit", "node"], "left")
-    ok = at.groupBy("gene").agg(F.min(F.coalesce(F.col("can0") & ~F.col("can1"), F.lit(True))).alias("_ok"))
-    j = types.join(ok, "gene", "left")
+    deal = lambda df, *keys: df if by is None else dealt(df, *keys, by=by)
+    st = parsimony_states(tips, tree, chosen, by)
+    at = deal(chosen, "unit", "node").join(deal(st, "unit", "node"), ["unit", "node"], "left")
+    ok = deal(at, "gene").groupBy("gene").agg(F.min(F.coalesce(F.col("can0") & ~F.col("can1"), F.lit(True))).alias("_ok"))
+    j = deal(types, "gene").join(ok, "gene", "left")
     keep = (F.col("gene_type") == "DNG") & F.coalesce("_ok", F.lit(True))
     return j.withColumn("gene_type", F.when(keep, "DNG").otherwise("PDNG")).drop("_ok")
 

@@ -339,12 +339,13 @@ def parsimony_states(tips: DataFrame, tree: Tree, asked: DataFrame | None = None
     nothing, so it has no row on the way up. `by` is the table the inputs come from: every step is dealt by unit to a number of tasks
     that grows with it, once for each table that meets there. The tree's own tables are as large as the tree, whatever the number of units.
     """
-    deal = lambda df: df if by is None else dealt(df, "unit", by=by)
+    # a join stays where its rows are only if both sides are dealt by all its keys
+    deal = lambda df, *keys: df if by is None else dealt(df, *(keys or ("unit", "node")), by=by)
     far = F.lit(1 << 40).cast("bigint")
     place = F.broadcast(tree.depth.join(tree.edges, "node", "left").select("node", "parent", "depth"))
     height = place.agg(F.max("depth")).first()[0]
     cost = lambda s: F.when(F.max("state") == s, F.lit(0)).otherwise(far).cast("bigint").alias(f"c{s}")
-    leaf = deal(tips).groupBy("unit", F.col("species").alias("node")).agg(cost(0), cost(1)).join(place, "node")
+    leaf = deal(tips, "unit").groupBy("unit", F.col("species").alias("node")).agg(cost(0), cost(1)).join(place, "node")
     best = lambda x, y: F.least(F.col(x), F.col(y) + 1)
     down: list[DataFrame] = []
     for level in range(height, -1, -1):
@@ -357,14 +358,14 @@ def parsimony_states(tips: DataFrame, tree: Tree, asked: DataFrame | None = None
     if asked is None:
         asked = tips.select("unit", F.col("species").alias("node"))
     above = F.broadcast(tree.closure.select("node", "ancestor"))
-    want = cut_lineage(deal(asked.select("unit", "node")).distinct().join(above, "node").select("unit", F.col("ancestor").alias("node")).distinct().join(place, "node"))
+    want = cut_lineage(deal(asked.select("unit", "node"), "unit").distinct().join(above, "node").select("unit", F.col("ancestor").alias("node")).distinct().join(place, "node"))
     root = down[0].select("unit", F.least("c0", "c1").alias("least"))
     up = down[0].withColumns({"u0": F.lit(0).cast("bigint"), "u1": F.lit(0).cast("bigint")})
     rows = [up]
     for level in range(1, height + 1):
         x = deal(want.filter(F.col("depth") == level).select("unit", "node", "parent")).join(deal(down[level]), ["unit", "node"], "left").na.fill(0, ["c0", "c1"])
         p = up.select("unit", F.col("node").alias("parent"), (F.col("u0") + F.col("c0")).alias("p0"), (F.col("u1") + F.col("c1")).alias("p1"))
-        x = x.join(deal(p), ["unit", "parent"]).withColumns({"r0": F.col("p0") - best("c0", "c1"), "r1": F.col("p1") - best("c1", "c0")})
+        x = deal(x, "unit", "parent").join(deal(p, "unit", "parent"), ["unit", "parent"]).withColumns({"r0": F.col("p0") - best("c0", "c1"), "r1": F.col("p1") - best("c1", "c0")})
         up = cut_lineage(x.select("unit", "node", "c0", "c1", best("r0", "r1").alias("u0"), best("r1", "r0").alias("u1")))
         rows.append(up)
     out = rows[0]
@@ -372,4 +373,5 @@ def parsimony_states(tips: DataFrame, tree: Tree, asked: DataFrame | None = None
         out = out.unionByName(r)
     wanted = want.select("unit", "node")
     is_least = lambda i: (F.col(f"u{i}") + F.col(f"c{i}") == F.col("least")).alias(f"can{i}")
-    return deal(out).join(deal(wanted), ["unit", "node"], "left_semi").join(deal(root), "unit").select("unit", "node", is_least(0), is_least(1))
+    out = deal(out).join(deal(wanted), ["unit", "node"], "left_semi")
+    return deal(out, "unit").join(deal(root, "unit"), "unit").select("unit", "node", is_least(0), is_least(1))

@@ -276,12 +276,14 @@ ALL_TIPS = """SELECT x.unit, 32 + n_nationkey AS node, t.state FROM (SELECT DIST
 )
 def parsimony_filter(spark, sf):
     t = nation_tree(spark, sf)
-    x = lines(spark, sf).groupBy(F.col("l_orderkey").alias("unit"), leaf("s_nationkey").alias("species")).agg(F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("state"))
+    li = table(spark, sf, "lineitem")
+    x = lines(spark, sf).select(F.col("l_orderkey").alias("unit"), leaf("s_nationkey").alias("species"), "l_returnflag")
+    x = dealt(x, "unit", by=li).groupBy("unit", "species").agg(F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("state"))
     o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     ty = types(spark, sf).select("gene", "orf_ix", "gene_type")
     f = o.select(F.col("o_orderkey").alias("gene"), leaf("c_nationkey").alias("focal"))
-    ch = ty.join(f, "gene").join(t.lineage.withColumnRenamed("ix", "orf_ix"), ["focal", "orf_ix"]).select(F.col("gene").alias("unit"), "gene", "node")
-    return C.parsimony_filter(ty, ch, x, t)
+    ch = ty.join(f, "gene").join(F.broadcast(t.lineage.withColumnRenamed("ix", "orf_ix")), ["focal", "orf_ix"]).select(F.col("gene").alias("unit"), "gene", "node")
+    return C.parsimony_filter(ty, ch, x, t, by=li)
 
 
 # a text is a gene with an indel and a stop; ancestors carry them above the ORF node, some species carry them, some are aligned
