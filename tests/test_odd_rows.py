@@ -60,3 +60,12 @@ def test_every_row_of_a_repeated_customer_is_not_found(spark, tmp_path):
     lines = ("l_orderkey long, l_partkey long, l_suppkey long, l_returnflag string, l_linenumber int, l_quantity double", [(1, 7, 3, "R", 1, 5.0), (2, 7, 10, "R", 1, 5.0)])
     rows = same_as_sql(spark, tmp_path, "features_not_found", orders=orders, lineitem=lines, customer=("c_custkey long", [(4,), (5,), (5,), (None,)]))
     assert len(rows) == 4
+
+
+def test_asked_ids_without_a_line_are_not_among_the_not_found(spark, tmp_path):
+    # customer 8 has no order with a line, supplier 20 only a line of no order and supplier 30 only one of customer 4
+    orders = ("o_orderkey long, o_custkey long", [(1, 4), (2, 5), (3, 8), (4, None)])
+    lines = ("l_orderkey long, l_partkey long, l_suppkey long, l_returnflag string, l_linenumber int, l_quantity double",
+             [(1, 7, 30, "R", 1, 5.0), (2, 7, 10, "R", 1, 5.0), (9, 7, 20, "R", 1, 5.0), (4, 7, 40, "R", 1, 5.0)])
+    rows = same_as_sql(spark, tmp_path, "features_not_found", orders=orders, lineitem=lines, customer=("c_custkey long", [(4,), (5,), (8,)]))
+    assert sorted(r[0] for r in rows) == ["zz4", "zz5", "zz8"]
