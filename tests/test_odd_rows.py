@@ -55,6 +55,15 @@ def test_report_counts_rows_with_the_same_id_apart(spark, tmp_path):
     assert ("S2", 2, "supplier") in rows and ("S5", 1, "supplier") in rows
 
 
+def test_report_holds_every_name_that_a_rule_leads_to(spark, tmp_path):
+    # part 1 leads to its brand by its size, part 2 by its name; brand B9 is led to by no line, a part without a brand to none
+    lines = ("l_partkey long, l_suppkey long", [(1, 3), (2, 3), (2, 7), (6, 3), (9, 2)])
+    parts = (PARTS[0], [*PARTS[1], (6, "e", "B1", 1), (7, "f", "B9", 1)])
+    rows = same_as_sql(spark, tmp_path, "match_report", lineitem=lines, part=parts, supplier=SUPPLIERS)
+    want = {("B1", 2, "name;part"), ("B2", 2, "name"), ("B3", 0, "Missing"), ("B4", 0, "Missing"), ("B9", 0, "Missing"), ("S2", 1, "supplier")}
+    assert want <= set(rows) and len(rows) == 5 + len(SUPPLIERS[1])
+
+
 def test_every_row_of_a_repeated_customer_is_not_found(spark, tmp_path):
     orders = ("o_orderkey long, o_custkey long", [(1, 4), (2, 5)])
     lines = ("l_orderkey long, l_partkey long, l_suppkey long, l_returnflag string, l_linenumber int, l_quantity double", [(1, 7, 3, "R", 1, 5.0), (2, 7, 10, "R", 1, 5.0)])
