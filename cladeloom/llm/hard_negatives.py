@@ -194,16 +194,20 @@ def hard_negatives(
     blocks = rows.groupBy(bucket(F.col("vec_id"), n_blocks).alias("block")).agg(_block("vec_id", []))
     blocks = written(blocks, "row-blocks")
 
+    # as many tasks as blocks; Spark takes the exploded anchors for few and would send them to the driver to broadcast them
+    n_tasks = max(n_blocks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = blocks.withColumn("block", F.col("block").cast("int")).repartition(n_tasks, "block")
+
     def met(own: DataFrame, more: list[str]) -> DataFrame:
         own = own.groupBy(bucket(F.col("vec_id"), n_anchor_blocks).alias("part")).agg(_block("vec_id", more))
         own = own.select(F.col("rows").alias("anchors"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-        return own.join(blocks.withColumn("block", F.col("block").cast("int")), "block").select("anchors", "rows")
+        return own.repartition(n_tasks, "block").hint("merge").join(dealt, "block").select("anchors", "rows")
 
     found = met(anchors, []).mapInArrow(_positives(bound, n_positives), _FOUND)
     first = _first(found, ["anchor_id", "anchor_label"], "found_score", "found_id", n_positives)
     pair = F.struct(F.col("found_id").alias("positive_id"), F.col("found_score").alias("positive_score"))
     lists = first.groupBy(F.col("anchor_id").alias("vec_id"), F.col("anchor_label").alias("label")).agg(F.collect_list(pair).alias("positives"))
-    own = written(anchors.join(lists, ["vec_id", "label"]), "positives")
+    own = written(anchors.hint("merge").join(lists, ["vec_id", "label"]), "positives")
     met_again = met(own, ["positives"])
     got = met_again.mapInArrow(_negatives(bound, n_negatives, low, high), _NEGATIVE)
     out = _first(got, ["anchor_id", "positive_id", "positive_score"], "negative_score", "negative_id", n_negatives)

@@ -69,3 +69,11 @@ def test_empty_and_odd_tables(spark):
     huge = spark.createDataFrame([(100, [1e30], 1)], "vec_id long, embedding array<double>, label int")
     with pytest.raises(ValueError):
         N.hard_negatives(huge)
+
+
+def test_blocks_meet_without_a_broadcast(spark):
+    # anchors that are exploded to all blocks grow with the square of the rows: they must not pass the driver
+    rows = [(i, [0.1 * (i % 7), 0.5, 0.3], i % 3, 1, "", "") for i in range(300)]
+    out = N.hard_negatives(spark.createDataFrame(rows, SCHEMA))
+    assert out.count() > 0
+    assert "BroadcastExchange" not in out._jdf.queryExecution().toString()
