@@ -16,10 +16,12 @@ from .simhash import join_labels
 from .tables import written
 
 COSINE = 0.93
-BLOCK = 8  # dimensions of a block
-GROUP = 4_000  # larger groups are cut along the next dimension of their block
+BLOCK = 32  # dimensions of a block
+GROUP = 32_768  # rows of a piece
+PIECE = 1 << 24  # bytes of a piece
+ROWS_AT_ONCE = 256
 PAIRS_AT_ONCE = 50_000
-SLACK = 1e-9
+SLACK = 1e-5  # of squared distances in float32
 
 
 def blocks(d: int) -> list[slice]:
@@ -49,65 +51,45 @@ def _rotated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["node", "label", "n", "vec"])
 
 
-_MEMBER = "grp long, dim int, block int, own boolean, node long, n long, vec binary"
+def _near(x: np.ndarray, cosine: float) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Per block float32 rows for both sides of a product and the least value of it at which a pair is within the block's budget.
 
-
-def _cells(level: int, cosine: float):
-    """Deal rows to the cells along dimension `level` of their block; a cell is as wide as the block's budget reaches.
-
-    An own row goes to its cell and, as a visitor, to the one below; a visitor goes to its cell and both beside it. So each
-    pair of own rows, and of an own row and a visitor, meets in one cell if the budget lets it.
+    The right side carries a column, so that one product gives u v - h(v); the budget holds where that is at least h(u).
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dim, block, own = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
-            vec = batch.column(6).to_pylist()
-            at, cell, role = [], [], []
-            for i, v in enumerate(vec):
-                d = int(dim[i])
-                x = np.frombuffer(v)[blocks(d)[block[i]]]
-                c = math.floor(x[level] / math.sqrt(budgets(d, cosine)[block[i]])) if level < len(x) else 0
-                steps = ((0, True), (-1, False)) if own[i] else ((0, False), (-1, False), (1, False))
-                for s, r in steps if level < len(x) else ((0, bool(own[i])),):
-                    at.append(i)
-                    cell.append(c + s)
-                    role.append(r)
-            some = batch.take(pa.array(at, pa.int64()))
-            cols = [some.column(0), *some.columns[1:3], pa.array(role, pa.bool_()), *some.columns[4:7], pa.array(cell, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["grp", "dim", "block", "own", "node", "n", "vec", "cell"])
-
-    return run
+    left, right, least = [], [], []
+    for part, budget in zip(blocks(x.shape[1]), budgets(x.shape[1], cosine), strict=True):
+        sub = x[:, part]
+        half = ((sub**2).sum(axis=1) - (budget + SLACK) / 2) / 2
+        left.append(np.hstack([sub, np.ones((len(x), 1))]).astype(np.float32))
+        right.append(np.hstack([sub, -half[:, None]]).astype(np.float32))
+        least.append(half.astype(np.float32))
+    return left, right, least
 
 
 def _links(cosine: float):
     def solve(rows: pa.Table) -> pa.RecordBatch:
-        dim, block = rows.column("dim")[0].as_py(), rows.column("block")[0].as_py()
+        dim, alone = rows.column("dim")[0].as_py(), rows.column("alone")[0].as_py()
         own = rows.column("own").to_numpy(zero_copy_only=False)
         n = rows.column("n").to_numpy()
         x = np.frombuffer(b"".join(rows.column("vec").to_pylist())).reshape(-1, dim)
         order = np.argsort(~own, kind="stable")  # own rows first
         x, n, owners = x[order], n[order], int(own.sum())
         node = rows.column("node").to_numpy()[order]
-        parts, budget = blocks(dim), budgets(dim, cosine)
-        sub = np.ascontiguousarray(x[:, parts[block]])
-        square = (sub**2).sum(axis=1)
+        left, right, least = _near(x, cosine)
         degree, label = np.zeros(len(x), np.int64), np.arange(len(x))
-        for a in range(0, owners, 512):
-            near = square[a : min(a + 512, owners), None] + square - 2 * (sub[a : min(a + 512, owners)] @ sub.T) <= budget[block] + SLACK
-            i, j = np.nonzero(near)
-            i += a
+        for a in range(0, owners, ROWS_AT_ONCE):
+            b = min(a + ROWS_AT_ONCE, owners)
+            first = a if alone else owners  # own rows meet the later ones of their piece, or the visitors
+            near = np.zeros((b - a, len(x) - first), bool)
+            for u, v, h in zip(left, right, least, strict=True):
+                near |= u[a:b] @ v[first:].T >= h[a:b, None]
+            i, j = np.divmod(np.flatnonzero(near), max(1, near.shape[1]))
+            i, j = i + a, j + first
             later = i < j
             i, j = i[later], j[later]
             for s in range(0, len(i), PAIRS_AT_ONCE):
                 p, q = i[s : s + PAIRS_AT_ONCE], j[s : s + PAIRS_AT_ONCE]
-                u, v = x[p], x[q]
-                gap = (u - v) ** 2
-                # the first block whose budget holds owns the pair
-                first = np.full(len(p), -1)
-                for b in range(block, -1, -1):
-                    first[gap[:, parts[b]].sum(axis=1) <= budget[b]] = b
-                keep = (first == block) & (np.einsum("ij,ij->i", u, v) >= cosine)
+                keep = np.einsum("ij,ij->i", x[p], x[q]) >= cosine
                 p, q = p[keep], q[keep]
                 np.add.at(degree, p, n[q])
                 np.add.at(degree, q, n[p])
@@ -139,38 +121,24 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     are linked to it (each with its multiplicity n), and the pairs (node, root) connect what the links connect.
 
     If two unit vectors are within the squared distance of the cosine, some block of their rotated coordinates is within its
-    share of it. So each block is range-joined by itself, in cells of that width, and the union of what the blocks find is
-    verified in full; a pair counts in its first block only, and no pair leaves its task. Groups of over GROUP rows are cut
-    along the next dimension of the block. What is then still larger is one dense cluster: its own rows are dealt
-    to several tasks, each of which sees all its rows.
+    share of it. What any block finds is verified in full, in doubles. The rows of a label are cut into pieces of at most GROUP rows or
+    PIECE bytes on average; every two pieces meet in one task, and each piece meets itself, so a pair meets once, no task holds more than two
+    pieces, whatever a label or a dense cluster holds, and no pair leaves its task. Work is the square of a label's rows.
     """
-    many = F.transform(F.sequence(F.lit(0), F.ceil(F.octet_length("vec") / 8 / BLOCK).cast("int") - 1), lambda b: b)
-    rows = vectors.select("label", (F.octet_length("vec") / 8).cast("int").alias("dim"), F.explode(many).alias("block"), "node", "n", "vec")
-    rows = rows.select(F.xxhash64("label", "dim", "block").alias("grp"), "dim", "block", F.lit(True).alias("own"), "node", "n", "vec")
-    ready = None
-    for level in range(BLOCK):
-        cut = rows.mapInArrow(_cells(level, cosine), _MEMBER + ", cell long")
-        cut = written(cut.withColumn("grp", F.xxhash64("grp", "cell")).drop("cell"), "cells")
-        large = written(cut.groupBy("grp").count().where(F.col("count") > GROUP), "large-cells")
-        if large.isEmpty():
-            ready = cut if ready is None else ready.union(cut)
-            break
-        small = cut.join(large, "grp", "left_anti").select(*cut.columns)
-        ready = small if ready is None else ready.union(small)
-        rows = cut.join(large, "grp").select(*cut.columns)
-    else:
-        ready = ready.union(_dense(rows, large))
-    return ready.repartition("grp").sortWithinPartitions("grp").mapInArrow(_links(cosine), "node long, root long, links long")
-
-
-def _dense(rows: DataFrame, large: DataFrame) -> DataFrame:
-    """Deal the own rows of a group to chunks of about GROUP; every chunk gets the rows of later chunks and the visitors as visitors."""
-    sized = rows.join(large, "grp").withColumn("chunks", F.ceil(F.col("count") / GROUP).cast("int"))
-    chunk = F.when(F.col("own"), F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("chunks"))).otherwise(F.col("chunks")).cast("int")
-    sized = sized.withColumn("chunk", chunk)
-    dealt = sized.withColumn("to", F.explode(F.sequence(F.lit(0), F.least("chunk", F.col("chunks") - 1))))
-    own = F.col("own") & (F.col("to") == F.col("chunk"))
-    return dealt.select(F.xxhash64("grp", "to").alias("grp"), "dim", "block", own.alias("own"), "node", "n", "vec")
+    rows = vectors.select("label", (F.octet_length("vec") / 8).cast("int").alias("dim"), "node", "n", "vec")
+    most = F.least(F.lit(GROUP), F.greatest(F.lit(1), F.floor(F.lit(PIECE) / (F.col("dim") * 8)).cast("int")))
+    sizes = rows.groupBy("label", "dim").count().withColumn("pieces", F.ceil(F.col("count") / most).cast("int"))
+    sizes = written(sizes, "label-sizes")
+    # labels of one piece share tasks, all others have one for every two pieces
+    pairs = F.when(F.col("pieces") > 1, F.col("pieces") * (F.col("pieces") + 1)).otherwise(F.col("count") / GROUP)
+    n_tasks = sizes.agg(F.ceil(F.sum(pairs.cast("double"))).alias("n")).first()["n"] or 0
+    n_tasks = max(int(n_tasks), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    piece = F.pmod(F.xxhash64("node", F.lit("piece")), F.col("pieces"))
+    dealt = rows.join(sizes.drop("count"), ["label", "dim"]).withColumn("piece", piece.cast("int"))
+    dealt = dealt.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    grp = F.xxhash64("label", "dim", F.least("piece", "to"), F.greatest("piece", "to")).alias("grp")
+    dealt = dealt.select(grp, "dim", (F.col("piece") == F.col("to")).alias("alone"), (F.col("piece") <= F.col("to")).alias("own"), "node", "n", "vec")
+    return dealt.repartition(n_tasks, "grp").sortWithinPartitions("grp").mapInArrow(_links(cosine), "node long, root long, links long")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:

@@ -47,3 +47,14 @@ def test_equals_brute_force(spark, monkeypatch, group):
 
 def test_empty_table(spark):
     assert e.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_rows_travel_once_for_every_piece_of_their_label(spark, monkeypatch):
+    # vectors that lie so close that no dimension tells them apart: the rows dealt to tasks must follow from the pieces alone
+    monkeypatch.setattr(e, "GROUP", 50)
+    monkeypatch.setattr(e, "_links", lambda cosine: lambda batches: (b.select(["node", "n", "n"]).rename_columns(["node", "root", "links"]) for b in batches))
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=16) + rng.normal(size=(100, 16)) * 0.01
+    unit = [(i, "a" if i < 90 else "b", 1, (x / np.sqrt(x @ x)).tobytes()) for i, x in enumerate(v)]
+    met = e.links(spark.createDataFrame(unit, "node long, label string, n long, vec binary")).groupBy("node").count().collect()
+    assert {(r[0] < 90, r[1]) for r in met} == {(True, 2), (False, 1)}
