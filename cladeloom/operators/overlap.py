@@ -28,25 +28,23 @@ def classify_overlap(loci: DataFrame, genes: DataFrame, cds: DataFrame, locus_ge
     bare = named.join(clip.select("locus").distinct(), "locus", "left_anti").select(
         "locus", "_c", "strand", F.col("start").alias("q_start"), F.col("end").alias("q_end"))
     oc = kept_table(other.join(cds, "gene").select("gene", "g_start", "_c", F.col("g_strand").alias("strand"), "c_start", "c_end"), "coding")
-    coding = overlap_join(kept_table(clip.unionByName(bare), "asked"), oc, ["_c", "strand"], ("q_start", "q_end"), ("c_start", "c_end"), levels=2)
-    coding = coding.groupBy("locus").agg(F.min_by("gene", F.struct("g_start", "gene")).alias("_g1"))
+    coding = overlap_join(kept_table(clip.unionByName(bare), "asked"), oc, ["_c", "strand"], ("q_start", "q_end"), ("c_start", "c_end"), levels=1)
+    coding = coding.groupBy("locus").agg(F.min_by("gene", F.struct("g_start", "gene")).alias("_g"))
 
+    # a class is looked for only where no earlier one was found
     span, g_span = ("start", "end"), ("g_start", "g_end")
-    q = named.select("locus", "_c", "start", "end", "strand")
-    q = first_overlap_join(q, other.select("_c", F.col("g_strand").alias("strand"), "g_start", "g_end", "gene"), ["_c", "strand"], span, g_span, "gene")
-    q = q.drop(*g_span).withColumnRenamed("gene", "_g2")
-    q = first_overlap_join(q, other.select("_c", "g_start", "g_end", "gene"), ["_c"], span, g_span, "gene")
-    q = q.drop(*g_span).withColumnRenamed("gene", "_g3")
-    j = nearest_join(q, other, ["_c"], span, g_span, ["g_strand", "gene"], max_gap).withColumnRenamed("gene", "_g4")
-    j = j.join(coding, "locus", "left")
-    has = [F.col(f"_g{i}").isNotNull() for i in (1, 2, 3)]
-    cls = (
-        F.when(has[0], "same_strand_cds_overlap").when(has[1], "same_strand_overlap").when(has[2], "antisense_overlap")
-        .when(F.col("side").isNotNull(), orientation(F.col("side") == "right", F.col("strand"), F.col("g_strand")))
-        .otherwise("intergenic")
-    )
-    gene = F.when(has[0], F.col("_g1")).when(has[1], F.col("_g2")).when(has[2], F.col("_g3")).otherwise(F.col("_g4"))
-    done = j.select("locus", cls.alias("orientation"), gene.alias("other_gene"))
+    cols = ["locus", "_c", "start", "end", "strand"]
+    same = kept_table(named.select(*cols).join(coding, "locus", "left"), "coding-class")
+    q = first_overlap_join(
+        same.filter("_g is null").drop("_g"), other.select("_c", F.col("g_strand").alias("strand"), "g_start", "g_end", "gene"), ["_c", "strand"], span, g_span, "gene")
+    strand = kept_table(q.select(*cols, F.col("gene").alias("_g")), "strand-class")
+    q = first_overlap_join(strand.filter("_g is null").drop("_g"), other.select("_c", "g_start", "g_end", "gene"), ["_c"], span, g_span, "gene")
+    anti = kept_table(q.select(*cols, F.col("gene").alias("_g")), "antisense-class")
+    j = nearest_join(anti.filter("_g is null").drop("_g"), other, ["_c"], span, g_span, ["g_strand", "gene"], max_gap)
+    beside = F.when(F.col("side").isNotNull(), orientation(F.col("side") == "right", F.col("strand"), F.col("g_strand"))).otherwise("intergenic")
+    done = j.select("locus", beside.alias("orientation"), F.col("gene").alias("other_gene"))
+    for found, name in ((same, "same_strand_cds_overlap"), (strand, "same_strand_overlap"), (anti, "antisense_overlap")):
+        done = done.unionByName(found.filter("_g is not null").select("locus", F.lit(name).alias("orientation"), F.col("_g").alias("other_gene")))
     rest = loci.filter("status <> 'named'").select(
         "locus", F.when(F.col("status") == "unmatched", "own_gene_not_found").otherwise("unknown").alias("orientation"),
         F.lit(None).cast("string").alias("other_gene"))

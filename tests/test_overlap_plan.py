@@ -1,5 +1,6 @@
 """Overlap classes: loci and genes are got once, and the other gene is the one that starts first."""
 
+from cladeloom.operators import overlap
 from cladeloom.operators.overlap import classify_overlap
 
 LOCI = "locus string, chrom string, start bigint, end bigint, strand string, status string, own_gene string"
@@ -21,3 +22,12 @@ def test_inputs_are_read_once(spark):
     plan = classes(spark).filter("locus <> 'u'")._jdf.queryExecution().executedPlan().toString()
     # the loci without a name come straight from the input
     assert plan.count("Scan ExistingRDD") <= 1 and "FileScan parquet" in plan
+
+
+def test_only_undecided_loci_are_looked_up_further(spark, monkeypatch):
+    asked = []
+    for name in ("first_overlap_join", "nearest_join"):
+        step = getattr(overlap, name)
+        monkeypatch.setattr(overlap, name, lambda a, *args, _step=step: (asked.append(sorted(r[0] for r in a.select("locus").collect())), _step(a, *args))[1])
+    classes(spark)
+    assert asked == [["b", "d"], ["b", "d"], ["d"]]
